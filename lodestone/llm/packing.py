@@ -140,7 +140,7 @@ def _best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def cutting_stock(demand: dict[int, int], capacity: int, max_rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+def cutting_stock(demand: dict[int, int], capacity: int, max_rounds: int = 2000) -> list[tuple[dict[int, int], int]]:
     """Patterns with multiplicities that cover `demand` (size in units -> count) with few bins of `capacity` units.
 
     Column generation: the restricted master is a simplex basis of patterns, the duals price new columns by
@@ -153,19 +153,25 @@ def cutting_stock(demand: dict[int, int], capacity: int, max_rounds: int = 4000)
     need = np.array([demand[s] for s in sizes], dtype=float)
     m = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])  # a column per pattern
+    inverse = np.diag(1 / np.diag(basis))
+    at = np.array(sizes) - 1
+    aim = need + np.linspace(1e-4, 1e-3, m)  # a slight perturbation keeps the simplex steps from stalling
     for _ in range(max_rounds):
-        inverse = np.linalg.inv(basis)
-        duals = np.ones(m) @ inverse
+        duals, x = inverse.sum(axis=0), inverse @ aim
         value = np.zeros(capacity)
-        value[np.array(sizes) - 1] = np.maximum(duals, 0)
+        value[at] = np.maximum(duals, 0)
         worth, counts = _best_pattern(value, capacity)
-        if worth <= 1 + 1e-7:
+        if x.sum() * (1 - 1 / max(worth, 1)) < 0.5:  # no plan saves half a sequence over this one
             break
-        column = counts[np.array(sizes) - 1].astype(float)
-        direction, x = inverse @ column, inverse @ need
+        column = counts[at].astype(float)
+        direction = inverse @ column
         ratios = np.where(direction > 1e-9, np.maximum(x, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
-        basis[:, int(np.argmin(ratios))] = column
-    x = np.floor(np.linalg.solve(basis, need) + 1e-9)
+        out = int(np.argmin(ratios))
+        basis[:, out] = column
+        pivot = inverse[out] / direction[out]
+        inverse -= np.outer(direction, pivot)
+        inverse[out] = pivot
+    x = np.floor(inverse @ need + 1e-6)  # rounding errors cost padding at most: the counts below stay exact
     patterns, left = [], need.copy()
     for j in range(m):
         column = basis[:, j]
