@@ -36,3 +36,30 @@ def op5_packing(spark, sf_dir):
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def _register_sql_checked() -> None:
+    from . import chat, quality_rules, secrets, url_filters
+
+    @query("op3_url_filters", url_filters.oracle())
+    def op3_url_filters(spark, sf_dir):
+        return url_filters.judge(table(spark, sf_dir, "pages"))
+
+    @query("op4_chat_formatting", chat.ORACLE)
+    def op4_chat_formatting(spark, sf_dir):
+        odd = r"\### Assistant: </turn> ok"
+        extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+        rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+        return chat.digest(chat.format_trees(chat.materialize(chat.linear(rows), "nodes")))
+
+    @query("op6_quality_rules", quality_rules.oracle())
+    def op6_quality_rules(spark, sf_dir):
+        judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+        return judged.select("doc_id", "__m.n_words", "__m.word_chars", "__m.n_symbols", "__m.n_dup_lines", "__m.n_repeat_words", "base_failed", "kept")
+
+    @query("op9_secret_scans", secrets.oracle())
+    def op9_secret_scans(spark, sf_dir):
+        return secrets.report(table(spark, sf_dir, "documents"))
+
+
+_register_sql_checked()
