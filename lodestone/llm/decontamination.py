@@ -26,12 +26,14 @@ from pyspark.sql import types as T
 Q, EDIT_RATE = 12, 0.07
 BLOCK_CHARS = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
-_BLANKS = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
 
 
 def normal(text: str) -> str:
     low = text.lower()
-    return (low if len(low) == len(text) else text).translate(_BLANKS)
+    low = low if len(low) == len(text) else text
+    for blank in "\n\t\r\x0b\x0c":
+        low = low.replace(blank, " ")
+    return low
 
 
 def gram_hashes(text: str, q: int = Q) -> np.ndarray:

@@ -63,3 +63,17 @@ def _register_sql_checked() -> None:
 
 
 _register_sql_checked()
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark, sf_dir):
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark, sf_dir):
+    from .decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
