@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import materialize
+from lodestone.llm.decontamination import drop_contaminated
+from lodestone.llm.jaccard_join import keep_one
+from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack
-from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.quality_rules import filter_quality
+from lodestone.llm.queries import table, tokenizer_path
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that fail the base rule or lie outside their group's fences go."""
+    return filter_quality(docs)
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Later copies of repeated runs of lines go; n_chars follows the text."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def jaccard_join(spark, docs, sf_dir):
+    """One document of each group of near copies stays: five words, a similarity of 0.8 or more."""
+    return keep_one(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark item, up to the edit budget, go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark, docs, sf_dir):
+    """Pieces of all documents with their places in sequences of at most 2048 tokens."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
-#: Tokenizer ids and approximate-free but iterative stages have no SQL form; tests compare with brute force.
+STAGES = [
+    ("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination), ("packing", packing),
+]
+#: Tokenizer ids and column generation have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from lodestone.llm.common import materialize
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

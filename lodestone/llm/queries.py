@@ -77,3 +77,34 @@ def op7_decontamination(spark, sf_dir):
     from .decontamination import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    from .quality_knn import classify, fit
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    return classify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op8_ngram_jaccard_join")
+def op8_ngram_jaccard_join(spark, sf_dir):
+    from .jaccard_join import components
+
+    return components(table(spark, sf_dir, "documents"), k=4, num=17, den=20)
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark, sf_dir):
+    """Counts of every document before and after three edits: 40 characters cut, a note put in, a heading put before."""
+    import public_tokenizers
+
+    from .token_counts import count_edited
+
+    at = lambda a, b, s: F.struct(F.floor(a).alias("start"), F.floor(b).alias("end"), F.lit(s).alias("replacement"))
+    n, zero = F.coalesce(F.length("text"), F.lit(0)), F.lit(0)
+    edits = F.array(at(n / 3, n / 3 + 40, ""), at(n / 2, n / 2, " [edited: see the note]\n"), at(zero, zero, "Second version\n"))
+    return count_edited(table(spark, sf_dir, "documents"), edits, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
