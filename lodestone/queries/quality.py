@@ -1 +1,75 @@
+"""Data quality over chunks and documents, with its SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from ..registry import query
+from ..schemas import CHUNK_TYPES, WORLDVIEWS
+from ..sources.testdata import CHUNKS_SQL, chunks, table
+
+C = f"with {CHUNKS_SQL} "
+_T, _W = ", ".join(f"'{t}'" for t in CHUNK_TYPES), ", ".join(f"'{w}'" for w in WORLDVIEWS)
+
+
+def _odd(spark, d):
+    """Chunks with planted faults."""
+    m = F.col("doc_id") % 8
+    return chunks(spark, d).withColumn("source_id", F.when(m == 1, " ").otherwise(F.col("source_id"))).withColumn("chunk_type", F.when(m == 2, "page").otherwise(F.col("chunk_type"))).withColumn(
+        "importance", F.when(m == 3, 11).otherwise(5)).withColumn("worldviews", F.when(m == 4, F.array(F.lit("Idealismus"), F.lit(" "))).otherwise(F.col("worldviews")))
+
+
+@query(C + """select chunk_id, case doc_id % 8 when 1 then 'source_id is missing' when 2 then 'chunk_type is unknown' when 3 then 'importance is out of range'
+  when 4 then 'worldviews hold a blank|worldviews hold an unknown name' else '' end as violations from chunks""")
+def chunk_validation(spark, d):
+    return _odd(spark, d).select("chunk_id", F.array_join(Q.chunk_violations(), "|").alias("violations"))
+
+
+def _documents(spark, d):
+    m = F.col("doc_id") % 6
+    return table(spark, d, "documents").select(
+        F.when(m != 1, F.col("doc_id").cast("string")).alias("document_id"), "doc_id", F.concat(F.lit("base/"), F.when(m < 3, "Idealismus").otherwise("misc"), F.lit("/x")).alias("category"),
+        F.concat(F.when(m == 0, F.concat(F.lit("[Dornach "), 1900 + F.col("doc_id") % 100, F.lit(", S. 12] "))).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"),
+        F.when(m == 2, "A_B@T_U.txt").when(m == 5, F.concat(F.repeat(F.lit("n"), 230), F.lit(".txt"))).otherwise("title.txt").alias("filename"),
+        F.when(m == 4, "xx").otherwise(F.col("lang")).alias("language"))
+
+
+_DOCS = r"""d as (select doc_id, doc_id % 6 as m, case when doc_id % 6 <> 1 then doc_id::varchar end as document_id, case when doc_id % 6 < 3 then 'Idealismus' end as worldview,
+   left(case when doc_id % 6 = 0 then '[Dornach ' || (1900 + doc_id % 100) || ', S. 12] ' else '' end || coalesce(text, ''), 1000000) as text,
+   case when doc_id % 6 = 2 then 'A B' end as author, case when doc_id % 6 = 4 then 'xx' else lang end as language from documents),
+ p as (select *, nullif(regexp_extract(left(text, 500), '\[(.*?(\d{4}).*?)\]', 2), '') as year, nullif(regexp_extract(text, '\[.*?S\.\s*(\d+).*?\]', 1), '') as page from d),
+ f as (select *, (document_id is not null)::int as f1, (length(text) > 0)::int as f3, (author is not null)::int as fa, (year is not null)::int as fy, (worldview is not null)::int as fw, (page is not null)::int as fp, (length(language) > 0)::int as fl,
+   (document_id is null)::int + (text = '' or regexp_matches(text, '^\s+$'))::int as e, (m = 5)::int + (m = 4)::int + (length(text) < 10)::int + (author is null)::int + 1 + (year is null)::int as w from p),
+ q as (select *, (f1 + 1 + f3) / 3.0::double * 0.4 + (fa + 1 + 0 + fy + 1) / 5.0::double * 0.3 + (fa + 0 + 1 + 1 + fw + fy + 0 + fl) / 8.0::double * 0.2 + fp * 0.1 as c0,
+   (fa * 0.3 + 0.3 + fw * 0.4 + 0.3 + fy * 0.2 + fp * 0.1 + 0.1) / 1.9::double as conf from f)"""
+
+
+@query(f"with {_DOCS} select doc_id, e::int as errors, w::int as warnings, round(c0, 2) as completeness from q")
+def metadata_completeness(spark, d):
+    p = Q.pipeline(_documents(spark, d))
+    return p.select("doc_id", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"), F.round("completeness", 2).alias("completeness"))
+
+
+@query(f"""with {_DOCS} select doc_id, case when e > 0 then 'F' when c >= 0.9 and w = 0 then 'A' when c >= 0.8 and w <= 2 then 'B' when c >= 0.7 and w <= 5 then 'C' when c >= 0.5 then 'D' else 'F' end as grade,
+  round(greatest(0.1, least(1.0, conf)), 6) as confidence, round(greatest(0.0, least(1.0, 0.3 * greatest(0.1, least(1.0, conf)) + 0.4 * c - 0.2 * least(1.0, 0.2 * e) - 0.1 * least(0.5, 0.1 * w))), 4)::double as quality
+  from (select *, round_even(c0, 3) as c from q)""")
+def quality_grade(spark, d):
+    p = Q.pipeline(_documents(spark, d))
+    return p.select("doc_id", "grade", F.round("confidence", 6).alias("confidence"), F.round("quality", 4).alias("quality"))
+
+
+@query(C + "select chunk_id, case when worldview is null then 'x|y z' else lower(worldview) || '|x|y z' end as tags from chunks")
+def tag_cleaning(spark, d):
+    tags = F.array_compact(F.array(F.concat(F.lit(" "), "worldview"), F.lit("X "), F.lit(" "), F.lit("x"), F.lit("y Z")))
+    return chunks(spark, d).select("chunk_id", F.array_join(Q.clean_tags(tags), "|").alias("tags"))
+
+
+@query("""select doc_id, case doc_id % 4 when 1 then 'extension is unknown' when 2 then 'dims are unknown' when 3 then 'path is missing' else '' end as file, case doc_id % 4 when 0 then 'operation is unknown' when 1 then 'content is missing'
+  when 2 then 'paragraph_id is missing' else '' end as tool from documents""")
+def argument_validation(spark, d):
+    m = F.col("doc_id") % 4
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.when(m != 3, F.when(m == 1, "a.exe").otherwise("a.TXT")).alias("path"), F.when(m == 2, 100).otherwise(768).alias("dims"),
+        F.when(m == 1, "append").when(m == 2, "delete").when(m == 3, "insert").otherwise("burn").alias("operation"), F.when(m != 1, "c").alias("content"), F.when(m == 3, "p1").alias("paragraph_id"))
+    return rows.select("doc_id", F.array_join(Q.file_violations(), "|").alias("file"), F.array_join(Q.tool_violations(), "|").alias("tool"))

@@ -1 +1,147 @@
+"""Text functions over whole tables, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..registry import query
+from ..sources.testdata import CHUNKS_SQL, chunks, table, turns
+
+C = f"with {CHUNKS_SQL} "
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _entities() -> str:
+    out = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+    for name, sign in X.ENTITIES.items():
+        out = "replace({}, '{}', '{}')".format(out, name, sign.replace("'", "''"))
+    return out
+
+
+@query(f"select page_id, trim(regexp_replace(case when contains(html, '<') or contains(html, '&') then {_entities()} else html end, '[\\s\\x{{A0}}]+', ' ', 'g')) as text from pages")
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"""with t as (select doc_id, '12| <q id="1">' || coalesce(text, '') || '</q>' || chr(10) || '7|<I>x' || chr(173) || 'y</i>' as text from documents)
+  select doc_id, replace(regexp_replace(regexp_replace(text, '(?i)</?\s*(q|i)\b[^>]*>', '', 'g'), '(?m)^\d{1,4}\|\s?', '', 'g'), chr(173), '') as prepared from t""")
+def embedding_text_prep(spark, d):
+    t = F.concat(F.lit('12| <q id="1">'), F.coalesce("text", F.lit("")), F.lit("</q>\n7|<I>x­y</i>"))
+    return docs(spark, d).select("doc_id", X.embedding_text(t).alias("prepared"))
+
+
+@query(r"""with t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)of the', ' ', 'g'), '(?i)\band\b', ' ', 'g'), '(?i)\bto\b', ' ', 'g') as r, text from documents)
+  select doc_id, coalesce(nullif(trim(regexp_replace(r, '\s+', ' ', 'g')), ''), text) as redacted from t""")
+def lexical_redaction(spark, d):
+    return docs(spark, d).select("doc_id", X.redact(F.col("text"), ["to", "and", "AND", "of the"]).alias("redacted"))
+
+
+@query(r"""with c as (select doc_id, text, left(text, 1550) as cut from documents) select doc_id, case when length(text) <= 1550 then text
+  when regexp_extract(cut, '(?s)^(.*[.?!])[ \n]', 1) <> '' then regexp_extract(cut, '(?s)^(.*[.?!])[ \n]', 1) else regexp_replace(cut, '\s+$', '') || '…' end as trimmed from c""")
+def sentence_trim(spark, d):
+    return docs(spark, d).select("doc_id", X.trim_to_sentence(F.col("text"), 1550).alias("trimmed"))
+
+
+@query(r"""with s as (select doc_id, replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' ') as line, regexp_replace(text, '^\s+|\s+$', '', 'g') as st, text from documents)
+  select doc_id, case when length(line) <= 240 then line else regexp_replace(left(line, 239), '\s+$', '') || '…' end as snippet,
+    case when length(st) <= 500 then st else regexp_replace(left(st, 497), '\s+$', '') || '...' end as excerpt,
+    left(trim(case when regexp_extract(text, '(?s)^(.*?[.!?])', 1) <> '' then regexp_extract(text, '(?s)^(.*?[.!?])', 1) else text end), 600) as digest from s""")
+def snippets(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", X.snippet(t).alias("snippet"), X.truncate(t, 500).alias("excerpt"), X.first_sentence(t).alias("digest"))
+
+
+@query("select doc_id, (" + " + ".join(f"contains(lower(text), '{s}')::int" for s in X.GERMAN_SIGNS) + ") >= 3 as german from documents")
+def language_heuristic(spark, d):
+    return docs(spark, d).select("doc_id", X.looks_german(F.col("text")).alias("german"))
+
+
+@query(r"""with w as (select conv_id, turn, list_filter(string_split_regex(lower(regexp_replace(trim(text), '(?i)^(der|die|das|ein|eine|des|dem|den|einem|einer)\s+', '')), '\s+'), lambda x: x <> '') as ws from conversations where text is not null),
+  l as (select conv_id, turn, coalesce(ws[len(ws)], '') as lemma from w)
+  select conv_id, turn, lemma, case when length(lemma) > 3 and ends_with(lemma, 'en') then lemma || '|' || left(lemma, length(lemma) - 2) else lemma end as variants from l""")
+def lemma_forms(spark, d):
+    lemma = X.lemma(F.col("text"))
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", lemma.alias("lemma")).withColumn("variants", F.array_join(X.lemma_variants(F.col("lemma")), "|"))
+
+
+@query(r"""select doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))::bigint as words, (length(coalesce(text, '')) // 4)::bigint as tokens, strlen(text)::bigint as bytes from documents""")
+def word_and_token_counts(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", F.size(X.words(t)).cast("long").alias("words"), X.tokens_estimate(t).alias("tokens"), F.octet_length(t).cast("long").alias("bytes"))
+
+
+@query(r"""with t as (select doc_id, 'See [3] and [' || doc_id % 5 || '], also [3] and [x].' as a from documents) select doc_id, array_to_string(list_distinct_ordered, ',') as cited from
+  (select doc_id, case when doc_id % 5 = 3 then ['3'] else ['3', (doc_id % 5)::varchar] end as list_distinct_ordered from t)""")
+def citation_marks(spark, d):
+    a = F.concat(F.lit("See [3] and ["), F.col("doc_id") % 5, F.lit("], also [3] and [x]."))
+    return docs(spark, d).select("doc_id", F.array_join(X.citation_numbers(a).cast("array<string>"), ",").alias("cited"))
+
+
+@query("select doc_id, 'A [1] b [2] c [1] d [9].' as answer from documents")
+def citation_renumbering(spark, d):
+    """Marks of known citations (7 and doc_id % 5) by first appearance; 9 is unknown and stays."""
+    from ..plans.context import renumber
+
+    m = F.col("doc_id") % 5
+    rows = docs(spark, d).select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("A [7] b ["), m, F.lit("] c [7] d [9].")).alias("answer"), m.alias("m"))
+    cited = rows.select("answer_id", F.explode(F.array(F.lit(7), F.col("m").cast("int"))).alias("n"))
+    return renumber(rows.select("answer_id", "answer"), cited).select(F.col("answer_id").alias("doc_id"), "answer")
+
+
+_NAMES = "n as (select doc_id, case doc_id % 3 when 0 then 'Author_' || source || '@Some_title' when 1 then 'A_B#T_U#' || doc_id else 'Plain_title' end as stem from documents)"
+
+
+@query(f"""with {_NAMES} select doc_id, case when contains(stem, '@') then replace(split_part(stem, '@', 1), '_', ' ') when contains(stem, '#') then replace(split_part(stem, '#', 1), '_', ' ') end as author,
+  replace(case when contains(stem, '@') then substr(stem, strpos(stem, '@') + 1) when contains(stem, '#') then substr(stem, strpos(stem, '#') + 1) else stem end, '_', ' ') as title,
+  case doc_id % 3 when 1 then 'A B: T U (GA ' || doc_id || ')' else replace(stem, '_', ' ') end as pretty from n""")
+def file_names(spark, d):
+    m = F.col("doc_id") % 3
+    stem = F.when(m == 0, F.concat(F.lit("Author_"), "source", F.lit("@Some_title"))).when(m == 1, F.concat(F.lit("A_B#T_U#"), "doc_id")).otherwise("Plain_title")
+    n = table(spark, d, "documents").select("doc_id", stem.alias("stem"))
+    return n.select("doc_id", X.file_author(F.col("stem")).alias("author"), X.file_title(F.col("stem")).alias("title"), X.book_title(F.col("stem")).alias("pretty"))
+
+
+@query(r"""with t as (select doc_id, case doc_id % 3 when 0 then '[Dornach ' || (1900 + doc_id % 100) || ', S. ' || doc_id || '] ' else '' end || coalesce(text, '') as text from documents)
+  select doc_id, nullif(regexp_extract(left(text, 500), '\[(.*?(\d{4}).*?)\]', 2), '') as year, nullif(regexp_extract(text, '\[.*?S\.\s*(\d+).*?\]', 1), '') as page from t""")
+def year_and_page(spark, d):
+    head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[Dornach "), 1900 + F.col("doc_id") % 100, F.lit(", S. "), "doc_id", F.lit("] "))).otherwise("")
+    t = F.concat(head, F.coalesce("text", F.lit("")))
+    return docs(spark, d).select("doc_id", X.year_of(t).alias("year"), X.page_of(t).alias("page"))
+
+
+@query(r"""select conv_id, turn, regexp_matches(trim(text), '(?i)^(ja[,.]?\s+)?(ich\s+)?(lege|erstelle|mache)') as creates, not regexp_matches(text, '[.!?…]["''”»)\]]*\s*$') or length(trim(text)) < 40 or trim(text) = '' as incomplete
+  from (select conv_id, turn, case when turn % 3 = 0 then 'Ja, ich lege an ' else '' end || coalesce(text, '') as text from conversations)""")
+def answer_checks(spark, d):
+    t = F.concat(F.when(F.col("turn") % 3 == 0, "Ja, ich lege an ").otherwise(""), F.coalesce("text", F.lit("")))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.announces_create(t).alias("creates"), X.is_incomplete(t, 40).alias("incomplete"))
+
+
+@query(r"""select conv_id, turn, array_to_string(list_filter([trim(coalesce(text, '')), nullif(left('Body of ' || turn, 400), ''), nullif(left(trim(coalesce(text, '')), 400), '')], lambda x: x is not null), chr(10) || chr(10)) as q from conversations""")
+def enriched_query(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    q = X.retrieval_query(F.trim(t), F.concat(F.lit("[Header]\nBody of "), "turn"), F.trim(t))
+    return table(spark, d, "conversations").select("conv_id", "turn", q.alias("q"))
+
+
+@query(r"""select doc_id, '{"a": ' || doc_id || '}' as json, doc_id as a, least(1.0, greatest(0.0, round_even(doc_id / 300.0::double, 4)))::double as relevance from documents""")
+def model_json(spark, d):
+    """A fenced answer of a model, its object and a relevance clamped to 0..1."""
+    answer = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('Sure:\n```json\n{"a": '), "doc_id", F.lit("}\n```\n"))).otherwise(F.concat(F.lit('x {"a": '), "doc_id", F.lit("} y")))
+    j = X.fenced_json(answer)
+    rel = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.bround(F.col("doc_id") / 300.0, 4)))
+    return docs(spark, d).select("doc_id", j.alias("json"), F.get_json_object(j, "$.a").try_cast("long").alias("a"), rel.alias("relevance"))
+
+
+@query(C + "select chunk_id, 'Q: ' || chunk_type || ' by ' || coalesce(author, '') || '.' as prompt from chunks")
+def template_fill(spark, d):
+    return chunks(spark, d).select("chunk_id", X.fill("Q: {kind} by {author}{unknown}.", kind=F.col("chunk_type"), author=F.col("author")).alias("prompt"))
+
+
+@query(r"""select conv_id, turn, regexp_replace(a, '(?s)\s*<!--\s*usage:.*?-->\s*$', '') as answer from (select conv_id, turn, coalesce(text, '') || case when turn % 2 = 0 then chr(10) || '<!-- usage: 3 tokens -->' || chr(10) else '' end as a from conversations)""")
+def usage_comment_strip(spark, d):
+    a = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn_index") % 2 == 0, "\n<!-- usage: 3 tokens -->\n").otherwise(""))
+    return turns(spark, d).select(F.col("talk_id").alias("conv_id"), F.col("turn_index").alias("turn"), X.strip_usage_comment(a).alias("answer"))
