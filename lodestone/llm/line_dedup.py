@@ -102,14 +102,14 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
         occurrences.groupBy("gram").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
         .select("gram", F.col("first.key").alias("fkey"), F.col("first.pos").alias("fpos")), "line-firsts")
     matches = (
-        occurrences.join(first, "gram").where(~(F.col("key").eqNullSafe(F.col("fkey")) & (F.col("pos") == F.col("fpos"))))
+        occurrences.join(first.hint("merge"), "gram").where(~(F.col("key").eqNullSafe(F.col("fkey")) & (F.col("pos") == F.col("fpos"))))
         .groupBy("key", "fkey").agg(F.collect_list(F.struct("pos", "fpos")).alias("seeds"))
     )
     matches = materialize(matches, "line-matches")
     own = prints.select(key.alias("k"), "lines", "words")
     other = prints.select(key.alias("k2"), F.col("lines").alias("first_lines"))
     # A repeated row has the same arrays; the join doubles the match, which collect_set undoes below.
-    both = matches.join(own, F.col("key").eqNullSafe(F.col("k"))).join(other, F.col("fkey").eqNullSafe(F.col("k2"))).select(
+    both = matches.join(own.hint("merge"), F.col("key").eqNullSafe(F.col("k"))).join(other.hint("merge"), F.col("fkey").eqNullSafe(F.col("k2"))).select(
         "key.doc_id", "key.text_hash", "seeds", "lines", "words", "first_lines")
     cut_schema = T.StructType([id_field, T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -140,7 +140,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = G
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "cuts")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["end"])))
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
+    # Cuts grow with the documents: the join is the same at every size, by shuffle.
+    joined = docs.join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], removed.alias("lines_removed"))
