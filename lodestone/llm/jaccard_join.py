@@ -5,11 +5,11 @@ each, whatever the global order. Order A sorts shingles by how common they are (
 size over all documents), then by hash; it makes the candidates. Orders B and C sort by two other hashes; a
 candidate pair must share a prefix token under each of them too before its sets are compared in full.
 
-Documents with the same words are one representative. Candidates are made in two steps, so that a group of m
-near copies costs m pairs and not m * m / 2: first each posting of a prefix token is paired with the first
-posting of that token and with its predecessor; what links is contracted to components. Then only postings
-whose components still differ are paired, with sizes that allow the similarity. No partner is capped, and no
-link between different components is lost, so components are exact.
+Documents with equal sets are one representative. Candidates are made in two steps, so that a group of m near
+copies costs m pairs and not m * m / 2: first each document is paired with one hub, the first posting of most
+of its prefix tokens; what links is contracted to components. Then only postings whose components still differ
+are paired, with sizes and positions that allow the similarity. No partner is capped, and no link between
+different components is lost, so components are exact.
 
 Defined cases: letters A-Z count as lower case, words are separated by ASCII white space; texts with fewer
 words than a shingle are one shingle; texts without words, and null texts, have no shingle and link with
@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from .common import LOWER, UPPER, connected_components, materialize
 
 #: Counters of the sketch that orders shingles by frequency; what one task emits and what is broadcast.
-COUNTERS = 1 << 18
+COUNTERS, COUNTER_BLOCK = 1 << 18, 1 << 10
+#: Rounds in which a document is paired with one hub only; texts that meet in a group; ids that may be broadcast.
+STAR_ROUNDS, GROUP, BROADCAST_IDS = 2, 64, 2_000_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -53,8 +55,8 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles."""
+def rolled(text: str | None, k: int) -> np.ndarray:
+    """64-bit hashes of the k-word shingles in order, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
     n = len(words)
     if not n:
@@ -66,7 +68,12 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     for i in range(1, k):
         out = out * _ODD[0] + h[i : n - k + 1 + i]
         out ^= out >> np.uint64(32)
-    return np.unique(out * _ODD[1])
+    return out * _ODD[1]
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles."""
+    return np.unique(rolled(text, k))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -79,37 +86,37 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def _prefix(s: np.ndarray, order: int, p: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The first p tokens in an order, in that order."""
     key = mix(s, order)
     if counts is not None:  # 20 high bits of frequency, then hash
         common = np.minimum(counts[_bucket(s)], (1 << 20) - 1).astype(np.uint64)
         key = (common << np.uint64(44)) | (key >> np.uint64(20))
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    at = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+    return s[at[np.argsort(key[at], kind="stable")]]
 
 
 def count_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of all documents' shingles by bucket: one block of counters a task, added up block by block."""
-    block = 1 << 12
+    """Occurrences of all documents' shingles by bucket: each task adds up its own, blocks of counters are then summed."""
 
     def run(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py(), k)
-                if len(s):
-                    total += np.bincount(_bucket(s), minlength=COUNTERS) if len(s) > 4096 else 0
-                    if len(s) <= 4096:
-                        np.add.at(total, _bucket(s), 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(COUNTERS // block), pa.int32()), pa.array(list(total.reshape(-1, block)), pa.list_(pa.int64()))], names=["block", "counts"])
-
-    blocks = docs.select("text").mapInArrow(run, "block int, counts array<bigint>")
-    # Adding arrays place by place: explode is avoided by summing in a grouped aggregate of positions.
-    spread = blocks.select("block", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("block", "at").agg(F.sum("n").alias("n"))
-    rows = spread.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("x"))
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    for r in rows.toLocalIterator():  # COUNTERS numbers at most
-        for at, n in r["x"]:
-            out[r["block"] * block + at] = n
+            held = [_bucket(rolled(t.as_py(), k)) for t in batch.column("text")]
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS) if held else 0
+        parts = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, COUNTER_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
+
+    def add(table):
+        total = np.zeros(COUNTER_BLOCK, dtype=np.int64)
+        for part in table.column("counts"):
+            total += np.frombuffer(part.as_py(), dtype=np.int32)
+        total = np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total], pa.binary())})
+
+    schema = "block int, counts binary"
+    out = np.zeros(COUNTERS, dtype=np.int32)
+    for r in docs.select("text").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect():  # COUNTERS numbers
+        out[r["block"] * COUNTER_BLOCK : (r["block"] + 1) * COUNTER_BLOCK] = np.frombuffer(r["counts"], dtype=np.int32)
     return out
 
 
@@ -120,8 +127,7 @@ def similar_links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tu
     """
     spark = docs.sparkSession
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    counts = spark.sparkContext.broadcast(count_shingles(docs, k).astype(np.int32))
-
+    counts = spark.sparkContext.broadcast(count_shingles(docs, k))
     schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("print", T.StringType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def describe(batches):
@@ -137,69 +143,88 @@ def similar_links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tu
 
     described = materialize(docs.select("doc_id", "text").mapInArrow(describe, schema), "shingles")
     reps = materialize(described.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
-    flat = described.select("doc_id", "n", "print")
-    members = flat.join(reps, "print", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
+    members = described.select("doc_id", "n", "print").join(reps.hint("merge"), "print", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
 
     # A representative's prefix comes from any one of its equal documents.
-    own = described.join(reps, "print").where("doc_id = rep").select("rep", "n", "prefix", "print").dropDuplicates(["print"])
-    posts = own.select(F.explode("prefix").alias("token"), "rep", "n")
-    along = Window.partitionBy("token").orderBy("n", "rep")
-    marked = posts.select(
-        "token", "rep", "n", F.lag("rep").over(along).alias("before"), F.lead("rep").over(along).alias("after"),
-        F.first("rep").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
-    shared = materialize(marked.where("before is not null or after is not null"), "postings")
-
-    near = shared.where("before is not null").select(F.explode(F.array_distinct(F.array("before", "first"))).alias("x"), F.col("rep").alias("y"))
-    star = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
-    links = materialize(verify(docs, materialize(star, "star"), k, num, den), "star-links")
-    found = materialize(connected_components(links), "star-components")
-
-    labelled = shared.select("token", "rep", "n").alias("p").join(found.alias("c"), F.expr("p.rep = c.node"), "left").select(
-        "token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    # Tokens all of whose postings lie in one component have nothing left to pair.
-    open_tokens = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    rest = materialize(labelled.join(materialize(open_tokens, "open-tokens"), "token", "left_semi"), "open-postings")
-    a, b = rest.alias("a"), rest.alias("b")
-    cross = (
-        a.join(b, F.expr(f"a.token = b.token and a.rep < b.rep and a.comp != b.comp and least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"))
-        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    )
-    tried = spark.read.schema(star.schema).parquet(star._lodestone_path) if hasattr(star, "_lodestone_path") else None
-    more = verify(docs, materialize(cross, "cross"), k, num, den)
-    everything = links.unionByName(more) if tried is None else links.unionByName(more)
-    return members, connected_components(everything)
+    own = described.join(reps.hint("merge"), "print").where("doc_id = rep").groupBy("print", "rep").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    posts = own.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n")
+    shared = posts.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").drop("m")
+    shared = materialize(shared.select("token", "rep", F.col("n").cast("int").alias("n"), "pos"), "postings")
+
+    # Two sets of n and m members that reach the similarity have at least so many in common, ...
+    need = f"(({num} * (x.n + y.n) + {num + den} - 1) div {num + den})"
+    # ... and no more than this once their first common token stands at these positions.
+    possible = f"least(x.n - x.pos, y.n - y.pos) >= {need} and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
+
+    links = found = tried = None
+    rest = shared.withColumn("comp", F.col("rep"))
+    for turn in range(STAR_ROUNDS):
+        along = Window.partitionBy("token").orderBy(F.xxhash64("rep", F.lit(turn))) if turn else Window.partitionBy("token").orderBy("n", "rep")
+        hub = rest.withColumn("hub", F.first(F.struct("rep", "n", "pos", "comp")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        pair = hub.where("hub.comp != comp").select(F.struct("rep", "n", "pos").alias("y"), F.col("hub").alias("x")).where(possible)
+        votes = pair.groupBy(F.col("y.rep").alias("rep"), F.col("x.rep").alias("hub")).agg(F.count("*").alias("v"))
+        star = votes.groupBy("rep").agg(F.max_by("hub", F.struct("v", -F.col("hub"))).alias("hub")).select(
+            F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        star = materialize(star if tried is None else star.join(tried.hint("merge"), ["a", "b"], "left_anti"), "star")
+        tried = star if tried is None else tried.unionByName(star)
+        more = materialize(verify(docs, star, k, num, den), "star-links")
+        links = more if links is None else links.unionByName(more)
+        found = connected_components(links)
+        labelled = shared.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+        # Tokens all of whose postings lie in one component have nothing left to pair.
+        of_token = Window.partitionBy("token")
+        rest = materialize(
+            labelled.withColumn("lo", F.min("comp").over(of_token)).withColumn("hi", F.max("comp").over(of_token)).where("lo != hi").drop("lo", "hi"), "open-postings")
+    x, y = rest.alias("x"), rest.alias("y")
+    cross = x.join(y.hint("merge"), F.expr(f"x.token = y.token and x.rep < y.rep and x.comp != y.comp and {possible}")).select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    cross = materialize(cross.join(tried.hint("merge"), ["a", "b"], "left_anti"), "cross")
+    return members, connected_components(links.unionByName(verify(docs, cross, k, num, den)))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. Texts are joined to the pairs; sets are made again there."""
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(texts.join(materialize(needed, "wanted"), "doc_id", "left_semi"), "wanted-texts")
-    both = (
-        pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    )
+    """The pairs (a, b) whose sets reach the similarity.
 
-    def run(batches):
-        for batch in batches:
-            keep, last, sa = [], None, None
-            for i, (ta, tb) in enumerate(zip(batch.column("ta"), batch.column("tb"))):
-                sb = shingle_set(tb.as_py(), k)
-                ta = ta.as_py()
-                if ta != last:
-                    last, sa = ta, shingle_set(ta, k)
-                if min(len(sa), len(sb)) * den < max(len(sa), len(sb)) * num or not len(sa):
-                    continue
-                pa_, pb = prefix_length(len(sa), num, den), prefix_length(len(sb), num, den)
-                if not all(np.intersect1d(_prefix(sa, o, pa_), _prefix(sb, o, pb), assume_unique=True).size for o in (1, 2)):
-                    continue
-                common = np.intersect1d(sa, sb, assume_unique=True).size
-                if den * common >= num * (len(sa) + len(sb) - common):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
-
-    return both.mapInArrow(run, pairs.schema)
+    The more frequent side of a pair is its hub. A hub's partners are dealt to groups of about GROUP texts, and each
+    text is sent once to every group it belongs to, with the hub's text beside it; sets are made again there.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
+    degree = materialize(degree, "degrees")
+    d = lambda side: degree.select(F.col("doc_id").alias(side), F.col("d").alias(f"d{side}")).hint("merge")
+    dealt = pairs.join(d("a"), "a").join(d("b"), "b").select(
+        F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("other"),
+        F.greatest("da", "db").alias("d"))
+    dealt = materialize(dealt.select("hub", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("d") / GROUP)).alias("part")), "dealt")
+    roles = dealt.select(F.col("other").alias("doc_id"), "hub", "part").union(dealt.select(F.col("hub").alias("doc_id"), "hub", "part").distinct())
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    # While the ids are few, texts that no pair needs are left out before the shuffle; beyond, the join itself drops them.
+    if degree.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(degree.select("doc_id")), "doc_id", "left_semi")
+    sent = roles.join(texts.hint("merge"), "doc_id")
+
+    def run(table):
+        ids, hub = table.column("doc_id").to_pylist(), table.column("hub")[0].as_py()
+        texts = table.column("text")
+        base = next((shingle_set(texts[i].as_py(), k) for i, x in enumerate(ids) if x == hub), None)
+        keep = set()
+        for i, x in enumerate(ids):
+            if x == hub or x in keep or base is None:
+                continue
+            other = shingle_set(texts[i].as_py(), k)
+            lo, hi = sorted((len(base), len(other)))
+            if not lo or lo * den < hi * num:
+                continue
+            pa_, pb = prefix_length(len(base), num, den), prefix_length(len(other), num, den)
+            if not all(np.intersect1d(_prefix(base, o, pa_), _prefix(other, o, pb), assume_unique=True).size for o in (1, 2)):
+                continue
+            common = np.intersect1d(base, other, assume_unique=True).size
+            if den * common >= num * (lo + hi - common):
+                keep.add(x)
+        rows = sorted(keep)
+        kind = table.schema.field("doc_id").type
+        return pa.table({"a": pa.array([min(hub, x) for x in rows], kind), "b": pa.array([max(hub, x) for x in rows], kind)})
+
+    return sent.groupBy("hub", "part").applyInArrow(run, pairs.schema)
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
