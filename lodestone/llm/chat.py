@@ -63,11 +63,12 @@ def paths(nodes: DataFrame) -> DataFrame:
             "w.conv_id", "w.leaf", F.col("j.above").alias("node"), (F.col("w.up") + step).alias("up"))
         way = materialize(way.unionByName(more), "way")
         o = jump.select("conv_id", F.col("node").alias("mid"), F.col("above").alias("top")).alias("o")
+        # Only nodes that have an ancestor that far are kept: the tables shrink with the depth that is left.
         jump = materialize(
-            j.join(o, F.expr("j.conv_id <=> o.conv_id and j.above = o.mid"), "left").select("j.conv_id", "j.node", F.col("o.top").alias("above")),
+            j.join(o, F.expr("j.conv_id <=> o.conv_id and j.above = o.mid")).where("o.top is not null").select("j.conv_id", "j.node", F.col("o.top").alias("above")),
             "jump")
         step *= 2
-        if jump.where("above is not null").isEmpty():
+        if jump.isEmpty():
             return way
         if step == 2:
             most = nodes.count()
