@@ -193,4 +193,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_ra
     from .common import materialize
 
     bad = materialize(find_leaks(docs, benchmark, q, edit_rate).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")

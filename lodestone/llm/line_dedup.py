@@ -137,11 +137,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = G
     """docs with later repeated runs of lines deleted from text, and lines_removed (long)."""
     docs = docs.drop("lines_removed")
     cuts = materialize(find_repeats(docs, min_words, gram_words), "line-cuts").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "cuts")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["end"])))
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("cuts").alias("__cuts"))
+    runs, lines = cuts["__cuts"], F.split(docs["text"], "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.exists(runs, lambda c: (i >= c["start"]) & (i < c["end"])))
     # Cuts grow with the documents: the join is the same at every size, by shuffle.
-    joined = docs.join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    joined = docs.join(cuts.hint("merge"), docs["doc_id"].eqNullSafe(cuts["__id"]) & (F.xxhash64(docs["text"]) == cuts["__hash"]), "left")
+    text = F.when(runs.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(runs.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], removed.alias("lines_removed"))
