@@ -1 +1,74 @@
+"""Sources and model calls over generated files."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import models as M
+from ..registry import query
+from ..sources import files, markdown
+from ..sources.scratch import folder
+from ..sources.testdata import CHUNKS_SQL, chunks, table
+
+C = f"with {CHUNKS_SQL} "
+
+
+@query("select r_regionkey, r_name from region")
+def region_scan(spark, d):
+    return table(spark, d, "region").select("r_regionkey", "r_name")
+
+
+@query(C + "select chunk_id as id, chunk_type, source_index, length(coalesce(text, ''))::bigint as chars from chunks")
+def jsonl_scan(spark, d):
+    """Chunks written as JSON lines, with comments and blank lines between them, and read again."""
+    rows = chunks(spark, d).select(F.explode(F.array(
+        F.lit(""), F.lit("# comment"), F.to_json(F.struct(F.col("chunk_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.struct("chunk_type", "source_index").alias("metadata"))))).alias("value"))
+    path = folder(spark, "jsonl")
+    rows.write.text(path)
+    return files.read_json_lines(spark, path).select("id", F.col("metadata.chunk_type").alias("chunk_type"), F.col("metadata.source_index").alias("source_index"), F.length("text").cast("long").alias("chars"))
+
+
+@query("select 'w' || doc_id as word, lang as type, case when doc_id % 5 = 0 then 0 else doc_id end::int as count, doc_id % 100 || '' as percentage from documents")
+def word_count_csv(spark, d):
+    path = folder(spark, "words")
+    table(spark, d, "documents").select(F.concat(F.lit("w"), "doc_id").alias("word"), F.col("lang").alias("type"), F.when(F.col("doc_id") % 5 == 0, "n/a").otherwise(F.col("doc_id").cast("string")).alias("count"),
+                                        F.concat(F.col("doc_id") % 100, F.lit("%")).alias("percentage")).write.option("header", "true").csv(path)
+    return files.word_counts(spark, path)
+
+
+@query("""select doc_id, 'ch' || n || '.p' || p as paragraph_id, case when n = 0 then '' when p = 3 then '## C' || n || '/### S' else '## C' || n end as path from documents, (values (0, 1), (1, 1), (1, 2), (1, 3), (2, 1)) t(n, p)""")
+def document_tree(spark, d):
+    text = "# T\n\nintro\nmore\n## C1\nfirst\n\nsecond\n### S\nthird\n# ignored\n\n## C2\nlast"
+    flat = markdown.flatten(table(spark, d, "documents").select("doc_id", F.lit(text).alias("text")))
+    return flat.select("doc_id", "paragraph_id", F.array_join("heading_path", "/").alias("path"))
+
+
+@query("""select doc_id, segment_id, paragraph, quote from documents, (values ('seg-7', 3, 'A quote [x] here.'), ('Second head', 1, 'Plain block.')) t(segment_id, paragraph, quote)""")
+def markdown_quotes(spark, d):
+    text = "# First\n\n<!-- segment_id: seg-7 paragraph: 3 -->\nA quote\n[x] here.\n\n## Second   head\nPlain  block.\n"
+    q = markdown.quotes(table(spark, d, "documents").select("doc_id", F.lit(text).alias("text")), "doc_id")
+    return q.select("doc_id", "segment_id", "paragraph", "quote")
+
+
+@query()
+def chunk_texts(spark, d):
+    """Overlapping chunks of all texts: the cursor depends on the chunk before, so this has no SQL form."""
+    return M.chunk(table(spark, d, "documents").where("text is not null"))
+
+
+@query()
+def hashed_embeddings(spark, d):
+    return M.embed(table(spark, d, "benchmark")).select("item_id", "embedding")
+
+
+@query()
+def reference_evaluation(spark, d):
+    """A stub judges each query's hits: it calls the first one relevant."""
+    from .retrieval import sparse_retrieve, text_queries
+
+    def chat():
+        import json
+
+        return lambda prompt: "```json\n" + json.dumps([{"chunk_id": prompt.split(":")[0], "description": "fits", "relevance": 0.8}]) + "\n```" if prompt else "no"
+
+    return M.evaluate_references(sparse_retrieve(chunks(spark, d), text_queries(spark, d), 10), chat)

@@ -1 +1,58 @@
+"""Streams over the events, run over what is there; the SQL is the batch twin of what the watermark has let out."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..sources.testdata import CHUNKS_SQL, chunks
+from ..streaming import usage as S
+
+
+def _events(spark, d):
+    return S.event_stream(spark, f"{d}/events.parquet*")
+
+
+_LAST = "(select max(ts) from events) - interval 1 day"
+
+
+@query(f"""select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as calls, sum(floor(value)::bigint)::bigint as tokens from events
+  group by 1, 2 having max(date_trunc('day', ts)) + interval 1 day <= {_LAST}""")
+def stream_daily_usage(spark, d):
+    return S.run_available(S.daily_usage(_events(spark, d)), "daily")
+
+
+@query(f"""with w as (select user_id, unnest(range(time_bucket(interval 6 hours, ts) - interval 18 hours, time_bucket(interval 6 hours, ts) + interval 6 hours, interval 6 hours)) as start from events)
+  select strftime(start, '%Y-%m-%d %H:%M') as start, user_id, count(*) as n from w group by w.start, user_id having w.start + interval 24 hours <= {_LAST}""")
+def stream_rate_limit(spark, d):
+    return S.run_available(S.sliding_counts(_events(spark, d)), "sliding")
+
+
+@query(f"""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as fresh from events),
+  s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+  select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, user_id, count(*) as n from s group by user_id, k having max(ts) + interval 30 minutes <= {_LAST}""")
+def stream_sessions(spark, d):
+    return S.run_available(S.sessions(_events(spark, d)), "sessions")
+
+
+@query("select count(*) as n, count(distinct event_id) as ids from events")
+def stream_once_each(spark, d):
+    e = _events(spark, d)
+    return S.run_available(S.once_each(e.union(e)).select("event_id"), "once").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("""select user_id, count(*) as n, sum(v) filter (back <= 8)::bigint as total from (select user_id, trunc(value)::bigint as v, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events) group by 1""")
+def stream_recent_values(spark, d):
+    e = _events(spark, d).select("user_id", "event_id", "ts", "value")
+    states = S.run_available(S.recent_values(e), "recent")
+    return states.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+
+
+@query(f"""with {CHUNKS_SQL}, r as (select chunk_id, updated_at, updated_at + case when doc_id % 7 = 0 then interval 3 hours end as deleted_at, updated_at - case when doc_id % 2 = 0 then interval 1 day else interval 0 day end as created_at from chunks)
+  select chunk_id, case when deleted_at > timestamp '2024-01-01 05:00:00' then 'deleted' when created_at > timestamp '2024-01-01 05:00:00' then 'created' else 'updated' end as change from r
+  where updated_at > timestamp '2024-01-01 05:00:00' or deleted_at > timestamp '2024-01-01 05:00:00'""")
+def change_feed(spark, d):
+    r = chunks(spark, d).select(
+        "chunk_id", "updated_at", F.when(F.col("doc_id") % 7 == 0, F.col("updated_at") + F.expr("interval 3 hours")).alias("deleted_at"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("updated_at") - F.expr("interval 1 day")).otherwise(F.col("updated_at")).alias("created_at"))
+    return S.changes_since(r, F.expr("timestamp_ntz'2024-01-01 05:00:00'")).select("chunk_id", "change")
