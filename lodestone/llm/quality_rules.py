@@ -167,8 +167,11 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that are kept, with the columns of docs."""
-    return judge(docs, min_group).where("kept").select(*docs.columns)
+    """The documents that are kept, with the columns of docs, also those that are named as ours."""
+    clash = [c for c in docs.columns if c in ("__m", "base_failed", "kept")]
+    aside = docs.withColumnsRenamed({c: f"__input_{c}" for c in clash})
+    kept = judge(aside, min_group).where("kept").select(*aside.columns)
+    return kept.withColumnsRenamed({f"__input_{c}": c for c in clash})
 
 
 #: The measures and thresholds in DuckDB's SQL; exact, since sketches of whole numbers add up exactly.
