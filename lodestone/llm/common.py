@@ -66,13 +66,13 @@ def connected_components(nodes_links: DataFrame) -> DataFrame:
     edges = materialize(links, "cc")
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v").distinct()
         )
         large = materialize(large, "cc-large")
-        low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low2")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low2.select("u", F.col("m").alias("v")))
@@ -83,7 +83,7 @@ def connected_components(nodes_links: DataFrame) -> DataFrame:
         open_ends = after.select(F.col("v").alias("u")).distinct().join(after.select("u").distinct(), "u", "left_semi")
         forks = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         done = open_ends.union(forks).isEmpty()
-        for old in (edges, low, large, low2):
+        for old in (edges, large):
             discard(old)
         edges = after
         if done:

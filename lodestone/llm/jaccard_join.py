@@ -175,6 +175,8 @@ def similar_links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tu
         of_token = Window.partitionBy("token")
         rest = materialize(
             labelled.withColumn("lo", F.min("comp").over(of_token)).withColumn("hi", F.max("comp").over(of_token)).where("lo != hi").drop("lo", "hi"), "open-postings")
+        if rest.isEmpty():
+            return members, found
     x, y = rest.alias("x"), rest.alias("y")
     cross = x.join(y.hint("merge"), F.expr(f"x.token = y.token and x.rep < y.rep and x.comp != y.comp and {possible}")).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
@@ -237,4 +239,4 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents that are the smallest doc_id of their group, once each, with the columns of docs."""
     heads = materialize(components(docs, k, num, den).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct(), "heads")
-    return docs.join(heads, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
