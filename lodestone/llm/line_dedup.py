@@ -1,12 +1,14 @@
-"""Line dedup (2): winnowing over line hashes, first occurrences joined, matches extended, later runs deleted.
+"""Line dedup (2): winnowing over line hashes, first occurrences of windows joined, later runs deleted.
 
 A gram at line i is the shortest run of lines from i with at least `gram_words` words; a window at line i is the
 shortest run with at least `min_words`. From every window the gram with the smallest hash is selected, so two
 documents that share a run of lines of at least `min_words` words share a selected gram within it (the
-guarantee of winnowing, with windows measured in words: one long line is a window by itself). Each occurrence
-of a selected gram is joined to the first one in the order (doc_id, text hash, line), never to all others, and
-the match is extended line by line both ways. Where the common run has at least `min_words` words, the later
-copy of its lines is deleted.
+guarantee of winnowing, with windows measured in words: one long line is a window by itself). Selected grams that
+are in one place only are dropped. For the others every window that holds one is looked up by a 128-bit hash of its
+lines, and each occurrence is joined to the first one of the same window in the order (doc_id, text hash, line),
+never to all others. So a gram whose first holder has it in another context hides nothing: the lines of all
+windows that have an earlier copy, wherever it is, are deleted, which are the lines of all repeated runs of at
+least `min_words` words.
 
 Defined cases: null and empty texts are returned as they are; documents with fewer than `min_words` words
 hold no run; rows with equal doc_id and equal text are one document and get the same decision; with equal
@@ -23,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import discard, materialize
 
 MIN_WORDS, GRAM_WORDS = 50, 25
+#: Windows to a batch handed back by Python, about.
+WINDOW_ROWS = 50_000
 
 
 def _runs(words: np.ndarray, least: int) -> np.ndarray:
@@ -52,15 +56,35 @@ def select_grams(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WOR
     return picked
 
 
-def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """The run of equal lines around a[i] == b[j], as (start, end) in a."""
-    back = min(i, j)
-    same = a[i - back : i][::-1] == b[j - back : j][::-1]
-    back = back if same.all() else int(np.argmin(same))
-    ahead = min(len(a) - i, len(b) - j)
-    same = a[i : i + ahead] == b[j : j + ahead]
-    ahead = ahead if same.all() else int(np.argmin(same))
-    return i - back, i + ahead
+def windows(words: np.ndarray, seeds: np.ndarray, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the shortest runs of `min_words` words from each line and up to each line that hold a gram at one of `seeds`.
+
+    A run of at least `min_words` words is the union of those within it: a line is in the one from the run's start, or,
+    further on, in the one that ends with the line.
+    """
+    upto = np.concatenate(([0], np.cumsum(words)))
+    from_line, back = _runs(words, min_words), np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    starts, ends = np.flatnonzero(from_line), np.flatnonzero(back >= 0)
+    pairs = np.unique(np.concatenate((np.stack((starts, from_line[starts]), 1), np.stack((back[ends], ends + 1), 1))), axis=0)
+    start, end = pairs[:, 0], pairs[:, 1]
+    seeds = np.sort(seeds)
+    gram_end = np.append(_runs(words, gram_words)[seeds], len(words) + 1)
+    held = gram_end[np.searchsorted(seeds, start)] <= end
+    return start[held], end[held]
+
+
+def merged(runs: np.ndarray) -> np.ndarray:
+    """(start, end) rows as disjoint ones in order."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(runs[:, 1])
+    new = np.append(True, runs[1:, 0] > reach[:-1])
+    return np.stack((runs[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(runs) - 1)]), 1)
+
+
+def _repeated(places: DataFrame, by: list[str]) -> DataFrame:
+    """`by` and first place of what is in more than one place; a repeated row is the same place."""
+    place = F.struct("doc_id", "text_hash", "pos")
+    return places.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -95,42 +119,57 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
                 names=schema.names)
 
     prints = materialize(keyed.mapInArrow(fingerprint, schema), "line-prints")
-    key = F.struct("doc_id", "text_hash")
-    occurrences = prints.select(key.alias("key"), F.explode(F.arrays_zip("at", "grams")).alias("g")).select(
-        F.col("g.grams").alias("gram"), "key", F.col("g.at").alias("pos")).distinct()
-    first = materialize(
-        occurrences.groupBy("gram").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        .select("gram", F.col("first.key").alias("fkey"), F.col("first.pos").alias("fpos")), "line-firsts")
-    matches = (
-        occurrences.join(first.hint("merge"), "gram").where(~(F.col("key").eqNullSafe(F.col("fkey")) & (F.col("pos") == F.col("fpos"))))
-        .groupBy("key", "fkey").agg(F.collect_list(F.struct("pos", "fpos")).alias("seeds"))
-    )
-    matches = materialize(matches, "line-matches")
-    own = prints.select(key.alias("k"), "lines", "words")
-    other = prints.select(key.alias("k2"), F.col("lines").alias("first_lines"))
-    # A repeated row has the same arrays; the join doubles the match, which collect_set undoes below.
-    both = matches.join(own.hint("merge"), F.col("key").eqNullSafe(F.col("k"))).join(other.hint("merge"), F.col("fkey").eqNullSafe(F.col("k2"))).select(
-        "key.doc_id", "key.text_hash", "seeds", "lines", "words", "first_lines")
-    cut_schema = T.StructType([id_field, T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-
-    def cut(batches):
+    grams = prints.select("doc_id", "text_hash", F.explode(F.arrays_zip("at", "grams")).alias("g")).select(
+        "doc_id", "text_hash", F.col("g.at").alias("pos"), F.col("g.grams").alias("gram"))
+    shared = materialize(_repeated(grams, ["gram"]).select("gram"), "line-shared")
+    seeds = materialize(
+        grams.join(shared.hint("merge"), "gram").groupBy(F.col("doc_id").alias("id2"), F.col("text_hash").alias("hash2")).agg(F.collect_set("pos").alias("seeds")),
+        "line-seeds")
+    seeded = prints.join(seeds.hint("merge"), prints["doc_id"].eqNullSafe(seeds["id2"]) & (prints["text_hash"] == seeds["hash2"])).select(
+        "doc_id", "text_hash", "lines", "words", "seeds")
+    window_schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in ("text_hash", "high", "low")], *[T.StructField(c, T.IntegerType()) for c in ("pos", "end")]])
+
+    def cover(batches):
         for batch in batches:
-            row, start, end = [], [], []
-            lines, words, first_lines = (batch.column(c) for c in ("lines", "words", "first_lines"))
-            for i, seeds in enumerate(batch.column("seeds").to_pylist()):
-                a, w, b = (np.asarray(c[i].values) for c in (lines, words, first_lines))
-                done = set()
-                for s in seeds:
-                    run = extend(a, b, s["pos"], s["fpos"])
-                    if run not in done and w[run[0] : run[1]].sum() >= min_words:
-                        done.add(run)
-                        row.append(i), start.append(run[0]), end.append(run[1])
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                names=cut_schema.names)
-
-    return both.mapInArrow(cut, cut_schema).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+            cols, rows = ([], [], [], []), []
+
+            def flush():
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), batch.column("text_hash").take(pa.array(rows, pa.int64())),
+                     *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]], *[pa.array(c, pa.int32()) for c in cols[2:]]],
+                    names=window_schema.names)
+                for c in (rows, *cols):
+                    c.clear()
+                return out
+
+            lines, words, seeds = (batch.column(c) for c in ("lines", "words", "seeds"))
+            for i in range(batch.num_rows):
+                a = np.asarray(lines[i].values)
+                for start, end in zip(*(x.tolist() for x in windows(np.asarray(words[i].values), np.asarray(seeds[i].values), min_words, gram_words))):
+                    digest = xxhash.xxh3_128_intdigest(a[start:end].tobytes())
+                    rows.append(i), cols[0].append(digest >> 64), cols[1].append(digest & (2**64 - 1)), cols[2].append(start), cols[3].append(end)
+                if len(rows) >= WINDOW_ROWS:
+                    yield flush()
+            yield flush()
+
+    # A repeated row has the same arrays; the join doubles its windows, which _repeated and collect_set undo below.
+    places = materialize(seeded.mapInArrow(cover, window_schema), "line-windows")
+    for old in (prints, shared, seeds):
+        discard(old)
+    first = materialize(_repeated(places, ["high", "low"]), "line-firsts")
+    later = places.join(first.hint("merge"), ["high", "low"]).where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
+    cuts = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("pos").alias("start"), "end")).alias("cuts"))
+
+    def join_runs(batches):
+        for batch in batches:
+            runs = []
+            for x in batch.column("cuts"):
+                flat = x.values
+                runs.append([{"start": a, "end": b} for a, b in merged(np.stack((np.asarray(flat.field("start")), np.asarray(flat.field("end"))), 1)).tolist()])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(runs, kind)], names=["doc_id", "text_hash", "cuts"])
+
+    return cuts.mapInArrow(join_runs, cuts.schema)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:

@@ -78,6 +78,22 @@ def test_dedup_cuts_planted_passages(spark, make):
         assert got[d]["text"] == "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in cut) and got[d]["lines_removed"] == len(cut)
 
 
+def test_dedup_with_the_first_gram_in_another_context(spark, make):
+    """A long line among others, then twice with the same lines around it: the third is compared with the second, not only the first."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    texts, licence = [], line(30)
+    for _ in range(12):
+        run = [line(30), *(line(10) for _ in range(3))]
+        texts += ["\n".join([line(10), line(15), run[0], line(15), line(10)]), "\n".join([line(12), *run, licence]), "\n".join([line(8), licence, *run, "", licence])]
+    texts += ["\n".join([line(5), licence, line(5)]) for _ in range(5)] + ["\n".join([line(10)] * 9), "\n".join([line(60), line(10)])]
+    texts.append(texts[-1])
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(make(list(enumerate(texts)))).collect()}
+    for d, cut in enumerate(brute_dedup(texts)):
+        assert got[d]["lines_removed"] == len(cut) and got[d]["text"] == "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in cut)
+    assert all(got[3 * i + 2]["lines_removed"] >= 4 for i in range(12))
+
+
 def test_dedup_odd_rows(spark, make):
     same = "\n".join(f"line {i} with some more words in it {i}" for i in range(20))
     docs = make([(1, None), (2, ""), (3, same), (3, same), (None, "x"), (9, same), (10, LONG)]).withColumn("cuts", F.lit(1)).withColumn("lines_removed", F.lit("mine"))
