@@ -45,14 +45,26 @@ def lowest_paragraph(links: DataFrame, paragraphs: DataFrame) -> DataFrame:
         "chunk_id", "x.paragraph_id", "x.paragraph_number")
 
 
-def term_hits(prompts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms (chunk_id, segment_id, term) that a prompt holds, letters compared without case.
+def held_candidates(texts: DataFrame, needles: DataFrame, by: tuple[str, ...] = (), q: int = 8) -> DataFrame:
+    """`by`, hash, needle: the needles that a text (by its xxhash64) may hold; callers check with contains().
 
-    Candidates come from an equi-join on the term's first word, so prompts and terms are never all paired.
+    texts: text and `by`; needles: needle and `by`. A needle is keyed by its first q characters, or by itself if it is
+    shorter, and joined with the runs of that length in each text, so texts and needles are never all paired. Empty
+    needles are in nothing.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), r"([\p{L}\p{N}]+)", 1)
-    words = prompts.select("query_id", "prompt", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("prompt"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("__w"))
-    return words.join(terms.withColumn("__w", first(F.col("term"))), "__w").where(F.lower("prompt").contains(F.lower("term"))).drop("__w")
+    keyed = needles.where("needle != ''").select(*by, "needle", F.substring("needle", 1, q).alias("__g")).distinct()
+    lengths = keyed.select(F.length("__g").alias("__l")).distinct()  # at most q rows
+    grams = F.regexp_extract_all("text", F.concat(F.lit("(?s)(?=(.{"), F.col("__l").cast("string"), F.lit("}))")), F.lit(1))
+    runs = texts.select(*by, "text").crossJoin(F.broadcast(lengths)).select(*by, F.xxhash64("text").alias("hash"), F.explode(F.array_distinct(grams)).alias("__g"))
+    return runs.join(keyed, [*by, "__g"]).select(*by, "hash", "needle").distinct()
+
+
+def term_hits(prompts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Terms (chunk_id, segment_id, term) that a prompt holds anywhere, also within a word, letters compared without case."""
+    low = F.lower("prompt")
+    found = held_candidates(prompts.select(low.alias("text")), terms.select(F.lower("term").alias("needle")))
+    hits = prompts.select("query_id", "prompt", F.xxhash64(low).alias("hash")).join(found, "hash").where(low.contains(F.col("needle")))
+    return hits.join(terms.withColumn("needle", F.lower("term")), "needle").drop("needle", "hash")
 
 
 def lemma_matches(prompts: DataFrame, lemmas: DataFrame, limit: int = 10, least: int = 3) -> DataFrame:

@@ -103,6 +103,13 @@ def test_swaps(spark):
     assert ids(joins.swap_once(twice, chunks)) == ["q1"]
 
 
+def test_terms_within_words(spark):
+    prompts = spark.createDataFrame([(1, "Die Geisteswissenschaft\nund 𝒳y"), (2, "nichts"), (None, "ein Geist"), (4, "ein Geist")], "query_id int, prompt string")
+    terms = spark.createDataFrame([("a", "s", "geist"), ("b", "s", "GEISTESWISSEN"), ("c", "t", "t\nund 𝒳"), ("d", "t", "geisteswissenschaften"), ("e", "u", ""), ("f", "u", None), ("g", "u", "wissenschaft")], "chunk_id string, segment_id string, term string")
+    got = sorted(((r["query_id"], r["chunk_id"]) for r in joins.term_hits(prompts, terms).collect()), key=repr)
+    assert got == sorted([(1, "a"), (1, "b"), (1, "c"), (1, "g"), (None, "a"), (4, "a")], key=repr)
+
+
 def test_scopes(spark):
     rows = spark.createDataFrame([("main", "book", "s1", None, None), ("__shared__", "book", "s1", None, None), ("__shared__", "quote", "s2", None, None)], "rag_partition string, chunk_type string, source_id string, embedded_at timestamp, deprecated_at timestamp")
     n = lambda **k: rows.where(filters.embed_scope("main", **k)).count()
