@@ -80,8 +80,24 @@ def lemma_matches(prompts: DataFrame, lemmas: DataFrame, limit: int = 10, least:
     return once.withColumn("n", n).where(F.col("n") <= limit).select("query_id", "pos", "lemma", "chunk_id")
 
 
+def _unique_part(quotes: DataFrame, paragraphs: DataFrame, q: int = 24) -> DataFrame:
+    """segment_id, norm, d: the only paragraph of the segment whose text holds the quote's or is held by it.
+
+    None where the segment has equal texts, one or several, and none for empty texts.
+    """
+    at = ["segment_id", "norm"]
+    mine = quotes.select(*at).where("norm != ''").distinct().join(paragraphs.select(*at), at, "left_anti").withColumn("hash", F.xxhash64("norm"))
+    theirs = paragraphs.select("segment_id", "paragraph_id", F.col("norm").alias("other"), F.xxhash64("norm").alias("other_hash")).where("other != ''")
+    mine_text, other_text = mine.select("segment_id", F.col("norm").alias("text")), theirs.select("segment_id", F.col("other").alias("text"))
+    inside = held_candidates(other_text, mine.select("segment_id", F.col("norm").alias("needle")), ("segment_id",), q).select("segment_id", F.xxhash64("needle").alias("hash"), F.col("hash").alias("other_hash"))
+    around = held_candidates(mine_text, theirs.select("segment_id", F.col("other").alias("needle")), ("segment_id",), q).select("segment_id", "hash", F.xxhash64("needle").alias("other_hash"))
+    pairs = inside.union(around).distinct().join(mine, ["segment_id", "hash"]).join(theirs, ["segment_id", "other_hash"])
+    held = pairs.where(F.col("other").contains(F.col("norm")) | F.col("norm").contains(F.col("other")))
+    return held.groupBy(*at).agg(F.count("*").alias("n"), F.min("paragraph_id").alias("d")).where("n = 1").drop("n")
+
+
 def match_quotes(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """quote_id, paragraph_id, how: by chunk id, else by content hash, else by unique normal text in the segment.
+    """quote_id, paragraph_id, how: by chunk id, content hash, unique normal text in the segment, else the unique one there that holds the text or is held by it.
 
     quotes: quote_id, chunk_id, content_hash, segment_id, text; paragraphs: paragraph_id, chunk_id, content_hash, segment_id, text.
     """
@@ -91,6 +107,7 @@ def match_quotes(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     by_id = one(p, ["chunk_id"]).withColumnRenamed("hit", "a")
     by_hash = one(p, ["content_hash"]).withColumnRenamed("hit", "b")
     by_text = one(p, ["segment_id", "norm"]).withColumnRenamed("hit", "c")
-    joined = quotes.withColumn("norm", normal).join(by_id, "chunk_id", "left").join(by_hash, "content_hash", "left").join(by_text, ["segment_id", "norm"], "left")
-    how = F.when(F.col("a").isNotNull(), "chunk_id").when(F.col("b").isNotNull(), "content_hash").when(F.col("c").isNotNull(), "text")
-    return joined.select("quote_id", F.coalesce("a", "b", "c").alias("paragraph_id"), how.alias("how"))
+    by_part = _unique_part(quotes.withColumn("norm", normal), p)
+    joined = quotes.withColumn("norm", normal).join(by_id, "chunk_id", "left").join(by_hash, "content_hash", "left").join(by_text, ["segment_id", "norm"], "left").join(by_part, ["segment_id", "norm"], "left")
+    how = F.when(F.col("a").isNotNull(), "chunk_id").when(F.col("b").isNotNull(), "content_hash").when(F.col("c").isNotNull(), "text").when(F.col("d").isNotNull(), "part")
+    return joined.select("quote_id", F.coalesce("a", "b", "c", "d").alias("paragraph_id"), how.alias("how"))

@@ -110,6 +110,16 @@ def test_terms_within_words(spark):
     assert got == sorted([(1, "a"), (1, "b"), (1, "c"), (1, "g"), (None, "a"), (4, "a")], key=repr)
 
 
+def test_quotes_within_paragraphs(spark):
+    cols = "chunk_id string, content_hash string, segment_id string, text string"
+    paragraphs = spark.createDataFrame([("p1", "x1", "y1", "s", "One two [1] three four"), ("p2", "x2", "y2", "s", "seven eight"), ("p3", "x3", "y3", "s", "twice"), ("p4", "x4", "y4", "s", "twice"), ("p5", "x5", "y5", "t", "One two three"), ("p6", "x6", "y6", "s", "")], "paragraph_id string, " + cols)
+    texts = {"part": ("s", "TWO  three"), "whole": ("s", "six seven eight nine"), "both": ("s", "twice"), "many": ("s", "t"), "other": ("u", "two three"), "empty": ("s", "[2]"), "within": ("s", "eve")}
+    quotes = spark.createDataFrame([(k, "c" + k, "h" + k, *v) for k, v in texts.items()], "quote_id string, " + cols)
+    got = {r["quote_id"]: (r["paragraph_id"], r["how"]) for r in joins.match_quotes(quotes, paragraphs).collect()}
+    none = (None, None)
+    assert got == {"part": ("p1", "part"), "whole": ("p2", "part"), "both": none, "many": none, "other": none, "empty": ("p6", "text"), "within": ("p2", "part")}
+
+
 def test_scopes(spark):
     rows = spark.createDataFrame([("main", "book", "s1", None, None), ("__shared__", "book", "s1", None, None), ("__shared__", "quote", "s2", None, None)], "rag_partition string, chunk_type string, source_id string, embedded_at timestamp, deprecated_at timestamp")
     n = lambda **k: rows.where(filters.embed_scope("main", **k)).count()
