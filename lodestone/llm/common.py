@@ -12,21 +12,32 @@ from pyspark.sql import functions as F
 WS_CLASS = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows and bytes of a batch that goes to a Python worker: texts may be very long, and a worker holds a batch at once.
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a folder of our own, on one machine only."""
     global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="lodestone-")
     return _own_dir
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker, and the executor beside it, holds of a table at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, sizes are known, lost executors cost nothing."""
     spark = df.sparkSession
@@ -37,13 +48,23 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a materialized table that no later plan reads."""
-    path = getattr(df, "_lodestone_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*frames: DataFrame) -> None:
+    """Remove materialized tables that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "_lodestone_path", None):
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many leading underscores as keep them apart from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def lower_ascii(col):
@@ -83,8 +104,7 @@ def connected_components(nodes_links: DataFrame) -> DataFrame:
         open_ends = after.select(F.col("v").alias("u")).distinct().join(after.select("u").distinct(), "u", "left_semi")
         forks = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         done = open_ends.union(forks).isEmpty()
-        for old in (edges, large):
-            discard(old)
+        discard(edges, large)
         edges = after
         if done:
             break

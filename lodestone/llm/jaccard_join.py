@@ -2,19 +2,31 @@
 
 Two sets with Jaccard similarity of at least t share a token among the first |x| - ceil(t |x|) + 1 tokens of
 each, whatever the global order. Order A sorts shingles by how common they are (a counting sketch of bounded
-size over all documents), then by hash; it makes the candidates. Orders B and C sort by two other hashes; a
-candidate pair must share a prefix token under each of them too before its sets are compared in full.
-
-Documents with equal sets are one representative. Candidates are made in two steps, so that a group of m near
-copies costs m pairs and not m * m / 2: first each document is paired with one hub, the first posting of most
-of its prefix tokens; what links is contracted to components. Then only postings whose components still differ
-are paired, with sizes and positions that allow the similarity. No partner is capped, and no link between
-different components is lost, so components are exact.
+size over all documents), then by hash; its prefixes are the postings that make candidates. Orders B and C sort
+by two other hashes; a candidate must share a prefix token under each of them too before its texts are sent and
+compared.
+
+Documents with equal sets are one representative. Copies of one text that stay just under the similarity share
+most of its shingles, so postings alone would pair them all. Therefore candidates are made in steps that are
+each linear in the size of such a group:
+
+1. Every representative is paired with one hub, the first posting of most of its prefix tokens. Where the two
+   are alike (at least `NEAR`, below the wanted similarity), its difference from the hub is kept: the tokens that
+   only one of them holds. What links is contracted to components.
+2. A token whose postings lie in several components sends its representatives to the other hubs of that token,
+   so that any two that share a prefix token have their differences from one hub in common. Those without a
+   hub are paired with each other by the plain join.
+3. The distance of two sets is that of their differences from a common hub. Where it is small enough, either both
+   link to the hub, or their differences overlap by a known number of tokens. These are few and rare, so their
+   prefixes, rarest first in the hub's group, are joined, again under orders A, B and C, and verified exactly.
+
+No partner is capped, and no link between different components is lost, so components are exact.
 
 Defined cases: letters A-Z count as lower case, words are separated by ASCII white space; texts with fewer
 words than a shingle are one shingle; texts without words, and null texts, have no shingle and link with
-nothing; documents with equal sets are linked; a null doc_id keeps its row and its component is null; rows
-that repeat a doc_id belong to all its texts' links; an empty table gives no rows; other columns are not read.
+nothing; documents with equal sets are linked; rows with a null doc_id keep their row, have a null component
+and link nothing; rows that repeat a doc_id belong to the links of all its texts (in `keep_one`, where only texts
+count, each text is judged by itself); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,31 +34,37 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, connected_components, materialize
+from .common import LOWER, UPPER, connected_components, discard, materialize, small_batches, unused
 
 #: Counters of the sketch that orders shingles by frequency; what one task emits and what is broadcast.
 COUNTERS, COUNTER_BLOCK = 1 << 18, 1 << 10
-#: Rounds in which a document is paired with one hub only; texts that meet in a group; ids that may be broadcast.
-STAR_ROUNDS, GROUP, BROADCAST_IDS = 2, 64, 2_000_000
+#: Texts that meet in a group; rows of ids that may be broadcast to leave out unneeded texts before a shuffle.
+GROUP, BROADCAST_IDS = 64, 500_000
+#: Words, and the bytes of one, that a task keeps the hash of.
+KEPT_WORDS, KEPT_BYTES = 50_000, 32
+#: Least similarity, as a fraction, to a hub by whose difference a set may be represented.
+NEAR = (1, 2)
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+A, B, C = 0, 1, 2
+
 
+class Hashes(dict):
+    """Word -> hash; made anew in each task and emptied at its bound, which costs time, not results."""
 
-class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-_HASHES = _Hashes()
-
-
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit permutation, so that each salt gives another order of the same tokens."""
     x = x ^ _ODD[salt]
@@ -55,13 +73,13 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolled(text: str | None, k: int) -> np.ndarray:
+def rolled(text: str | None, k: int, hashes: Hashes) -> np.ndarray:
     """64-bit hashes of the k-word shingles in order, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=n)
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
     if n < k:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=1)], dtype=np.uint64)
     out = h[: n - k + 1].copy()
@@ -71,9 +89,9 @@ def rolled(text: str | None, k: int) -> np.ndarray:
     return out * _ODD[1]
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
+def shingle_set(text: str | None, k: int, hashes: Hashes) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles."""
-    return np.unique(rolled(text, k))
+    return np.unique(rolled(text, k, hashes))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -85,24 +103,32 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (mix(s, 3) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def _prefix(s: np.ndarray, order: int, p: int, counts: np.ndarray | None = None) -> np.ndarray:
-    """The first p tokens in an order, in that order."""
-    key = mix(s, order)
-    if counts is not None:  # 20 high bits of frequency, then hash
-        common = np.minimum(counts[_bucket(s)], (1 << 20) - 1).astype(np.uint64)
-        key = (common << np.uint64(44)) | (key >> np.uint64(20))
+def _first(s: np.ndarray, key: np.ndarray, p: int) -> np.ndarray:
+    """Positions of the p smallest keys, in order."""
     at = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-    return s[at[np.argsort(key[at], kind="stable")]]
+    return at[np.argsort(key[at], kind="stable")]
+
+
+def common_prefix(s: np.ndarray, p: int, counts: np.ndarray) -> np.ndarray:
+    """The first p tokens under order A: 20 high bits of frequency, then hash."""
+    common = np.minimum(counts[_bucket(s)], (1 << 20) - 1).astype(np.uint64)
+    return s[_first(s, (common << np.uint64(44)) | (mix(s, A) >> np.uint64(20)), p)]
+
+
+def hashed_prefix(s: np.ndarray, order: int, p: int) -> np.ndarray:
+    """The first p tokens under order B or C, as the 32 high bits of their keys: equal tokens stay equal."""
+    key = mix(s, order)
+    return (key[_first(s, key, p)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def count_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Occurrences of all documents' shingles by bucket: each task adds up its own, blocks of counters are then summed."""
 
     def run(batches):
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total, hashes = np.zeros(COUNTERS, dtype=np.int64), Hashes()
         for batch in batches:
-            held = [_bucket(rolled(t.as_py(), k)) for t in batch.column("text")]
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS) if held else 0
+            for t in batch.column("text"):
+                np.add.at(total, _bucket(rolled(t.as_py(), k, hashes)), 1)
         parts = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, COUNTER_BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
 
@@ -120,123 +146,269 @@ def count_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def similar_links(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members, components): members(doc_id, n_shingles, rep) and components(node, component) of representatives.
-
-    num / den is the least Jaccard similarity; rep is the smallest doc_id with the same set.
-    """
-    spark = docs.sparkSession
-    id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    counts = spark.sparkContext.broadcast(count_shingles(docs, k))
-    schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("print", T.StringType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_hash, n (size of the set), print (hash of the set) and its prefixes under the three orders."""
+    counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, k))
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()),
+        T.StructField("print", T.StringType()), T.StructField("a", T.ArrayType(T.LongType())), T.StructField("b", ints), T.StructField("c", ints)])
 
-    def describe(batches):
+    def run(batches):
+        hashes, none = Hashes(), np.zeros(0, np.int64)
         for batch in batches:
-            n, prints, prefixes = [], [], []
+            n, prints, a, b, c = [], [], [], [], []
             for text in batch.column("text"):
-                s = shingle_set(text.as_py(), k)
+                s = shingle_set(text.as_py(), k, hashes)
+                p = prefix_length(len(s), num, den)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                prefixes.append(_prefix(s, 0, prefix_length(len(s), num, den), counts.value).view(np.int64) if len(s) else s.view(np.int64))
+                a.append(common_prefix(s, p, counts.value).view(np.int64) if len(s) else none)
+                for out, order in ((b, B), (c, C)):
+                    out.append(hashed_prefix(s, order, p) if len(s) else none.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.string()), pa.array(prefixes, pa.list_(pa.int64()))], names=schema.names)
-
-    described = materialize(docs.select("doc_id", "text").mapInArrow(describe, schema), "shingles")
-    reps = materialize(described.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "reps")
-    members = described.select("doc_id", "n", "print").join(reps.hint("merge"), "print", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
-
-    # A representative's prefix comes from any one of its equal documents.
-    own = described.join(reps.hint("merge"), "print").where("doc_id = rep").groupBy("print", "rep").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = own.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n")
-    shared = posts.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").drop("m")
-    shared = materialize(shared.select("token", "rep", F.col("n").cast("int").alias("n"), "pos"), "postings")
-
-    # Two sets of n and m members that reach the similarity have at least so many in common, ...
-    need = f"(({num} * (x.n + y.n) + {num + den} - 1) div {num + den})"
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int32()), pa.array(prints, pa.string()), pa.array(a, pa.list_(pa.int64())),
+                 pa.array(b, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.int32()))], names=schema.names)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+
+
+class Graph:
+    """members: doc_id, text_hash, n, rep of every row; owners: rep, doc_id, text_hash of one document for each set;
+    links: pairs (a, b) of representatives that reach the similarity and connect every component."""
+
+    def __init__(self, members: DataFrame, owners: DataFrame, links: DataFrame):
+        self.members, self.owners, self.links = members, owners, links
+
+
+def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
+    """Links among the distinct sets of docs; num / den is the least Jaccard similarity."""
+    small_batches(docs.sparkSession)
+    described = materialize(describe(docs, k, num, den), "shingles")
+    kept = described.where("print is not null and doc_id is not null")
+    # The written numbers of representatives are as good as random, and longs are cheaper to carry than prints.
+    reps = materialize(kept.groupBy("print").agg(F.min("doc_id").alias("owner")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    members = described.select("doc_id", "text_hash", "n", "print").join(reps.select("print", "rep").hint("merge"), "print", "left").drop("print")
+    sets = kept.join(reps.hint("merge"), "print").where("doc_id = owner").groupBy("rep").agg(F.first(F.struct("doc_id", "text_hash", "n", "a", "b", "c")).alias("s"))
+    sets = materialize(sets.select("rep", "s.*"), "sets")
+    owners = sets.select("rep", "doc_id", "text_hash")
+
+    posts = sets.select("rep", "n", F.posexplode("a").alias("pos", "token"))
+    several = posts.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").drop("m")
+    shared = materialize(posts.join(several.hint("merge"), "token").select("token", "rep", "n", "pos", "hub"), "postings")
+
+    # 1. one hub for each representative
+    votes = shared.where("hub != rep").groupBy("rep", "hub").agg(F.count("*").alias("v"))
+    star = materialize(votes.groupBy("rep").agg(F.max_by("hub", F.struct("v", -F.col("hub"))).alias("hub")), "stars")
+    core = materialize(differences(docs, star, owners, k, num, den, near=True), "differences")
+    links = core.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    found = connected_components(links)
+    own = core.select("rep", F.col("hub").alias("group")).unionByName(
+        core.select(F.col("hub").alias("rep")).distinct().join(core.select("rep"), "rep", "left_anti").withColumn("group", F.col("rep")))
+    place = materialize(own.join(found.hint("merge"), own["rep"] == found["node"], "left").select("rep", "group", F.coalesce("component", "rep").alias("comp")), "places")
+
+    # 2. what shares a prefix token and is not connected yet
+    labelled = materialize(
+        shared.join(place.hint("merge"), "rep", "left").select("token", "rep", "n", "pos", "group", F.coalesce("comp", "rep").alias("comp")), "labelled")
+    discard(shared, star)
+    open_tokens = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
+    rest = materialize(labelled.join(open_tokens.hint("merge"), "token"), "open-postings")
+    discard(labelled)
+    # Two sets of n and m members that reach the similarity have so many in common at least ...
+    need = lambda n, m: f"(({num} * ({n} + {m}) + {num + den} - 1) div {num + den})"
+    groups = rest.where("group is not null").groupBy("token", "group").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr("n - pos")).alias("left"))
+    x, y = rest.alias("x"), groups.alias("y")
     # ... and no more than this once their first common token stands at these positions.
-    possible = f"least(x.n - x.pos, y.n - y.pos) >= {need} and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
-
-    links = found = tried = None
-    rest = shared.withColumn("comp", F.col("rep"))
-    for turn in range(STAR_ROUNDS):
-        along = Window.partitionBy("token").orderBy(F.xxhash64("rep", F.lit(turn))) if turn else Window.partitionBy("token").orderBy("n", "rep")
-        hub = rest.withColumn("hub", F.first(F.struct("rep", "n", "pos", "comp")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        pair = hub.where("hub.comp != comp").select(F.struct("rep", "n", "pos").alias("y"), F.col("hub").alias("x")).where(possible)
-        votes = pair.groupBy(F.col("y.rep").alias("rep"), F.col("x.rep").alias("hub")).agg(F.count("*").alias("v"))
-        star = votes.groupBy("rep").agg(F.max_by("hub", F.struct("v", -F.col("hub"))).alias("hub")).select(
-            F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        star = materialize(star if tried is None else star.join(tried.hint("merge"), ["a", "b"], "left_anti"), "star")
-        tried = star if tried is None else tried.unionByName(star)
-        more = materialize(verify(docs, star, k, num, den), "star-links")
-        links = more if links is None else links.unionByName(more)
-        found = connected_components(links)
-        labelled = shared.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-        # Tokens all of whose postings lie in one component have nothing left to pair.
-        of_token = Window.partitionBy("token")
-        rest = materialize(
-            labelled.withColumn("lo", F.min("comp").over(of_token)).withColumn("hi", F.max("comp").over(of_token)).where("lo != hi").drop("lo", "hi"), "open-postings")
-        if rest.isEmpty():
-            return members, found
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y.hint("merge"), F.expr(f"x.token = y.token and x.rep < y.rep and x.comp != y.comp and {possible}")).select(
-        F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    cross = materialize(cross.join(tried.hint("merge"), ["a", "b"], "left_anti"), "cross")
-    return members, connected_components(links.unionByName(verify(docs, cross, k, num, den)))
-
-
-def verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity.
-
-    The more frequent side of a pair is its hub. A hub's partners are dealt to groups of about GROUP texts, and each
-    text is sent once to every group it belongs to, with the hub's text beside it; sets are made again there.
+    able = f"least(x.n - x.pos, y.left) >= {need('x.n', 'y.least')} and x.n * {den} >= y.least * {num} and y.most * {den} >= x.n * {num}"
+    halo = x.join(y.hint("merge"), F.expr(
+        f"x.token = y.token and not (x.group <=> y.group) and x.rep != y.group and not (y.lo = y.hi and y.lo = x.comp) and {able}"))
+    halo = materialize(halo.select("x.rep", F.col("y.group").alias("hub")).distinct(), "halos")
+    around = materialize(differences(docs, halo, owners, k, num, den, near=False), "differences")
+    links = links.unionByName(around.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    loose = rest.where("group is null")
+    x, y = loose.alias("x"), loose.alias("y")
+    able = f"least(x.n - x.pos, y.n - y.pos) >= {need('x.n', 'y.n')} and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
+    pairs = x.join(y.hint("merge"), F.expr(f"x.token = y.token and x.rep < y.rep and {able}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = materialize(in_other_orders(pairs, sets), "pairs")
+    links = links.unionByName(materialize(verify(docs, pairs, owners, k, num, den), "pair-links"))
+
+    # 3. by differences from a common hub
+    links = links.unionByName(materialize(by_differences(core, around, place, num, den), "difference-links"))
+    discard(rest, halo, pairs, place)
+    return Graph(members, owners, links)
+
+
+def in_other_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that share a prefix token under order B and under order C."""
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("b").alias(f"b_{name}"), F.col("c").alias(f"c_{name}")).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("b_a", "b_b") & F.arrays_overlap("c_a", "c_b")).select("a", "b")
+
+
+def _texts(docs: DataFrame, roles: DataFrame, owners: DataFrame) -> DataFrame:
+    """The texts of the representatives in `roles`, one copy for each role."""
+    wanted = materialize(roles.join(owners.hint("merge"), "rep"), "roles")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    ids = wanted.select("doc_id", "text_hash").distinct()
+    # While the ids are few, texts that nothing needs are left out before the shuffle; beyond, the join itself drops them.
+    if wanted.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), ["doc_id", "text_hash"], "left_semi")
+    return wanted.join(texts.hint("merge"), ["doc_id", "text_hash"]).drop("doc_id", "text_hash")
+
+
+def _dealt(pairs: DataFrame, hub: str, other: str) -> DataFrame:
+    """rep, hub, part: a hub's partners in groups of about GROUP, with the hub itself in each."""
+    size = materialize(pairs.groupBy(hub).agg(F.count("*").alias("m")), "hub-sizes")
+    dealt = pairs.join(size.hint("merge"), hub).select(
+        F.col(other).alias("rep"), F.col(hub).alias("hub"), F.pmod(F.xxhash64(other), F.ceil(F.col("m") / GROUP)).alias("part"))
+    return dealt.union(dealt.select(F.col("hub").alias("rep"), "hub", "part").distinct())
+
+
+def difference_overlap(size: int, n: int, hub: int, num: int, den: int) -> tuple[int, int]:
+    """Least overlap of this set's difference s from its hub with the difference t of a set that links to it and is not
+    connected to it by the hub already: where t is the larger one of the two differences, and where s is.
+
+    Two sets of n and m tokens link where d <= c (n + m), for c = (den - num) / (den + num) and d = |s| + |t| - 2 |s & t|
+    the tokens that one of them holds alone. So |s & t| >= (|s| + |t| - c (n + m)) / 2. One of the two does not link to
+    the hub of h tokens, |s| > c (n + h) or |t| > c (m + h), and sizes differ from h by no more than |s| or |t|.
+    """
+    p, q = num + den, den - num
+    excess = size * p - q * (n + hub)  # p (|s| - c (n + h)), above 0 where this set does not link to the hub
+    apart = max(1, (size * p + q * (hub - n)) // (2 * p) + 1)  # where t's set does not
+    if excess <= 0:
+        return apart, apart
+    other = max(1, size - q * n // num)  # |t| at least, by the triangle inequality and the ratio of n and m
+    overlap = lambda t: min(apart, max(1, -(-(excess + 2 * num * t) // (2 * p))))
+    return overlap(size), overlap(other)
+
+
+def differences(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, num: int, den: int, near: bool) -> DataFrame:
+    """For pairs (rep, hub): whether they link, and the difference of their sets with its prefixes under orders B and C;
+    small and large are the overlaps of `difference_overlap`.
+
+    near: pairs that share no prefix token under B or C, or are less alike than NEAR, are left out. Otherwise those are
+    whose distance from the hub is beyond that of its near sets and of anything that links to one of them.
     """
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("d"))
-    degree = materialize(degree, "degrees")
-    d = lambda side: degree.select(F.col("doc_id").alias(side), F.col("d").alias(f"d{side}")).hint("merge")
-    dealt = pairs.join(d("a"), "a").join(d("b"), "b").select(
-        F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("other"),
-        F.greatest("da", "db").alias("d"))
-    dealt = materialize(dealt.select("hub", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("d") / GROUP)).alias("part")), "dealt")
-    roles = dealt.select(F.col("other").alias("doc_id"), "hub", "part").union(dealt.select(F.col("hub").alias("doc_id"), "hub", "part").distinct())
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    # While the ids are few, texts that no pair needs are left out before the shuffle; beyond, the join itself drops them.
-    if degree.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(degree.select("doc_id")), "doc_id", "left_semi")
-    sent = roles.join(texts.hint("merge"), "doc_id")
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    kinds = {"rep": T.LongType(), "hub": T.LongType(), "n": T.IntegerType(), "linked": T.BooleanType(), "small": T.IntegerType(), "large": T.IntegerType(), "s": longs, "b": ints, "c": ints}
+    schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
+    p, q = num + den, den - num
+    near_p, near_q = NEAR[0] + NEAR[1], NEAR[1] - NEAR[0]
+
+    def run(table):
+        hashes, hub = Hashes(), table.column("hub")[0].as_py()
+        sets = {r.as_py(): t for r, t in zip(table.column("rep"), table.column("text"))}  # repeated rows are one
+        rows = []
+        if hub in sets:
+            base = shingle_set(sets.pop(hub).as_py(), k, hashes)
+            h, prefixes = len(base), [hashed_prefix(base, o, prefix_length(len(base), num, den)) for o in (B, C)]
+            for rep, text in sets.items():
+                x = shingle_set(text.as_py(), k, hashes)
+                n = len(x)
+                if near and not all(np.intersect1d(f, hashed_prefix(x, o, prefix_length(n, num, den))).size for o, f in zip((B, C), prefixes)):
+                    continue
+                s = np.setxor1d(x, base, assume_unique=True)
+                size, linked = len(s), len(s) * p <= q * (n + h)
+                m = n * den // num + 1  # the size of what links to x is less
+                if size * near_p > near_q * (n + h) and (near or size * p * near_p > q * (n + m) * near_p + near_q * (m + h) * p):
+                    continue
+                small, large = difference_overlap(size, n, h, num, den)
+                length = max(0, size - min(small, large) + 1)
+                rows.append((rep, hub, n, linked, small, large, s.view(np.int64), *(hashed_prefix(s, o, length) if length and size else np.zeros(0, np.int32) for o in (B, C))))
+        cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.table({c: pa.array(list(v), t) for c, v, t in zip(kinds, cols, types)})
+
+    return _texts(docs, _dealt(pairs, "hub", "rep"), owners).groupBy("hub", "part").applyInArrow(run, schema)
+
+
+def by_differences(core: DataFrame, around: DataFrame, place: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between sets of different components that have their differences from one hub in common."""
+    p, q = num + den, den - num
+    comps = place.select("rep", "comp").hint("merge")
+    every = core.unionByName(around).join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    # A hub whose whole group is one component has nothing left to connect; the hub's own component counts too.
+    hubs = core.unionByName(around).select("hub").distinct().join(place.select(F.col("rep").alias("hub"), "comp").hint("merge"), "hub", "left")
+    span = every.select("hub", "comp").unionByName(hubs.select("hub", F.coalesce("comp", "hub").alias("comp")))
+    span = span.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("hub")
+    inside = materialize(every.join(span.hint("merge"), "hub").withColumn("size", F.size("s")), "inside")
+    tokens = inside.select("hub", "rep", "comp", F.explode("s").alias("token"))
+    # Order A, rarest first. Tokens that connect nothing come before all others, so they need no row.
+    useful = tokens.groupBy("hub", "token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").drop("lo", "hi")
+    ranked = tokens.join(useful.hint("merge"), ["hub", "token"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("t"))
+    ranked = ranked.join(inside.select("hub", "rep", "n", "comp", "size", "small", "large").hint("merge"), ["hub", "rep"])
+    before = F.col("size") - F.size("t")
+    posts = ranked.select("hub", "rep", "n", "comp", "size", "small", "large", before.alias("before"), F.posexplode("t").alias("at", "t")).select(
+        "hub", "t.token", "rep", "n", "comp", "size", "small", "large", (F.col("before") + F.col("at")).alias("pos")).where("pos <= size - least(small, large)")
+    posts = materialize(posts, "difference-postings")
+    # The smaller difference has more than about half of its tokens in common with the larger one, so its prefix is short
+    # and holds its rare tokens; the larger one's prefix is only looked up.
+    x, y = posts.where("pos <= size - small").alias("x"), posts.where("pos <= size - large").alias("y")
+    able = (f"abs(x.size - y.size) * {p} <= {q} * (x.n + y.n) and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and "
+            f"least(x.size - x.pos, y.size - y.pos) * {2 * p} >= (x.size + y.size) * {p} - (x.n + y.n) * {q}")
+    pairs = x.join(y.hint("merge"), F.expr(
+        f"x.hub = y.hub and x.token = y.token and (x.size < y.size or (x.size = y.size and x.rep < y.rep)) and x.comp != y.comp and {able}"))
+    pairs = pairs.select("x.hub", F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    side = lambda name: inside.select("hub", F.col("rep").alias(name), F.struct("n", "s", "b", "c").alias(f"of_{name}")).hint("merge")
+    both = pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    both = both.where(F.arrays_overlap("of_a.b", "of_b.b") & F.arrays_overlap("of_a.c", "of_b.c"))
+    apart = F.size("of_a.s") + F.size("of_b.s") - 2 * F.size(F.array_intersect("of_a.s", "of_b.s"))
+    return both.where(apart * p <= q * (F.col("of_a.n") + F.col("of_b.n"))).select("a", "b").distinct()
+
+
+def verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity. The more frequent side of a pair is its hub."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("d"))
+    d = lambda side: degree.select(F.col("rep").alias(side), F.col("d").alias(f"d_{side}")).hint("merge")
+    turned = F.col("d_a") >= F.col("d_b")
+    turned = pairs.join(d("a"), "a").join(d("b"), "b").select(
+        F.when(turned, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("other"))
 
     def run(table):
-        ids, hub = table.column("doc_id").to_pylist(), table.column("hub")[0].as_py()
-        texts = table.column("text")
-        base = next((shingle_set(texts[i].as_py(), k) for i, x in enumerate(ids) if x == hub), None)
-        keep = set()
-        for i, x in enumerate(ids):
-            if x == hub or x in keep or base is None:
-                continue
-            other = shingle_set(texts[i].as_py(), k)
-            lo, hi = sorted((len(base), len(other)))
-            if not lo or lo * den < hi * num:
-                continue
-            pa_, pb = prefix_length(len(base), num, den), prefix_length(len(other), num, den)
-            if not all(np.intersect1d(_prefix(base, o, pa_), _prefix(other, o, pb), assume_unique=True).size for o in (1, 2)):
-                continue
-            common = np.intersect1d(base, other, assume_unique=True).size
-            if den * common >= num * (lo + hi - common):
-                keep.add(x)
-        rows = sorted(keep)
-        kind = table.schema.field("doc_id").type
-        return pa.table({"a": pa.array([min(hub, x) for x in rows], kind), "b": pa.array([max(hub, x) for x in rows], kind)})
-
-    return sent.groupBy("hub", "part").applyInArrow(run, pairs.schema)
+        hashes, hub = Hashes(), table.column("hub")[0].as_py()
+        sets = {r.as_py(): shingle_set(t.as_py(), k, hashes) for r, t in zip(table.column("rep"), table.column("text"))}
+        base, rows = sets.pop(hub, None), []
+        for rep, x in sets.items():
+            if base is not None and np.setxor1d(x, base, assume_unique=True).size * (num + den) <= (den - num) * (len(x) + len(base)):
+                rows.append(rep)
+        return pa.table({"a": pa.array([hub] * len(rows), pa.int64()), "b": pa.array(rows, pa.int64())})
+
+    return _texts(docs, _dealt(turned, "hub", "other"), owners).groupBy("hub", "part").applyInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; component_id is its own doc_id where nothing links."""
-    members, found = similar_links(docs, k, num, den)
-    return members.join(found, members["rep"] == found["node"], "left").select(
-        "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    g = similar(docs, k, num, den)
+    named = g.members.where("rep is not null and doc_id is not null").select("doc_id", "rep")
+    repeated = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
+    same_id = repeated.join(named, "doc_id").where("a != rep").select("a", F.col("rep").alias("b"))
+    found = connected_components(g.links.unionByName(same_id))
+    heads = _heads(g, found, F.min("doc_id")).select("rep", F.col("head").alias("component"))
+    out = g.members.join(heads.hint("merge"), "rep", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _heads(g: Graph, found: DataFrame, best: Column) -> DataFrame:
+    """rep, head: the best owner of each representative's component."""
+    at = g.owners.join(found.hint("merge"), g.owners["rep"] == found["node"], "left").select("rep", "doc_id", "text_hash", F.coalesce("component", "rep").alias("comp"))
+    at = materialize(at, "owners")
+    return at.select("rep", "comp").join(at.groupBy("comp").agg(best.alias("head")).hint("merge"), "comp")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents that are the smallest doc_id of their group, once each, with the columns of docs."""
-    heads = materialize(components(docs, k, num, den).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct(), "heads")
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group stays, the one with the smallest doc_id, with the columns of docs.
+
+    Rows without a shingle or an id stay. Of rows that repeat both id and text of the one that stays, the one with the
+    smallest hash over all columns is taken.
+    """
+    g = similar(docs, k, num, den)
+    found = connected_components(g.links)
+    heads = _heads(g, found, F.min_by("rep", F.struct("doc_id", "text_hash"))).where("rep = head").join(g.owners, "rep").select("doc_id", "text_hash")
+    bare = g.members.where("rep is null and doc_id is not null").select("doc_id", "text_hash")
+    kept_id, kept_hash, own_hash, row, rank = unused(docs, "__id", "__hash", "__text", "__row", "__rank")
+    keys = materialize(heads.unionByName(bare).distinct(), "heads").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
+    hashed = docs.select(*docs.columns, F.xxhash64("text").alias(own_hash), F.xxhash64(*docs.columns).alias(row))
+    joined = hashed.join(keys.hint("merge"), (F.col("doc_id") == F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)))
+    first = Window.partitionBy(kept_id, kept_hash).orderBy(row)
+    one = joined.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
+    return one.unionByName(docs.where("doc_id is null"))
