@@ -1,4 +1,4 @@
-"""Sparse retrieval: BM25 over exploded postings, restricted to the queries' terms before anything is shuffled."""
+"""Sparse retrieval: BM25 over the occurrences of the queries' terms, found in one pass over the texts."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.scratch import folder
 
 K1, B = 1.2, 0.75
-#: Query terms up to this number are broadcast to the scan; beyond, the join is left to the planner.
-BROADCAST_TERMS = 200_000
+#: Query terms up to this number are tested in the scan itself; beyond, occurrences are joined to them.
+TESTED_TERMS = 20_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -17,22 +18,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("w"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, idf: bool = True) -> DataFrame:
-    """query_id, chunk_id, score (six decimals) of all chunks that share a term with the query.
+def occurrences(chunks: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, len, term, tf) of the wanted terms, and one row with n and avg_len over all chunks.
 
-    Only occurrences of query terms leave a document's row; corpus statistics are one row.
+    Texts are split once: what is left of them, their lengths and the wanted terms, is written and read again.
     """
+    spark = chunks.sparkSession
+    terms = wanted.select("term").distinct()
+    some = [r["term"] for r in terms.limit(TESTED_TERMS + 1).collect()]
+    docs = chunks.select("chunk_id", words(F.col("text")).alias("ws")).select("chunk_id", F.size("ws").cast("double").alias("len"), "ws")
+    few = len(some) <= TESTED_TERMS
+    kept = F.filter("ws", lambda w: w.isin(some)) if few else F.col("ws")
+    path = folder(spark, "occurrences")
+    docs.select("chunk_id", "len", kept.alias("held")).write.parquet(path)
+    held = spark.read.parquet(path)
+    each = held.select("chunk_id", "len", F.explode("held").alias("term"))
+    each = each if few else each.join(terms, "term", "left_semi")
+    return each.groupBy("chunk_id", "len", "term").agg(F.count("*").cast("double").alias("tf")), held.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, idf: bool = True) -> DataFrame:
+    """query_id, chunk_id, score (six decimals) of all chunks that share a term with the query."""
     wanted = query_terms(queries)
-    terms = wanted.groupBy("term").agg(F.count("*").alias("_n")).select("term")
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    docs = chunks.select("chunk_id", words(F.col("text")).alias("ws")).withColumn("len", F.size("ws").cast("double"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
-    posts = (
-        docs.select("chunk_id", "len", F.explode("ws").alias("term"))
-        .join(F.broadcast(terms) if few else terms, "term", "left_semi")
-        .groupBy("term", "chunk_id", "len").agg(F.count("*").cast("double").alias("tf"))
-    )
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    posts, stats = occurrences(chunks, wanted)
+    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
     weighted = wanted.join(df.select("term", weight.alias("idf"), "avg_len"), "term")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

@@ -11,10 +11,13 @@ _own: str | None = None
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests, one machine), under a folder of our own."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a folder of our own, on one machine only."""
     global _own
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not base:
+        if not conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own = _own or tempfile.mkdtemp(prefix="lodestone-")
         base = _own
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
