@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import APP_TYPES, DEFAULT_SEARCH_TYPES
 
 # Fixed values.
 GERMAN_SIGNS = ["der", "die", "das", "und", "oder", "aber", "mit", "von", "zu", "im", "am", "ist", "war", "wird", "sein", "haben",
                 "werden", "können", "müssen", "ß", "ä", "ö", "ü"]
 ARTICLES = ["der", "die", "das", "ein", "eine", "des", "dem", "den", "einem", "einer"]
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–",
-            "&hellip;": "…", "&copy;": "©", "&eacute;": "é", "&uuml;": "ü", "&amp;": "&"}
+AGREEMENT = "(?i)^[\\s„“\"»«']*(ich stimme zu)"
+CREATING = r"(?i)^(ja[,.]?\s+)?(ich\s+)?(lege|erstelle|mache)"
 
 
 def strip(c: Column) -> Column:
@@ -32,11 +39,21 @@ def embedding_text(c: Column) -> Column:
     return F.replace(F.regexp_replace(untagged, r"(?m)^\d{1,4}\|\s?", ""), F.lit("­"), F.lit(""))
 
 
+@F.arrow_udf(T.StringType())
+def unescape(texts: pa.Array) -> pa.Array:
+    """Character references, named and numeric, as HTML 5 reads them; no built-in function knows its list of names."""
+    return pa.array([html.unescape(t) if t is not None else None for t in texts.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    """Unicode normal form C; Spark has no function for it."""
+    return pa.array([unicodedata.normalize("NFC", t) if t is not None else None for t in texts.to_pylist()], pa.string())
+
+
 def html_to_text(c: Column) -> Column:
-    """Tags become blanks, named entities their characters, white space one blank; text without either is kept."""
-    text = F.regexp_replace(c, "<[^>]+>", " ")
-    for name, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(sign))
+    """Tags become blanks, character references their characters, white space one blank; text without either is kept."""
+    text = unescape(F.regexp_replace(c, "<[^>]+>", " "))
     return F.when(c.contains("<") | c.contains("&"), collapse(text)).otherwise(collapse(c))
 
 
@@ -91,12 +108,12 @@ def is_incomplete(c: Column, min_chars: int) -> Column:
 
 
 def agrees(c: Column) -> Column:
-    return strip(c).rlike("(?i)^[\\s„“\"»«']*(ich stimme zu)")
+    return strip(c).rlike(AGREEMENT)
 
 
 def announces_create(c: Column) -> Column:
     """The first line says that a document is being created."""
-    return F.substring_index(strip(c), "\n", 1).rlike(r"(?i)^(ja[,.]?\s+)?(ich\s+)?(lege|erstelle|mache)")
+    return F.substring_index(strip(c), "\n", 1).rlike(CREATING)
 
 
 def citation_numbers(c: Column) -> Column:
@@ -196,3 +213,22 @@ def point_id(chunk_id: Column) -> Column:
     variant = F.lower(F.hex(nibble.bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)),
                        F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def section_b(c: Column) -> Column:
+    """What follows `b)` in a report, up to `c)` or the grade at a line's start, else to the end; empty without it."""
+    closed = F.regexp_extract(c, r"(?is)\bb\)\s*(.*?)(?=\n\s*c\)\s*|\n\s*bewertung\s*:)", 1)
+    return strip(F.when(closed != "", closed).otherwise(F.regexp_extract(c, r"(?is)\bb\)\s*(.*)$", 1)))
+
+
+def iso_time(c: Column) -> Column:
+    """ISO times with `Z` or an offset, in UTC; null for what is none."""
+    return F.to_utc_timestamp(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), "UTC").cast("timestamp_ntz")
+
+
+def chunk_types(asked: Column) -> Column:
+    """Chunk types of app types: aliases expand, other names stay, each once in the order of first appearance; nothing asked is all."""
+    keys = F.filter(F.transform(F.coalesce(asked, F.array().cast("array<string>")), lambda t: F.lower(strip(t))), lambda t: t != "")
+    known = F.create_map(*[x for k, v in APP_TYPES.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
+    out = F.array_distinct(F.flatten(F.transform(keys, lambda t: F.coalesce(F.try_element_at(known, t), F.array(t)))))
+    return F.when(F.size(keys) == 0, F.array(*[F.lit(t) for t in DEFAULT_SEARCH_TYPES])).otherwise(out)

@@ -115,10 +115,6 @@ def title_like(needle: str, *columns: str) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{needle}%") for c in columns])
 
 
-def has_paragraph(n: int, text: str = "text") -> Column:
-    return F.col(text).rlike(rf"(^|\n\n){n}\|")
-
-
 def talks(collection: str | None = None, statuses: str | None = None, q: str | None = None) -> Column:
     tests = []
     if collection:

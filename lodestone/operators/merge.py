@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
+from ..schemas import SEARCH_KEYS
 from .filters import active
 
 KEY = ["rag_partition", "chunk_id"]
-#: Payload fields that searches read: a change in one of them is written without a new vector.
-SEARCH_KEYS = ["source_id", "source_title", "segment_id", "segment_title", "source_index", "author", "worldview", "parent_id", "language"]
 
 
 def resolve_source_type(own: Column, default: Column) -> Column:
@@ -43,10 +42,16 @@ def upsert(stored: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
 
 
 def classify(batch: DataFrame, points: DataFrame) -> DataFrame:
-    """batch with `change`: new, changed_embed, payload_only or unchanged, against the points of the vector store."""
-    old = points.select("chunk_id", F.struct("content_hash", "chunk_type", *SEARCH_KEYS).alias("old"))
+    """batch with `change`: new, changed_embed, payload_only or unchanged, against the points of the vector store.
+
+    Of the search keys those are compared that both have; a key that neither has is equal.
+    """
+    keys = [c for c in SEARCH_KEYS if c in points.columns and c in batch.columns]
+    if alone := [c for c in SEARCH_KEYS if (c in points.columns) != (c in batch.columns)]:
+        raise ValueError(f"only one side has {alone}")
+    old = points.select("chunk_id", F.struct("content_hash", "chunk_type", *keys).alias("old"))
     same = F.lit(True)
-    for c in SEARCH_KEYS:
+    for c in keys:
         same = same & F.col(f"old.{c}").eqNullSafe(F.col(c))
     hashed = F.coalesce(F.col("old.content_hash") == F.col("content_hash"), F.lit(False))
     typed = F.coalesce(F.col("old.chunk_type") == F.col("chunk_type"), F.lit(False))
@@ -108,3 +113,10 @@ def set_payload(points: DataFrame, updates: DataFrame, fields: list[str]) -> Dat
     new = updates.select("chunk_id", F.struct(*fields).alias("__new"))
     joined = points.join(new, "chunk_id", "left")
     return joined.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in points.columns])
+
+
+def set_vector(points: DataFrame, updates: DataFrame, key: str, name: str) -> DataFrame:
+    """points with the vector of one name (in the map `vectors`) set from updates (key, vector); all else stays."""
+    joined = points.join(updates.select(key, F.col("vector").alias("__new")), key, "left")
+    kept = F.map_filter("vectors", lambda k, _: k != name)
+    return joined.withColumn("vectors", F.when(F.col("__new").isNotNull(), F.map_concat(kept, F.create_map(F.lit(name), "__new"))).otherwise(F.col("vectors"))).drop("__new")

@@ -12,10 +12,6 @@ def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def newest_per_chunk(df: DataFrame) -> DataFrame:
-    return first_per(df, ["chunk_id"], F.desc_nulls_last("updated_at"), F.asc_nulls_last("source_id"))
-
-
 def batch_first(df: DataFrame, keys: list[str], position: str = "pos") -> DataFrame:
     """The first row of a key in a batch, unless a later one is strictly newer."""
     return first_per(df, keys, F.desc_nulls_last("updated_at"), F.asc(position))
@@ -50,7 +46,7 @@ def continuation(rows: DataFrame, anchors: DataFrame, reach: int = 120) -> DataF
 
     anchors: segment_id, max_index. Consecutive indices less their row number are constant up to the gap.
     """
-    near = rows.join(F.broadcast(anchors), "segment_id").where("source_index > max_index and source_index <= max_index + " + str(reach))
+    near = rows.join(anchors, "segment_id").where("source_index > max_index and source_index <= max_index + " + str(reach))
     at = Window.partitionBy("segment_id").orderBy("source_index")
     return near.withColumn("__n", F.row_number().over(at)).where("source_index = max_index + __n").drop("__n", "max_index")
 

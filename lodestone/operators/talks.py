@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import INVITATION_HOURS, INVITATIONS_PER_DAY
+
 
 def exchanges(messages: DataFrame) -> DataFrame:
     """talk_id, turn_index, user_message, assistant_message: a user message and the answer right after it, if there is one."""
@@ -93,3 +95,38 @@ def expand_talks(hits: DataFrame, references: DataFrame, by: str = "query_id") -
     each = rows.select(by, "rank", F.posexplode("ids").alias("at", "hit"))
     first = each.groupBy(by, "hit").agg(F.min(F.struct("rank", "at")).alias("place"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("place"))).select(by, "rank", F.col("hit").alias("chunk_id"))
+
+
+def upsert_users(users: DataFrame, batch: DataFrame) -> DataFrame:
+    """github_id, name, role: names are taken from the batch, roles are kept; new users have the role `user`."""
+    new = batch.select("github_id", F.col("name").alias("__name"))
+    return users.join(new, "github_id", "full").select("github_id", F.coalesce("__name", "name").alias("name"), F.coalesce("role", F.lit("user")).alias("role"))
+
+
+def create_invitations(invitations: DataFrame, new: DataFrame, now: Column, per_day: int = INVITATIONS_PER_DAY) -> DataFrame:
+    """invitations after new ones (inviter, email, code): a pending one of the same address is replaced; others are refused
+    to inviters who have sent `per_day` in the last 24 hours."""
+    recent = invitations.where((F.col("created_at") > now - F.expr("interval 24 hours")) & (F.col("created_at") <= now)).groupBy("inviter").agg(F.count("*").alias("__sent"))
+    pending = invitations.where("status = 'pending'").select("email").distinct().withColumn("__pending", F.lit(True))
+    asked = new.withColumn("email", F.lower(F.trim("email"))).join(recent, "inviter", "left").join(pending, "email", "left")
+    taken = asked.where(F.col("__pending") | (F.coalesce("__sent", F.lit(0)) < per_day)).select(
+        F.lit(None).cast(invitations.schema["id"].dataType).alias("id"), "inviter", "email", "code", F.lit("pending").alias("status"), now.alias("created_at"))
+    replaced = taken.select("email").distinct()
+    return invitations.where("status != 'pending'").unionByName(invitations.where("status = 'pending'").join(replaced, "email", "left_anti")).unionByName(taken)
+
+
+def redeem_invitations(invitations: DataFrame, tries: DataFrame, now: Column, hours: int = INVITATION_HOURS) -> DataFrame:
+    """email, code, outcome of each try: redeemed, expired or invalid."""
+    fresh = F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(hours)) > now
+    known = invitations.select("email", "code", (F.col("status") == "pending").alias("__open"), fresh.alias("__fresh"))
+    rows = tries.withColumn("email", F.lower(F.trim("email"))).join(known, ["email", "code"], "left")
+    outcome = F.when(F.col("__open") & F.col("__fresh"), "redeemed").when(~F.col("__fresh"), "expired").otherwise("invalid")
+    return rows.select("email", "code", outcome.alias("outcome"))
+
+
+def recode(column: Column, names: dict[str, str]) -> Column:
+    """Old names become new ones, others stay."""
+    out = column
+    for old, new in names.items():
+        out = F.when(column == old, new).otherwise(out)
+    return out

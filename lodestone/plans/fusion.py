@@ -73,9 +73,11 @@ def first_sufficient(stages: list[tuple[str, DataFrame, int]]) -> DataFrame:
     return every.join(chosen, ["query_id", "__no"], "left_semi").drop("__no", "__least")
 
 
-def sufficiency_by_score(hits: DataFrame) -> DataFrame:
-    """query_id, sufficiency: high for three scores above 0.7, medium for two hits or one above 0.5, else low."""
+def sufficiency_by_score(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, sufficiency of every query: high for three scores above 0.7, medium for two hits or one above 0.5, insufficient
+    without a hit, else low."""
     counted = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0.7).alias("strong"), F.count_if(F.col("score") > 0.5).alias("fair"))
+    counted = queries.select("query_id").join(counted, "query_id", "left").na.fill(0, ["n", "strong", "fair"])
     level = F.when(F.col("n") == 0, "insufficient").when(F.col("strong") >= 3, "high").when((F.col("n") >= 2) | (F.col("fair") > 0), "medium").otherwise("low")
     return counted.select("query_id", level.alias("sufficiency"))
 
@@ -84,6 +86,8 @@ def text_level(chars: Column, hits: Column) -> Column:
     return F.when((chars < 200) | (hits == 0), "low").when((chars >= 2000) & (hits >= 3), "high").when(chars >= 600, "medium").otherwise("low")
 
 
-def sufficiency_by_text(hits: DataFrame) -> DataFrame:
+def sufficiency_by_text(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, n, chars, sufficiency of every query by the number and the length of its hits."""
     n = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length(strip(F.col("text")))).alias("chars"))
+    n = queries.select("query_id").join(n, "query_id", "left").na.fill(0, ["n", "chars"])
     return n.select("query_id", "n", "chars", text_level(F.col("chars"), F.col("n")).alias("sufficiency"))

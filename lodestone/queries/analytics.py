@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, ranking
 from ..registry import query
-from ..schemas import CHUNK_TYPES, EUR_PER_USD, PRICES
+from ..schemas import CHUNK_TYPES, DEFAULT_MODEL, EUR_PER_USD, PRICES
 from ..sources.testdata import CHUNKS_SQL, USAGE_SQL, chunks, pricing, table, turns, usage
 
 C, U = f"with {CHUNKS_SQL} ", f"with {USAGE_SQL} "
@@ -55,14 +55,15 @@ def _micro(c):
     return F.floor(c * 1e6 + 0.5)
 
 
-@query(U + f"""select account_id, sum(floor((p / 1e6 * 0.27 + c / 1e6 * 1.10) * 1e6 + 0.5)::bigint)::bigint / 1e6 as usd,
-  sum(floor((p / 1e6 * 0.27 + c / 1e6 * 1.10) * {EUR_PER_USD} * 1e6 + 0.5)::bigint)::bigint / 1e6 as eur
-  from (select account_id, coalesce(prompt_tokens, 0)::double as p, coalesce(completion_tokens, 0)::double as c from usage) group by 1""")
+@query(U + """select account_id, sum(floor((p / 1e6 * a + c / 1e6 * b) * 1e6 + 0.5)::bigint)::bigint / 1e6 as usd,
+  sum(floor((p / 1e6 * a + c / 1e6 * b) * 0.92 * 1e6 + 0.5)::bigint)::bigint / 1e6 as eur
+  from (select account_id, coalesce(prompt_tokens, 0)::double as p, coalesce(completion_tokens, 0)::double as c, coalesce(prompt_per_1m_usd, 0.14)::double as a,
+    coalesce(completion_per_1m_usd, 0.28)::double as b from usage left join pricing using (model)) group by 1""")
 def account_costs_default_price(spark, d):
-    """Models without a price are charged as the default model."""
-    a, b = PRICES["deepseek-chat"]
+    """Models without a price are charged as the default model; a call without tokens costs nothing."""
+    a, b = (F.coalesce(c, F.lit(p)) for c, p in zip(("prompt_per_1m_usd", "completion_per_1m_usd"), PRICES[DEFAULT_MODEL]))
     usd = F.coalesce("prompt_tokens", F.lit(0)) / 1e6 * a + F.coalesce("completion_tokens", F.lit(0)) / 1e6 * b
-    return usage(spark, d).groupBy("account_id").agg((F.sum(_micro(usd)) / 1e6).alias("usd"), (F.sum(_micro(usd * EUR_PER_USD)) / 1e6).alias("eur"))
+    return usage(spark, d).join(F.broadcast(pricing(spark)), "model", "left").groupBy("account_id").agg((F.sum(_micro(usd)) / 1e6).alias("usd"), (F.sum(_micro(usd * EUR_PER_USD)) / 1e6).alias("eur"))
 
 
 @query(U + """select count(*) as calls, coalesce(sum(prompt_tokens), 0)::bigint as tokens, count(distinct account_id) as accounts,

@@ -70,17 +70,31 @@ def chunk_conditional_upsert(spark, d):
 
 
 _CHANGE = """, k as (select i.*, case when s.chunk_id is null then 'new' when s.content_hash is distinct from i.content_hash then 'changed_embed'
-   when s.chunk_type = i.chunk_type and s.author is not distinct from i.author then 'unchanged' else 'payload_only' end as change from incoming i left join chunks s on s.chunk_id = i.chunk_id) """
+   when s.chunk_type = i.chunk_type and s.author is not distinct from i.author and i.doc_id % 30 <> 5 and i.doc_id % 60 <> 15 then 'unchanged' else 'payload_only' end as change
+   from incoming i left join chunks s on s.chunk_id = i.chunk_id) """
+
+
+def _searchable(rows, batch=False):
+    """The other search keys; in the batch some venues and paragraphs have changed, and worldviews, which are no search key."""
+    moved = lambda n, m: F.col("doc_id") % n == m if batch else F.lit(False)
+    return rows.withColumns({
+        "book_title": F.col("source_title"), "source_type": F.lit("book"), "venue": F.when(moved(30, 5), "Berlin"), "lecture_date": F.lit("1904-01-01"), "vortragstitel": F.lit(None).cast("string"),
+        "lecture_id": F.lit(None).cast("string"), "body_source_id": F.col("source_id"), "paragraph_id": F.concat(F.lit("p-"), "doc_id"),
+        "paragraph": F.col("doc_id") % 17 + F.when(moved(60, 15), 1).otherwise(0), "worldview": F.when(moved(10, 0), "Realismus").otherwise(F.col("worldview"))})
+
+
+def _changes(spark, d):
+    return merge.classify(_searchable(incoming(spark, d), batch=True), _searchable(stored(spark, d)))
 
 
 @query(B + _CHANGE + "select chunk_id, change from k")
 def chunk_classify_changes(spark, d):
-    return merge.classify(incoming(spark, d), stored(spark, d)).select("chunk_id", "change")
+    return _changes(spark, d).select("chunk_id", "change")
 
 
 @query(B + _CHANGE + "select count(*) as requested, " + ", ".join(f"count(*) filter (change = '{c}') as {c}" for c in ("new", "changed_embed", "payload_only", "unchanged")) + " from k")
 def ingest_report(spark, d):
-    return merge.ingest_report(merge.classify(incoming(spark, d), stored(spark, d)))
+    return merge.ingest_report(_changes(spark, d))
 
 
 @query(C + """select chunk_id, source_id from chunks c where deprecated_at is null and source_id in (select source_id from chunks where doc_id % 3 > 0)
@@ -175,10 +189,18 @@ def quote_parent_swap(spark, d):
     return ranking.best_hit(joins.swap_or_drop(_hits(spark, d), chunks(spark, d))).select("chunk_id", "rank", "score")
 
 
-@query(C + _HITS + """select case when h.chunk_type = 'quote_explanation' then p.chunk_id else h.chunk_id end as chunk_id, h.rank from h left join chunks p on p.chunk_id = h.parent_id
-  where h.chunk_type <> 'quote_explanation' or (p.chunk_type = 'quote' and h.parent_id not in (select chunk_id from h where chunk_type <> 'quote_explanation'))""")
+@query(C + """, h as (select doc_id // 40 as query_id, chunk_id, case when doc_id % 9 > 6 then 'quote_explanation' else chunk_type end as chunk_type, case when doc_id % 9 > 6 then 'doc-' || (doc_id - doc_id % 9 + 6) end as parent_id, doc_id as rank
+    from chunks where doc_id % 9 in (0, 7, 8) or (doc_id % 9 = 6 and doc_id % 5 = 0)),
+  e as (select *, row_number() over (partition by query_id, parent_id order by rank) as n from h where chunk_type = 'quote_explanation' and (query_id, parent_id) not in (select (query_id, chunk_id) from h where chunk_type <> 'quote_explanation'))
+  select query_id, chunk_id, rank from h where chunk_type <> 'quote_explanation' union all select query_id, p.chunk_id, e.rank from e join chunks p on p.chunk_id = e.parent_id where n = 1 and p.chunk_type = 'quote'""")
 def quote_parent_swap_once(spark, d):
-    return joins.swap_once(_hits(spark, d), chunks(spark, d)).select("chunk_id", "rank")
+    """Two explanations of each quote: the second goes, and both do where the quote is a hit of the query itself."""
+    m = F.col("doc_id") % 9
+    explains = m > 6
+    hits = chunks(spark, d).where(m.isin(0, 7, 8) | ((m == 6) & (F.col("doc_id") % 5 == 0))).select(
+        F.expr("doc_id div 40").alias("query_id"), "chunk_id", F.when(explains, "quote_explanation").otherwise(F.col("chunk_type")).alias("chunk_type"),
+        F.when(explains, F.concat(F.lit("doc-"), F.col("doc_id") - m + 6)).alias("parent_id"), F.col("doc_id").alias("rank"))
+    return joins.swap_once(hits, chunks(spark, d)).select("query_id", "chunk_id", "rank")
 
 
 @query(C + _HITS + "select coalesce(case when h.chunk_type = 'quote_explanation' then p.chunk_id end, h.chunk_id) as chunk_id, h.rank from h left join chunks p on p.chunk_id = h.parent_id")
@@ -214,8 +236,7 @@ def consecutive_chain(spark, d):
 
 @query(C + r""", t as (select chunk_id, segment_id, lower(regexp_extract(text, '([\p{L}]{6,})', 1)) as term from chunks where chunk_type = 'begriff'), q as (select doc_id as query_id, text as prompt from documents where doc_id % 20 = 0)
   select query_id, segment_id, chunk_id, term from (select *, row_number() over (partition by query_id order by length(term) desc, term, chunk_id) as n from
-   (select *, row_number() over (partition by query_id, segment_id order by length(term) desc, term, chunk_id) as m from q join t on term <> '' and contains(lower(prompt), term)
-     and list_contains(regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+'), regexp_extract(term, '([\p{L}\p{N}]+)', 1))) where m = 1) where n <= 5""")
+   (select *, row_number() over (partition by query_id, segment_id order by length(term) desc, term, chunk_id) as m from q join t on term <> '' and contains(lower(prompt), term)) where m = 1) where n <= 5""")
 def term_containment(spark, d):
     terms = chunks(spark, d).where("chunk_type = 'begriff'").select("chunk_id", "segment_id", F.lower(F.regexp_extract("text", r"([\p{L}]{6,})", 1)).alias("term")).where("term != ''")
     prompts = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("prompt"))
@@ -238,9 +259,11 @@ def lemma_match(spark, d):
    trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '\[[^\]]*\]', '', 'g')), '\s+', ' ', 'g')) as norm from chunks),
   q as (select chunk_id as quote_id, chunk_id, content_hash, segment_id, trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '\[[^\]]*\]', '', 'g')), '\s+', ' ', 'g')) as norm from chunks where chunk_type = 'quote'),
   a as (select chunk_id, min(paragraph_id) as a from p group by 1 having count(*) = 1), b as (select content_hash, min(paragraph_id) as b from p group by 1 having count(*) = 1),
-  c as (select segment_id, norm, min(paragraph_id) as c from p group by 1, 2 having count(*) = 1)
-  select quote_id, coalesce(a, b, c) as paragraph_id, case when a is not null then 'chunk_id' when b is not null then 'content_hash' when c is not null then 'text' end as how
-  from q left join a using (chunk_id) left join b using (content_hash) left join c using (segment_id, norm)""")
+  c as (select segment_id, norm, min(paragraph_id) as c from p group by 1, 2 having count(*) = 1),
+  e as (select quote_id, min(paragraph_id) as d from q join p using (segment_id) where q.norm <> '' and p.norm <> '' and (contains(p.norm, q.norm) or contains(q.norm, p.norm))
+    and (segment_id, q.norm) not in (select (segment_id, norm) from p) group by 1 having count(*) = 1)
+  select quote_id, coalesce(a, b, c, d) as paragraph_id, case when a is not null then 'chunk_id' when b is not null then 'content_hash' when c is not null then 'text' when d is not null then 'part' end as how
+  from q left join a using (chunk_id) left join b using (content_hash) left join c using (segment_id, norm) left join e using (quote_id)""")
 def quote_match_cascade(spark, d):
     c = chunks(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
     x = F.concat(F.lit("x"), "doc_id")

@@ -132,12 +132,12 @@ def talk_titles(spark, d):
     return t.select("talk_id", "turn_index", T.talk_title(F.when(F.col("turn_index") == 0, F.concat(F.lit("T "), "talk_id")).otherwise(F.lit("  ")), F.coalesce("text", F.lit(""))).alias("title"))
 
 
-@query(T_ + """, h as (select 0 as query_id, talk_id, case when talk_id % 4 = 3 then 'book' else 'talk' end as kind, talk_id as rank from talks),
+@query(T_ + """, h as (select talk_id // 50 as query_id, talk_id, case when talk_id % 4 = 3 then 'book' else 'talk' end as kind, talk_id as rank from talks),
   e as (select query_id, rank, coalesce(turn_index, 0) as a, coalesce(reference_index, 0) as b, case when kind = 'talk' and r.chunk_id is not null then r.chunk_id else 'talk-' || h.talk_id end as hit from h left join (select * from refs where turn_index = 2) r on r.talk_id = h.talk_id),
   f as (select query_id, hit, min(rank * 1000 + b) as place from e group by all) select query_id, row_number() over (partition by query_id order by place) as rank, hit as chunk_id from f""")
 def talk_reference_expansion(spark, d):
     """Hits on talks become the chunks that their third turn cites."""
     name = lambda c: F.concat(F.lit("talk-"), c)
-    hits = talks(spark, d).select(F.lit(0).alias("query_id"), name("talk_id").alias("chunk_id"), F.when(F.col("talk_id") % 4 == 3, "book").otherwise("talk").alias("chunk_type"), F.col("talk_id").alias("rank"))
+    hits = talks(spark, d).select(F.expr("talk_id div 50").alias("query_id"), name("talk_id").alias("chunk_id"), F.when(F.col("talk_id") % 4 == 3, "book").otherwise("talk").alias("chunk_type"), F.col("talk_id").alias("rank"))
     refs = references(spark, d).where("turn_index = 2").withColumn("talk_id", name("talk_id"))
     return T.expand_talks(hits, refs).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
