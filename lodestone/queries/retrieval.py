@@ -166,18 +166,25 @@ def batch_topk_per_query(spark, d):
     return listed(top_k(vectors(spark, d), vector_queries(spark, d), 5))
 
 
-@query(sql(dense_sql("h", 10), end="""
-select query_id, case when count(*) filter (score > 0.7) >= 3 then 'high' when count(*) >= 2 or count(*) filter (score > 0.5) > 0 then 'medium' else 'low' end as sufficiency from h group by 1"""))
+@query(sql(dense_sql("h", 20), end="""
+select vq.query_id, case when count(chunk_id) = 0 then 'insufficient' when count(*) filter (score > 0.7) >= 3 then 'high'
+  when count(chunk_id) >= 2 or count(*) filter (score > 0.5) > 0 then 'medium' else 'low' end as sufficiency
+from vq left join (select * from h where source_id = 'src' || (query_id // 20 % 20)) h on h.query_id = vq.query_id group by 1"""))
 def sufficiency_score(spark, d):
-    return fusion.sufficiency_by_score(dense_retrieve(chunks(spark, d), vectors(spark, d), vector_queries(spark, d), 10))
+    """Hits are those of the query's own source, so some queries have none."""
+    q = vector_queries(spark, d)
+    hits = dense_retrieve(chunks(spark, d), vectors(spark, d), q, 20).where(F.col("source_id") == F.concat(F.lit("src"), F.expr("query_id div 20 % 20")))
+    return fusion.sufficiency_by_score(hits, q)
 
 
-@query(sql(dense_sql("h", 3, where="chunk_type in ('book', 'quote')"), end=f"""
+@query(sql(dense_sql("h", 8, where="chunk_type in ('book', 'quote')"), end=f"""
 select query_id, n, chars, case when chars < 200 or n = 0 then 'low' when chars >= 2000 and n >= 3 then 'high' when chars >= 600 then 'medium' else 'low' end as sufficiency
-from (select query_id, count(*) as n, sum(length({_STRIP}))::bigint as chars from h group by 1)"""))
+from (select vq.query_id, count(chunk_id) as n, coalesce(sum(length({_STRIP})), 0)::bigint as chars
+  from vq left join (select * from h where source_id > 'src' || (query_id // 20 % 20)) h on h.query_id = vq.query_id group by 1)"""))
 def sufficiency_text(spark, d):
-    hits = dense_retrieve(chunks(spark, d), vectors(spark, d), vector_queries(spark, d), 3, filters.payload(book_types=["primary", "quote"]))
-    return fusion.sufficiency_by_text(hits)
+    q = vector_queries(spark, d)
+    hits = dense_retrieve(chunks(spark, d), vectors(spark, d), q, 8, filters.payload(book_types=["primary", "quote"]))
+    return fusion.sufficiency_by_text(hits.where(F.col("source_id") > F.concat(F.lit("src"), F.expr("query_id div 20 % 20"))), q)
 
 
 # --- widening, choosing, cascades ---------------------------------------------------------------------------
@@ -334,3 +341,110 @@ def l2_normalize(spark, d):
 def mean_pool_by_label(spark, d):
     cells = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
     return cells.groupBy("label", F.col("dim").cast("long").alias("dim")).agg((F.round(F.avg(F.col("v").cast("double")), 6) + 0.0).alias("mean"))
+
+
+# --- requests: by intent, in slots, verified --------------------------------------------------------------------
+
+
+def corpus(spark, d):
+    from ..plans.requests import Corpus
+
+    return Corpus(chunks(spark, d), vectors(spark, d), item_vectors(spark, d), text_queries(spark, d))
+
+
+_INTENTS = """
+rq as (select query_id, ['quelle_suchen', 'erklaerung', 'skip', 'sonstiges', 'other'][query_id // 20 % 5 + 1] as intent, case when query_id // 20 % 3 = 1 then 'src' || (query_id // 20 % 4) end as scope from tq)"""
+_TYPES = {"quelle_suchen": None, "erklaerung": "chunk_type in ('book', 'talk', 'chapter_summary', 'secondary_book', 'typology')", "sonstiges": "true"}
+_FIRST = [*[dense_sql(f"i_{n}_d", 8, "iq", w) for n, w in _BRANCHES.items()], *[sparse_sql(f"i_{n}_s", 8, w) for n, w in _BRANCHES.items()],
+          *[rrf_sql(f"i_{n}", f"i_{n}_d", f"i_{n}_s", 8) for n in _BRANCHES], rrf_sql("f_quelle_suchen", "i_quotes", "i_books", 12)]
+for _name, _where in _TYPES.items():
+    if _where:
+        _FIRST += [dense_sql(f"d_{_name}", 15, "iq", _where), sparse_sql(f"s_{_name}", 15, _where), rrf_sql(f"f_{_name}", f"d_{_name}", f"s_{_name}", 10)]
+_LEVEL = "case when count(chunk_id) = 0 then 'insufficient' when count(*) filter (score > 0.7) >= 3 then 'high' when count(chunk_id) >= 2 or count(*) filter (score > 0.5) > 0 then 'medium' else 'low' end"
+
+
+@query(sql(_INTENTS, *_FIRST, dense_sql("d_all", 25, "iq"), sparse_sql("s_all", 25), rrf_sql("f_all", "d_all", "s_all", 15), end=f"""
+, a as (select *, case when intent in ('quelle_suchen', 'erklaerung') then intent else 'sonstiges' end as kind from rq where intent <> 'skip'),
+one as (select a.query_id, f.rank, f.chunk_id, f.score from a join ({" union all ".join(f"select *, '{n}' as kind from f_{n}" for n in _TYPES)}) f on f.query_id = a.query_id and f.kind = a.kind
+  join chunks c using (chunk_id) where a.scope is null or c.source_id = a.scope),
+l1 as (select a.query_id, {_LEVEL} as sufficiency from a left join one on one.query_id = a.query_id group by 1),
+two as (select a.query_id, f.rank, f.chunk_id, f.score from a join f_all f on f.query_id = a.query_id join chunks c using (chunk_id)
+  where a.query_id in (select query_id from l1 where sufficiency = 'insufficient') and (a.scope is null or c.source_id = a.scope)),
+l2 as (select a.query_id, {_LEVEL} as sufficiency from a left join two on two.query_id = a.query_id where a.query_id in (select query_id from l1 where sufficiency = 'insufficient') group by 1),
+l as (select query_id, 1 as attempt, sufficiency from l1 where sufficiency <> 'insufficient' union all select query_id, 2, sufficiency from l2)
+select l.query_id, attempt, rank, chunk_id, round(score, 6) as score, sufficiency from l left join (from one union all from two) h on h.query_id = l.query_id"""))
+def retrieval_by_intent(spark, d):
+    """Intents choose the types of the first try; what is insufficient within its source is tried again, wider and untyped."""
+    from ..plans.requests import by_intent
+
+    i = F.expr("query_id div 20")
+    intent = F.element_at(F.array(*[F.lit(x) for x in ("quelle_suchen", "erklaerung", "skip", "sonstiges", "other")]), (i % 5 + 1).cast("int"))
+    asked = text_queries(spark, d).select("query_id", intent.alias("intent"), F.when(i % 3 == 1, F.concat(F.lit("src"), i % 4)).alias("source_id"))
+    return by_intent(corpus(spark, d), asked, "Author A").select("query_id", "attempt", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "sufficiency")
+
+
+def _slot_sql(name: str, hits: str, before: str | None, budget: int) -> str:
+    start = f"coalesce((select max(n) from {before} b where b.query_id = t.query_id), 0)" if before else "0"
+    return f"""
+{name}_t as (select query_id, chunk_id, chunk_type, score, rank, {_STRIP} as body from {hits} where {_STRIP} <> ''),
+{name}_n as (select *, row_number() over (partition by query_id order by rank) + {start} as n from {name}_t t),
+{name}_l as (select *, '[' || n || '] (r: ' || printf('%.4f', round(score, 4)) || ', ' || chunk_type || ') ' || body as line from {name}_n),
+{name}_o as (select query_id, '{name}' as slot, n, chunk_id, line from (select *, sum(length(line)) over (partition by query_id order by rank) as upto from {name}_l) where upto <= {budget}),
+{name}_all as (from {name}_o{f" union all from {before}" if before else ""})"""
+
+
+@query(sql(dense_sql("pd", 8, "iq", "chunk_type = 'book'"), sparse_sql("ps", 8, "chunk_type = 'book'"), rrf_sql("pf", "pd", "ps", 8),
+           " ph as (select pf.*, c.chunk_type, c.text from pf join chunks c using (chunk_id) where rank <= 6)", _slot_sql("primary", "ph", None, 5000),
+           dense_sql("sd", 6, "iq", "chunk_type = 'secondary_book'"), sparse_sql("ss", 6, "chunk_type = 'secondary_book'"), """
+sh0 as (select query_id, chunk_id, score, 0 as list, rank from sd where rank <= 4), sh1 as (select query_id, chunk_id, score, 1 as list, rank from ss where (query_id, chunk_id) not in (select (query_id, chunk_id) from sh0)),
+sh as (select u.*, c.chunk_type, c.text from (select query_id, chunk_id, score, row_number() over (partition by query_id order by list, rank) as rank from (from sh0 union all from sh1)) u join chunks c using (chunk_id) where rank <= 6)""",
+           _slot_sql("secondary", "sh", "primary_all", 5000),
+           sparse_sql("qs", 4, "chunk_type in ('quote', 'quote_explanation')"), """
+qe as (select *, row_number() over (partition by query_id, parent_id order by rank) as m from qs where chunk_type = 'quote_explanation' and (query_id, parent_id) not in (select (query_id, chunk_id) from qs where chunk_type = 'quote')),
+qh as (select query_id, chunk_id, chunk_type, score, rank, text from qs where chunk_type = 'quote' union all
+  select query_id, p.chunk_id, 'quote', score, qe.rank, p.text from qe join chunks p on p.chunk_id = qe.parent_id where m = 1 and p.chunk_type = 'quote')""",
+           _slot_sql("quotes", "qh", "secondary_all", 5000), end="select query_id, slot, n, chunk_id, sha256(line) as line_sha256 from quotes_all"))
+def prompt_slots(spark, d):
+    """Three slots of a prompt by different methods, numbered through."""
+    from ..plans.requests import Spec
+    from ..plans.requests import prompt_slots as plan
+
+    specs = [Spec("primary", "hybrid", ("primary",), k=6, k_retrieve=8), Spec("secondary", "dense+sparse", ("secondary",), k=6), Spec("quotes", "sparse", ("quote", "quote_explanation"), k=4)]
+    return plan(corpus(spark, d), specs, 5000).select("query_id", "slot", F.col("n").cast("long").alias("n"), "chunk_id", F.sha2("line", 256).alias("line_sha256"))
+
+
+@query(sql(dense_sql("a", 4, where="chunk_type = 'book'"), dense_sql("b", 4, where="chunk_type in ('talk', 'talk_summary')"), end="""
+select query_id, row_number() over (partition by query_id order by part, rank) as rank, part, chunk_id from (select query_id, 0 as part, rank, chunk_id from a union all select query_id, 1, rank, chunk_id from b)"""))
+def quote_sources(spark, d):
+    from ..plans.requests import Corpus
+    from ..plans.requests import quote_sources as plan
+
+    all_queries = Corpus(chunks(spark, d), vectors(spark, d), vector_queries(spark, d), text_queries(spark, d))
+    return plan(all_queries).select("query_id", F.col("rank").cast("long").alias("rank"), "part", "chunk_id")
+
+
+def _rerank_sql(name: str, hits: str, queries: str, k: int) -> str:
+    return f"""
+{name} as (select * exclude (rank), row_number() over (partition by query_id order by dt desc, rank) as rank from
+  (select h.*, round(list_dot_product(e.embedding::double[], q.qv), 9) as dt from {hits} h join embeddings e on 'doc-' || e.vec_id = h.chunk_id join {queries} q on q.query_id = h.query_id)
+  qualify row_number() over (partition by query_id order by dt desc, rank) <= {k})"""
+
+
+_VERIFIED = "chunk_type = 'book' and author = 'Author A' and source_id in ('src0', 'src8')"
+
+
+@query(sql(" dq as (select vec_id - 1 as query_id, embedding::double[] as qv from embeddings where (vec_id - 1) in (select query_id from tq))",
+           dense_sql("b0", 4, "iq", _VERIFIED), _rerank_sql("b1", "b0", "iq", 3), dense_sql("w0", 12, "iq", _VERIFIED), _rerank_sql("w1", "w0", "iq", 3),
+           dense_sql("m0", 4, "dq", _VERIFIED), _rerank_sql("m1", "m0", "dq", 3), end="""
+, ok as (select query_id from b1 group by 1 having count(*) >= 3 and sum(length(text)) >= 400)
+select query_id, 1 as pass, rank, chunk_id from b1 where query_id in (from ok) union all select query_id, 1, rank, chunk_id from w1 where query_id not in (from ok)
+union all select query_id, 2, rank, chunk_id from m1"""))
+def verification_two_passes(spark, d):
+    """Reranked book hits, widened where they are thin, then those of a second query (the next vector) derived from the first."""
+    from ..plans.requests import Corpus, two_passes
+
+    first = corpus(spark, d)
+    derived = table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), "embedding").join(text_queries(spark, d).select("query_id"), "query_id", "left_semi")
+    where = filters.payload(book_types=["primary"], author="Author A") & filters.scoped(["src0", "src8"])
+    both = two_passes(first, Corpus(first.chunks, first.vectors, derived, first.query_texts), where, 4, 3, 12)
+    return both.select("query_id", "pass", F.col("rank").cast("long").alias("rank"), "chunk_id")

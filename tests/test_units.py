@@ -21,7 +21,8 @@ def one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize("f, given, want", [
     (X.embedding_text, "12| a <q id='1'>b</q> so­ft", "a b soft"),
-    (X.html_to_text, "<p>a&nbsp;&amp; b</p>\n<i>c</i>", "a & b c"), (X.html_to_text, "plain  text", "plain text"),
+    (X.html_to_text, "<p>a&nbsp;&amp; b</p>\n<i>c</i>", "a & b c"), (X.html_to_text, "x &#8211; &auml;&#x41;&#150;&notin;&copy2;", "x – äA–∉©2;"), (X.nfc, "u\u0308", "ü"),
+    (X.section_b, "a) x b) y\nz", "y\nz"), (X.section_b, "B) y\n c) z", "y"), (X.section_b, "nothing", ""), (X.html_to_text, "plain  text", "plain text"),
     (lambda c: X.redact(c, ["Max", "Max Muster"]), "Von Max Muster  hier", "Von hier"), (lambda c: X.redact(c, ["Max"]), "Max", "Max"),
     (lambda c: X.redact(c, ["Max"]), "Maximal Max", "Maximal"), (X.lemma, "Die  freien Geister", "geister"), (X.lemma, "das Ich", "ich"),
     (lambda c: X.snippet(c, 5), "abcdefgh", "abcd…"), (lambda c: X.truncate(c, 6), "abcdefgh", "abc..."),
@@ -173,3 +174,64 @@ def test_blocks(spark):
     want = lambda p, h: sorted(r["text"] for r in markdown.read_blocks(flat, spark.createDataFrame([(1, p, h)], "doc_id int, paragraph_id string, heading_path array<string>")).collect())
     assert want("ch1.p2", None) == ["p2"] and want(None, ["## A"]) == ["p1", "p2"] and want(None, ["## B", "### S"]) == ["p4"] and want("ch9.p9", None) == []
     assert one(spark, "\n# My title\nx", markdown.document_title) == "My title" and one(spark, "x", markdown.document_title) == "Ohne Titel"
+
+
+def test_chunk_types(spark):
+    assert one(spark, ["Quote", " text ", "talk", "", "x"], X.chunk_types, "array<string>") == ["quote", "quote_explanation", "book", "secondary_book", "talk", "x"]
+    assert len(one(spark, [" "], X.chunk_types, "array<string>")) == 8 and len(one(spark, None, X.chunk_types, "array<string>")) == 8
+
+
+def test_sufficiency_has_all_queries(spark):
+    q = spark.createDataFrame([(i,) for i in range(5)], "query_id int")
+    hits = spark.createDataFrame([(0, 0.8, "x" * 900)] * 3 + [(1, 0.1, "y" * 300)] * 2 + [(2, 0.6, "z"), (3, 0.2, "z")], "query_id int, score double, text string")
+    assert {r["query_id"]: r["sufficiency"] for r in fusion.sufficiency_by_score(hits, q).collect()} == {0: "high", 1: "medium", 2: "medium", 3: "low", 4: "insufficient"}
+    assert {r["query_id"]: (r["n"], r["sufficiency"]) for r in fusion.sufficiency_by_text(hits, q).collect()} == {0: (3, "high"), 1: (2, "medium"), 2: (1, "low"), 3: (1, "low"), 4: (0, "low")}
+
+
+def test_manifests_and_tools(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text("id: x\nqueries:\n  - name: a\n    k: 3\n")
+    (tmp_path / "none.yaml").write_text("")
+    assert files.manifest(spark, str(tmp_path / "m.yaml")) == {"id": "x", "queries": [{"name": "a", "k": 3}]} and files.manifest(spark, str(tmp_path / "none.yaml")) == {}
+    actions = spark.createDataFrame([("z", "Z", None), ("b", "B", True), ("a", "A", False), ("m", "M", False)], "id string, label string, beta boolean")
+    assert [r["id"] for r in files.list_actions(actions, ["m", "z"]).collect()] == ["m", "z", "a"]
+    assert [(r["id"], r["label"]) for r in files.list_actions(actions, ["b"], beta=True).collect()][0] == ("b", "B (beta)")
+    tools = spark.createDataFrame([("a", None, []), ("b", True, ["x"]), ("c", False, ["y"])], "id string, requires_document boolean, modes array<string>")
+    assert [r["id"] for r in tools.where(filters.tool_available(True, "x")).orderBy("id").collect()] == ["a", "b"]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b, c")], "id int, name string")
+    files.write_report(rows, f"{tmp_path}/report")
+    assert sorted(map(tuple, spark.read.option("header", "true").csv(f"{tmp_path}/report").collect())) == [("1", "a"), ("2", "b, c")]
+    rows.write.parquet(f"{tmp_path}/from")
+    assert files.copy_checked(spark, f"{tmp_path}/from", f"{tmp_path}/to") == 2
+    newer, broken = spark.createDataFrame([(2, "new"), (3, "d")], "id int, name string"), spark.createDataFrame([(1,)], "other int")
+    done, failed = files.sync_tables(spark, {"t": (newer, ["id"]), "fresh": (rows, ["id"]), "bad": (broken, ["id"])}, {"t": rows, "bad": rows})
+    assert sorted(map(tuple, done["t"].collect())) == [(1, "a"), (2, "new"), (3, "d")] and done["fresh"].count() == 2 and list(failed) == ["bad"]
+    lines = ['{"metadata": {"chunk_id": "q1", "content_hash": "h", "chunk_type": "quote", "paragraph": 3}}', '{"metadata": {"chunk_id": "q2", "chunk_type": "quote", "paragraph": 0}}', "no json"]
+    (tmp_path / "q.jsonl").write_text("\n".join(lines))
+    assert [(r["chunk_id"], r["paragraph"]) for r in files.quote_records(spark, [str(tmp_path / "q.jsonl")]).collect()] == [("q1", 3)]
+
+
+def test_changes_of_search_keys_only(spark):
+    stored = spark.createDataFrame([("a", "h", "quote", "X", "p"), ("b", "h", "quote", None, "p")], "chunk_id string, content_hash string, chunk_type string, venue string, worldview string")
+    batch = spark.createDataFrame([("a", "h", "quote", "X", "other"), ("b", "h", "quote", "Y", "p"), ("c", "h", "quote", "Y", "p")], stored.schema)
+    assert {r["chunk_id"]: r["change"] for r in merge.classify(batch, stored).collect()} == {"a": "unchanged", "b": "payload_only", "c": "new"}
+    with pytest.raises(ValueError):
+        merge.classify(batch.drop("venue"), stored)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from lodestone.sources import scratch
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"getConf": staticmethod(Conf)})
+
+    with pytest.raises(ValueError):
+        scratch.folder(Session, "x")
+    assert scratch.folder(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
