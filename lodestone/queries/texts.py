@@ -76,34 +76,48 @@ def word_and_token_counts(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.words(t)).cast("long").alias("words"), X.tokens_estimate(t).alias("tokens"), F.octet_length(t).cast("long").alias("bytes"))
 
 
-@query(r"""with t as (select doc_id, 'See [3] and [' || doc_id % 5 || '], also [3] and [x].' as a from documents) select doc_id, array_to_string(list_distinct_ordered, ',') as cited from
-  (select doc_id, case when doc_id % 5 = 3 then ['3'] else ['3', (doc_id % 5)::varchar] end as list_distinct_ordered from t)""")
+#: Texts with citation marks where they have commas, full stops and question marks; known are 1 and 2 there.
+_MARKED = "m as (select doc_id, replace(replace(replace(coalesce(text, ''), ',', ' [1],'), '.', ' [2].'), '?', ' [12]?') as a from documents)"
+
+
+def _marked():
+    a = F.coalesce("text", F.lit(""))
+    for sign, n in ((",", 1), (".", 2), ("?", 12)):
+        a = F.replace(a, F.lit(sign), F.lit(f" [{n}]{sign}"))
+    return a
+
+
+@query(rf"""with {_MARKED}, x as (select doc_id, n, min(p) as p from (select doc_id, unnest(ns) as n, unnest(range(0, len(ns))) as p from (select doc_id, regexp_extract_all(a, '\[(\d+)\]', 1) as ns from m)) group by all)
+  select doc_id, coalesce(string_agg(n, ',' order by p), '') as cited from m left join x using (doc_id) group by 1""")
 def citation_marks(spark, d):
-    a = F.concat(F.lit("See [3] and ["), F.col("doc_id") % 5, F.lit("], also [3] and [x]."))
-    return docs(spark, d).select("doc_id", F.array_join(X.citation_numbers(a).cast("array<string>"), ",").alias("cited"))
+    return docs(spark, d).select("doc_id", F.array_join(X.citation_numbers(_marked()).cast("array<string>"), ",").alias("cited"))
 
 
-@query("select doc_id, 'A [1] b [2] c [1] d [9].' as answer from documents")
+@query(rf"""with {_MARKED}, x as (select doc_id, a, strpos(a, '[1]') as p, strpos(a, '[2]') as q from m), y as (select *, case when p = 0 then 1 when q = 0 or p < q then 1 else 2 end as one, case when q = 0 then 2 when p = 0 or q < p then 1 else 2 end as two from x)
+  select doc_id, sha256(replace(replace(replace(a, '[1]', '[#' || one || ']'), '[2]', '[#' || two || ']'), '[#', '[')) as answer from y""")
 def citation_renumbering(spark, d):
-    """Marks of known citations (7 and doc_id % 5) by first appearance; 9 is unknown and stays."""
+    """Marks of known citations (1 and 2) by first appearance; 12 is unknown and stays."""
     from ..plans.context import renumber
 
-    m = F.col("doc_id") % 5
-    rows = docs(spark, d).select(F.col("doc_id").alias("answer_id"), F.concat(F.lit("A [7] b ["), m, F.lit("] c [7] d [9].")).alias("answer"), m.alias("m"))
-    cited = rows.select("answer_id", F.explode(F.array(F.lit(7), F.col("m").cast("int"))).alias("n"))
-    return renumber(rows.select("answer_id", "answer"), cited).select(F.col("answer_id").alias("doc_id"), "answer")
+    rows = docs(spark, d).select(F.col("doc_id").alias("answer_id"), _marked().alias("answer"))
+    cited = rows.select("answer_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    return renumber(rows, cited).select(F.col("answer_id").alias("doc_id"), F.sha2("answer", 256).alias("answer"))
 
 
-_NAMES = "n as (select doc_id, case doc_id % 3 when 0 then 'Author_' || source || '@Some_title' when 1 then 'A_B#T_U#' || doc_id else 'Plain_title' end as stem from documents)"
+_NAMES = """n as (select doc_id, case doc_id % 3 when 0 then array_to_string(ws[1:2], '_') || '@' || array_to_string(ws[3:5], '_') when 1 then array_to_string(ws[1:2], '_') || '#' || array_to_string(ws[3:4], '_') || '#' || doc_id
+    else array_to_string(ws[1:4], '_') end as stem, ws from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as ws from documents) where len(ws) > 5)"""
 
 
-@query(f"""with {_NAMES} select doc_id, case when contains(stem, '@') then replace(split_part(stem, '@', 1), '_', ' ') when contains(stem, '#') then replace(split_part(stem, '#', 1), '_', ' ') end as author,
-  replace(case when contains(stem, '@') then substr(stem, strpos(stem, '@') + 1) when contains(stem, '#') then substr(stem, strpos(stem, '#') + 1) else stem end, '_', ' ') as title,
-  case doc_id % 3 when 1 then 'A B: T U (GA ' || doc_id || ')' else replace(stem, '_', ' ') end as pretty from n""")
+@query(f"""with {_NAMES} select doc_id, case doc_id % 3 when 0 then ws[1] || ' ' || ws[2] when 1 then ws[1] || ' ' || ws[2] end as author,
+  case doc_id % 3 when 0 then ws[3] || ' ' || ws[4] || ' ' || ws[5] when 1 then ws[3] || ' ' || ws[4] || '#' || doc_id else replace(stem, '_', ' ') end as title,
+  case doc_id % 3 when 1 then ws[1] || ' ' || ws[2] || ': ' || ws[3] || ' ' || ws[4] || ' (GA ' || doc_id || ')' else replace(stem, '_', ' ') end as pretty from n""")
 def file_names(spark, d):
-    m = F.col("doc_id") % 3
-    stem = F.when(m == 0, F.concat(F.lit("Author_"), "source", F.lit("@Some_title"))).when(m == 1, F.concat(F.lit("A_B#T_U#"), "doc_id")).otherwise("Plain_title")
-    n = table(spark, d, "documents").select("doc_id", stem.alias("stem"))
+    """Names made of the texts' first words: `A_B@T_U_V`, `A_B#T_U#n` and plain ones."""
+    m, ws = F.col("doc_id") % 3, F.col("ws")
+    some = lambda lo, n: F.array_join(F.slice(ws, lo, n), "_")
+    n = docs(spark, d).select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("ws")).where("size(ws) > 5")
+    stem = F.when(m == 0, F.concat(some(1, 2), F.lit("@"), some(3, 3))).when(m == 1, F.concat(some(1, 2), F.lit("#"), some(3, 2), F.lit("#"), "doc_id")).otherwise(some(1, 4))
+    n = n.select("doc_id", stem.alias("stem"))
     return n.select("doc_id", X.file_author(F.col("stem")).alias("author"), X.file_title(F.col("stem")).alias("title"), X.book_title(F.col("stem")).alias("pretty"))
 
 
@@ -129,13 +143,13 @@ def enriched_query(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", q.alias("q"))
 
 
-@query(r"""select doc_id, '{"a": ' || doc_id || '}' as json, doc_id as a, least(1.0, greatest(0.0, round_even(doc_id / 300.0::double, 4)))::double as relevance from documents""")
+@query(r"""select doc_id, sha256(coalesce(text, '')) as text_sha256, doc_id as a, least(1.0, greatest(0.0, round_even(doc_id / 300.0::double, 4)))::double as relevance from documents""")
 def model_json(spark, d):
-    """A fenced answer of a model, its object and a relevance clamped to 0..1."""
-    answer = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('Sure:\n```json\n{"a": '), "doc_id", F.lit("}\n```\n"))).otherwise(F.concat(F.lit('x {"a": '), "doc_id", F.lit("} y")))
-    j = X.fenced_json(answer)
+    """A fenced or bare answer of a model that quotes the text, its object's fields and a relevance clamped to 0..1."""
+    made = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"), F.col("doc_id").alias("a")))
+    j = X.fenced_json(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure:\n```json\n"), made, F.lit("\n```\n"))).otherwise(F.concat(F.lit("x "), made, F.lit(" y"))))
     rel = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.bround(F.col("doc_id") / 300.0, 4)))
-    return docs(spark, d).select("doc_id", j.alias("json"), F.get_json_object(j, "$.a").try_cast("long").alias("a"), rel.alias("relevance"))
+    return docs(spark, d).select("doc_id", F.sha2(F.get_json_object(j, "$.t"), 256).alias("text_sha256"), F.get_json_object(j, "$.a").try_cast("long").alias("a"), rel.alias("relevance"))
 
 
 @query(C + "select chunk_id, 'Q: ' || chunk_type || ' by ' || coalesce(author, '') || '.' as prompt from chunks")
