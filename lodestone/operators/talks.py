@@ -21,11 +21,17 @@ def turn_counts(talks: DataFrame, turns: DataFrame) -> DataFrame:
     return talks.join(n, "talk_id", "left").withColumn("turns", F.coalesce("turns", F.lit(0)))
 
 
-def nested_turns(talks: DataFrame, turns: DataFrame, references: DataFrame) -> DataFrame:
-    """Talks with their turns in order, each with its references. Children are aggregated before they are joined."""
+def nested_turns(talks: DataFrame, turns: DataFrame, references: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+    """Talks with their turns in order, each with its references, and with its model calls' tokens if usage (talk_id,
+    turn_index, tokens) is given. Children are aggregated before they are joined."""
     refs = references.groupBy("talk_id", "turn_index").agg(F.sort_array(F.collect_list(F.struct("reference_index", "chunk_id", "relevance"))).alias("references"))
     rows = turns.join(refs, ["talk_id", "turn_index"], "left").withColumn("references", F.coalesce("references", F.array().cast(refs.schema["references"].dataType)))
-    nested = rows.groupBy("talk_id").agg(F.sort_array(F.collect_list(F.struct("turn_index", "role", "text", "references"))).alias("turns"))
+    fields = ["turn_index", "role", "text", "references"]
+    if usage is not None:
+        calls = usage.groupBy("talk_id", "turn_index").agg(F.sort_array(F.collect_list("tokens")).alias("usage"))
+        rows = rows.join(calls, ["talk_id", "turn_index"], "left").withColumn("usage", F.coalesce("usage", F.array().cast(calls.schema["usage"].dataType)))
+        fields.append("usage")
+    nested = rows.groupBy("talk_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("turns"))
     return talks.join(nested, "talk_id", "left")
 
 

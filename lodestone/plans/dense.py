@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.scratch import folder
+
 #: Floats of query vectors that one pass broadcasts; more queries take further passes over the vectors.
 BLOCK_FLOATS = 8_000_000
 DIGITS = 9
 
 
-def _scored(vectors: DataFrame, block: list[tuple], fetch: int) -> DataFrame:
-    """(query_id, key, score): each task's own best `fetch` rows of each query, by (score desc, key)."""
+def _scored(vectors: DataFrame, block: list[tuple], fetch: int, id_field: T.StructField) -> DataFrame:
+    """(query_id, chunk_id, score): each task's own best `fetch` rows of each query, by (score desc, chunk_id)."""
     key = vectors.schema["chunk_id"]
-    ids = [r[0] for r in block]
+    ids = pa.array([r[0] for r in block], to_arrow_type(id_field.dataType))
     q = np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
-    schema = T.StructType([T.StructField("at", T.IntegerType()), key, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([id_field, key, T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        _, unit = shared.value
+        ids, unit = shared.value
         best = [(np.zeros(0), np.zeros(0, dtype=object))] * len(unit)
         for batch in batches:
             values, keys = batch.column("embedding"), np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)
@@ -33,7 +35,7 @@ def _scored(vectors: DataFrame, block: list[tuple], fetch: int) -> DataFrame:
             score = np.zeros((n, len(unit)))
             if good.any():  # vectors of other lengths keep the score 0
                 m = np.asarray(values.filter(pa.array(good)).flatten(), dtype=np.float64).reshape(-1, width)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 score[good] = np.round(m @ unit.T, DIGITS) + 0.0
             for j in range(len(unit)):
                 s, k = np.concatenate([best[j][0], score[:, j]]), np.concatenate([best[j][1], keys])
@@ -43,8 +45,7 @@ def _scored(vectors: DataFrame, block: list[tuple], fetch: int) -> DataFrame:
                 top = np.lexsort((k, -s))[:fetch]
                 best[j] = s[top], k[top]
         for j, (s, k) in enumerate(best):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(s), j, dtype=np.int32)), pa.array(list(k), to_arrow_type(key.dataType)), pa.array(s)], names=["at", key.name, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[j].as_py()] * len(s), ids.type), pa.array(list(k), to_arrow_type(key.dataType)), pa.array(s)], names=schema.names)
 
     return vectors.select("chunk_id", "embedding").mapInArrow(run, schema)
 
@@ -53,17 +54,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, fetch: int) -> DataFrame:
     """query_id, rank, chunk_id, score. vectors: chunk_id, embedding; queries: query_id, embedding.
 
     Every task scores its vectors against a broadcast block of queries and passes on its best `fetch`
-    rows a query; these are ranked per query. Ties go to the smaller chunk_id.
+    rows a query; these are ranked per query. Ties go to the smaller chunk_id. While the queries need more than one
+    block, blocks are gathered, searched and written one after another, so the driver holds one at a time.
     """
     spark = vectors.sparkSession
-    rows = [(r["query_id"], r["embedding"]) for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()]
-    step = max(1, BLOCK_FLOATS // max(1, max((len(r[1]) for r in rows), default=1)))
     id_field = T.StructField("query_id", queries.schema["query_id"].dataType)
-    out = spark.createDataFrame([], T.StructType([id_field, T.StructField("chunk_id", vectors.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]))
-    for lo in range(0, len(rows), step):
-        block = rows[lo : lo + step]
-        names = F.array(*[F.lit(r[0]).cast(id_field.dataType) for r in block])
-        out = out.union(_scored(vectors, block, fetch).select(names[F.col("at")].alias("query_id"), "chunk_id", "score"))
+    floats = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    blocks = max(1, -(-floats // BLOCK_FLOATS))
+    out = None
+    for b in range(blocks):
+        some = queries.select("query_id", "embedding") if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding")
+        rows = [(r["query_id"], r["embedding"]) for r in some.collect()]  # about BLOCK_FLOATS numbers
+        found = _scored(vectors, rows, fetch, id_field) if rows else spark.createDataFrame([], T.StructType([id_field, vectors.schema["chunk_id"], T.StructField("score", T.DoubleType())]))
+        if blocks > 1:
+            path = folder(spark, "scored")
+            found.write.parquet(path)
+            found = spark.read.schema(found.schema).parquet(path)
+        out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= fetch).select("query_id", "rank", "chunk_id", "score")
 

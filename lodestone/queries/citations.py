@@ -66,23 +66,23 @@ def source_display_names(spark, d):
     return meta(spark, d).select("source_id", Z.display_name(F.col("author"), F.col("book_title")).alias("name")).distinct()
 
 
-_PARA = """p as (select 'p-' || doc_id as paragraph_id, (doc_id % 17)::int as paragraph_number, 'book-' || doc_id % 3 as source_id, case when doc_id % 11 = 0 then timestamp '2024-06-01' end as deleted_at from chunks),
+PARAGRAPHS_SQL = """p as (select 'p-' || doc_id as paragraph_id, (doc_id % 17)::int as paragraph_number, 'book-' || doc_id % 3 as source_id, case when doc_id % 11 = 0 then timestamp '2024-06-01' end as deleted_at from chunks),
   l as (select 'doc-' || (doc_id - doc_id % 5) as chunk_id, 'p-' || doc_id as paragraph_id from chunks where doc_id % 3 > 0)"""
 
 
-def _paragraphs(spark, d):
+def paragraphs(spark, d):
     c, i = chunks(spark, d), F.col("doc_id")
     p = c.select(F.concat(F.lit("p-"), i).alias("paragraph_id"), (i % 17).cast("int").alias("paragraph_number"), F.concat(F.lit("book-"), i % 3).alias("source_id"),
                  F.when(i % 11 == 0, F.expr("timestamp_ntz'2024-06-01 00:00:00'")).alias("deleted_at"))
     return p, c.where("doc_id % 3 > 0").select(F.concat(F.lit("doc-"), i - i % 5).alias("chunk_id"), F.concat(F.lit("p-"), i).alias("paragraph_id"))
 
 
-@query(M + ", " + _PARA + """, low as (select chunk_id, paragraph_id from l join p using (paragraph_id) where deleted_at is null qualify row_number() over (partition by chunk_id order by paragraph_number, paragraph_id) = 1),
+@query(M + ", " + PARAGRAPHS_SQL + """, low as (select chunk_id, paragraph_id from l join p using (paragraph_id) where deleted_at is null qualify row_number() over (partition by chunk_id order by paragraph_number, paragraph_id) = 1),
   h as (select m.chunk_id, chunk_type, m.source_id, coalesce(nullif(trim(m.paragraph_id), ''), low.paragraph_id) as paragraph_id, chunk_type in ('book', 'secondary_book', 'talk', 'quote', 'quote_explanation') as opens from meta m left join low using (chunk_id))
   select chunk_id, chunk_type, case when opens then coalesce(p.source_id, h.source_id) else h.source_id end as source_id, h.paragraph_id, opens and h.paragraph_id is null as navigation_error
   from h left join p on p.paragraph_id = h.paragraph_id and p.deleted_at is null""")
 def search_navigation(spark, d):
-    p, links = _paragraphs(spark, d)
+    p, links = paragraphs(spark, d)
     hits = meta(spark, d).select("chunk_id", "chunk_type", "source_id", "paragraph_id")
     return Z.navigable(hits, links, p).select("chunk_id", "chunk_type", "source_id", "paragraph_id", "navigation_error")
 

@@ -14,6 +14,7 @@ from ..plans.sparse import sparse_retrieve, sparse_top
 from ..registry import query
 from ..schemas import overfetch
 from ..sources.testdata import CHUNKS_SQL, chunks, table, vectors
+from .citations import PARAGRAPHS_SQL, paragraphs
 
 FIELDS = ("text", "chunk_type", "source_id", "source_title", "author", "parent_id")
 
@@ -237,14 +238,20 @@ def broad_slots(spark, d):
     return one[0].union(one[1]).union(one[2])
 
 
-@query(sql(dense_sql("a", 15), end="""
-, g as (select label as worldview_no, query_id, chunk_id, h.score, row_number() over (partition by label, query_id order by h.rank) as n from a h join embeddings e on 'doc-' || e.vec_id = h.chunk_id)
-select worldview_no, query_id, n as rank, chunk_id from g where n <= 3"""))
+_VIEWS = ("Dynamismus", "Idealismus", "Psychismus")
+
+
+@query(sql(*[dense_sql(f"v{i}{part}", k, "iq", f"worldview = '{w}'{more}") for i, w in enumerate(_VIEWS) for part, k, more in (("a", 4, ""), ("b", 2, " and chunk_type in ('book', 'secondary_book')"))],
+           end=" union all ".join(f"select '{w}' as worldview, '{slot}' as slot, query_id, rank, chunk_id from v{i}{part}" for i, w in enumerate(_VIEWS) for part, slot in (("a", "all"), ("b", "books")))))
 def worldview_fan_out(spark, d):
-    """The hits of each query dealt to worldviews (the vectors' labels), best three in each."""
-    hits = dense_retrieve(chunks(spark, d), vectors(spark, d), vector_queries(spark, d), 15).join(vectors(spark, d).select("chunk_id", F.col("label").alias("worldview_no")), "chunk_id")
-    n = F.row_number().over(Window.partitionBy("worldview_no", "query_id").orderBy("rank"))
-    return hits.withColumn("n", n).where("n <= 3").select("worldview_no", "query_id", F.col("n").cast("long").alias("rank"), "chunk_id")
+    """Two contexts for each worldview and query, each retrieved within the worldview."""
+    c, v, q = chunks(spark, d), vectors(spark, d), item_vectors(spark, d)
+    out = None
+    for w in _VIEWS:
+        for slot, k, types in (("all", 4, []), ("books", 2, ["primary", "secondary"])):
+            one = dense_retrieve(c, v, q, k, filters.payload(w, types)).select(F.lit(w).alias("worldview"), F.lit(slot).alias("slot"), "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
+            out = one if out is None else out.union(one)
+    return out
 
 
 # --- context ------------------------------------------------------------------------------------------------
@@ -297,18 +304,23 @@ def title_match_search(spark, d):
     return listed(title_hits(spark, d))
 
 
-@query(sql(f"t as ({_TITLE})", dense_sql("a", 20, "iq"), sparse_sql("b", 20), rrf_sql("f", "a", "b", 20), end="""
+@query(sql(PARAGRAPHS_SQL, f"t as ({_TITLE})", dense_sql("a", 20, "iq"), sparse_sql("b", 20), rrf_sql("f", "a", "b", 20), end="""
 , u as (select query_id, chunk_id, score, 0 as list, rank from t union all select query_id, chunk_id, score, 1, rank from f where (query_id, chunk_id) not in (select (query_id, chunk_id) from t)),
 o as (select query_id, chunk_id, score, row_number() over (partition by query_id order by list, rank) as pos from u),
-p as (select * from o where pos <= 12 or query_id not in (select query_id from t)),
-w as (select p.*, c.chunk_type, c.parent_id, m.chunk_type as parent_type from p join chunks c using (chunk_id) left join chunks m on m.chunk_id = c.parent_id),
+cut as (select * from o where pos <= 12 or query_id not in (select query_id from t)),
+w as (select cut.*, c.chunk_type, c.parent_id, m.chunk_type as parent_type from cut join chunks c using (chunk_id) left join chunks m on m.chunk_id = c.parent_id),
 x as (select query_id, case when chunk_type = 'quote_explanation' then parent_id else chunk_id end as chunk_id, case when chunk_type = 'quote_explanation' then 'quote' else chunk_type end as chunk_type, score, pos
   from w where chunk_type <> 'quote_explanation' or parent_type = 'quote'),
 y as (select * from x qualify row_number() over (partition by query_id, chunk_id order by score desc, pos) = 1),
-z as (select *, count(*) filter (chunk_type = 'chapter_summary') over (partition by query_id order by pos) as n from y)
-select query_id, pos, chunk_id, chunk_type, round(score, 6) as score from z where chunk_type <> 'chapter_summary' or n <= 3"""))
+z as (select *, count(*) filter (chunk_type = 'chapter_summary') over (partition by query_id order by pos) as n from y),
+low as (select l.chunk_id, p.paragraph_id, p.source_id from l join p using (paragraph_id) where deleted_at is null qualify row_number() over (partition by l.chunk_id order by paragraph_number, paragraph_id) = 1),
+nav as (select z.*, c.source_id as own, low.paragraph_id, low.source_id as theirs, z.chunk_type in ('book', 'secondary_book', 'talk', 'quote', 'quote_explanation') as opens
+  from z join chunks c using (chunk_id) left join low using (chunk_id) where z.chunk_type <> 'chapter_summary' or n <= 3)
+select query_id, pos, chunk_id, chunk_type, round(score, 6) as score, paragraph_id, case when opens then coalesce(theirs, own) else own end as source_id, opens and paragraph_id is null as navigation_error from nav"""))
 def app_search(spark, d):
-    """Title hits first, hybrid hits behind, explanations swapped for their quotes, best of each chunk, summaries capped."""
+    """Title hits first, hybrid hits behind, explanations swapped for their quotes, best of each chunk, summaries capped;
+    with the paragraph that opens, its source, and a mark where one is missing."""
+    from ..operators.citations import navigable
     from ..operators.joins import swap_or_drop
 
     c = chunks(spark, d)
@@ -316,7 +328,10 @@ def app_search(spark, d):
     union = fusion.ordered_union(title_hits(spark, d), hybrid, 12)
     hits = with_payload(union, c, "chunk_type", "parent_id")
     best = ranking.best_hit(swap_or_drop(hits, c), "rank", ["query_id"])
-    return ranking.cap_type(best).select("query_id", F.col("rank").cast("long").alias("pos"), "chunk_id", "chunk_type", F.round("score", 6).alias("score"))
+    shown = with_payload(ranking.cap_type(best).drop("source_id"), c, "source_id").withColumn("paragraph_id", F.lit(None).cast("string"))
+    opened, links = paragraphs(spark, d)
+    return navigable(shown, links, opened).select(
+        "query_id", F.col("rank").cast("long").alias("pos"), "chunk_id", "chunk_type", F.round("score", 6).alias("score"), "paragraph_id", "source_id", "navigation_error")
 
 
 # --- vectors ------------------------------------------------------------------------------------------------

@@ -141,3 +141,52 @@ def talk_reference_expansion(spark, d):
     hits = talks(spark, d).select(F.expr("talk_id div 50").alias("query_id"), name("talk_id").alias("chunk_id"), F.when(F.col("talk_id") % 4 == 3, "book").otherwise("talk").alias("chunk_type"), F.col("talk_id").alias("rank"))
     refs = references(spark, d).where("turn_index = 2").withColumn("talk_id", name("talk_id"))
     return T.expand_talks(hits, refs).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
+@query(T_ + """, r as (select talk_id, turn_index, count(*) as n from refs group by 1, 2), g as (select talk_id, turn_index, sum(turn_index * 10 + k)::bigint as tokens from turns, (values (0), (1)) t(k) where k = 0 or turn_index % 2 = 0 group by 1, 2)
+  select t.talk_id, string_agg(u.turn_index || ':' || coalesce(r.n, 0) || ':' || g.tokens, ' ' order by u.turn_index) as turns from talks t join turns u on u.talk_id = t.talk_id
+  left join r on r.talk_id = u.talk_id and r.turn_index = u.turn_index join g on g.talk_id = u.talk_id and g.turn_index = u.turn_index group by 1""")
+def talk_detail(spark, d):
+    """Turns with their references and their model calls: both are gathered before they meet, so neither multiplies the other."""
+    calls = turns(spark, d).select("talk_id", "turn_index", F.explode(F.when(F.col("turn_index") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
+    usage = calls.select("talk_id", "turn_index", (F.col("turn_index") * 10 + F.col("k")).alias("tokens"))
+    nested = T.nested_turns(talks(spark, d).select("talk_id"), turns(spark, d), references(spark, d), usage)
+    line = lambda t: F.concat_ws(":", t["turn_index"].cast("string"), F.size(t["references"]).cast("string"), F.aggregate(t["usage"], F.lit(0).cast("long"), lambda a, x: a + x).cast("string"))
+    return nested.where("turns is not null").select("talk_id", F.array_join(F.transform("turns", line), " ").alias("turns"))
+
+
+@query(T_ + """select 'messages' as kind, talk_id, turn_index from turns qualify row_number() over (partition by talk_id order by turn_index desc) <= 6
+  union all select 'asked', talk_id, turn_index from turns where role = 'user' qualify row_number() over (partition by talk_id order by turn_index desc) <= 3""")
+def recent_messages(spark, d):
+    """The last six messages of a talk, and the user's last three."""
+    t = turns(spark, d).select("talk_id", "turn_index", "role")
+    six, three = ranking.last_per(t, "talk_id", "turn_index", 6), ranking.last_per(t.where("role = 'user'"), "talk_id", "turn_index", 3)
+    return six.select(F.lit("messages").alias("kind"), "talk_id", "turn_index").union(three.select(F.lit("asked"), "talk_id", "turn_index"))
+
+
+@query(T_ + """, e as (select 'e' || (talk_id % 30) as email, talk_id from talks), i as (select email, max(talk_id) as last from e where talk_id % 30 < 20 group by 1)
+  select distinct e.email, case when i.email is null then 'none' when last % 3 = 0 then 'redeemed' when last % 3 = 1 then 'expired' else 'pending' end as state from e left join i using (email)""")
+def invitation_state_of_addresses(spark, d):
+    """Every address, also those without an invitation."""
+    t = talks(spark, d).select(F.concat(F.lit("e"), F.col("talk_id") % 30).alias("email"), "talk_id")
+    now = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
+    sent = t.where("talk_id % 30 < 20").select(
+        "email", F.col("talk_id").alias("id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(talk_id as int), 0, 0)").alias("created_at"),
+        F.when(F.col("talk_id") % 3 == 0, now).alias("redeemed_at"), F.when(F.col("talk_id") % 3 == 1, F.expr("timestamp_ntz'2024-01-20 00:00:00'")).otherwise(F.expr("timestamp_ntz'2024-03-01 00:00:00'")).alias("expires_at"))
+    states = T.invitation_states(sent, now)
+    return t.select("email").distinct().join(states, "email", "left").select("email", F.coalesce("state", F.lit("none")).alias("state"))
+
+
+@query("""with t as (select conv_id as talk_id, sum(length(coalesce(text, '')) // 4)::bigint as turns from conversations group by 1), c as (select doc_id // 10 as talk_id, sum(length(coalesce(text, '')) // 4)::bigint as cited from documents where doc_id % 2 = 0 group by 1),
+  x as (select talk_id, turns, coalesce(cited, 0) as cited, case when talk_id % 3 = 0 then length('document ' || talk_id) // 4 else 0 end as document, case when talk_id % 2 = 0 then length('paragraph ' || talk_id) // 4 else 0 end as paragraph from t left join c using (talk_id))
+  select talk_id, turns, cited, turns + cited + document + paragraph + 800 as tokens from x""")
+def context_tokens(spark, d):
+    """All parts of a talk's context: turns, cited texts, document, paragraph and the system prompt."""
+    from ..functions.text import tokens_estimate
+
+    t = turns(spark, d).groupBy("talk_id").agg(F.sum(tokens_estimate(F.col("text"))).alias("turns"))
+    c = table(spark, d, "documents").where("doc_id % 2 = 0").groupBy(F.expr("doc_id div 10").alias("talk_id")).agg(F.sum(tokens_estimate(F.col("text"))).alias("cited"))
+    i = F.col("talk_id")
+    parts = [F.when(i % n == 0, F.concat(F.lit(name), i)) for n, name in ((3, "document "), (2, "paragraph "))]
+    rows = t.join(c, "talk_id", "left").withColumn("cited", F.coalesce("cited", F.lit(0)))
+    return rows.select("talk_id", "turns", "cited", (F.col("turns") + F.col("cited") + sum((tokens_estimate(p) for p in parts), F.lit(800))).alias("tokens"))

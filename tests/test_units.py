@@ -235,3 +235,16 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError):
         scratch.folder(Session, "x")
     assert scratch.folder(spark, "x").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+def test_dense_queries_in_blocks(spark, monkeypatch):
+    """Query vectors in several blocks give the hits of one block."""
+    from lodestone.plans import dense
+
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(f"c{i}", [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(9)], "query_id int, embedding array<double>")
+    whole = sorted(map(tuple, dense.top_k(v, q, 3).collect()))
+    monkeypatch.setattr(dense, "BLOCK_FLOATS", 12)
+    assert sorted(map(tuple, dense.top_k(v, q, 3).collect())) == whole and len(whole) == 27
+    assert dense.top_k(v, q.limit(0), 3).count() == 0
