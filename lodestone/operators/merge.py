@@ -64,6 +64,21 @@ def ingest_report(classified: DataFrame) -> DataFrame:
     return classified.agg(F.count("*").alias("requested"), n("new"), n("changed_embed"), n("payload_only"), n("unchanged"))
 
 
+def ingest_counters(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """requested, duplicates, ingested, unchanged, changed, new, stale: one row about a batch whose rows may repeat.
+
+    Stale are stored rows of the batch's sources and types that it does not name.
+    """
+    once = batch.dropDuplicates(["chunk_id", "content_hash"])
+    counted = classify(once, stored).agg(
+        F.count("*").alias("rows"), F.count_if(F.col("change") != "unchanged").alias("ingested"), F.count_if(F.col("change") == "unchanged").alias("unchanged"),
+        F.count_if(F.col("change").isin("changed_embed", "payload_only")).alias("changed"), F.count_if(F.col("change") == "new").alias("new"))
+    left = stale_points(stored, batch, batch).agg(F.count("*").alias("stale"))
+    asked = batch.agg(F.count("*").alias("requested"))
+    return asked.crossJoin(counted).crossJoin(left).select(  # one row each
+        "requested", (F.col("requested") - F.col("rows")).alias("duplicates"), "ingested", "unchanged", "changed", "new", "stale")
+
+
 def replace_keys(mirror: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Delete by key, then insert."""
     return mirror.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, collapse
 from ..schemas import CHUNK_TYPES, WORLDVIEWS
 
 # Fixed values.
@@ -107,6 +107,16 @@ def pipeline(docs: DataFrame, least_quality: float = 0.3) -> DataFrame:
         "grade", grade(F.col("completeness"), F.size("errors"), F.size("warnings")))
 
 
+def clean_metadata(rows: DataFrame) -> DataFrame:
+    """author, year and page_number trimmed, blank ones null; years that are no four digits and pages that are no number
+    are refused and counted in `rejected`."""
+    plain = {c: F.nullif(F.trim(c), F.lit("")) for c in ("author", "year", "page_number")}
+    bad = [F.coalesce(~plain[c].rlike(form), F.lit(False)) for c, form in (("year", r"^\d{4}$"), ("page_number", r"^\d+$"))]
+    return rows.select(
+        *[c for c in rows.columns if c not in plain], collapse(F.translate(plain["author"], "_", " ")).alias("author"),
+        F.when(~bad[0], plain["year"]).alias("year"), F.when(~bad[1], plain["page_number"]).alias("page_number"), (bad[0].cast("int") + bad[1].cast("int")).alias("rejected"))
+
+
 def file_violations() -> Column:
     """Arguments of an embedding call: path with a known extension, known width."""
     extension = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))

@@ -20,4 +20,4 @@ def query(oracle: str | None = None, name: str | None = None):
     return put
 
 
-from .queries import analytics, citations, lifecycle, quality, retrieval, scans, streams, talks, texts  # noqa: E402, F401
+from .queries import analytics, citations, lifecycle, quality, reports, retrieval, scans, streams, talks, texts  # noqa: E402, F401
