@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 _own_dir: str | None = None
+_written: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +49,22 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    _written.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that are materialized inside are removed at the end, but for those put into the list that is given."""
+    start, keep = len(_written), []
+    try:
+        yield keep
+    finally:
+        kept = {df._lodestone_path for df in keep}
+        discard(*[df for df in _written[start:] if getattr(df, "_lodestone_path", None) not in kept])
+        _written[start:] = keep
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove materialized tables that no later plan reads."""
     for df in frames:
@@ -55,6 +72,7 @@ def discard(*frames: DataFrame) -> None:
             jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            df._lodestone_path = None
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -67,6 +85,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of tables that have been written: its cleaner waits for the driver's garbage
+    collection, which may not come for long while the executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_ascii(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)

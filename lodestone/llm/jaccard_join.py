@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, connected_components, discard, materialize, small_batches, unused
+from .common import LOWER, UPPER, connected_components, discard, materialize, small_batches, sweep, unused
 
 #: Counters of the sketch that orders shingles by frequency; what one task emits and what is broadcast.
 COUNTERS, COUNTER_BLOCK = 1 << 18, 1 << 10
@@ -147,28 +147,23 @@ def count_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_hash, n (size of the set), print (hash of the set) and its prefixes under the three orders."""
+    """doc_id, text_hash, n (size of the set), print (hash of the set) and its prefix under order A."""
     counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, k))
-    ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()),
-        T.StructField("print", T.StringType()), T.StructField("a", T.ArrayType(T.LongType())), T.StructField("b", ints), T.StructField("c", ints)])
+        T.StructField("print", T.StringType()), T.StructField("a", T.ArrayType(T.LongType()))])
 
     def run(batches):
         hashes, none = Hashes(), np.zeros(0, np.int64)
         for batch in batches:
-            n, prints, a, b, c = [], [], [], [], []
+            n, prints, a = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k, hashes)
-                p = prefix_length(len(s), num, den)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                a.append(common_prefix(s, p, counts.value).view(np.int64) if len(s) else none)
-                for out, order in ((b, B), (c, C)):
-                    out.append(hashed_prefix(s, order, p) if len(s) else none.astype(np.int32))
+                a.append(common_prefix(s, prefix_length(len(s), num, den), counts.value).view(np.int64) if len(s) else none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int32()), pa.array(prints, pa.string()), pa.array(a, pa.list_(pa.int64())),
-                 pa.array(b, pa.list_(pa.int32())), pa.array(c, pa.list_(pa.int32()))], names=schema.names)
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int32()), pa.array(prints, pa.string()), pa.array(a, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -189,15 +184,17 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     # The written numbers of representatives are as good as random, and longs are cheaper to carry than prints.
     reps = materialize(kept.groupBy("print").agg(F.min("doc_id").alias("owner")).withColumn("rep", F.monotonically_increasing_id()), "reps")
     members = described.select("doc_id", "text_hash", "n", "print").join(reps.select("print", "rep").hint("merge"), "print", "left").drop("print")
-    sets = kept.join(reps.hint("merge"), "print").where("doc_id = owner").groupBy("rep").agg(F.first(F.struct("doc_id", "text_hash", "n", "a", "b", "c")).alias("s"))
+    sets = kept.join(reps.hint("merge"), "print").where("doc_id = owner").groupBy("rep").agg(F.first(F.struct("doc_id", "text_hash", "n", "a")).alias("s"))
     sets = materialize(sets.select("rep", "s.*"), "sets")
     owners = sets.select("rep", "doc_id", "text_hash")
+    sweep(docs.sparkSession)
 
     posts = sets.select("rep", "n", F.posexplode("a").alias("pos", "token"))
     several = posts.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1").drop("m")
     shared = materialize(posts.join(several.hint("merge"), "token").select("token", "rep", "n", "pos", "hub"), "postings")
 
     # 1. one hub for each representative
+    sweep(docs.sparkSession)
     votes = shared.where("hub != rep").groupBy("rep", "hub").agg(F.count("*").alias("v"))
     star = materialize(votes.groupBy("rep").agg(F.max_by("hub", F.struct("v", -F.col("hub"))).alias("hub")), "stars")
     core = materialize(differences(docs, star, owners, k, num, den, near=True), "differences")
@@ -211,6 +208,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     labelled = materialize(
         shared.join(place.hint("merge"), "rep", "left").select("token", "rep", "n", "pos", "group", F.coalesce("comp", "rep").alias("comp")), "labelled")
     discard(shared, star)
+    sweep(docs.sparkSession)
     open_tokens = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
     rest = materialize(labelled.join(open_tokens.hint("merge"), "token"), "open-postings")
     discard(labelled)
@@ -230,7 +228,8 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     x, y = loose.alias("x"), loose.alias("y")
     able = f"least(x.n - x.pos, y.n - y.pos) >= {need('x.n', 'y.n')} and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
     pairs = x.join(y.hint("merge"), F.expr(f"x.token = y.token and x.rep < y.rep and {able}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    pairs = materialize(in_other_orders(pairs, sets), "pairs")
+    pairs = materialize(pairs, "all-pairs")
+    pairs = materialize(in_other_orders(docs, pairs, owners, k, num, den), "pairs")
     links = links.unionByName(materialize(verify(docs, pairs, owners, k, num, den), "pair-links"))
 
     # 3. by differences from a common hub
@@ -239,8 +238,19 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     return Graph(members, owners, links)
 
 
-def in_other_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that share a prefix token under order B and under order C."""
+def in_other_orders(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs that share a prefix token under order B and under order C; these prefixes are made for the pairs' sets alone."""
+
+    def run(batches):
+        hashes = Hashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), k, hashes) for t in batch.column("text")]
+            cols = [pa.array([hashed_prefix(s, o, prefix_length(len(s), num, den)) for s in sets], pa.list_(pa.int32())) for o in (B, C)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *cols], names=["rep", "b", "c"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = _texts(docs, named, owners).mapInArrow(run, "rep long, b array<int>, c array<int>").dropDuplicates(["rep"])
+    sets = materialize(sets, "prefixes")
     side = lambda name: sets.select(F.col("rep").alias(name), F.col("b").alias(f"b_{name}"), F.col("c").alias(f"c_{name}")).hint("merge")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("b_a", "b_b") & F.arrays_overlap("c_a", "c_b")).select("a", "b")
 
