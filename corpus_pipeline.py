@@ -1,10 +1,18 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
+
+Every stage but the last returns the columns of documents, further ones included, whatever their names. Odd rows: a null
+or empty text fails the quality rules and goes there; a stage that is run by itself keeps such rows, and packing gives them
+a piece of one token. Rows with a null doc_id are judged by their texts: line dedup takes them before all others, the
+Jaccard join keeps them all, decontamination and packing treat them like others. Rows that repeat both id and text get
+the same decisions; of those the Jaccard join keeps one, and of one id with several texts each text is judged by itself.
+Very long texts are read whole. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import discard, materialize, scratch, unused
 from lodestone.llm.decontamination import drop_contaminated
 from lodestone.llm.jaccard_join import keep_one
 from lodestone.llm.line_dedup import dedup_lines
@@ -14,13 +22,15 @@ from lodestone.llm.queries import table, tokenizer_path
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that fail the base rule or lie outside their group's fences go."""
+    """Documents that fail the base rule or lie beyond their group's thresholds go."""
     return filter_quality(docs)
 
 
 def line_dedup(spark, docs, sf_dir):
     """Later copies of repeated runs of lines go; n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    aside, = unused(docs, "lines_removed_")
+    cut = dedup_lines(docs.withColumnRenamed("lines_removed", aside)).drop("lines_removed").withColumnRenamed(aside, "lines_removed")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def jaccard_join(spark, docs, sf_dir):
@@ -47,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The last stage's rows. Each stage is written; what it and the one before it wrote on the way is removed then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with scratch() as kept:
+            docs = materialize(stage(spark, before, sf_dir), name.replace(" ", "-"))
+            kept.append(docs)
+        discard(before)
     return docs
