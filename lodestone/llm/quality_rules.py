@@ -1,40 +1,44 @@
 """Quality rules (6): thresholds from mergeable quantile sketches per language and source.
 
-Each document is measured once. The measures' distributions are sketched per (lang, source) as log-linear
+The measures' distributions are sketched per (lang, source) as log-linear
 histograms (HDR style: 32 sub-buckets an octave, relative error 1/32): a sketch is a set of (bucket, count)
-rows, merging is adding counts, and a hot source is combined before it is shuffled. From the quartiles follow
-outlier fences; a document outside a fence of its group is rejected. Groups with fewer than `min_group`
-documents use the fences of their language, and those of all documents if that is small too.
+rows, merging is adding counts, and a hot source is combined before it is shuffled. From a sketch follow the
+lowest and highest tenth and the median; a group's are averaged with its language's, and those with the ones of all
+documents, as if `PRIOR` documents of the wider group belonged to it. So every group of every size has thresholds of
+its own, and small ones lean on the wider group. A threshold lies FENCE times as far beyond the outer tenth
+as that lies beyond the median.
+
+A rate is judged by its count: it may exceed what the threshold allows for the document's length by
+a few events (`RATES`), since one symbol or one repeated line in a short text says nothing about its rate.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null lang or source is a group of
 its own; repeated rows count and are judged alike; an empty table gives no rows; every input column stays as
-it is, even where its name equals one of ours (ours then win in `judge`).
+it is, even where its name equals one of ours (ours are then named with further underscores).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches, unused
 
 MIN_WORDS = 50
-#: A group's own fences need this many documents.
-MIN_GROUP = 200
-#: Fence: quartile +/- FENCE * (third quartile - first quartile), but never nearer to the median than the slack.
+#: Documents of the wider group that count in each group's quantiles.
+PRIOR = 300
 FENCE = 3
 #: Sub-buckets an octave of the sketch.
 SUB = 32
-#: measure -> (sides, slack) in the measure's units; all are whole numbers, so sketches add up exactly.
-MEASURES = {
-    "symbols_10k": ("high", 1000),   # symbols per 10,000 words
-    "word_len_100": ("both", 150),   # mean code points of a word, times 100
-    "dup_lines_10k": ("high", 3000),  # repeated lines per 10,000 lines
-    "repeat_10k": ("high", 2500),    # words in repeated 3-word windows per 10,000 words
-}
-#: Up to this many threshold rows are broadcast; beyond, the join is left to the planner.
+#: Rates: name -> (count, what it is counted in, events that any document may have beyond its threshold).
+RATES = {"symbols": ("n_symbols", "n_words", 5), "dup_lines": ("n_dup_lines", "n_lines", 5), "repeats": ("n_repeat_words", "n_words", 60)}
+#: The mean length of words, in hundredths of a code point, may lie so far beyond its thresholds.
+WORD_SPARE = 50
+#: Rates are per UNIT, so that all values are whole numbers and sketches add up exactly.
+UNIT = 10_000
+#: Up to this many rows of thresholds are broadcast; beyond, the join is left to the planner.
 BROADCAST_ROWS = 20_000
 
 
@@ -56,31 +60,26 @@ def _repeat_words(words: list) -> int:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def measure(texts):
-    import pandas as pd
-
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def measure(texts: pa.Array) -> pa.Array:
     rows = []
     for text in texts:
-        text = text or ""
+        text = text.as_py() or ""
         words = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space only
         lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
         rows.append((
             len(words), len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")), sum(map(text.count, "#*$%&|<>")),
             len(lines), len(lines) - len(set(lines)), _repeat_words(words),
         ))
-    return pd.DataFrame(rows, columns=COUNTS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(COUNTS))], names=COUNTS)
 
 
-def _ratio(m: str, a: str, b: str, unit: int) -> Column:
-    return F.expr(f"({m}.{a} * {unit}) div greatest({m}.{b}, 1)")
+measure = measure.asNondeterministic()  # so that no filter makes the planner run it a second time
 
 
 def _values(m: str) -> dict[str, Column]:
-    return {
-        "symbols_10k": _ratio(m, "n_symbols", "n_words", 10_000), "word_len_100": _ratio(m, "word_chars", "n_words", 100),
-        "dup_lines_10k": _ratio(m, "n_dup_lines", "n_lines", 10_000), "repeat_10k": _ratio(m, "n_repeat_words", "n_words", 10_000),
-    }
+    rate = lambda count, size: F.expr(f"({m}.{count} * {UNIT}) div greatest({m}.{size}, 1)")
+    return {k: rate(count, size) for k, (count, size, _) in RATES.items()} | {"word_len": F.expr(f"({m}.word_chars * 100) div greatest({m}.n_words, 1)")}
 
 
 def bucket(v: Column) -> Column:
@@ -93,131 +92,106 @@ def base_failed(m: str) -> Column:
     return F.expr(f"{m}.n_words < {MIN_WORDS} or 100 * {m}.n_repeat_words > 50 * {m}.n_words")
 
 
-def sketch(measured: DataFrame) -> DataFrame:
+def sketch(measured: DataFrame, m: str) -> DataFrame:
     """(lang, source, measure, edge, n): the sketches of documents that pass the base rule."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("edge")) for k, v in _values("__m").items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("edge")) for k, v in _values(m).items()])
     return (
-        measured.where(~base_failed("__m")).select("lang", "source", F.explode(pairs).alias("s"))
+        measured.where(~base_failed(m)).select("lang", "source", F.explode(pairs).alias("s"))
         .groupBy("lang", "source", "s.measure", "s.edge").agg(F.count("*").alias("n"))
     )
 
 
-def fences(sketches: DataFrame) -> DataFrame:
-    """Per level and group the fences of each measure, as columns low_/high_<measure>.
-
-    level 2: (lang, source), 1: lang, 0: all. Merging is adding the counts of equal edges.
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and measure the number of documents and the edges at one, five and nine tenths of them."""
+    merged = sketches.groupBy(*keys, "measure", "edge").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "measure")  # one row for each bucket of the sketch
+    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("edge"))).withColumn("docs", F.sum("n").over(group))
+    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("docs") * tenths, F.col("edge")))
+    return ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), *[at(t).alias(f"q{t}") for t in (1, 5, 9)])
+
+
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """(lang, source, low_<measure>, high_<measure>) of each group."""
+    wider = quantiles(sketches, []).drop("docs")
+    for keys in (["lang"], ["lang", "source"]):
+        own, known = quantiles(sketches, keys).alias("o"), wider.alias("w")
+        same = F.expr(" and ".join(["o.measure = w.measure", *(f"o.{k} <=> w.{k}" for k in keys[:-1])]))
+        leaning = [F.expr(f"(o.docs * o.q{t} + {PRIOR} * w.q{t}) div (o.docs + {PRIOR})").alias(f"q{t}") for t in (1, 5, 9)]
+        wider = own.join(known, same).select(*[f"o.{k}" for k in keys], "o.measure", *leaning)
+    high, low = F.col("q9") + FENCE * (F.col("q9") - F.col("q5")), F.col("q1") - FENCE * (F.col("q5") - F.col("q1"))
+    edges = [F.max(F.when(F.col("measure") == k, v)).alias(f"{name}_{k}") for k in [*RATES, "word_len"] for name, v in (("low", low), ("high", high))]
+    return wider.groupBy("lang", "source").agg(*edges)
+
+
+def judged(measured: DataFrame, m: str, edges: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """measured with the verdicts beside it: the frame and its columns base_failed and kept. No text is shuffled."""
+    side = edges.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*[c for c in edges.columns if c[:3] in ("low", "hig")]).alias("__edges"))
+    if edges.count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    joined = measured.join(side, measured["lang"].eqNullSafe(side["__lang"]) & measured["source"].eqNullSafe(side["__source"]), "left")
+    e = side["__edges"]
+    value = _values(m)["word_len"]
+    inside = (value <= e["high_word_len"] + WORD_SPARE) & (value >= e["low_word_len"] - WORD_SPARE)
+    for k, (count, size, spare) in RATES.items():
+        inside &= F.col(f"{m}.{count}") * UNIT <= e[f"high_{k}"] * F.col(f"{m}.{size}") + spare * UNIT
+    return joined, base_failed(m), ~base_failed(m) & F.coalesce(inside, F.lit(True))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, the measures, base_failed and kept of every document."""
+    small_batches(docs.sparkSession)
+    measured = materialize(docs.select("doc_id", "lang", "source", measure("text").alias("m")), "measured")
+    frame, failed, kept = judged(measured, "m", materialize(thresholds(sketch(measured, "m")), "thresholds"))
+    return frame.select("doc_id", *[f"m.{c}" for c in COUNTS if c != "n_lines"], failed.alias("base_failed"), kept.alias("kept"))
+
+
+def filter_quality(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with the columns of docs.
+
+    Texts are measured twice, for the thresholds and for the verdicts: that costs less disk than to write them again.
     """
-    levels = [
-        sketches.select(F.lit(i).alias("level"), *[(F.col(c) if k < i else F.lit(None).cast("string")).alias(c)
-                                                   for k, c in enumerate(("lang", "source"))], "measure", "edge", "n")
-        for i in (0, 1, 2)
-    ]
-    merged = levels[0].union(levels[1]).union(levels[2]).groupBy("level", "lang", "source", "measure", "edge").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("level", "lang", "source", "measure")
-    ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("edge"))).withColumn("total", F.sum("n").over(group))
-
-    def quantile(q: int) -> Column:  # smallest edge that q quarters of the documents do not exceed
-        return F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("edge")))
-
-    fence = (
-        ranked.groupBy("level", "lang", "source", "measure")
-        .agg(F.max("total").alias("docs"), quantile(1).alias("q1"), quantile(2).alias("q2"), quantile(3).alias("q3"))
-    )
-    slack = F.create_map(*[F.lit(x) for k, (_, s) in MEASURES.items() for x in (k, s)])[F.col("measure")]
-    fence = fence.withColumn("high", F.greatest(F.col("q3") + FENCE * (F.col("q3") - F.col("q1")), F.col("q2") + slack)) \
-        .withColumn("low", F.least(F.col("q1") - FENCE * (F.col("q3") - F.col("q1")), F.col("q2") - slack))
-    columns = [F.max(F.when(F.col("measure") == k, F.col(e))).alias(f"{e}_{k}")
-               for k, (sides, _) in MEASURES.items() for e in ("high", "low") if e == "high" or sides == "both"]
-    return fence.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *columns)
-
-
-def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """docs with the struct __m of measures, base_failed and kept.
-
-    Two passes over the texts: one for the sketches, one for the verdicts; no text is shuffled.
-    """
-    docs = docs.drop("__m", "base_failed", "kept")
-    measured = docs.withColumn("__m", measure("text"))
-    edges = materialize(fences(sketch(docs.select("lang", "source", "text").withColumn("__m", measure("text")))), "fences")
-    bounds = [c for c in edges.columns if c.startswith(("high_", "low_"))]
-    own = edges.where((F.col("level") == 2) & (F.col("docs") >= min_group))
-    lang = edges.where((F.col("level") == 1) & (F.col("docs") >= min_group))
-    small = edges.count() <= BROADCAST_ROWS
-
-    def side(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-        out = df.select(*[F.col(k).alias(f"__{name}_{k}") for k in keys], F.struct(*bounds).alias(f"__{name}"))
-        return F.broadcast(out) if small else out
-
-    joined = (
-        measured
-        .join(side(own, "own", ["lang", "source"]),
-              docs["lang"].eqNullSafe(F.col("__own_lang")) & docs["source"].eqNullSafe(F.col("__own_source")), "left")
-        .join(side(lang, "by_lang", ["lang"]), docs["lang"].eqNullSafe(F.col("__by_lang_lang")), "left")
-    )
-    overall = edges.where("level = 0").select(*bounds).collect()  # one row
-    last = F.struct(*[F.lit(overall[0][b] if overall else None).cast("long").alias(b) for b in bounds])
-    fence = F.coalesce(F.col("__own"), F.col("__by_lang"), last)
-    joined = joined.withColumn("__f", fence)
-    inside = F.lit(True)
-    for k, v in _values("__m").items():
-        inside &= F.coalesce(v <= F.col(f"__f.high_{k}"), F.lit(True))
-        if MEASURES[k][0] == "both":
-            inside &= F.coalesce(v >= F.col(f"__f.low_{k}"), F.lit(True))
-    return joined.select(*docs.columns, "__m", base_failed("__m").alias("base_failed"), (~base_failed("__m") & inside).alias("kept"))
-
-
-def filter_quality(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that are kept, with the columns of docs, also those that are named as ours."""
-    clash = [c for c in docs.columns if c in ("__m", "base_failed", "kept")]
-    aside = docs.withColumnsRenamed({c: f"__input_{c}" for c in clash})
-    kept = judge(aside, min_group).where("kept").select(*aside.columns)
-    return kept.withColumnsRenamed({f"__input_{c}": c for c in clash})
+    small_batches(docs.sparkSession)
+    m, = unused(docs, "m_")
+    counted = docs.select("lang", "source", measure("text").alias(m))
+    edges = materialize(thresholds(sketch(counted, m)), "thresholds")
+    measured = docs.withColumn(m, measure("text"))
+    frame, _, kept = judged(measured, m, edges)
+    return frame.where(kept).select(*[measured[c] for c in docs.columns])
 
 
 #: The measures and thresholds in DuckDB's SQL; exact, since sketches of whole numbers add up exactly.
-def oracle(min_group: int = MIN_GROUP) -> str:
-    word = r"[^\x20\x09-\x0D]+"
-    values = {
-        "symbols_10k": "(n_symbols * 10000) // greatest(n_words, 1)", "word_len_100": "(word_chars * 100) // greatest(n_words, 1)",
-        "dup_lines_10k": "(n_dup_lines * 10000) // greatest(n_lines, 1)", "repeat_10k": "(n_repeat_words * 10000) // greatest(n_words, 1)",
-    }
-    slack = " ".join(f"when '{k}' then {s}" for k, (_, s) in MEASURES.items())
-    both = ", ".join(f"'{k}'" for k, (sides, _) in MEASURES.items() if sides == "both")
-    return f"""
+ORACLE = r"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
-w as (select rid, regexp_extract_all(text, '{word}') as ws, string_split(text, chr(10)) as ls from d),
+w as (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, string_split(text, chr(10)) as ls from d),
 tri as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g
         from (select rid, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)),
 rep as (select rid, count(distinct p) as n from
          (select rid, unnest([i, i + 1, i + 2]) as p from
            (select rid, i, count(*) over (partition by rid, g) as c from tri) where c > 1) group by rid),
 lines as (select rid, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines from
-           (select rid, unnest(ls) as l from w) where regexp_matches(l, '{word}') group by rid),
+           (select rid, unnest(ls) as l from w) where regexp_matches(l, '[^\x20\x09-\x0D]') group by rid),
 m as (select d.rid, d.doc_id, d.lang, d.source, len(ws)::bigint as n_words,
-        length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint as word_chars,
+        length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
         coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
         coalesce(rep.n, 0)::bigint as n_repeat_words
       from d join w using (rid) left join lines using (rid) left join rep using (rid)),
-b as (select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) as base_failed from m),
-v as ({" union all ".join(f"select rid, lang, source, base_failed, '{k}' as measure, {x} as v from b" for k, x in values.items())}),
-e as (select *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as edge from v where not base_failed),
-lv as (select 2 as level, lang, source, measure, edge from e union all select 1, lang, null, measure, edge from e
-       union all select 0, null, null, measure, edge from e),
-c as (select level, lang, source, measure, edge, count(*) as n from lv group by all),
-r as (select *, sum(n) over (partition by level, lang, source, measure order by edge) as upto,
-        sum(n) over (partition by level, lang, source, measure) as total from c),
-q as (select level, lang, source, measure, max(total) as docs,
-        min(case when upto * 4 >= total then edge end) as q1, min(case when upto * 4 >= total * 2 then edge end) as q2,
-        min(case when upto * 4 >= total * 3 then edge end) as q3 from r group by all),
-f as (select level, lang, source, measure, docs, greatest(q3 + {FENCE} * (q3 - q1), q2 + case measure {slack} end) as high,
-        least(q1 - {FENCE} * (q3 - q1), q2 - case measure {slack} end) as low from q),
-out_ as (select v.rid from v
-        left join f f2 on f2.level = 2 and f2.docs >= {min_group} and f2.lang is not distinct from v.lang
-             and f2.source is not distinct from v.source and f2.measure = v.measure
-        left join f f1 on f1.level = 1 and f1.docs >= {min_group} and f1.lang is not distinct from v.lang and f1.measure = v.measure
-        left join f f0 on f0.level = 0 and f0.measure = v.measure
-        where v.v > coalesce(f2.high, f1.high, f0.high)
-           or (v.measure in ({both}) and v.v < coalesce(f2.low, f1.low, f0.low)))
+b as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from m),
+-- one row a measure: its value, the event count and size that rates are judged by, and the events allowed beyond
+v as (select rid, lang, source, 's' as measure, n_symbols * 10000 // n_words as v, n_symbols as k, n_words as n, 5 as spare from b where not base_failed
+  union all select rid, lang, source, 'd', n_dup_lines * 10000 // n_lines, n_dup_lines, n_lines, 5 from b where not base_failed
+  union all select rid, lang, source, 'r', n_repeat_words * 10000 // n_words, n_repeat_words, n_words, 60 from b where not base_failed
+  union all select rid, lang, source, 'w', word_chars * 100 // n_words, null, null, null from b where not base_failed),
+-- buckets of the sketch: 32 to an octave from 64 on
+e as (select *, case when v < 64 then v else v // (1 << (floor(log2(v))::int - 5)) * (1 << (floor(log2(v))::int - 5)) end as edge from v),
+q0 as (select measure, quantile_disc(edge, 0.1) as q1, quantile_disc(edge, 0.5) as q5, quantile_disc(edge, 0.9) as q9 from e group by all),
+p1 as (select lang, measure, count(*) as docs, quantile_disc(edge, 0.1) as q1, quantile_disc(edge, 0.5) as q5, quantile_disc(edge, 0.9) as q9 from e group by all),
+q1 as (select lang, measure, (docs * p1.q1 + 300 * q0.q1) // (docs + 300) as q1, (docs * p1.q5 + 300 * q0.q5) // (docs + 300) as q5,
+         (docs * p1.q9 + 300 * q0.q9) // (docs + 300) as q9 from p1 join q0 using (measure)),
+p2 as (select lang, source, measure, count(*) as docs, quantile_disc(edge, 0.1) as q1, quantile_disc(edge, 0.5) as q5, quantile_disc(edge, 0.9) as q9 from e group by all),
+q2 as (select p2.lang, p2.source, p2.measure, (docs * p2.q1 + 300 * q1.q1) // (docs + 300) as q1, (docs * p2.q5 + 300 * q1.q5) // (docs + 300) as q5,
+         (docs * p2.q9 + 300 * q1.q9) // (docs + 300) as q9 from p2 join q1 on p2.measure = q1.measure and p2.lang is not distinct from q1.lang),
+bad as (select rid from v join q2 on v.measure = q2.measure and v.lang is not distinct from q2.lang and v.source is not distinct from q2.source
+        where case when v.measure = 'w' then v > 4 * q9 - 3 * q5 + 50 or v < 4 * q1 - 3 * q5 - 50 else k * 10000 > (4 * q9 - 3 * q5) * n + spare * 10000 end)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (not base_failed and rid not in (select rid from out_)) as kept from b"""
+       (not base_failed and rid not in (select rid from bad)) as kept from b"""
