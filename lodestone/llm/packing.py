@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 CAPACITY, UNIT, END_ID = 2048, 8, 1
-#: Pieces that one (class, part) group holds on average when ranks are dealt out.
-PART_ROWS = 20_000
-#: Entries of a worker's table of encoded words; at the bound it is emptied, which costs time, not results.
-WORD_BOUND = 400_000
+#: Pieces that one (class, part) group holds on average, at most, when ranks are dealt out.
+PART_ROWS = 1000
+#: Words, and the characters of one, that a worker keeps the ids of (some 60 MB); at the bound they are forgotten, which costs time only.
+KEPT_WORDS, KEPT_CHARS = 400_000, 32
 
 
 # --- encoding ---------------------------------------------------------------------------------------------
@@ -39,42 +40,36 @@ _PIECE = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     "|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ſ]+"
 )
-#: Texts that are encoded whole: other scripts, separators on which Python and the tokenizer differ, special tokens.
-_WHOLE = re.compile("[^\x00-\x1b\x20-ſ]|<\\|(?:startoftext|endoftext)\\|>")
-
-
-class _Pieces(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= WORD_BOUND:
-            self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids if not piece.isascii() else [
-            t.id for t in self.tokenizer.model.tokenize(piece)]
-        out = self[piece] = np.array(ids, dtype="<u4").tobytes()
-        return out
+#: Texts that are encoded whole: other scripts, control characters (the vocabulary has other signs for them, and Python
+#: takes some as white space that the tokenizer does not), special tokens.
+_WHOLE = re.compile("[^\t-\r\x20-\x7e\x80-ſ]|<\\|(?:startoftext|endoftext)\\|>")
 
 
 class _Words(dict):
-    """White-space word -> ids of its pre-tokens."""
+    """White-space word -> its ids as little-endian 32-bit bytes; words of one pre-token are kept, others are put together."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.pieces = _Pieces(tokenizer)
+        self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
-        if len(self) < WORD_BOUND:
+        pieces = _PIECE.findall(word)
+        if len(pieces) != 1:
+            return b"".join(map(self.__getitem__, pieces))
+        if word.isascii():
+            out = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        else:
+            out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
             self[word] = out
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
+@lru_cache(maxsize=1)
+def encoder(path: str):
+    """text -> ids as little-endian 32-bit bytes. A worker keeps one, with KEPT_WORDS words of KEPT_CHARS characters at most."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -83,7 +78,7 @@ def _encoder(path: str):
     def encode(text: str) -> bytes:
         """Ids of a whole text. White space never lies inside a pre-token, so words encode on their own."""
         if _WHOLE.search(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(words.__getitem__, text.lower().split()))
 
     return encode
@@ -98,7 +93,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     ])
 
     def run(batches):
-        encode = _encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         tail = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows, start, length, crc, total = [], [], [], [], []
@@ -212,6 +207,7 @@ def _slot_table(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[n
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents with their sequence_id and gapless offset there."""
+    small_batches(docs.sparkSession)
     pieces = materialize(
         encode_pieces(docs, tokenizer_path, capacity, end_id)
         .withColumn("size_class", F.ceil(F.col("length") / unit).cast("int")),
@@ -219,10 +215,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, unit: i
     )
     demand = {r["size_class"]: r["n"] for r in pieces.groupBy("size_class").agg(F.count("*").alias("n")).collect()}
     slots = _slot_table(cutting_stock(demand, capacity // unit))
-    parts = max(1, -(-sum(demand.values()) // PART_ROWS))
+    parts = F.create_map(*[F.lit(x) for size, n in sorted(demand.items()) for x in (size, -(-n // PART_ROWS))]) if demand else None
 
     # Ranks without a window over a whole class: a class is split by hash, parts are counted, then offset.
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.element_at(parts, F.col("size_class"))) if demand else F.lit(0)
+    dealt = pieces.withColumn("part", part.cast("int"))
     before = Window.partitionBy("size_class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(
         dealt.groupBy("size_class", "part").agg(F.count("*").alias("n"))
@@ -235,19 +232,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, unit: i
         .withColumn("rank", F.col("rank0") + F.col("rn") - 1)
     )
 
-    @F.pandas_udf("sequence_id long, slot long")
-    def place(size_class, rank):
-        import pandas as pd
-
+    @F.arrow_udf("sequence_id long, slot long")
+    def place(size_class: pa.Array, rank: pa.Array) -> pa.Array:
         sequence, slot = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
-        sizes, ranks = size_class.to_numpy(), rank.to_numpy()
+        sizes, ranks = size_class.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
         for size in np.unique(sizes):
             at, k, first, slot0 = slots[int(size)]
             rows = sizes == size
             i = np.searchsorted(at, ranks[rows], side="right") - 1
             inside = ranks[rows] - at[i]
             sequence[rows], slot[rows] = first[i] + inside // k[i], slot0[i] + inside % k[i]
-        return pd.DataFrame({"sequence_id": sequence, "slot": slot})
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(slot)], names=["sequence_id", "slot"])
 
     placed = ranked.withColumn("p", place("size_class", "rank")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "p.sequence_id", "p.slot")
