@@ -5,16 +5,22 @@ its q-grams with it, on diagonals (document position less item position) that di
 are counted in overlapping bands, each 2 * (e + 1) wide and e + 1 after the last, so that every such match lies
 in one band. Bands that reach the bound are aligned exactly, within the band.
 
-The benchmark's q-gram index goes to every task. It is sent in blocks of items of at most BLOCK_CHARS
-characters, one pass over the documents for each, so the broadcast is bounded whatever the benchmark's size.
+The benchmark's q-gram index goes to every task. It is sent in blocks of items of about BLOCK_CHARS characters.
+While they are more than one, blocks are gathered, sent, searched and written one after another, so the driver and
+the tasks hold one at a time whatever the benchmark's size, at the price of a pass over the documents for each.
 
-Defined cases: letters are compared in lower case and white space as blanks; null or empty items match
-nothing; items shorter than q characters are searched as they are; null and empty documents match nothing;
-rows that repeat are reported each; an empty table on either side gives no rows; other columns are not read.
+An item is looked for as a whole: a document that holds a part of one, short of the item's edit budget, is clean.
+
+Defined cases: letters are compared in lower case where that keeps a letter's length, and white space as blanks;
+null or empty items match nothing; items shorter than q characters are searched as they are; null and empty
+documents match nothing; rows that repeat are judged and reported each by its own text, whatever their ids, null
+ones included; very long and repetitive texts take memory in proportion to their length; an empty table on either
+side gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,14 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, materialize, small_batches, unused
+
 Q, EDIT_RATE = 12, 0.07
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
+#: Places at which an item's grams meet a text's that are laid out at once.
+HITS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
 
 def normal(text: str) -> str:
     low = text.lower()
-    low = low if len(low) == len(text) else text
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
     for blank in "\n\t\r\x0b\x0c":
         low = low.replace(blank, " ")
     return low
@@ -66,10 +77,10 @@ class Index:
         grams = [gram_hashes(t, q) for _, t in self.items]
         n = np.array([len(g) for g in grams], dtype=np.int64)
         hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item, at = np.repeat(np.arange(len(grams)), n), np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, int)
+        item, at = np.repeat(np.arange(len(grams), dtype=np.int32), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n]) if len(n) else np.zeros(0, np.int32)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.at = hashes[order], item[order], at[order]
-        self.shift = np.uint64(64 - max(16, min(26, int(np.ceil(np.log2(max(len(hashes), 1)))) + 5)))
+        self.shift = np.uint64(64 - max(16, min(24, int(np.ceil(np.log2(max(len(hashes), 1)))) + 5)))
         self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.seen[(self.hashes >> self.shift).astype(np.int64)] = True
         self.least = int(self.bound.min()) if len(self.bound) else 1 << 60
@@ -84,25 +95,29 @@ class Index:
         p = np.flatnonzero(self.seen[(grams >> self.shift).astype(np.int64)])
         if len(p) < self.least:
             return found
-        lo, hi = np.searchsorted(self.hashes, grams[p], "left"), np.searchsorted(self.hashes, grams[p], "right")
+        # Places of each gram that both sides have: rows first[g] to first[g] + times[g] of p.
+        p = p[np.argsort(grams[p], kind="stable")]
+        kinds, first, times = np.unique(grams[p], return_index=True, return_counts=True)
+        lo, hi = np.searchsorted(self.hashes, kinds, "left"), np.searchsorted(self.hashes, kinds, "right")
         n = hi - lo
-        if n.sum() < self.least:
-            return found
-        which = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        p, item, j = np.repeat(p, n), self.item[which], self.at[which]
+        gram = np.repeat(np.arange(len(kinds)), n)
+        entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        item = self.item[entry]
         common = np.bincount(item, minlength=len(self.items))
         for k in np.flatnonzero(common >= self.bound):
             rows = item == k
-            best = self._bands(text, int(k), p[rows], j[rows])
+            g = gram[rows]
+            best = self._bands(text, int(k), p, first[g], times[g], self.at[entry[rows]].astype(np.int64))
             if best:
                 found.append((self.items[k][0], *best))
         return found
 
-    def _bands(self, text: str, k: int, p: np.ndarray, j: np.ndarray):
+    def _bands(self, text: str, k: int, p: np.ndarray, first: np.ndarray, times: np.ndarray, j: np.ndarray):
         width, pattern, edits = int(self.edits[k]) + 1, self.items[k][1], int(self.edits[k])
-        band = (p - j) // width  # a hit lies in the bands that start at this step and at the one before
-        m = len(pattern)
-        keys = np.unique(np.concatenate((band * m + j, (band - 1) * m + j)))  # an item's gram counts once a band
+        m, keys = len(pattern), np.zeros(0, dtype=np.int64)
+        for places, at in _meetings(p, first, times, j, width):
+            band = (places - at) // width  # a hit lies in the bands that start at this step and at the one before
+            keys = np.unique(np.concatenate((keys, band * m + at, (band - 1) * m + at)))  # an item's gram counts once a band
         bands, counts = np.unique(np.floor_divide(keys, m), return_counts=True)
         best = None
         for b in bands[counts >= self.bound[k]]:
@@ -112,9 +127,34 @@ class Index:
             got = (0, start + hit, start + hit + m) if hit >= 0 else align(pattern, region, edits, start)
             if got and (best is None or got < best):
                 best = got
+            if hit >= 0:  # later bands begin later
+                break
         return best and (best[1], best[2], best[0])
 
 
+def _meetings(p: np.ndarray, first: np.ndarray, times: np.ndarray, j: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (place in the text, place in the item) of equal grams, some HITS at a time.
+
+    A gram that repeats is met at the first and the last of its places in each stretch of `width`: whatever is
+    subtracted from them, all places between fall into the same bands.
+    """
+    if times.sum() > HITS:
+        shown = {}
+        for f, t in set(zip(first.tolist(), times.tolist())):
+            x = p[f : f + t]
+            new = np.append(True, x[1:] // width != x[:-1] // width)
+            shown[f] = x[new | np.append(new[1:], True)]
+        p = np.concatenate(list(shown.values()))
+        starts = dict(zip(shown, np.concatenate(([0], np.cumsum([len(x) for x in shown.values()])[:-1])).tolist()))
+        times = np.array([len(shown[f]) for f in first.tolist()])
+        first = np.array([starts[f] for f in first.tolist()])
+    upto = np.cumsum(times)
+    for lo in range(0, len(j), step := max(1, HITS * len(j) // max(int(upto[-1]), 1))):
+        t, f = times[lo : lo + step], first[lo : lo + step]
+        which = np.repeat(f - np.concatenate(([0], np.cumsum(t)[:-1])), t) + np.arange(t.sum())
+        yield p[which], np.repeat(j[lo : lo + step], t)
+
+
 def align(pattern: str, region: str, budget: int, offset: int = 0) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best match of the whole pattern inside region, if it needs at most `budget` edits.
 
@@ -150,36 +190,46 @@ def align(pattern: str, region: str, budget: int, offset: int = 0) -> tuple[int,
     return int(cost[i]), offset + int(begin[i]), offset + int(end[i])
 
 
+def _blocks(benchmark: DataFrame, q: int, edit_rate: float) -> Iterator[tuple[Index, bool]]:
+    """The index of each block of items, and whether it is the last one; made when it is asked for."""
+    items = benchmark.where("length(text) > 0").select("item_id", "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_CHARS))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about BLOCK_CHARS
+        yield Index([(r[0], r[1]) for r in rows], q, edit_rate), block == blocks - 1
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
     """doc_id, item_id, start, end, edits: the best region of each benchmark item in each document that holds it."""
     spark = docs.sparkSession
+    small_batches(spark)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType),
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.LongType()),
     ])
-    items = benchmark.where("length(text) > 0").select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_CHARS))
+    item_type = _arrow(schema["item_id"].dataType)
     texts = docs.where("length(text) > 0").select("doc_id", "text")
 
-    def one(block: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], q, edit_rate))
+    def searched(index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)
 
         def search(batches):
             for batch in batches:
                 row, out = [], []
                 for i, text in enumerate(batch.column("text")):
-                    for hit in index.value.search(text.as_py()):
+                    for hit in shared.value.search(text.as_py()):
                         row.append(i), out.append(hit)
                 cols = list(zip(*out)) if out else [[]] * 4
-                types = [f.type for f in pa.schema([("item_id", _arrow(schema["item_id"].dataType)), *[(c, pa.int64()) for c in ("s", "e", "d")]])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row, pa.int64()))] + [pa.array(list(c), t) for c, t in zip(cols, types)], names=schema.names)
+                    [batch.column("doc_id").take(pa.array(row, pa.int64()))] + [pa.array(list(c), t) for c, t in zip(cols, (item_type, *[pa.int64()] * 3))], names=schema.names)
 
         return texts.mapInArrow(search, schema)
 
-    return reduce(DataFrame.unionByName, [one(b) for b in range(blocks)])
+    found = []
+    for index, last in _blocks(benchmark, q, edit_rate):
+        found.append(searched(index) if last else materialize(searched(index), "leaks"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -189,8 +239,25 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE) -> DataFrame:
-    """The documents that hold no benchmark item, with the columns of docs. One pass: the test runs beside each row."""
-    from .common import materialize
+    """The documents that hold no benchmark item, with the columns of docs. The test runs beside each row; nothing is shuffled."""
+    spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
+    clean, = unused(docs, "clean")
+
+    def tested(rows: DataFrame, index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)
+
+        @F.arrow_udf("boolean")
+        def is_clean(texts: pa.Array) -> pa.Array:
+            return pa.array([not (t.is_valid and shared.value.search(t.as_py())) for t in texts], pa.bool_())
+
+        return rows.withColumn(clean, is_clean("text")).where(clean).select(*names)
 
-    bad = materialize(find_leaks(docs, benchmark, q, edit_rate).select(F.col("doc_id").alias("__id")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+    left = docs
+    for index, last in _blocks(benchmark, q, edit_rate):
+        before, left = left, tested(left, index)
+        if not last:
+            left = materialize(left, "clean")
+            if before is not docs:
+                discard(before)
+    return left
