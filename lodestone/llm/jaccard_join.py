@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, connected_components, discard, materialize, small_batches, sweep, unused
+from .common import LOWER, UPPER, connected_components, discard, materialize, scratch, small_batches, sweep, unused
 
 #: Counters of the sketch that orders shingles by frequency; what one task emits and what is broadcast.
 COUNTERS, COUNTER_BLOCK = 1 << 18, 1 << 10
@@ -170,10 +170,11 @@ def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 class Graph:
     """members: doc_id, text_hash, n, rep of every row; owners: rep, doc_id, text_hash of one document for each set;
-    links: pairs (a, b) of representatives that reach the similarity and connect every component."""
+    links: pairs (a, b) of representatives that reach the similarity and connect every component. tables: those that
+    members are read from."""
 
-    def __init__(self, members: DataFrame, owners: DataFrame, links: DataFrame):
-        self.members, self.owners, self.links = members, owners, links
+    def __init__(self, members: DataFrame, owners: DataFrame, links: DataFrame, tables: list[DataFrame]):
+        self.members, self.owners, self.links, self.tables = members, owners, links, tables
 
 
 def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
@@ -235,7 +236,8 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     # 3. by differences from a common hub
     links = links.unionByName(materialize(by_differences(core, around, place, num, den), "difference-links"))
     discard(rest, halo, pairs, place)
-    return Graph(members, owners, links)
+    sweep(docs.sparkSession)
+    return Graph(members, owners, links, [described, reps])
 
 
 def in_other_orders(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -388,14 +390,21 @@ def verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, num: in
 
 def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; component_id is its own doc_id where nothing links."""
-    g = similar(docs, k, num, den)
+    with scratch() as kept:
+        g = similar(docs, k, num, den)
+        heads = materialize(_components(g), "components")
+        kept += [*g.tables, heads]
+    out = g.members.join(heads.hint("merge"), "rep", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _components(g: Graph) -> DataFrame:
+    """rep, component: the smallest doc_id that links reach, where ids that repeat link their sets."""
     named = g.members.where("rep is not null and doc_id is not null").select("doc_id", "rep")
     repeated = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
     same_id = repeated.join(named, "doc_id").where("a != rep").select("a", F.col("rep").alias("b"))
     found = connected_components(g.links.unionByName(same_id))
-    heads = _heads(g, found, F.min("doc_id")).select("rep", F.col("head").alias("component"))
-    out = g.members.join(heads.hint("merge"), "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return _heads(g, found, F.min("doc_id")).select("rep", F.col("head").alias("component"))
 
 
 def _heads(g: Graph, found: DataFrame, best: Column) -> DataFrame:
@@ -411,12 +420,16 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     Rows without a shingle or an id stay. Of rows that repeat both id and text of the one that stays, the one with the
     smallest hash over all columns is taken.
     """
-    g = similar(docs, k, num, den)
-    found = connected_components(g.links)
-    heads = _heads(g, found, F.min_by("rep", F.struct("doc_id", "text_hash"))).where("rep = head").join(g.owners, "rep").select("doc_id", "text_hash")
-    bare = g.members.where("rep is null and doc_id is not null").select("doc_id", "text_hash")
+    with scratch() as kept:
+        g = similar(docs, k, num, den)
+        found = connected_components(g.links)
+        heads = _heads(g, found, F.min_by("rep", F.struct("doc_id", "text_hash"))).where("rep = head").join(g.owners, "rep").select("doc_id", "text_hash")
+        bare = g.members.where("rep is null and doc_id is not null").select("doc_id", "text_hash")
+        heads = materialize(heads.unionByName(bare).distinct(), "heads")
+        kept.append(heads)
+    sweep(docs.sparkSession)
     kept_id, kept_hash, own_hash, row, rank = unused(docs, "__id", "__hash", "__text", "__row", "__rank")
-    keys = materialize(heads.unionByName(bare).distinct(), "heads").select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
+    keys = heads.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash))
     hashed = docs.select(*docs.columns, F.xxhash64("text").alias(own_hash), F.xxhash64(*docs.columns).alias(row))
     joined = hashed.join(keys.hint("merge"), (F.col("doc_id") == F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)))
     first = Window.partitionBy(kept_id, kept_hash).orderBy(row)

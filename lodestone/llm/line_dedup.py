@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize
+from .common import discard, materialize, scratch
 
 MIN_WORDS, GRAM_WORDS = 50, 25
 #: Windows to a batch handed back by Python, about.
@@ -175,7 +175,10 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """docs with later repeated runs of lines deleted from text, and lines_removed (long)."""
     docs = docs.drop("lines_removed")
-    cuts = materialize(find_repeats(docs, min_words, gram_words), "line-cuts").select(
+    with scratch() as kept:
+        found = materialize(find_repeats(docs, min_words, gram_words), "line-cuts")
+        kept.append(found)
+    cuts = found.select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("cuts").alias("__cuts"))
     runs, lines = cuts["__cuts"], F.split(docs["text"], "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists(runs, lambda c: (i >= c["start"]) & (i < c["end"])))
