@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Bound on the labelled rows that are fitted, the axes kept, the neighbours that vote.
 MAX_LABELLED, DIMS, NEIGHBOURS = 6000, 64, 15
 WORD_BINS, PAIR_BINS = 1024, 1024
@@ -47,27 +49,26 @@ _SHAPE_AT = np.cumsum([0] + [len(b) + 1 for b in SHAPE.values()])
 TERMS = WORD_BINS + PAIR_BINS + int(_SHAPE_AT[-1])
 
 
-class _Bins(dict):
-    """Word -> bin; emptied at the bound, which costs time, not results."""
+class Bins(dict):
+    """Word -> bin; made anew in each task and emptied at its bound, which costs time, not results."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = zlib.crc32(word) % WORD_BINS
+        h = zlib.crc32(word) % WORD_BINS
+        if len(word) <= 32:
+            if len(self) >= 50_000:
+                self.clear()
+            self[word] = h
         return h
 
 
-_BINS = _Bins()
-
-
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, bins_of: Bins) -> np.ndarray:
     """Damped counts of the terms of a whole text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     out = np.zeros(TERMS, dtype=np.float32)
     words, again = raw.split(), 0
     b = np.frombuffer(raw, dtype=np.uint8)
     if words:
-        bins = np.fromiter(map(_BINS.__getitem__, words), dtype=np.int64, count=len(words))
+        bins = np.fromiter(map(bins_of.__getitem__, words), dtype=np.int64, count=len(words))
         out[:WORD_BINS] = np.bincount(bins, minlength=WORD_BINS)
         again = int(np.count_nonzero(bins[1:] == bins[:-1]))
     if len(b) > 1:
@@ -125,10 +126,11 @@ class Model:
             best = np.concatenate([best, v @ self.unit[lo : lo + block].T], axis=1)
             votes = np.concatenate([votes, np.broadcast_to(self.labels[lo : lo + block], (len(v), len(self.labels[lo : lo + block])))], axis=1)
             if best.shape[1] > k:
-                top = np.argpartition(-best, k - 1, axis=1)[:, :k]
-                top.sort(axis=1)
-                best, votes = np.take_along_axis(best, top, axis=1), np.take_along_axis(votes, top, axis=1)
-        # Nearer neighbours count more: weights are similarities above the farthest neighbour's, floored.
+                last = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k]
+                above, equal = best > last, best == last  # of those equal to the last one, the earlier rows stay
+                taken = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+                best, votes = best[taken].reshape(-1, k), votes[taken].reshape(-1, k)
+        # Nearer neighbours count more: a vote weighs the eighth power of its similarity, and nothing below 0.
         weight = np.maximum(best, 0) ** 8
         total = weight.sum(axis=1)
         return np.where(total > 1e-9, (weight * votes).sum(axis=1) / np.maximum(total, 1e-9), self.prior)
@@ -139,14 +141,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, di
     taken = labels.where("label is not null and doc_id is not null").select("doc_id", "label").orderBy(
         F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)
     pick = [(r["doc_id"], int(r["label"])) for r in taken.collect()]  # max_labelled rows at most
+    small_batches(docs.sparkSession)
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     ids = spark.createDataFrame(pick, T.StructType([T.StructField("doc_id", id_type), T.StructField("label", T.IntegerType())]))
     # The ids are a bounded list, so the texts are found by a broadcast, without a shuffle of the documents.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def run(batches):
+        bins = Bins()
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column("text")]
+            rows = [features(t.as_py(), bins) for t in batch.column("text")]
             packed = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array([p.astype(np.int16) for p in packed], pa.list_(pa.int16())),
@@ -162,15 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, di
 
 def classify(docs: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score of every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
+        bins = Bins()
         for batch in batches:
             texts = batch.column("text")
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256)
-                rows = np.stack([features(t.as_py()) for t in part])
+                rows = np.stack([features(t.as_py(), bins) for t in part])
                 score = np.clip(shared.value.score(rows, k), 0, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 256), pa.array(score.astype(np.float64))], names=["doc_id", "score"])
 
