@@ -1,9 +1,11 @@
 """Token counts (10): edit-aware counting over pre-token segment trees.
 
-A text is cut into leaves of about LEAF characters. A leaf starts where a pre-token is sure to start: at a
-single space between two characters that are not white space (the pre-tokenizer takes such a space into the
-token behind it, and no token reaches over it). So leaves are encoded independently and their token counts add
-up. A document's tree holds, for every node, the characters and the tokens below it.
+A text is cut into leaves of about LEAF characters. A leaf starts where a pre-token is sure to start, for pre-token
+patterns of the kind "optional blank and letters, or digits, or other signs; else white space": at a single blank, tab
+or newline between two characters that are not white space, and where a letter or digit of the scripts in `_SURE` is
+followed by punctuation other than an apostrophe. No token reaches over such a place, so leaves are encoded
+independently and their token counts add up. A document's tree holds, for every node, the characters and the tokens
+below it. Text without such places (one endless run of letters) is one leaf and is encoded anew with each edit.
 
 An edit replaces the characters [start, end) by other text. The leaves it touches are found by descending the
 tree by character sums, widened by the leaf before if less than CONTEXT characters lie between its boundary and
@@ -28,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 LEAF, CONTEXT = 512, 3
-#: A single space between characters that no white-space class contains. The pattern's \s is Unicode's, as Python's.
-_SURE = re.compile(r"(?<=\S) (?=\S)")
+#: One blank, tab or newline between characters that no white-space class contains (the pattern's is Unicode's, as
+#: Python's); or a letter or digit (ASCII, kana, Han, hangul) before a sign.
+_SURE = re.compile(r"(?<=\S)[ \t\n](?=\S)|(?<=[A-Za-z0-9ぁ-ゖァ-ヺ一-鿿가-힣])(?=[!-&(-/:-@\[-`{-~、。，；：！？「」『』（）])")
 
 
 @lru_cache(maxsize=2)
@@ -111,7 +116,7 @@ def apply_edit(text: str, tree: Tree, start: int, end: int, new: str, count, lea
     last, right = tree.find(max(end - 1, start, 0))
     right += tree.chars[last + tree.n]
     shift = len(after) - len(text)
-    # The boundary behind the touched leaves must still be a single space between other characters.
+    # The boundary behind the touched leaves must still be a sure one.
     while right < len(text) and not (right + shift > left and _SURE.match(after, right + shift)):
         last += 1
         right += tree.chars[last + tree.n]
@@ -143,6 +148,7 @@ def count_edited(docs: DataFrame, edits: Column, ranks_path: str, pattern: str,
 
     `edits` is a column of array<struct<start, end, replacement>>; the texts are not shuffled.
     """
+    small_batches(docs.sparkSession)
     return _run(docs.select("doc_id", "text", edits.cast(f"array<{EDIT}>").alias("edits")), ranks_path, pattern, leaf)
 
 
@@ -152,6 +158,7 @@ def count_tokens(docs: DataFrame, edits: DataFrame, ranks_path: str, pattern: st
     lists = edits.where("doc_id is not null").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("seq", "start", "end", "replacement"))).alias("x"))
     lists = lists.select(F.col("doc_id").alias("__id"), F.transform("x", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement"))).cast(f"array<{EDIT}>").alias("edits"))
+    small_batches(docs.sparkSession)
     joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "edits")
     return _run(joined, ranks_path, pattern, leaf)
 
