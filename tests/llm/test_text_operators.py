@@ -4,33 +4,66 @@ import base64
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, quality_rules, secrets, url_filters
+from tests.compare import spark_rows, sql_rows
 from tests.llm.conftest import rows_of
 
 LONG = "word other third " * 4000
 
 
 def test_quality_rules_odd_rows(spark, make):
-    docs = make([(1, None), (2, ""), (3, LONG), (3, LONG), (None, "a b c"), (5, " ".join(f"w{i}" for i in range(80)))]).withColumn("kept", F.lit("mine")).withColumn("__m", F.lit(1))
-    judged = quality_rules.judge(docs)
-    assert rows_of(judged, "doc_id", "kept") == sorted([(1, False), (2, False), (3, False), (3, False), (None, False), (5, True)], key=repr)
+    docs = make([(1, None), (2, ""), (3, LONG), (3, LONG), (None, "a b c"), (5, " ".join(f"w{i}" for i in range(80)))]).withColumn("kept", F.lit("mine")).withColumn("m", F.lit(1)).withColumn("m_", F.lit(2))
+    assert rows_of(quality_rules.report(docs), "doc_id", "kept") == sorted([(1, False), (2, False), (3, False), (3, False), (None, False), (5, True)], key=repr)
     kept = quality_rules.filter_quality(docs)
-    assert kept.columns == docs.columns and rows_of(kept, "doc_id", "kept", "__m") == [(5, "mine", 1)]
-    assert quality_rules.judge(make([])).count() == 0
+    assert kept.columns == docs.columns and rows_of(kept, "doc_id", "kept", "m", "m_") == [(5, "mine", 1, 2)]
+    assert quality_rules.report(make([])).count() == 0 and quality_rules.filter_quality(make([])).count() == 0
 
 
 def test_quality_rules_null_groups(spark, make):
     docs = make([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(10)], lang=None, source=None)
-    assert quality_rules.filter_quality(docs, min_group=5).count() == 10
+    assert quality_rules.filter_quality(docs).count() == 10
+
+
+def mixed(make, per_source):
+    """Sources whose texts hold `every` words between symbols, in two languages; sources of equal name are apart."""
+    out = None
+    for lang, source, every in (("en", "code", 3), ("en", "news", 0), ("de", "code", 0), (None, "news", 30)):
+        rows = []
+        for i in range(per_source):
+            words = [f"w{i}x{j}" + ("y" * (j % 7)) for j in range(55 + i % 40)]
+            rows.append((len(rows), " ".join(w + (" $" if every and j % every == 0 else "") for j, w in enumerate(words))))
+        rows += [(10_000, " ".join(f"v{j}x{j}" + "y" * (j % 7) + " #" for j in range(120))), (10_001, "\n".join(["the same line of it"] * 4 + [f"z{j} z{j}y" for j in range(50)]))]
+        docs = make(rows, lang, source)
+        out = docs if out is None else out.unionByName(docs)
+    return out
+
+
+@pytest.mark.parametrize("per_source", [20, 400])
+def test_quality_rules_differ_by_group(spark, make, tmp_path, per_source):
+    """One text is kept where its source is full of symbols and goes elsewhere (small groups lean on the others);
+    all verdicts equal the SQL's."""
+    docs = mixed(make, per_source)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    measured = docs.select("lang", "source", quality_rules.measure("text").alias("m"))
+    high = {(r["lang"], r["source"]): r["high_symbols"] for r in quality_rules.thresholds(quality_rules.sketch(measured, "m")).collect()}
+    assert high["en", "code"] > max(high["en", "news"], high["de", "code"], high[None, "news"]) and len(set(high.values())) >= 3
+    judged = quality_rules.report(docs)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert spark_rows(judged) == sql_rows(con, quality_rules.ORACLE)
+    kept = quality_rules.filter_quality(docs).where("doc_id = 10000")
+    assert per_source < 100 or [(r["lang"], r["source"]) for r in kept.collect()] == [("en", "code")]
 
 
 def test_quality_rules_reject_an_outlier(spark, make):
     plain = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(300)]
     docs = make(plain + [(999, " ".join(f"w{j}$$$$$$$$$" for j in range(60)))])
-    assert [r["doc_id"] for r in quality_rules.judge(docs).where("not kept").collect()] == [999]
+    assert [r["doc_id"] for r in quality_rules.report(docs).where("not kept").collect()] == [999]
 
 
 def test_secrets_odd_rows(spark, make):
@@ -58,6 +91,44 @@ def test_secrets_with_separators_are_not_allowed(spark, make):
     assert [got[len(keys) + i] for i in range(len(names))] == [""] * len(names)
 
 
+def test_secrets_of_any_length(spark, make):
+    """Candidates of a hundred thousand characters, also such as alternate words and numbers, are judged in one go."""
+    keys = ["k-" + "1x" * 50_000, "x1" * 50_000, "ok-12/" * 20_000, "z" * 100_000, "0" * 100_000, base64.b64encode(random.Random(1).randbytes(60_000)).decode()]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(make([(i, f"key {k} end") for i, k in enumerate(keys)])).collect()}
+    assert [got[i] for i in range(6)] == ["", "", "", "", "hex:4:100004", f"entropy:4:{4 + len(keys[5])}"]
+
+
+def brute_urls(urls, rules, default):
+    import re
+
+    out = []
+    for i, u in urls:
+        rest = (u or "").split("://", 1)[1] if "://" in (u or "") else ""
+        host = re.match(r"(?s)[^/?#]*", rest)[0]
+        path = re.match(r"(?s)[^?#]*", rest[len(host):])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(r.rank, -n, r) for n, r in enumerate(rules) if re.search(r.pattern, host + path)]
+        best = max(fits, key=lambda f: f[:2])[2] if fits else None
+        out.append((i, host, path, best.name if best else None, best.verdict if best else default))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("bound", [20_000, 5])
+def test_url_rules_equal_all_rules_on_all_urls(spark, monkeypatch, bound):
+    """Some hundred rules of hosts, paths and words, over the bound of the broadcast and under it."""
+    monkeypatch.setattr(url_filters, "BROADCAST_RULES", bound)
+    rng = random.Random(bound)
+    words = [f"w{i}" for i in range(30)] + ["com", "net"]
+    host = lambda: ".".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+    rules = [url_filters.host_rule(rng.choice(["allow", "block"]), host(), rng.choice(["/", "/a/", "/w1/w2", "/x.y"])) for _ in range(200)]
+    rules += [url_filters.word_rule("block", "-".join(rng.choice(words) for _ in range(rng.randint(1, 2)))) for _ in range(100)]
+    urls = [(i, rng.choice(["http://", "HTTPS://", "//", ""]) + rng.choice([host(), host().upper(), f"{rng.choice(words)}-{rng.choice(words)}.{host()}"])
+             + rng.choice(["", "/", "/a/b", "/w1/w2?q", "/x.y#z", "?a", "/w3/\n"])) for i in range(400)]
+    pages = spark.createDataFrame(urls + [(None, None)], "page_id long, url string")
+    got = url_filters.judge(pages, rules, "unknown")
+    assert rows_of(got, "page_id", "host", "path", "rule", "verdict") == brute_urls(urls + [(None, None)], rules, "unknown")
+
+
 @pytest.mark.parametrize("url, host, path, rule, verdict", [
     (None, "", "", None, "allow"), ("no-scheme.com/", "", "", None, "allow"), ("http://A.Example.COM/en/x?y#z", "a.example.com", "/en/x", "example.com/en/", "block"),
     ("http://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"), ("http://myexample.com/en/", "myexample.com", "/en/", "com/", "allow"),
@@ -89,6 +160,41 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_trees(chat.linear(table.limit(0)))).count() == 0
 
 
+def brute_paths(nodes, top):
+    """(conv, branch) -> texts, by walking up from each leaf; the smallest of the rows that repeat an id counts."""
+    first = {}
+    for n in sorted((n for n in nodes if n[1] is not None), key=lambda n: tuple((x is not None, x) for x in (n[2], n[3], n[4], n[5]))):
+        first.setdefault((n[0], n[1]), n)
+    parents = {(c, n[2]) for (c, _), n in first.items()}
+    found = {}
+    for (c, leaf), n in first.items():
+        if (c, leaf) in parents:
+            continue
+        way, at, seen = [], (c, leaf), set()
+        while at in first and at not in seen:
+            seen.add(at)
+            way.append(first[at])
+            at = (c, first[at][2])
+        if at in seen:
+            continue
+        found.setdefault(c, []).append((-sum(x[5] or 0.0 for x in way), leaf, [x[4] or "" for x in reversed(way)]))
+    return {(c, b): texts for c, ways in found.items() for b, (_, _, texts) in enumerate(sorted(ways)[:top], 1)}
+
+
+def test_chat_trees_equal_brute_force(spark):
+    """Random trees with repeated and null ids, lost parents, cycles and a comb with a leaf at every step."""
+    rng = random.Random(8)
+    nodes = []
+    for conv in [*range(12), None]:
+        for i in range(1, rng.randint(3, 25)):
+            nodes.append((conv, i, rng.choice([None, 99, *range(1, i + 1), *range(1, i + 1)]), "user", f"t{conv}-{i}", rng.choice([None, 0.0, 0.5, 1.0, 2.0])))
+        nodes += [(conv, 2, 1, "user", "again", 0.25), (conv, None, 1, "user", "no id", 9.0)]
+    nodes += [(100, i, i - 1 or None, "user", str(i), 0.0) for i in range(1, 40)] + [(100, 1000 + i, i, "user", f"leaf {i}", float(i == 7)) for i in range(1, 40)]
+    table = spark.createDataFrame(nodes, "conv_id long, node long, parent long, role string, text string, score double")
+    got = {(r["conv_id"], r["branch"]): [t["text"] for t in r["turns"]] for r in chat.read_back(chat.format_trees(table, top=3)).collect()}
+    assert got == brute_paths(nodes, 3)
+
+
 def test_chat_trees(spark):
     """Branches ranked by score, a deep chain, a cycle without a root, a parent that does not exist."""
     nodes = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 1.0), (1, 3, 1, "assistant", "good", 2.0), (1, 4, 3, "user", "more", None),
