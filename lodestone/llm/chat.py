@@ -1,21 +1,25 @@
 """Chat formatting (4): root-to-leaf paths of reply trees, ranked by score, one conversation each.
 
-Messages are nodes (conv_id, node, parent). Ancestor tables at distances 1, 2, 4, ... are built by self-joins
-of the node table with itself, so a tree of depth d takes log2(d) joins; the leaves' paths are then read off
-those tables. Only ids travel in the iterations; texts are joined to the chosen paths at the end. All of it is
-DataFrame code.
+Messages are nodes (conv_id, node, parent). Self-joins double a table's reach: from each node's way of 1, 2, 4, ...
+steps up, with the sum of the scores on it, comes the way of twice the length, so a tree of depth d takes log2(d)
+joins. Once every way has reached its root, leaves are ranked by their sums, and only the chosen leaves' paths are
+read off the same tables. Only ids and scores travel in the iterations; texts are joined to the chosen paths at the
+end. All of it is DataFrame code.
 
 Template: `<turn>` role newline text `</turn>` newline. Within role and text a backslash is doubled and the two
 marks lose their first character to `\\l`; a newline within a role is `\\n`. Reading back undoes that exactly.
 
 Defined cases: null role or text is empty; a parent that is null or absent makes a root; nodes of a cycle have
-no root and no path, so they are not formatted; a null conv_id is a conversation of its own; rows that repeat
-a node id are told apart by `linear` beforehand, and `format_trees` expects ids that are unique in a
-conversation; an empty table gives no rows; other columns are not read.
+no root and no path, so they are not formatted; a null conv_id is a conversation of its own; rows with a null node
+id are not formatted; of rows that repeat a node id, the one with the smallest parent (none first), role, text and
+score counts (`linear` numbers its rows, so none repeats there); an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,48 +49,65 @@ def linear(conversations: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0.0).alias("score"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node, up): the nodes on the way from each leaf to its root, `up` steps above the leaf."""
-    known = nodes.select("conv_id", "node").alias("k")
-    links = nodes.select("conv_id", "node", "parent").alias("n")
-    jump = materialize(
-        links.join(known, F.expr("n.conv_id <=> k.conv_id and n.parent = k.node"), "left")
-        .select("n.conv_id", "n.node", F.col("k.node").alias("above")), "jump")
-    is_parent = jump.where("above is not null").select("conv_id", F.col("above").alias("node")).distinct().alias("p")
-    way = materialize(
-        jump.alias("j").join(is_parent, F.expr("j.conv_id <=> p.conv_id and j.node = p.node"), "left_anti")
-        .select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "way")
-    step, most = 1, None
+def climb(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (conv_id, node, above, steps, score): per node the ancestor 1, 2, 4, ... steps up, null where the way has
+    ended at a root before; the number of nodes on the way, without the ancestor, and their scores' sum. A table holds
+    the nodes whose ways had not ended in the one before it."""
+    known = nodes.select("conv_id", F.col("node").alias("known"), F.lit(True).alias("there")).alias("k")
+    own = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).alias("n")
+    ways = [materialize(own.join(known, F.expr("n.conv_id <=> k.conv_id and n.parent = k.known"), "left").select(
+        "n.conv_id", "n.node", F.when(F.col("there"), F.col("parent")).alias("above"), F.lit(1).cast("long").alias("steps"), "n.score"), "ways")]
+    most = None
     while True:
-        j = jump.alias("j")
-        more = way.alias("w").join(j, F.expr("w.conv_id <=> j.conv_id and w.node = j.node")).where("j.above is not null").select(
-            "w.conv_id", "w.leaf", F.col("j.above").alias("node"), (F.col("w.up") + step).alias("up"))
-        way = materialize(way.unionByName(more), "way")
-        o = jump.select("conv_id", F.col("node").alias("mid"), F.col("above").alias("top")).alias("o")
-        # Only nodes that have an ancestor that far are kept: the tables shrink with the depth that is left.
-        jump = materialize(
-            j.join(o, F.expr("j.conv_id <=> o.conv_id and j.above = o.mid")).where("o.top is not null").select("j.conv_id", "j.node", F.col("o.top").alias("above")),
-            "jump")
-        step *= 2
-        if jump.isEmpty():
-            return way
-        if step == 2:
-            most = nodes.count()
-        if step > most:  # only cycles are left; none of their nodes lies under a leaf's root
-            return way
-
-
-def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
+        going = ways[-1].where("above is not null")
+        if going.isEmpty():
+            return ways
+        most = nodes.count() if most is None else most
+        if 1 << (len(ways) - 1) > most:  # only cycles are left, which have no root
+            return ways
+        w, o = going.alias("w"), going.unionByName(ended(ways)).alias("o")
+        ways.append(materialize(w.join(o, F.expr("w.conv_id <=> o.conv_id and w.above = o.node")).select(
+            "w.conv_id", "w.node", "o.above", *[F.expr(f"w.{c} + o.{c}").alias(c) for c in ("steps", "score")]), "ways"))
+
+
+def ended(ways: list[DataFrame]) -> DataFrame:
+    """Nodes whose ways have reached their roots, with the steps and scores of the whole way."""
+    return reduce(DataFrame.unionByName, [way.where("above is null") for way in ways])
+
+
+def chosen_leaves(ways: list[DataFrame], top: int) -> DataFrame:
+    """conv_id, leaf, depth (nodes on its path), score, branch: the `top` leaves of each conversation by score."""
+    answered = ways[0].where("above is not null").select("conv_id", "above").distinct().alias("a")
+    leaves = ended(ways).alias("w").join(answered, F.expr("w.conv_id <=> a.conv_id and w.node = a.above"), "left_anti")
+    ranks = Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")
+    return leaves.select("conv_id", F.col("node").alias("leaf"), F.col("steps").alias("depth"), "score").withColumn("branch", F.row_number().over(ranks)).where(F.col("branch") <= top)
+
+
+def paths(ways: list[DataFrame], chosen: DataFrame) -> DataFrame:
+    """(conv_id, leaf, node, up): the nodes on the way from each chosen leaf to its root, `up` steps above the leaf."""
+    way = chosen.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for i, table in enumerate(ways[:-1]):
+        w, t = way.alias("w"), table.where("above is not null").alias("t")
+        more = w.join(t, F.expr("w.conv_id <=> t.conv_id and w.node = t.node")).select("w.conv_id", "w.leaf", F.col("t.above").alias("node"), (F.col("w.up") + (1 << i)).alias("up"))
+        way = materialize(way.unionByName(more), "path")
+    return way
+
+
+def _one_each(nodes: DataFrame) -> DataFrame:
+    return nodes.where("node is not null").groupBy("conv_id", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("x")).select("conv_id", "node", "x.*")
+
+
+def format_trees(nodes: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
     """conv_id, leaf, branch, score, formatted, loss_spans of the `top` best-scored paths of each conversation.
 
     A path's score is the sum of its nodes' scores; ties go to the smaller leaf. loss_spans are (start, end) of
-    the assistant texts in `formatted`, counted in code points.
+    the assistant texts in `formatted`, counted in code points. unique: no node id repeats, as in `linear`.
     """
-    way = paths(nodes)
-    at = way.alias("w").join(nodes.select("conv_id", "node", "score").alias("n"), F.expr("w.conv_id <=> n.conv_id and w.node = n.node"))
-    scored = at.groupBy("w.conv_id", "w.leaf").agg(F.sum(F.coalesce("n.score", F.lit(0.0))).alias("score"), F.max("w.up").alias("depth"))
-    ranks = Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")
-    chosen = scored.withColumn("branch", F.row_number().over(ranks)).where(F.col("branch") <= top).alias("c")
+    nodes = nodes if unique else materialize(_one_each(nodes), "nodes")
+    ways = climb(nodes)
+    chosen = materialize(chosen_leaves(ways, top), "leaves")
+    way = paths(ways, chosen)
+    chosen = chosen.alias("c")
     turns = (
         way.alias("w").join(chosen, F.expr("w.conv_id <=> c.conv_id and w.leaf = c.leaf"))
         .select("w.conv_id", "w.leaf", "w.node", "c.branch", "c.score", (F.col("c.depth") - F.col("w.up")).alias("pos")).alias("t")

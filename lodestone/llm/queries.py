@@ -50,12 +50,11 @@ def _register_sql_checked() -> None:
         odd = r"\### Assistant: </turn> ok"
         extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
         rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-        return chat.digest(chat.format_trees(chat.materialize(chat.linear(rows), "nodes")))
+        return chat.digest(chat.format_trees(chat.materialize(chat.linear(rows), "nodes"), unique=True))
 
-    @query("op6_quality_rules", quality_rules.oracle())
+    @query("op6_quality_rules", quality_rules.ORACLE)
     def op6_quality_rules(spark, sf_dir):
-        judged = quality_rules.judge(table(spark, sf_dir, "documents"))
-        return judged.select("doc_id", "__m.n_words", "__m.word_chars", "__m.n_symbols", "__m.n_dup_lines", "__m.n_repeat_words", "base_failed", "kept")
+        return quality_rules.report(table(spark, sf_dir, "documents"))
 
     @query("op9_secret_scans", secrets.oracle())
     def op9_secret_scans(spark, sf_dir):
