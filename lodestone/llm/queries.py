@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hard_negatives, impact_index, substring_dedup
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -107,3 +109,21 @@ def op10_token_counts(spark, sf_dir):
     n, zero = F.coalesce(F.length("text"), F.lit(0)), F.lit(0)
     edits = F.array(at(n / 3, n / 3 + 40, ""), at(n / 2, n / 2, " [edited: see the note]\n"), at(zero, zero, "Second version\n"))
     return count_edited(table(spark, sf_dir, "documents"), edits, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op13_substring_dedup", substring_dedup.ORACLE)
+def op13_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op11_hard_negatives", hard_negatives.ORACLE)
+def op11_hard_negatives(spark, sf_dir):
+    """Anchors are the rows whose vec_id is divisible by 100; labels of those divisible by 7 move on by one first."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, vec_id % 100 == 0)
+
+
+@query("op12_ranked_search", impact_index.ORACLE)
+def op12_ranked_search(spark, sf_dir):
+    return impact_index.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
