@@ -178,7 +178,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = docs.where("text is not null").select("doc_id", tag.alias("tag"), F.xxhash64(F.lit("second"), "text").alias("tag2"), "text")
     keys = materialize(keyed.select("doc_id", "tag", "tag2", F.length("text").alias("chars")), "copy-keys")
     firsts = keys.groupBy("tag", "tag2").agg(F.min(F.struct("doc_id")).alias("low"), F.max(F.struct("doc_id")).alias("high"))
-    firsts = firsts.where(~F.col("low").eqNullSafe(F.col("high"))).select("tag", "tag2", F.col("low.doc_id").alias("first"))
+    # Written, so that both sides of the join are dealt anew and a text with very many copies can be split.
+    firsts = materialize(firsts.where(~F.col("low").eqNullSafe(F.col("high"))).select("tag", "tag2", F.col("low.doc_id").alias("first")), "copy-firsts")
     copies = materialize(
         keys.join(firsts.hint("merge"), ["tag", "tag2"]).where("doc_id is not null and (first is null or doc_id > first)").select("doc_id", "tag", "tag2").distinct(), "copies")
     left_out = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies.hint("merge")
@@ -215,7 +216,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared.unpersist()
     doc = F.struct("doc_id")
     several = windows.groupBy("high", "low").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
-    several = several.where(~F.col("first").eqNullSafe(F.col("last"))).select("high", "low", "first")
+    several = materialize(several.where(~F.col("first").eqNullSafe(F.col("last"))).select("high", "low", "first"), "window-firsts")
     later = windows.join(several.hint("merge"), ["high", "low"]).where("struct(doc_id) > first")
     starts = later.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts"), F.lit(False).alias("whole"))
     return starts.unionByName(copies.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
