@@ -1,14 +1,9 @@
-"""Streams of usage events and chunk batches. Every stream has a batch twin with the same rows."""
+"""Streams of usage events. Every stream has a batch twin with the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.scratch import folder
 
@@ -52,33 +47,12 @@ def once_each(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def recent_values(events: DataFrame, keep: int = 8, ttl_ms: int | None = None) -> DataFrame:
-    """user_id, n, total: of the latest `keep` values of each user; with `ttl_ms` a user is forgotten after so long without events.
-
-    A stream that is to end by itself takes no ttl: timeouts keep asking for one more batch.
-    """
-    out = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.LongType())])
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        values, n = state.get if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        values, n = (list(values) + [int(v) for v in rows["value"]])[-keep:], n + len(rows)
-        state.update((values, n))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [sum(values)]})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, out, "values array<bigint>, n bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
-
+def recent_values(events: DataFrame, keep: int = 8) -> DataFrame:
+    """user_id, n, value: after each batch, how many events a user has had, and the latest `keep` values."""
+    from .state import latest
 
-def ingest(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None]) -> None:
-    """Chunk batches merged one after another; `step` must bear being repeated for a batch after a failure."""
-    where = folder(stream.sparkSession, name)
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+    rows = latest(events, "user_id", ["ts", "event_id"], ["value"], keep)
+    return rows.select("user_id", F.col("seen").alias("n"), F.col("value").cast("long").alias("value"))
 
 
 def changes_since(rows: DataFrame, since) -> DataFrame:
