@@ -181,7 +181,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Written, so that both sides of the join are dealt anew and a text with very many copies can be split.
     firsts = materialize(firsts.where(~F.col("low").eqNullSafe(F.col("high"))).select("tag", "tag2", F.col("low.doc_id").alias("first")), "copy-firsts")
     copies = materialize(
-        keys.join(firsts.hint("merge"), ["tag", "tag2"]).where("doc_id is not null and (first is null or doc_id > first)").select("doc_id", "tag", "tag2").distinct(), "copies")
+        keys.join(firsts.hint("merge"), ["tag", "tag2"]).where("doc_id is not null and (first is null or doc_id > first)").select("doc_id", "tag", "tag2"), "copies")
     left_out = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies.hint("merge")
     texts = keyed.join(left_out, ["doc_id", "tag", "tag2"], "left_anti").select("doc_id", "tag", F.col("text").cast("binary").alias("text"))
 
@@ -219,7 +219,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     several = materialize(several.where(~F.col("first").eqNullSafe(F.col("last"))).select("high", "low", "first"), "window-firsts")
     later = windows.join(several.hint("merge"), ["high", "low"]).where("struct(doc_id) > first")
     starts = later.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts"), F.lit(False).alias("whole"))
-    return starts.unionByName(copies.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    return starts.unionByName(copies.select("doc_id", "tag").distinct().select("doc_id", "tag", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
 
 
 def cut_windows(text: bytes, starts: np.ndarray | None, window: int) -> tuple[bytes, int, int]:
