@@ -73,8 +73,8 @@ def embed(df: DataFrame, text: str = "text", model: Callable[[], Callable[[list[
     return df.withColumn("embedding", run(text))
 
 
-def with_retry(call: Callable, tries: int = 3, first_wait: float = 0.5, factor: float = 2.0) -> Callable:
-    """The call, repeated after growing waits; the last error is raised."""
+def with_retry(call: Callable, tries: int = 4, first_wait: float = 1.0, most_wait: float = 8.0, jitter: float = 0.2, retry_on: Callable[[Exception], bool] = lambda _: True) -> Callable:
+    """The call, repeated after growing waits while retry_on accepts its error; the last error is raised."""
     import random
     import time
 
@@ -82,14 +82,60 @@ def with_retry(call: Callable, tries: int = 3, first_wait: float = 0.5, factor:
         for n in range(tries):
             try:
                 return call(*args)
-            except Exception:
-                if n + 1 == tries:
+            except Exception as error:
+                if n + 1 == tries or not retry_on(error):
                     raise
-                time.sleep(first_wait * factor**n * (1 + random.random() / 4))
+                time.sleep(min(most_wait, first_wait * 2**n) * (1 + random.uniform(-jitter, jitter)))
 
     return run
 
 
+#: Texts that a hosted service takes in one request, and that it is sent in one call at all.
+PER_REQUEST, PER_CALL = 8, 32
+
+
+def embed_by_service(docs: DataFrame, service: Callable[[], Callable[[list[str]], list]], text: str = "text", per_request: int = PER_REQUEST, call: int = PER_CALL,
+                     wait: float = 1.0) -> DataFrame:
+    """docs with `embedding` from a hosted service, made once a task.
+
+    Texts of an Arrow batch are sent in calls of at most `call` texts (more than PER_CALL are refused) and requests of at
+    most `per_request`. Lost connections are tried again after growing waits. An answer without one vector of numbers
+    for each text is asked for text by text; if that fails too, the job does. A missing column is an error at once, a
+    null text is embedded as an empty one.
+    """
+    if text not in docs.columns:
+        raise ValueError(f"documents have no field {text}")
+    if call > PER_CALL:
+        raise ValueError(f"a hosted service takes {PER_CALL} texts a call at most, not {call}")
+
+    def checked(answer, n: int) -> list:
+        if len(answer) != n or any(not isinstance(v, (list, np.ndarray)) or not len(v) or np.ndim(v) != 1 for v in answer):
+            raise ValueError(f"no {n} vectors")
+        return [np.asarray(v, np.float32) for v in answer]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        send = with_retry(service(), first_wait=wait, retry_on=lambda e: isinstance(e, (ConnectionError, TimeoutError)))
+
+        def request(texts: list[str]) -> list:
+            try:
+                return checked(send(texts), len(texts))
+            except ValueError:
+                if len(texts) == 1:
+                    raise
+                return [checked(send([t]), 1)[0] for t in texts]
+
+        for texts in batches:
+            known, out = [t or "" for t in texts], []
+            for i in range(0, len(known), call):
+                group = known[i : i + call]
+                for j in range(0, len(group), per_request):
+                    out += request(group[j : j + per_request])
+            yield pd.Series(out, index=texts.index)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.withColumn("embedding", F.pandas_udf(run, T.ArrayType(T.FloatType()))(text))
+
+
 def complete(prompts: DataFrame, chat: Callable[[], Callable[[str], str]], key: str = "query_id") -> DataFrame:
     """key, answer of each prompt; `chat` is made once a task."""
     schema = T.StructType([prompts.schema[key], T.StructField("answer", T.StringType())])

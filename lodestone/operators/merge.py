@@ -109,13 +109,50 @@ def stale_points(points: DataFrame, current: DataFrame, scope: DataFrame) -> Dat
     return points.join(scope.select(*keys).distinct(), keys, "left_semi").join(current.select(*keys, "chunk_id").distinct(), [*keys, "chunk_id"], "left_anti")
 
 
-def delete_guarded(stored: DataFrame, ids: DataFrame, limit: int, dry_run: bool = False) -> tuple[DataFrame, int]:
-    """(what is left, rows affected). More than `limit` affected rows raise; a dry run only counts."""
-    marks = ids.select("chunk_id").distinct()
-    n = stored.join(marks, "chunk_id", "left_semi").count()
-    if n > limit:
-        raise ValueError(f"{n} rows would be deleted, {limit} are allowed")
-    return (stored if dry_run else stored.join(marks, "chunk_id", "left_anti")), n
+class GuardedDelete:
+    """mirror and points after the delete, and how many rows matched and were deleted."""
+
+    def __init__(self, mirror: DataFrame, points: DataFrame, matched: int, deleted: int):
+        self.mirror, self.points, self.matched, self.deleted = mirror, points, matched, deleted
+
+
+def delete_guarded(mirror: DataFrame, points: DataFrame, where: Column | None = None, prefix: str | None = None, everything: bool = False, limit: int | None = None, dry_run: bool = False) -> GuardedDelete:
+    """Delete chunks that a filter, a prefix of source_id, or everything selects, from the mirror and from the points.
+
+    One of the three has to be given; a prefix excludes `everything`. Where the mirror has no row that matches, the points
+    are searched instead, but for a prefix, of which the mirror alone knows; for `everything` that takes a limit. The ids
+    are written by the job that counts them, at most limit + 1 of the points; more than `limit` raise before anything is
+    deleted, and what is deleted are the written ids. A dry run only counts.
+    """
+    from pyspark.sql import Observation
+
+    from ..sources.scratch import written
+
+    if where is None and not prefix and not everything:
+        raise ValueError("a filter, a prefix or everything has to be given")
+    if everything and prefix:
+        raise ValueError("everything and a prefix exclude each other")
+    test = F.lit(True)
+    if not everything:
+        test = (where if where is not None else F.lit(True)) & (F.startswith("source_id", F.lit(prefix)) if prefix else F.lit(True))
+
+    def counted(rows: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        ids = written(rows.select("chunk_id").observe(seen, F.count("*").alias("n")), "deleted-ids")
+        return ids, seen.get["n"]
+
+    ids, n = counted(mirror.where(test))
+    if n == 0 and not prefix:
+        if everything and limit is None:
+            raise ValueError("the mirror is empty: everything takes a limit")
+        found = points.where(test)
+        ids, n = counted(found if limit is None else found.limit(limit + 1))
+    if limit is not None and n > limit:
+        raise ValueError(f"{n} chunks match, {limit} are allowed")
+    if dry_run or n == 0:
+        return GuardedDelete(mirror, points, n, 0)
+    gone = ids.distinct()
+    return GuardedDelete(mirror.join(gone, "chunk_id", "left_anti"), points.join(gone, "chunk_id", "left_anti"), n, n)
 
 
 def embed_type(chunk_type: Column, source_type: Column, override: Column) -> Column:

@@ -109,25 +109,54 @@ def upsert_users(users: DataFrame, batch: DataFrame) -> DataFrame:
     return users.join(new, "github_id", "full").select("github_id", F.coalesce("__name", "name").alias("name"), F.coalesce("role", F.lit("user")).alias("role"))
 
 
-def create_invitations(invitations: DataFrame, new: DataFrame, now: Column, per_day: int = INVITATIONS_PER_DAY) -> DataFrame:
-    """invitations after new ones (inviter, email, code): a pending one of the same address is replaced; others are refused
-    to inviters who have sent `per_day` in the last 24 hours."""
-    recent = invitations.where((F.col("created_at") > now - F.expr("interval 24 hours")) & (F.col("created_at") <= now)).groupBy("inviter").agg(F.count("*").alias("__sent"))
-    pending = invitations.where("status = 'pending'").select("email").distinct().withColumn("__pending", F.lit(True))
-    asked = new.withColumn("email", F.lower(F.trim("email"))).join(recent, "inviter", "left").join(pending, "email", "left")
-    taken = asked.where(F.col("__pending") | (F.coalesce("__sent", F.lit(0)) < per_day)).select(
-        F.lit(None).cast(invitations.schema["id"].dataType).alias("id"), "inviter", "email", "code", F.lit("pending").alias("status"), now.alias("created_at"))
-    replaced = taken.select("email").distinct()
-    return invitations.where("status != 'pending'").unionByName(invitations.where("status = 'pending'").join(replaced, "email", "left_anti")).unionByName(taken)
+def create_invitations(invitations: DataFrame, new: DataFrame, now: Column, per_day: int = INVITATIONS_PER_DAY) -> tuple[DataFrame, DataFrame]:
+    """(invitations after new ones, new with `accepted`). new: pos, inviter, email, code, taken one after another by pos.
+
+    An address that has a pending invitation, stored or accepted before, is invited again: the earlier one goes, and no
+    place of the day is needed. Any other is refused to inviters who have `per_day` rows of the last 24 hours, those
+    accepted before among them and those replaced before not. What a row meets depends on rows of lower pos only, so
+    rounds that judge all rows by the last round's verdicts come to rest at the sequential result.
+    """
+    from ..sources.scratch import written
+
+    asked = new.withColumn("email", F.lower(F.trim("email")))
+    pending = invitations.where("status = 'pending'").groupBy("email").agg(F.lit(True).alias("__pending"))
+    recent = (F.col("created_at") >= now - F.expr("interval 24 hours")) & (F.col("created_at") <= now)
+    sent = invitations.where(recent).groupBy("inviter").agg(F.count("*").alias("__sent"))
+    lost = invitations.where((F.col("status") == "pending") & recent).select("email", "inviter")
+    rows = asked.join(pending, "email", "left").join(sent, "inviter", "left").select(
+        "pos", "inviter", "email", "code", F.coalesce("__pending", F.lit(False)).alias("__pending"), F.coalesce("__sent", F.lit(0)).alias("__sent"), F.lit(True).alias("accepted"))
+    rows = written(rows, "invited")
+    by_email, by_inviter = Window.partitionBy("email").orderBy("pos"), Window.partitionBy("inviter").orderBy("pos")
+    while True:
+        taken = rows.where("accepted").withColumn("before", F.lag("inviter").over(by_email))
+        gone = taken.where("before is not null").select("pos", F.col("before").alias("inviter"))  # replaced within the batch
+        first = taken.groupBy("email").agg(F.min("pos").alias("pos"))
+        events = rows.where("accepted").select("inviter", "pos", F.lit(1).alias("delta")).union(gone.select("inviter", "pos", F.lit(-1))).union(
+            first.join(lost, "email").select("inviter", "pos", F.lit(-1)))
+        counted = events.union(rows.select("inviter", "pos", F.lit(0))).withColumn(
+            "earlier", F.sum("delta").over(by_inviter.rangeBetween(Window.unboundedPreceding, -1)))
+        counted = counted.where("delta = 0").select("inviter", "pos", F.coalesce("earlier", F.lit(0)).alias("earlier"))
+        known = F.col("__pending") | F.coalesce(F.max(F.col("accepted")).over(by_email.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        judged = rows.withColumn("__known", known).join(counted, ["inviter", "pos"]).withColumn("__new", F.col("__known") | (F.col("__sent") + F.col("earlier") < per_day))
+        judged = written(judged, "invited")
+        rows = judged.select("pos", "inviter", "email", "code", "__pending", "__sent", F.col("__new").alias("accepted"))
+        if judged.where("accepted != __new").isEmpty():
+            break
+    last = rows.where("accepted").groupBy("email").agg(F.max_by(F.struct("inviter", "code"), "pos").alias("x"))
+    made = last.select(F.lit(None).cast(invitations.schema["id"].dataType).alias("id"), "x.inviter", "email", "x.code", F.lit("pending").alias("status"), now.alias("created_at"))
+    kept = invitations.where("status != 'pending'").unionByName(invitations.where("status = 'pending'").join(last.select("email"), "email", "left_anti"))
+    return kept.unionByName(made), rows.select("pos", "inviter", "email", "code", "accepted")
 
 
 def redeem_invitations(invitations: DataFrame, tries: DataFrame, now: Column, hours: int = INVITATION_HOURS) -> DataFrame:
-    """email, code, outcome of each try: redeemed, expired or invalid."""
+    """pos, email, code, outcome of each try, taken by pos: redeemed for the first one with a pending code that has not
+    expired, else expired where such a code has, else invalid."""
     fresh = F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(hours)) > now
-    known = invitations.select("email", "code", (F.col("status") == "pending").alias("__open"), fresh.alias("__fresh"))
-    rows = tries.withColumn("email", F.lower(F.trim("email"))).join(known, ["email", "code"], "left")
-    outcome = F.when(F.col("__open") & F.col("__fresh"), "redeemed").when(~F.col("__fresh"), "expired").otherwise("invalid")
-    return rows.select("email", "code", outcome.alias("outcome"))
+    known = invitations.groupBy("email", "code").agg(F.max((F.col("status") == "pending") & fresh).alias("__open"), F.max(~fresh).alias("__old"))
+    rows = tries.withColumn("email", F.lower(F.trim("email"))).withColumn("__try", F.row_number().over(Window.partitionBy("email", "code").orderBy("pos"))).join(known, ["email", "code"], "left")
+    outcome = F.when(F.col("__open") & (F.col("__try") == 1), "redeemed").when(F.col("__old"), "expired").otherwise("invalid")
+    return rows.select("pos", "email", "code", outcome.alias("outcome"))
 
 
 def recode(column: Column, names: dict[str, str]) -> Column:

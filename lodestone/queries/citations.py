@@ -239,34 +239,40 @@ def user_upsert(spark, d):
     return talks.upsert_users(stored, c.where("c_custkey % 3 = 0").select(i.alias("github_id"), F.upper("c_name").alias("name")))
 
 
-_INV = """inv as (select conv_id as id, 'u' || conv_id % 5 as inviter, 'e' || conv_id % 40 || '@x' as email, 'c' || conv_id as code, case when conv_id % 4 = 0 then 'redeemed' else 'pending' end as status,
-   timestamp '2024-01-01' + to_hours(conv_id::int % 60) as created_at from (select distinct conv_id from conversations))"""
+_INV = """inv as (select conv_id as id, 'u' || conv_id % 5 as inviter, 'e' || conv_id % 400 || '@x' as email, 'c' || conv_id as code, case when conv_id % 4 = 0 then 'redeemed' else 'pending' end as status,
+   timestamp '2024-01-01' + to_hours(conv_id::int % 60) as created_at from (select distinct conv_id from conversations) where conv_id % 3 = 0)"""
 
 
 def _invitations(spark, d):
     i = F.col("conv_id")
-    return table(spark, d, "conversations").select("conv_id").distinct().select(
-        i.alias("id"), F.concat(F.lit("u"), i % 5).alias("inviter"), F.concat(F.lit("e"), i % 40, F.lit("@x")).alias("email"), F.concat(F.lit("c"), i).alias("code"),
+    return table(spark, d, "conversations").select("conv_id").distinct().where(i % 3 == 0).select(
+        i.alias("id"), F.concat(F.lit("u"), i % 5).alias("inviter"), F.concat(F.lit("e"), i % 400, F.lit("@x")).alias("email"), F.concat(F.lit("c"), i).alias("code"),
         F.when(i % 4 == 0, "redeemed").otherwise("pending").alias("status"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id % 60 as int), 0, 0)").alias("created_at"))
 
 
-@query(f"""with {_INV}, n as (select 'u' || k % 5 as inviter, 'e' || k || '@x' as email, 'new' || k as code from (select unnest(range(0, 60, 3)) as k)),
-  recent as (select inviter, count(*) as sent from inv where created_at > timestamp '2024-01-02 12:00:00' - interval 24 hour and created_at <= timestamp '2024-01-02 12:00:00' group by 1),
-  pend as (select distinct email from inv where status = 'pending'),
-  ok as (select n.* from n left join recent using (inviter) left join pend using (email) where pend.email is not null or coalesce(sent, 0) < 20)
-  select email, code, status, created_at, created_at + interval 48 hour as expires_at from inv where not (status = 'pending' and email in (select email from ok))
-  union all select email, code, 'pending', timestamp '2024-01-02 12:00:00', timestamp '2024-01-04 12:00:00' from ok""")
+@query(f"""with recursive {_INV}, n as (select row_number() over (order by event_id) as step, 'u' || user_id % 7 as inviter, 'e' || (event_id // 25 * 7) % 300 || '@x' as email, 'n' || event_id as code from events where event_id % 25 = 0),
+  live as (select 0 as step, (select list({{'inviter': inviter, 'email': email, 'code': code, 'status': status, 'created_at': created_at}}) from inv) as held
+   union all select n.step, case when len(list_filter(held, lambda r: r.email = n.email and r.status = 'pending')) > 0
+      or len(list_filter(held, lambda r: r.inviter = n.inviter and r.created_at >= timestamp '2024-01-02 12:00:00' - interval 24 hour and r.created_at <= timestamp '2024-01-02 12:00:00')) < 20
+     then list_append(list_filter(held, lambda r: not (r.email = n.email and r.status = 'pending')), {{'inviter': n.inviter, 'email': n.email, 'code': n.code, 'status': 'pending', 'created_at': timestamp '2024-01-02 12:00:00'}})
+     else held end from live join n on n.step = live.step + 1)
+  select r.inviter, r.email, r.code, r.status, r.created_at, r.created_at + interval 48 hour as expires_at from (select unnest(held) as r from live where step = (select count(*) from n))""")
 def invitation_create(spark, d):
-    new = spark.range(0, 60, 3).select(F.concat(F.lit("u"), F.col("id") % 5).alias("inviter"), F.concat(F.lit(" E"), "id", F.lit("@x")).alias("email"), F.concat(F.lit("new"), "id").alias("code"))
-    return talks.create_invitations(_invitations(spark, d), new, F.expr("timestamp_ntz'2024-01-02 12:00:00'")).select("email", "code", "status", "created_at", F.expr("created_at + interval 48 hours").alias("expires_at"))
+    """Events invite in turn: some addresses again and again, some inviters more often than they may."""
+    new = table(spark, d, "events").where("event_id % 25 = 0").select(
+        F.col("event_id").alias("pos"), F.concat(F.lit("u"), F.col("user_id") % 7).alias("inviter"), F.concat(F.lit(" E"), F.expr("event_id div 25 * 7 % 300"), F.lit("@X ")).alias("email"), F.concat(F.lit("n"), "event_id").alias("code"))
+    after = talks.create_invitations(_invitations(spark, d), new, F.expr("timestamp_ntz'2024-01-02 12:00:00'"))[0]
+    return after.select("inviter", "email", "code", "status", "created_at", F.expr("created_at + interval 48 hours").alias("expires_at"))
 
 
-@query(f"""with {_INV}, t as (select 'e' || k % 40 || '@x' as email, 'c' || (k + k % 2 * 1000000) as code from (select unnest(range(0, 60)) as k)),
-  x as (select t.email, t.code, status, created_at + interval 48 hour > timestamp '2024-01-04' as fresh, inv.email is not null as known from t left join inv on inv.email = t.email and inv.code = t.code)
-  select email, code, case when status = 'pending' and fresh then 'redeemed' when known and not fresh then 'expired' else 'invalid' end as outcome from x""")
+@query(f"""with {_INV}, t as (select event_id as pos, 'e' || (user_id * 3) % 400 || '@x' as email, 'c' || (user_id * 3 + case when event_id % 4 = 0 then 1000000 else 0 end) as code from events),
+  k as (select email, code, bool_or(status = 'pending' and created_at + interval 48 hour > timestamp '2024-01-04') as open, bool_or(created_at + interval 48 hour <= timestamp '2024-01-04') as old from inv group by all)
+  select pos, t.email, t.code, case when open and row_number() over (partition by t.email, t.code order by pos) = 1 then 'redeemed' when old then 'expired' else 'invalid' end as outcome
+  from t left join k on k.email = t.email and k.code = t.code""")
 def invitation_redeem(spark, d):
-    k = F.col("id")
-    tries = spark.range(0, 60).select(F.concat(F.lit("E"), k % 40, F.lit("@X ")).alias("email"), F.concat(F.lit("c"), k + k % 2 * 1000000).alias("code"))
+    """Codes are tried again and again; a fourth of the tries has a wrong one."""
+    u = F.col("user_id") * 3
+    tries = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("E"), u % 400, F.lit("@X ")).alias("email"), F.concat(F.lit("c"), u + F.when(F.col("event_id") % 4 == 0, 1000000).otherwise(0)).alias("code"))
     return talks.redeem_invitations(_invitations(spark, d), tries, F.expr("timestamp_ntz'2024-01-04 00:00:00'"))
 
 

@@ -283,3 +283,31 @@ def filter_drop_diagnostics(spark, d):
 @query(name="uuid5_point_ids")
 def uuid5_point_ids(spark, d):
     return chunks(spark, d).select("chunk_id", point_id(F.col("chunk_id")).alias("point_id"))
+
+
+@query(C + """, m as (select chunk_id, source_id, chunk_type from chunks where doc_id % 5 <> 0), k as (
+  select 'filter' as request, (select count(*) from m where chunk_type = 'talk') as matched, (select count(*) from m where chunk_type <> 'talk') as mirror, (select count(*) from chunks where not (chunk_type = 'talk' and doc_id % 5 <> 0)) as points
+  union all select 'prefix', (select count(*) from m where source_id like 'src1%'), (select count(*) from m where source_id not like 'src1%'), (select count(*) from chunks where not (source_id like 'src1%' and doc_id % 5 <> 0))
+  union all select 'dry', (select count(*) from m), (select count(*) from m), (select count(*) from chunks)
+  union all select 'fallback', (select count(*) from chunks where chunk_type = 'quote'), 0, (select count(*) from chunks where chunk_type <> 'quote')
+  union all select 'limit', null, (select count(*) from m), (select count(*) from chunks))
+  select request, matched, case when request = 'dry' then 0 else matched end as deleted, mirror, points from k""")
+def guarded_delete(spark, d):
+    """Deletes by filter and by prefix, a dry run, one that only the points know of, and one over its limit, which changes nothing."""
+    points = stored(spark, d)
+    mirror = points.where("doc_id % 5 <> 0")
+    requests = {
+        "filter": dict(where=F.col("chunk_type") == "talk"), "prefix": dict(prefix="src1"), "dry": dict(everything=True, dry_run=True),
+        "fallback": dict(where=F.col("chunk_type") == "quote", mirror=mirror.where("chunk_type <> 'quote'").limit(0)), "limit": dict(everything=True, limit=3)}
+    out = None
+    for name, how in requests.items():
+        own = how.pop("mirror", mirror)
+        try:
+            done = merge.delete_guarded(own, points, **how)
+        except ValueError:
+            done = merge.GuardedDelete(own, points, None, None)
+        n = lambda df, c: df.agg(F.count("*").alias(c))
+        row = n(done.mirror, "mirror").crossJoin(n(done.points, "points")).select(  # one row each
+            F.lit(name).alias("request"), F.lit(done.matched).cast("long").alias("matched"), F.lit(done.deleted).cast("long").alias("deleted"), "mirror", "points")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import filters, ranking
-from ..plans import context, fusion
+from ..operators import filters, ranking, telemetry
+from ..plans import cascade, context, fusion
 from ..plans.dense import dense_retrieve, top_k, with_payload
 from ..plans.sparse import sparse_retrieve, sparse_top
 from ..registry import query
 from ..schemas import overfetch
+from ..sources.scratch import folder
 from ..sources.testdata import CHUNKS_SQL, chunks, table, vectors
 from .citations import PARAGRAPHS_SQL, paragraphs
 
@@ -210,22 +211,39 @@ def better_candidate(spark, d):
     return fusion.better(dense_retrieve(c, vectors(spark, d), item_vectors(spark, d), 6, filters.payload(author="Author A")), sparse_retrieve(c, text_queries(spark, d), 8))
 
 
-_TYPO = "chunk_type = 'typology' and author = 'Author A'"
-
-
-@query(sql(dense_sql("a", 14, "iq", _TYPO + " and source_id = 'src8'"), dense_sql("b", 28, "iq", _TYPO), sparse_sql("c", 40, "chunk_type = 'typology'"), end="""
-, na as (select query_id from a group by 1 having count(*) >= 6), nb as (select query_id from b where query_id not in (from na) group by 1 having count(*) >= 1)
-select query_id, rank, chunk_id, round(score, 6) as score, 'narrow' as stage from a where query_id in (from na)
-union all select query_id, rank, chunk_id, round(score, 6), 'wide' from b where query_id in (from nb)
-union all select query_id, rank, chunk_id, round(score, 6), 'sparse' from c where query_id not in (from na) and query_id not in (from nb)"""))
+_SCOPES = {"many": "chunk_type = 'typology' and author = 'Author A'", "few": "chunk_type = 'typology' and source_id = 'src1'", "none": "chunk_type = 'typology' and source_id = 'src1' and author = 'Author C'"}
+_TYPO_STEPS = [
+    "\nmq as (select item_id as query_id, qtext, embedding::double[] as qv, case item_id % 3 when 0 then 'many' when 1 then 'few' else 'none' end as scope from (select item_id, text as qtext from benchmark) join embeddings on vec_id = item_id)",
+    *[f"\nq_{s} as (select * from mq where scope = '{s}')" for s in _SCOPES],
+    *[dense_sql(f"{n}_{s}", k, f"q_{s}", w) for s, w in _SCOPES.items() for n, k in (("a", 14), ("b", 28))],
+    "\na as (" + " union all ".join(f"select query_id, rank, chunk_id from a_{s}" for s in _SCOPES) + ")",
+    "\nb as (" + " union all ".join(f"select query_id, rank, chunk_id from b_{s}" for s in _SCOPES) + ")",
+    "\nna as (select query_id from a group by 1 having count(*) >= 6)", "\nnb as (select distinct query_id from b where query_id not in (from na))",
+    "\nd_all as (select query_id, chunk_id, round(list_cosine_similarity(e.embedding::double[], qv), 9) as score from chunks c join embeddings e on e.vec_id = c.doc_id, mq)",
+    "\nd as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from d_all qualify rank <= 24)",
+]
+
+
+def _typology_sql() -> str:
+    sparse = sparse_sql("s", 24).replace(" from tq)", " from mq)")
+    sparse = sparse[: sparse.index("s_top as")].rstrip().rstrip(",")
+    steps = [*_TYPO_STEPS, sparse, "\ns as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s_all qualify rank <= 24)", rrf_sql("f", "d", "s", 40),
+             "\nh as (select query_id, row_number() over (partition by query_id order by rank) as rank, chunk_id from f join chunks c using (chunk_id) join mq using (query_id) where (" + " or ".join(
+                 f"(scope = '{s}' and {w})" for s, w in _SCOPES.items()) + f") and length({_STRIP}) >= 80)",
+             "\nx as (select *, 'narrow' as stage from a where query_id in (from na) union all select *, 'wide' from b where query_id in (from nb) union all select *, 'hybrid' from h where query_id not in (from na) and query_id not in (from nb))",
+             "\nr as (select query_id, chunk_id, stage, row_number() over (partition by query_id order by round(list_dot_product(e.embedding::double[], qv), 9) desc, rank) as rank from x join embeddings e on 'doc-' || e.vec_id = chunk_id join mq using (query_id) qualify rank <= 12)",
+             f"\np as (select query_id, rank, chunk_id, stage, sum(length({_STRIP})) over (partition by query_id order by rank) as cum, length({_STRIP}) as n from r join chunks using (chunk_id))"]
+    return sql(*steps, end="select query_id, rank, chunk_id, stage, cum::bigint as cum, cum <= 14000 as packed from p where cum <= 14000 or cum - n <= 14000")
+
+
+@query(_typology_sql())
 def typology_cascade(spark, d):
-    """Filters stay below the top-k, so no over-fetch ladder is needed: the result is that of the longest ladder."""
-    c, v, q = chunks(spark, d), vectors(spark, d), item_vectors(spark, d)
-    kind = filters.payload(book_types=["typology"], author="Author A")
-    stages = [("narrow", dense_retrieve(c, v, q, 14, kind & filters.scoped(["src8"])), 6), ("wide", dense_retrieve(c, v, q, 28, kind), 1),
-              ("sparse", sparse_retrieve(c, text_queries(spark, d), 40, filters.payload(book_types=["typology"])), 1)]
-    both = fusion.first_sufficient(stages)
-    return both.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "stage")
+    """Every benchmark item asks within one of three scopes: with many chunks, with few, and with none."""
+    scope = F.element_at(F.array(*[F.lit(s) for s in _SCOPES]), (F.col("query_id") % 3 + 1).cast("int"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(
+        table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").withColumn("scope", scope)
+    found = cascade.typology(chunks(spark, d), vectors(spark, d), q, {s: F.expr(w) for s, w in _SCOPES.items()})
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "stage", F.col("cum").cast("long").alias("cum"), "packed")
 
 
 @query(sql(dense_sql("a", 6, where="chunk_type = 'book'"), dense_sql("b", 4, where="chunk_type = 'secondary_book'"), dense_sql("c", 2, where="chunk_type = 'quote'"), end=" union all ".join(
@@ -463,3 +481,26 @@ def verification_two_passes(spark, d):
     where = filters.payload(book_types=["primary"], author="Author A") & filters.scoped(["src0", "src8"])
     both = two_passes(first, Corpus(first.chunks, first.vectors, derived, first.query_texts), where, 4, 3, 12)
     return both.select("query_id", "pass", F.col("rank").cast("long").alias("rank"), "chunk_id")
+
+
+@query(sql(dense_sql("h", 10), end="select 'retrieval' as kind, 'dense' as name, count(*) as rows, count(*) filter (rank = 1)::double as queries, count(*) filter (round(score, 6) > 0.2)::double as close from h union all select 'ingestion', 'chunks', count(*), count(embedded_at)::double, count(*) filter (deprecated_at is not null)::double from chunks"))
+def run_figures(spark, d):
+    """Two runs leave their figures in a table: a retrieval and an ingestion."""
+    sink = folder(spark, "figures")
+    hits = listed(dense_retrieve(chunks(spark, d), vectors(spark, d), vector_queries(spark, d), 10))
+    telemetry.recorded(hits, folder(spark, "hits"), sink, "retrieval", "dense", queries=F.count_if(F.col("rank") == 1), close=F.count_if(F.col("score") > 0.2))
+    rows = chunks(spark, d).select("chunk_id", "embedded_at", "deprecated_at")
+    telemetry.recorded(rows, folder(spark, "ingested"), sink, "ingestion", "chunks", queries=F.count("embedded_at"), close=F.count("deprecated_at"))
+    return spark.read.schema(telemetry.SCHEMA).parquet(sink).select("kind", "name", "rows", F.col("figures")["queries"].alias("queries"), F.col("figures")["close"].alias("close"))
+
+
+@query(sql(dense_sql("h", 10, "iq"), end="""select tq.query_id, qtext as question, case when string_agg(chunk_id, ' ' order by rank) is null then null else 'Answer ' || tq.query_id end as answer, coalesce(string_agg(chunk_id, ' ' order by rank), '') as refs
+  from tq left join h on h.query_id = tq.query_id group by tq.query_id, qtext"""))
+def evaluation_records(spark, d):
+    """Questions, stub answers and references written as JSON records, and read again."""
+    hits = dense_retrieve(chunks(spark, d), vectors(spark, d), item_vectors(spark, d), 10)
+    questions, path = text_queries(spark, d).withColumnRenamed("text", "question"), folder(spark, "evaluation")
+    answers = hits.select("query_id").distinct().withColumn("answer", F.concat(F.lit("Answer "), "query_id"))
+    telemetry.evaluation(questions, answers, hits, path)
+    read = spark.read.schema("query_id long, question string, answer string, references array<string>").json(path)
+    return read.select("query_id", "question", "answer", F.array_join("references", " ").alias("refs"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import models as M
+from ..operators import tools
 from ..registry import query
 from ..sources import files, markdown
 from ..sources.scratch import folder
@@ -36,11 +37,45 @@ def word_count_csv(spark, d):
     return files.word_counts(spark, path)
 
 
-@query("""select doc_id, 'ch' || n || '.p' || p as paragraph_id, case when n = 0 then '' when p = 3 then '## C' || n || '/### S' else '## C' || n end as path from documents, (values (0, 1), (1, 1), (1, 2), (1, 3), (2, 1)) t(n, p)""")
+def outlined(spark, d):
+    """Documents as outlines: of their own lines, with blank ones between them, every fifth is a chapter's heading and every seventh a sub-chapter's."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    mark = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("## "), x)).when(i % 7 == 4, F.concat(F.lit("### "), x)).otherwise(x)
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(lines, mark), "\n\n").alias("text"), F.trim(F.get(lines, F.lit(2))).alias("third"))
+
+
+#: Paragraphs of the same outlines: doc_id, chapter, heading, sub, number, text; `pos` is the line.
+_OUTLINE = r"""
+lines as (select doc_id, pos - 1 as pos, case when (pos - 1) % 5 = 2 then '## ' || x when (pos - 1) % 7 = 4 then '### ' || x else x end as line
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents)),
+kinds as (select *, trim(line) as row, case when regexp_matches(trim(line), '^##\s+\S') then 'chapter' when regexp_matches(trim(line), '^###\s+\S') then 'sub' when regexp_matches(trim(line), '^#\s+\S') then 'title' when trim(line) = '' then 'blank' else 'text' end as kind from lines),
+chapters as (select *, count(*) filter (kind = 'chapter') over (partition by doc_id order by pos) as chapter from kinds),
+paragraphs as (select *, coalesce(first_value(case when kind = 'chapter' then row end ignore nulls) over (partition by doc_id, chapter order by pos), '') as heading,
+    coalesce(last_value(case when kind = 'sub' then row end ignore nulls) over (partition by doc_id, chapter order by pos rows between unbounded preceding and current row), '') as sub,
+    count(*) filter (kind = 'text') over (partition by doc_id, chapter order by pos) as number from chapters)"""
+
+
+@query(f"with {_OUTLINE} select doc_id, 'ch' || chapter || '.p' || number as paragraph_id, case when heading <> '' and sub <> '' then heading || '/' || sub else heading || sub end as path, row as text from paragraphs where kind = 'text'")
 def document_tree(spark, d):
-    text = "# T\n\nintro\nmore\n## C1\nfirst\n\nsecond\n### S\nthird\n# ignored\n\n## C2\nlast"
-    flat = markdown.flatten(table(spark, d, "documents").select("doc_id", F.lit(text).alias("text")))
-    return flat.select("doc_id", "paragraph_id", F.array_join("heading_path", "/").alias("path"))
+    flat = markdown.flatten(outlined(spark, d))
+    return flat.select("doc_id", "paragraph_id", F.array_join("heading_path", "/").alias("path"), "text")
+
+
+@query(rf"""with {_OUTLINE}, wanted as (select doc_id, '## ' || trim(string_split(text, chr(10))[3]) as third from documents where doc_id % 10 <> 3),
+  own as (select doc_id, chapter, string_agg(row, chr(10) || chr(10) order by pos) as content from paragraphs where kind = 'text' and sub = '' group by all),
+  first as (select p.doc_id, min(chapter) as chapter from paragraphs p join wanted w on w.doc_id = p.doc_id and p.heading = w.third where kind = 'text' group by 1)
+select doc_id, 0 as address_no, row as content, '' as error from paragraphs where kind = 'text' and chapter = 0 and number = 1 and doc_id % 10 <> 3
+union all select doc_id, 1, content, '' from own join first using (doc_id, chapter)
+union all select doc_id, null, null, case doc_id % 20 when 3 then 'addresses is missing' else 'tool is unknown' end from documents where doc_id % 10 = 3""")
+def tool_read_blocks(spark, d):
+    """One call for each document: its first paragraph, the chapter under its third line and a paragraph that no document has; some calls are wrong."""
+    docs = outlined(spark, d)
+    at = lambda p=None, h=None: F.struct(F.lit(p).cast("string").alias("paragraph_id"), (F.array(h) if h is not None else F.lit(None).cast("array<string>")).alias("heading_path"))
+    args = F.to_json(F.struct(F.array(at("ch0.p1"), at(h=F.concat(F.lit("## "), F.coalesce("third", F.lit("")))), at("ch0.p0")).alias("addresses")))
+    calls = docs.select(F.col("doc_id").alias("call_id"), "doc_id", F.when(F.col("doc_id") % 20 == 13, "write_blocks").otherwise("read_blocks").alias("tool"), F.when(F.col("doc_id") % 10 == 3, "{}").otherwise(args).alias("args"))
+    found, refused = tools.invoke(calls, docs)
+    return found.select("doc_id", "address_no", "content", F.lit("").alias("error")).unionByName(refused.select(
+        "doc_id", F.lit(None).cast("int").alias("address_no"), F.lit(None).cast("string").alias("content"), F.array_join("errors", "|").alias("error")))
 
 
 @query("""select doc_id, segment_id, paragraph, quote from documents, (values ('seg-7', 3, 'A quote [x] here.'), ('Second head', 1, 'Plain block.')) t(segment_id, paragraph, quote)""")
@@ -50,10 +85,74 @@ def markdown_quotes(spark, d):
     return q.select("doc_id", "segment_id", "paragraph", "quote")
 
 
-@query()
+def _last(mark: str) -> str:
+    """Where a mark begins last within the window w, from 0; -1 without one."""
+    return f"case when contains(w, {mark}) then length(w) - position(reverse({mark}) in reverse(w)) - length({mark}) + 1 else -1 end"
+
+
+@query(f"""with recursive c as (select doc_id, text, length(text)::bigint as n, 0::bigint as start, 0::bigint as stop, 0::bigint as next, -1::bigint as no from documents where length(text) > 0
+  union all select doc_id, text, n, next, stop_, case when stop_ < n then greatest(stop_ - 200, next + 1) else n end, no + 1 from (
+    select *, case when next + 1000 >= n then n when blank > 500 then next + blank + 2 when mark > 500 then next + mark + 2 else next + 1000 end as stop_ from (
+      select *, {_last("chr(10) || chr(10)")} as blank, greatest({_last("'. '")}, {_last("'! '")}, {_last("'? '")}) as mark from (select *, substr(text, next + 1, 1000) as w from c where next < n)))),
+  p as (select doc_id, no as chunk_no, start, regexp_replace(substr(text, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') as text from c where no >= 0)
+  select doc_id, (row_number() over (partition by doc_id order by chunk_no) - 1)::int as chunk_no, start::int as start, md5(text) as text from p where text <> ''""")
 def chunk_texts(spark, d):
-    """Overlapping chunks of all texts: the cursor depends on the chunk before, so this has no SQL form."""
-    return M.chunk(table(spark, d, "documents").where("text is not null"))
+    """Overlapping chunks of all texts."""
+    return M.chunk(table(spark, d, "documents").where("text is not null")).withColumn("text", F.md5("text"))
+
+
+@query(r"""select doc_id, length(coalesce(text, ''))::bigint as chars, len(regexp_extract_all(coalesce(text, ''), '[^ \n]+'))::bigint as words from documents""")
+def embedded_by_service(spark, d):
+    """A service that takes eight texts, loses every third connection and mixes up answers about long texts; it counts characters and words."""
+
+    def service():
+        import re
+
+        sent = [0]
+
+        def answer(texts):
+            sent[0] += 1
+            if sent[0] % 3 == 0:
+                raise ConnectionError("lost")
+            if len(texts) > M.PER_REQUEST:
+                raise RuntimeError("too many texts")
+            if len(texts) > 1 and any(len(t) > 4000 for t in texts):
+                return [[1.0]] * (len(texts) + 1)
+            return [[float(len(t)), float(len(re.findall(r"[^ \n]+", t)))] for t in texts]
+
+        return answer
+
+    rows = M.embed_by_service(table(spark, d, "documents").select("doc_id", "text"), service, wait=0.001)
+    return rows.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("chars"), F.get("embedding", F.lit(1)).cast("long").alias("words"))
+
+
+#: Separates texts within the files of `folder_texts`.
+_MARK = "\x1e"
+
+
+@query(r"""select doc_id, lang as category, md5(replace(coalesce(text, ''), chr(13), '')) as text from documents where not contains(coalesce(text, ''), chr(30))""")
+def folder_texts(spark, d):
+    """Texts written as files, a folder for each language, some in UTF-8 and some in Latin-1 where that can hold them, and read as bytes."""
+    path, text = folder(spark, "texts"), F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(""))
+    rows = table(spark, d, "documents").where(~F.coalesce(F.contains("text", F.lit(_MARK)), F.lit(False))).select("doc_id", "lang", text.alias("text"))
+    narrow = ~F.col("text").rlike(r"[^\x00-\xFF]") & F.col("text").rlike(r"[\xA0-\xFF]") & (F.col("doc_id") % 2 == 0)
+    for chosen, encoding in ((narrow, "ISO-8859-1"), (~narrow, "UTF-8")):
+        rows.where(chosen).select("lang", F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("value")).write.mode("append").option("lineSep", _MARK).option("encoding", encoding).partitionBy("lang").text(path)
+    found = files.read_texts(spark, path).where("kind = 'txt'").select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("category"), F.explode(F.split("text", _MARK)).alias("value"))
+    return found.where("value != ''").select(
+        F.substring_index("value", "\n", 1).cast("long").alias("doc_id"), "category", F.md5(F.regexp_replace("value", r"^[0-9]+\n", "")).alias("text"))
+
+
+@query("select lang as category, count(*) as docs, sum(strlen(coalesce(text, '')) + strlen(doc_id::varchar) + 2)::bigint as bytes from documents group by 1")
+def folder_catalogue(spark, d):
+    """The folders of texts with their files' sizes; what lies in hidden folders is left out."""
+    path = folder(spark, "catalogue")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value"))
+    for name in [r[0] for r in rows.select("lang").distinct().collect()]:  # the languages
+        rows.where(F.col("lang") == name).select("value").write.option("lineSep", _MARK).text(f"{path}/{name}")
+    rows.select("value").limit(1).write.text(f"{path}/.hidden")
+    sizes = files.catalogue(spark, path).groupBy("category").agg(F.sum("size").alias("bytes"))
+    return rows.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("docs")).join(sizes, "category")
 
 
 @query()

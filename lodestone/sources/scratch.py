@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -21,3 +21,10 @@ def folder(spark: SparkSession, name: str) -> str:
         _own = _own or tempfile.mkdtemp(prefix="lodestone-")
         base = _own
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written under a new path and read back: later plans start from what has been computed."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
