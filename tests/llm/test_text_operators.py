@@ -60,6 +60,32 @@ def test_quality_rules_differ_by_group(spark, make, tmp_path, per_source):
     assert per_source < 100 or [(r["lang"], r["source"]) for r in kept.collect()] == [("en", "code")]
 
 
+def judge_in_two_sources(make, odd, usual, plain):
+    """Verdicts on one text: in a source whose texts are like it, and in one whose texts are plain."""
+    docs = make([*enumerate(usual), (10_000, odd)], source="usual").unionByName(make([*enumerate(plain), (10_000, odd)], source="plain"))
+    return {r["source"]: r["doc_id"] == 10_000 for r in quality_rules.filter_quality(docs).where("doc_id = 10000").collect()}
+
+
+@pytest.mark.parametrize("measure", ["symbols", "dup_lines", "repeats", "word_len"])
+def test_quality_rules_keep_in_one_source_what_goes_in_another(spark, make, measure):
+    rng = random.Random(5)
+    words = lambda n, longer=0: [f"w{rng.randrange(10**6)}" + "y" * (rng.randrange(4) + longer) for _ in range(n)]
+    lines = lambda ws, k=8: [" ".join(ws[i : i + k]) for i in range(0, len(ws), k)]
+
+    def text(strange):
+        if measure == "symbols":
+            return " ".join(w + "$" * (strange and i % 3 == 0) for i, w in enumerate(words(120)))
+        if measure == "dup_lines":  # short lines, so that the words are no repeated windows
+            return "\n".join(lines(words(120), 2) + ["same it"] * (25 if strange else 0))
+        if measure == "repeats":
+            own = words(90 if strange else 120)
+            return " ".join(own + own[:12] * 4 if strange else own)
+        return " ".join(words(120, 9 if strange else 0))
+
+    kept = judge_in_two_sources(make, text(True), [text(True) for _ in range(1500)], [text(False) for _ in range(1500)])
+    assert kept == {"usual": True}
+
+
 def test_quality_rules_reject_an_outlier(spark, make):
     plain = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(300)]
     docs = make(plain + [(999, " ".join(f"w{j}$$$$$$$$$" for j in range(60)))])
