@@ -15,7 +15,7 @@ each linear in the size of such a group:
    only one of them holds. What links is contracted to components.
 2. A token whose postings lie in several components sends its representatives to the other hubs of that token,
    so that any two that share a prefix token have their differences from one hub in common. Those without a
-   hub are paired with each other by the plain join.
+   hub are paired with each other, by size classes and parity sketches where a token has many of them.
 3. The distance of two sets is that of their differences from a common hub. Where it is small enough, either both
    link to the hub, or their differences overlap by a known number of tokens. These are few and rare, so their
    prefixes, rarest first in the hub's group, are joined, again under orders A, B and C, and verified exactly.
@@ -46,6 +46,8 @@ COUNTERS, COUNTER_BLOCK = 1 << 18, 1 << 10
 GROUP, BROADCAST_IDS = 64, 500_000
 #: Words, and the bytes of one, that a task keeps the hash of.
 KEPT_WORDS, KEPT_BYTES = 50_000, 32
+#: Longs of a set's parity sketch; loose postings of a token from which on they are joined by size and sketch.
+SKETCH_LONGS, HOT_TOKEN = 8, 8
 #: Least similarity, as a fraction, to a hub by whose difference a set may be represented.
 NEAR = (1, 2)
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -94,6 +96,13 @@ def shingle_set(text: str | None, k: int, hashes: Hashes) -> np.ndarray:
     return np.unique(rolled(text, k, hashes))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A bit for each bucket of tokens: whether an odd number of them is in the set. Two sets' sketches differ in no more bits
+    than the tokens that only one of them holds."""
+    odd = np.bincount((mix(s, 3) & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """|x| - ceil(t |x|) + 1 for t = num / den, in whole numbers."""
     return n - -(-num * n // den) + 1
@@ -147,23 +156,24 @@ def count_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_hash, n (size of the set), print (hash of the set) and its prefix under order A."""
+    """doc_id, text_hash, n (size of the set), print (hash of the set), its prefix under order A and its parity sketch."""
     counts = docs.sparkSession.sparkContext.broadcast(count_shingles(docs, k))
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()),
-        T.StructField("print", T.StringType()), T.StructField("a", T.ArrayType(T.LongType()))])
+        T.StructField("print", T.StringType()), T.StructField("a", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])
 
     def run(batches):
         hashes, none = Hashes(), np.zeros(0, np.int64)
         for batch in batches:
-            n, prints, a = [], [], []
+            n, prints, a, parity = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k, hashes)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 a.append(common_prefix(s, prefix_length(len(s), num, den), counts.value).view(np.int64) if len(s) else none)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int32()), pa.array(prints, pa.string()), pa.array(a, pa.list_(pa.int64()))], names=schema.names)
+                parity.append(parities(s))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (a, parity)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int32()), pa.array(prints, pa.string()), *lists], names=schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -185,7 +195,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     # The written numbers of representatives are as good as random, and longs are cheaper to carry than prints.
     reps = materialize(kept.groupBy("print").agg(F.min("doc_id").alias("owner")).withColumn("rep", F.monotonically_increasing_id()), "reps")
     members = described.select("doc_id", "text_hash", "n", "print").join(reps.select("print", "rep").hint("merge"), "print", "left").drop("print")
-    sets = kept.join(reps.hint("merge"), "print").where("doc_id = owner").groupBy("rep").agg(F.first(F.struct("doc_id", "text_hash", "n", "a")).alias("s"))
+    sets = kept.join(reps.hint("merge"), "print").where("doc_id = owner").groupBy("rep").agg(F.first(F.struct("doc_id", "text_hash", "n", "a", "parity")).alias("s"))
     sets = materialize(sets.select("rep", "s.*"), "sets")
     owners = sets.select("rep", "doc_id", "text_hash")
     sweep(docs.sparkSession)
@@ -225,10 +235,7 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     halo = materialize(halo.select("x.rep", F.col("y.group").alias("hub")).distinct(), "halos")
     around = materialize(differences(docs, halo, owners, k, num, den, near=False), "differences")
     links = links.unionByName(around.where("linked").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    loose = rest.where("group is null")
-    x, y = loose.alias("x"), loose.alias("y")
-    able = f"least(x.n - x.pos, y.n - y.pos) >= {need('x.n', 'y.n')} and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
-    pairs = x.join(y.hint("merge"), F.expr(f"x.token = y.token and x.rep < y.rep and {able}")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = pair_loose(rest.where("group is null"), sets.select("rep", "n", "parity"), num, den)
     pairs = materialize(pairs, "all-pairs")
     pairs = materialize(in_other_orders(docs, pairs, owners, k, num, den), "pairs")
     links = links.unionByName(materialize(verify(docs, pairs, owners, k, num, den), "pair-links"))
@@ -240,6 +247,33 @@ def similar(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Graph:
     return Graph(members, owners, links, [described, reps])
 
 
+def pair_loose(loose: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the postings `loose` (token, rep, n, pos) that share a token and may reach the similarity.
+
+    Sizes and positions decide first, then the sets' parity sketches, which may differ in no more bits than the sets in
+    tokens: texts that share passages are told apart without being sent. Tokens with more than HOT_TOKEN postings are dealt
+    by classes of sizes as well, for sets that link have sizes in the same class or the next, and their sketches are
+    compared before there is a pair; the pairs of others are no more than a multiple of their postings, and are compared after.
+    """
+    need = lambda n, m: f"(({num} * ({n} + {m}) + {num + den} - 1) div {num + den})"
+    able = f"least(x.n - x.pos, y.n - y.pos) >= {need('x.n', 'y.n')} and x.n * {den} >= y.n * {num} and (x.n < y.n or (x.n = y.n and x.rep < y.rep))"
+    ordered = (F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    hot = materialize(loose.groupBy("token").count().where(F.col("count") > HOT_TOKEN).select("token"), "hot-tokens")
+    few = loose.join(hot.hint("merge"), "token", "left_anti")
+    differ = lambda x, y: " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(SKETCH_LONGS))
+    near = lambda x, y, n, m: F.expr(f"({differ(x, y)}) * {num + den} <= {den - num} * ({n} + {m})")
+    side = lambda name: parity.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}")).hint("merge")
+    pairs = few.alias("x").join(few.alias("y").hint("merge"), F.expr(f"x.token = y.token and {able}")).select(*ordered).distinct()
+    pairs = materialize(pairs, "few-pairs").join(side("a"), "a").join(side("b"), "b").where(near("p_a", "p_b", "n_a", "n_b")).select("a", "b")
+    # Wider than the ratio that sets may have, so that rounding parts none.
+    size_class = F.floor(F.ln("n") / (1.001 * np.log(den / num)))
+    many = loose.join(hot.hint("merge"), "token", "left_semi").join(parity.select("rep", "parity").hint("merge"), "rep").withColumn("class", size_class)
+    many = materialize(many.select("token", "rep", "n", "pos", "class", "parity"), "hot-postings")
+    x = many.withColumn("class", F.explode(F.array("class", F.col("class") + 1))).alias("x")
+    same = F.expr(f"x.token = y.token and x.class = y.class and {able}") & near("x.parity", "y.parity", "x.n", "y.n")
+    return pairs.union(x.join(many.alias("y").hint("merge"), same).select(*ordered)).distinct()
+
+
 def in_other_orders(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that share a prefix token under order B and under order C; these prefixes are made for the pairs' sets alone."""
 
@@ -271,9 +305,10 @@ def _texts(docs: DataFrame, roles: DataFrame, owners: DataFrame) -> DataFrame:
 def _dealt(pairs: DataFrame, hub: str, other: str) -> DataFrame:
     """rep, hub, part: a hub's partners in groups of about GROUP, with the hub itself in each."""
     size = materialize(pairs.groupBy(hub).agg(F.count("*").alias("m")), "hub-sizes")
-    dealt = pairs.join(size.hint("merge"), hub).select(
-        F.col(other).alias("rep"), F.col(hub).alias("hub"), F.pmod(F.xxhash64(other), F.ceil(F.col("m") / GROUP)).alias("part"))
-    return dealt.union(dealt.select(F.col("hub").alias("rep"), "hub", "part").distinct())
+    parts = F.ceil(F.col("m") / GROUP)
+    dealt = pairs.join(size.hint("merge"), hub).select(F.col(other).alias("rep"), F.col(hub).alias("hub"), F.pmod(F.xxhash64(other), parts).alias("part"))
+    # The hub's own rows come from its count: nothing is gathered by hub, so the rows of a large one can be split.
+    return dealt.union(size.select(F.col(hub).alias("rep"), F.col(hub).alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")))
 
 
 def difference_overlap(size: int, n: int, hub: int, num: int, den: int) -> tuple[int, int]:

@@ -100,15 +100,19 @@ def op8_ngram_jaccard_join(spark, sf_dir):
 
 @query("op10_token_counts")
 def op10_token_counts(spark, sf_dir):
-    """Counts of every document before and after three edits: 40 characters cut, a note put in, a heading put before."""
+    """Counts of every document before and after three edits: 40 characters cut, a note put in, a heading put before.
+
+    Trees are planted and written first; the edits start from them and encode what they touch."""
     import public_tokenizers
 
-    from .token_counts import count_edited
+    from .common import materialize
+    from .token_counts import count_edited, plant_trees
 
     at = lambda a, b, s: F.struct(F.floor(a).alias("start"), F.floor(b).alias("end"), F.lit(s).alias("replacement"))
     n, zero = F.coalesce(F.length("text"), F.lit(0)), F.lit(0)
     edits = F.array(at(n / 3, n / 3 + 40, ""), at(n / 2, n / 2, " [edited: see the note]\n"), at(zero, zero, "Second version\n"))
-    return count_edited(table(spark, sf_dir, "documents"), edits, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs, words = table(spark, sf_dir, "documents"), (tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return count_edited(docs, edits, *words, trees=materialize(plant_trees(docs, *words), "trees"))
 
 
 @query("op13_substring_dedup", substring_dedup.ORACLE)

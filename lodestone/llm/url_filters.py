@@ -45,15 +45,21 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 def word_rule(verdict: str, words: str) -> Rule:
     """Fits hosts with a label that consists of or is hyphened from the given words."""
     tokens = tuple(words.split("-"))
-    return Rule(verdict, rf"^(?:[^/]*[.-])?{re.escape(words)}(?:[.:-][^/]*)?(?:/|$)", tokens, 1)
+    return Rule(verdict, rf"^(?:[^/]*[.-])?{re.escape(words)}(?:[.:-][^/]*)?(?:/|\z)", tokens, 1)
 
 
-#: The contract's host rules, and the method's own patterns for what they leave open.
+#: Words of hosts that are blocked, alone or hyphened, and, for the single ones, together with what such
+#: names are made of, before or behind.
+BLOCKED = ["spam-farm", "adult-x", "click-bait"]
+STEMS = ["casino", "poker", "slots", "roulette", "betting", "jackpot", "porn", "xxx", "escort", "camgirls", "hookup", "viagra", "cialis", "warez", "keygen", "payday", "clickbait", "spamfarm"]
+MODIFIERS = ["best", "free", "cheap", "online", "top", "buy", "get", "my", "the", "live", "hot", "vip", "pro", "club", "hub", "zone", "world", "land", "city", "king", "queen", "star", "plus", "max", "mega",
+             "super", "ultra", "real", "easy", "fast", "quick", "now", "today", "win", "big", "lucky", "gold", "royal", "euro", "usa", "24", "247", "365", "777", "888"]
+#: The contract's host rules; what they leave open is for the words above.
 HOST_RULES = [
     host_rule("allow", "com", "/"), host_rule("block", "example.com", "/en/"), host_rule("allow", "www.example.com", "/en/"),
     host_rule("block", "net", "/es/"), host_rule("block", "net", "/fr/"),
 ]
-WORD_RULES = [word_rule("block", w) for w in ("spam-farm", "adult-x", "casino", "click-bait", "warez", "porn", "viagra")]
+WORD_RULES = [word_rule("block", w) for w in (*BLOCKED, *STEMS, *(x for s in STEMS for m in MODIFIERS for x in (m + s, s + m)))]
 DEFAULT = "allow"
 
 
@@ -109,7 +115,8 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, default: str = DEFA
 def oracle() -> str:
     host = [(r.name, r.verdict) for r in sorted(HOST_RULES, key=lambda r: -r.rank)]
     fit = lambda n: (lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')")(*(n[: n.index('/')], n[n.index('/'):]))
-    words = " or ".join(f"regexp_matches(host, '(?:^|[.-]){w}(?:[.:-]|$)')" for w in ("spam-farm", "adult-x", "casino", "click-bait", "warez", "porn", "viagra"))
+    stem, more = ("(?:" + "|".join(words) + ")" for words in (STEMS, MODIFIERS))
+    words = rf"regexp_matches(host, '(?:^|[.-])(?:{'|'.join(BLOCKED)}|{more}?{stem}|{stem}{more})(?:[.:-]|\z)')"
     return f"""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

@@ -172,6 +172,57 @@ def test_components_equal_brute_force(spark, make, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+def mixes(docs, seed, of=60, take=6):
+    """Documents of `take` shared paragraphs in any order, and a near copy of every tenth."""
+    rng = random.Random(seed)
+    paragraphs = [" ".join(f"p{i}w{rng.randrange(10**6)}" for _ in range(50)) for i in range(of)]
+    rows = []
+    for i in range(docs):
+        rows.append((2 * i, "\n".join(rng.sample(paragraphs, take))))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, rows[-1][1] + " and more"))
+    return rows
+
+
+def test_shared_paragraphs_make_few_pairs(spark, make, monkeypatch):
+    """Texts that share passages are no pairs: their number grows no faster than that of the documents."""
+    made, whole = [], jaccard_join.pair_loose
+
+    def counted(*args):
+        pairs = jaccard_join.materialize(whole(*args), "counted")
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "pair_loose", counted)
+    for n in (300, 1200):
+        rows = mixes(n, 3)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(make(rows), 4, 17, 20).collect()}
+        assert got == brute_components(rows, 4, 17, 20)
+    assert made[1] <= 8 * made[0] + 100, made
+    print(made)
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 400, rng.integers(0, 600)).astype(np.uint64)) for _ in range(2))
+        x = jaccard_join.parities(a) ^ jaccard_join.parities(b)
+        assert sum(bin(int(v) & (2**64 - 1)).count("1") for v in x) <= len(np.setxor1d(a, b)) and len(x) == jaccard_join.SKETCH_LONGS
+
+
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_hot_tokens_lose_no_link(spark, make, monkeypatch, hot):
+    monkeypatch.setattr(jaccard_join, "HOT_TOKEN", hot)
+    rng = random.Random(hot)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):  # texts of all lengths from one run of words: sizes at the edge of the ratio
+        a = rng.randrange(100)
+        rows.append((i, " ".join(base[a : a + rng.randrange(4, 100)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(make(rows), 4, 17, 20).collect()}
+    assert got == brute_components(rows, 4, 17, 20)
+
+
 def near_copies(seed, words, copies, edits):
     """Copies of one text with single words replaced, deleted or put in, out of few, so that some edits meet again."""
     rng = random.Random(seed)
@@ -455,3 +506,31 @@ def test_count_tokens_of_a_table(spark, make):
     want = [(1, 0, len(encode("new text"))), (2, 0, 0), (None, 2, 2), (5, 3, len(encode("a b c!")))] + [(3, len(encode(LONG)), len(encode(edited)))] * 2
     assert rows_of(got, "doc_id", "n_tokens", "n_tokens_after") == sorted(want, key=repr)
     assert token_counts.count_tokens(make([]), table, path, pattern).count() == 0
+
+
+def test_trees_are_kept_between_calls(spark, make, tmp_path):
+    """A second call encodes only what its edits touch, from the leaves and texts that the first one has given."""
+    path, pattern, encode = encoder()
+    rng = random.Random(7)
+    texts = [None, "", "a b", LONG, *(" ".join(rng.choice(["word", "Wörter,", "x1", "(new)", "don't", "\n", "日本"]) for _ in range(rng.randrange(900))) for _ in range(30))]
+    rows = [*enumerate(texts), (3, LONG), (None, "no id here " * 30)]
+    docs = make(rows).withColumn("leaves", F.lit("mine"))
+    edit = lambda: spark.createDataFrame(
+        [(i, s, a, a + rng.randrange(30), rng.choice(["", "new words ", "x"])) for i, t in enumerate(texts) for s, a in enumerate(rng.sample(range(max(len(t or ""), 2)), 2))],
+        "doc_id long, seq int, start long, `end` long, replacement string")
+    trees = token_counts.plant_trees(docs, path, pattern)
+    trees.write.parquet(f"{tmp_path}/t0")
+    for call in range(3):
+        trees = spark.read.parquet(f"{tmp_path}/t{call}")
+        edited = token_counts.edit_documents(docs, edit(), path, pattern, trees if call != 2 else trees.where("doc_id % 2 = 0"))
+        edited.write.parquet(f"{tmp_path}/e{call}")
+        edited = spark.read.parquet(f"{tmp_path}/e{call}")
+        before = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
+        rows = sorted(edited.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""))
+        for (_, _, old), r in zip(before, rows):
+            assert r["n_tokens"] == len(encode(old)) and r["n_tokens_after"] == len(encode(r["text"] or "")) == sum(r["tokens"]) and sum(r["chars"]) == len(r["text"] or "")
+            assert r["n_planted"] == (len(old) if call == 2 and (r["doc_id"] is None or r["doc_id"] % 2) else 0)
+        assert sum(r["n_reencoded"] for r in rows if r["doc_id"] == 3) < 2 * 2 * 4 * token_counts.LEAF
+        assert edited.where(~F.xxhash64("text").eqNullSafe(F.col("text_hash"))).count() == 0
+        token_counts.trees_of(edited).write.parquet(f"{tmp_path}/t{call + 1}")
+        docs = edited.select("doc_id", "text")
