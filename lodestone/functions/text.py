@@ -18,6 +18,15 @@ GERMAN_SIGNS = ["der", "die", "das", "und", "oder", "aber", "mit", "von", "zu",
 ARTICLES = ["der", "die", "das", "ein", "eine", "des", "dem", "den", "einem", "einer"]
 AGREEMENT = "(?i)^[\\s„“\"»«']*(ich stimme zu)"
 CREATING = r"(?i)^(ja[,.]?\s+)?(ich\s+)?(lege|erstelle|mache)"
+#: Alternatives of what announces a change of the working text, and of what asks for one: by its name, or without it.
+WRITING = [
+    "im Arbeitstext umgesetzt", "in den Arbeitstext", "habe .{0,40}(geändert|angepasst|eingetragen|überarbeitet|ergänzt)", "werde .{0,40}(schreiben|speichern|eintragen|ändern|ergänzen)",
+    "speichere .{0,20}(gleich|jetzt|im Arbeitstext)", "lege .{0,30}arbeitstext", "erstelle .{0,20}arbeitstext", "Änderung ist", "lautet nun", "neue[rn]? .{0,25} lautet", "neuer Satz"]
+WRITE_BY_NAME = [
+    r"arbeitstext\s+(anlegen|erstellen|schreiben|erzeugen|beginnen|starten)", r"leg.{0,10}arbeitstext\s+an", "erstell.{0,10}arbeitstext", r"mach\s+(mir\s+)?(einen?\s+)?arbeitstext",
+    r"schreib.{0,30}(in\s+(den|einen)\s+)?arbeitstext", r"im\s+arbeitstext", r"in\s+(den|einen|dem|meinen)\s+arbeitstext", "arbeitstext.{0,10}(anlegen|erstellen|schreiben|erzeugen|beginnen|starten|anleg)",
+    r"(einen?\s+)?arbeitstext.{0,5}(für|mit|und)"]
+WRITE_IMPLIED = r"(schreib|trag|füg|ergänz|änder|aktualisier|notier|eintrag|hinzufüg|aufschreib).*\b(das|dies|auch|dazu|noch|bitte|ebenfalls|ein|hinzu|auf)\b"
 
 
 def strip(c: Column) -> Column:
@@ -116,6 +125,16 @@ def announces_create(c: Column) -> Column:
     return F.substring_index(strip(c), "\n", 1).rlike(CREATING)
 
 
+def announces_write(c: Column) -> Column:
+    """An answer says that the working text is being changed."""
+    return c.rlike("(?iu)" + "|".join(WRITING))
+
+
+def requests_write(c: Column, has_document: Column) -> Column:
+    """A message asks for work on the working text: by name, or, where a document is linked, without it."""
+    return c.rlike("(?iu)" + "|".join(WRITE_BY_NAME)) | (has_document & c.rlike("(?iuU)" + WRITE_IMPLIED))
+
+
 def citation_numbers(c: Column) -> Column:
     """Distinct n of the marks [n], in order of appearance."""
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"\[(\d{1,6})\]"), F.lit(1)), lambda x: x.cast("int")))

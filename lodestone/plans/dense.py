@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,26 @@ from ..sources.scratch import folder
 #: Floats of query vectors that one pass broadcasts; more queries take further passes over the vectors.
 BLOCK_FLOATS = 8_000_000
 DIGITS = 9
+#: Vectors and queries of one product; times the wanted hits that a task gathers before it ranks them.
+ROWS, COLUMNS, HELD = 2_000, 2_048, 4
+
+
+def _unit_rows(values: pa.ListArray, width: int) -> np.ndarray:
+    """Vectors of length 1; those of other widths are 0, so that they keep the score 0."""
+    out = np.zeros((len(values), width))
+    good = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == width
+    if good.any():
+        m = np.asarray(values.filter(pa.array(good)).flatten(), dtype=np.float64).reshape(-1, width)
+        out[good] = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    return out
+
+
+def _best(held: list[pa.Table], fetch: int) -> pa.Table:
+    """The first `fetch` of each query by (score desc, key), in this order."""
+    table = pa.concat_tables(held)
+    table = table.take(pc.sort_indices(table, [("q", "ascending"), ("score", "descending"), ("key", "ascending")]))
+    q = table.column("q").to_numpy()
+    return table.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < fetch))
 
 
 def _scored(vectors: DataFrame, block: list[tuple], fetch: int, id_field: T.StructField) -> DataFrame:
@@ -27,25 +48,27 @@ def _scored(vectors: DataFrame, block: list[tuple], fetch: int, id_field: T.Stru
 
     def run(batches):
         ids, unit = shared.value
-        best = [(np.zeros(0), np.zeros(0, dtype=object))] * len(unit)
+        held, least = [], np.full(len(unit), -np.inf)
         for batch in batches:
-            values, keys = batch.column("embedding"), np.asarray(batch.column("chunk_id").to_pylist(), dtype=object)
-            n, width = len(values), unit.shape[1]
-            good = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == width
-            score = np.zeros((n, len(unit)))
-            if good.any():  # vectors of other lengths keep the score 0
-                m = np.asarray(values.filter(pa.array(good)).flatten(), dtype=np.float64).reshape(-1, width)
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                score[good] = np.round(m @ unit.T, DIGITS) + 0.0
-            for j in range(len(unit)):
-                s, k = np.concatenate([best[j][0], score[:, j]]), np.concatenate([best[j][1], keys])
-                if len(s) > fetch:  # all that ties with the last place stays until the keys decide
-                    near = s >= np.partition(s, len(s) - fetch)[len(s) - fetch]
-                    s, k = s[near], k[near]
-                top = np.lexsort((k, -s))[:fetch]
-                best[j] = s[top], k[top]
-        for j, (s, k) in enumerate(best):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j].as_py()] * len(s), ids.type), pa.array(list(k), to_arrow_type(key.dataType)), pa.array(s)], names=schema.names)
+            for rows in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                m, keys = _unit_rows(rows.column("embedding"), unit.shape[1]), rows.column("chunk_id")
+                for lo in range(0, len(unit), COLUMNS):
+                    at = slice(lo, lo + COLUMNS)
+                    score = np.round(m @ unit[at].T, DIGITS) + 0.0
+                    hit = score >= least[at]  # all that ties with the last place stays until the keys decide
+                    if len(score) > fetch and np.count_nonzero(hit) > fetch * score.shape[1]:
+                        hit &= score >= np.partition(score, len(score) - fetch, axis=0)[len(score) - fetch]
+                    row, col = np.nonzero(hit)
+                    held.append(pa.table({"q": pa.array(col + lo, pa.int32()), "score": score[row, col], "key": keys.take(pa.array(row))}))
+            if sum(t.num_rows for t in held) > HELD * fetch * len(unit):
+                held = [_best(held, fetch)]
+                q, first, n = np.unique(held[0].column("q").to_numpy(), return_index=True, return_counts=True)
+                full = n == fetch
+                least[q[full]] = held[0].column("score").to_numpy()[first[full] + fetch - 1]
+        if held:
+            best = _best(held, fetch).combine_chunks()
+            for part in best.to_batches():
+                yield pa.RecordBatch.from_arrays([ids.take(part.column("q")), part.column("key"), part.column("score")], names=schema.names)
 
     return vectors.select("chunk_id", "embedding").mapInArrow(run, schema)
 

@@ -13,6 +13,14 @@ K1, B = 1.2, 0.75
 TESTED_TERMS = 20_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table in one file of one row group would keep one core busy."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term, w: how often each query holds each term."""
     return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("w"))
@@ -26,7 +34,7 @@ def occurrences(chunks: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFr
     spark = chunks.sparkSession
     terms = wanted.select("term").distinct()
     some = [r["term"] for r in terms.limit(TESTED_TERMS + 1).collect()]
-    docs = chunks.select("chunk_id", words(F.col("text")).alias("ws")).select("chunk_id", F.size("ws").cast("double").alias("len"), "ws")
+    docs = spread(chunks.select("chunk_id", "text")).select("chunk_id", words(F.col("text")).alias("ws")).select("chunk_id", F.size("ws").cast("double").alias("len"), "ws")
     few = len(some) <= TESTED_TERMS
     kept = F.filter("ws", lambda w: w.isin(some)) if few else F.col("ws")
     path = folder(spark, "occurrences")

@@ -211,20 +211,27 @@ def iso_times(spark, d):
     return table(spark, d, "events").select("event_id", X.iso_time(iso).alias("at"))
 
 
-@query("""select distinct source as source_id, array_to_string(['book', 'secondary_book', 'talk', 'begriff', 'typology', 'quote'], ',') as types from documents""")
+_APP = {"text": "['book', 'secondary_book', 'talk']", "concept": "['begriff', 'typology']", "quote": "['quote', 'quote_explanation']", "chapter_summary": "['chapter_summary']", "book": "['book']", "talk": "['talk']", "odd": "['odd']"}
+
+
+@query(f"""with n as (select doc_id, unnest([doc_id % 7, doc_id % 5 + 7, doc_id % 3]) as k, unnest([1, 2, 3]) as pos from documents), w as (select doc_id, pos, (['text', 'concept', 'book', 'odd', 'quote', 'talk', 'chapter_summary'])[k % 7 + 1] as name from n where k <> 8),
+  e as (select doc_id, pos, generate_subscripts(types, 1) as i, unnest(types) as type from (select doc_id, pos, case name {" ".join(f"when '{k}' then {v}" for k, v in _APP.items())} end as types from w)),
+  f as (select doc_id, type, min(pos * 100 + i) as place from e group by all) select doc_id, string_agg(type, ',' order by place) as types from f group by 1""")
 def type_aliases(spark, d):
-    """App types become chunk types: aliases expand, other names stay, the first spelling's place counts, blanks go."""
-    asked = F.array(*[F.lit(t) for t in ("Text", " concept", "book", "", "QUOTE_", "talk")])
-    types = X.chunk_types(F.transform(asked, lambda t: F.replace(t, F.lit("QUOTE_"), F.lit("quote"))))
-    return table(spark, d, "documents").select(F.col("source").alias("source_id"), F.array_join(F.filter(types, lambda t: t != "quote_explanation"), ",").alias("types")).distinct()
+    """App types become chunk types: aliases expand, other names stay, the first place of each counts, blanks go. Each document asks for others."""
+    names = F.array(*[F.lit(t) for t in ("Text", " concept", "book", "ODD", "quote ", "talk", "chapter_summary")])
+    i = F.col("doc_id")
+    asked = F.transform(F.array(i % 7, i % 5 + 7, i % 3), lambda k: F.when(k == 8, F.lit("  ")).otherwise(F.element_at(names, (k % 7 + 1).cast("int"))))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.chunk_types(asked), ",").alias("types"))
 
 
-@query("""with u as (select user_id, event_type as name, event_id from events) select distinct on (user_id) user_id, name from u order by user_id, event_id""")
+@query("""with u as (select user_id, event_id, case event_id % 3 when 0 then upper(event_type) when 1 then event_type else upper(left(event_type, 1)) || substr(event_type, 2) end as name from events)
+  select user_id, name, event_id from u qualify row_number() over (partition by user_id, lower(name) order by event_id) = 1""")
 def first_spelling(spark, d):
-    """Ordered distinct: of names that differ in case alone, the first one is shown; here the first of all."""
-    e = table(spark, d, "events").select("user_id", F.concat(F.upper(F.left("event_type", F.lit(1))), F.substring("event_type", 2, 99)).alias("name"), F.col("event_id").alias("pos"))
-    e = e.withColumn("name", F.lower("name"))
-    return ranking.first_per(ranking.ordered_distinct(e, "name", "pos", "user_id"), ["user_id"], F.asc("pos")).select("user_id", "name")
+    """Ordered distinct: of names that differ in case alone, the one that a user has spelt first."""
+    t, i = F.col("event_type"), F.col("event_id")
+    name = F.when(i % 3 == 0, F.upper(t)).when(i % 3 == 1, t).otherwise(F.concat(F.upper(F.left(t, F.lit(1))), F.substring(t, 2, 99)))
+    return ranking.ordered_distinct(table(spark, d, "events").select("user_id", "event_id", name.alias("name")), "name", "event_id", "user_id").select("user_id", "name", "event_id")
 
 
 # --- users, invitations, recodes, vectors ---------------------------------------------------------------------

@@ -45,10 +45,10 @@ _DOCS = r"""d as (select doc_id, doc_id % 6 as m, case when doc_id % 6 <> 1 then
    (fa * 0.3 + 0.3 + fw * 0.4 + 0.3 + fy * 0.2 + fp * 0.1 + 0.1) / 1.9::double as conf from f)"""
 
 
-@query(f"with {_DOCS} select doc_id, e::int as errors, w::int as warnings, round(c0, 2) as completeness from q")
+@query(f"with {_DOCS} select doc_id, e::int as errors, w::int as warnings, round_even(c0, 3) as completeness from q")
 def metadata_completeness(spark, d):
     p = Q.pipeline(_documents(spark, d))
-    return p.select("doc_id", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"), F.round("completeness", 2).alias("completeness"))
+    return p.select("doc_id", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"), F.round("completeness", 3).alias("completeness"))
 
 
 @query(f"""with {_DOCS} select doc_id, case when e > 0 then 'F' when c >= 0.9 and w = 0 then 'A' when c >= 0.8 and w <= 2 then 'B' when c >= 0.7 and w <= 5 then 'C' when c >= 0.5 then 'D' else 'F' end as grade,

@@ -111,13 +111,15 @@ def partition_stream(spark, d):
     return chunks(spark, d).select("rag_partition", "chunk_id", F.row_number().over(at).cast("long").alias("n"))
 
 
-@query(C + """, n as (select doc_id as query_id, unnest(regexp_extract_all('[1] [' || doc_id % 9 || '] [40]', '\\[(\\d+)\\]', 1))::int as n from documents), a as (select doc_id as query_id, unnest(range(1, (doc_id % 7)::int + 1))::int as n from documents)
-  select distinct query_id, n from n join a using (query_id, n)""")
+@query(C + """, t as (select doc_id as query_id, regexp_replace(coalesce(text, ''), '([.!?])', '\\\\1 [' || (length(text) % 9) || ']', 'g') || ' [' || (doc_id % 5) || ']' as answer from documents),
+  n as (select distinct query_id, unnest(regexp_extract_all(answer, '\\[(\\d{1,6})\\]', 1))::int as n from t), a as (select doc_id as query_id, unnest(range(1, (doc_id % 7)::int + 1))::int as n from documents)
+  select query_id, n from n join a using (query_id, n)""".replace("\\\\\\\\", "\\\\"))
 def cited_and_available(spark, d):
-    """Numbers of an answer that its context has."""
-    i = F.col("doc_id")
+    """Numbers that an answer cites behind its sentences and that its context has."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     docs = table(spark, d, "documents")
-    cited = docs.select(i.alias("query_id"), F.explode(X.citation_numbers(F.concat(F.lit("[1] ["), i % 9, F.lit("] [40]")))).alias("n"))
+    answer = F.concat(F.regexp_replace(text, F.lit(r"([.!?])"), F.concat(F.lit("$1 ["), F.length(text) % 9, F.lit("]"))), F.lit(" ["), i % 5, F.lit("]"))
+    cited = docs.select(i.alias("query_id"), F.explode(X.citation_numbers(answer)).alias("n"))
     there = docs.where("doc_id % 7 > 0").select(i.alias("query_id"), F.explode(F.sequence(F.lit(1), (i % 7).cast("int"))).alias("n"))
     return cited.join(there, ["query_id", "n"], "left_semi").distinct()
 
@@ -134,15 +136,20 @@ def small_readings(spark, d):
     return table(spark, d, "documents").select("doc_id", X.agrees(F.concat(head, F.coalesce("text", F.lit("")))).alias("agrees"), raw.alias("raw"), X.person_name(F.concat(F.lit("A_"), i, F.lit("  B_"))).alias("person"))
 
 
-@query(r"""select doc_id, nullif(trim(regexp_replace(replace(case when doc_id % 2 = 0 then ' A_b  c' end, '_', ' '), '\s+', ' ', 'g')), '') as author, case when doc_id % 3 = 0 then '19' || (10 + doc_id % 90) end as year,
-  case when doc_id % 4 = 0 then doc_id::varchar end as page_number, (doc_id % 3 = 1)::int + (doc_id % 4 = 1)::int as rejected from documents""")
+@query(r"""with t as (select doc_id, string_split(coalesce(text, ''), ' ') as w from documents), r as (select doc_id, ' ' || coalesce(w[1], '') || '_' || coalesce(w[2], '') || '  ' as author, (1000 + len(w))::varchar || case when len(w) % 3 = 0 then 'a' else ' ' end as year,
+    case when len(w) % 4 = 0 then '' when len(w) % 4 = 1 then 'S. ' else ' ' end || case when len(w) % 4 > 0 then len(w)::varchar else '' end as page from t),
+  s as (select doc_id, nullif(trim(author), '') as author, nullif(trim(year), '') as year, nullif(trim(page), '') as page from r)
+  select doc_id, nullif(trim(regexp_replace(replace(author, '_', ' '), '\s+', ' ', 'g')), '') as author, case when regexp_matches(year, '^\d{4}$') then year end as year, case when regexp_matches(page, '^\d+$') then page end as page_number,
+    coalesce((not regexp_matches(year, '^\d{4}$'))::int, 0) + coalesce((not regexp_matches(page, '^\d+$'))::int, 0) as rejected from s""")
 def metadata_clean(spark, d):
-    """Blank fields go, names lose their artifacts, years and pages of another form are refused."""
-    i = F.col("doc_id")
+    """Fields made of a text's words and their number: blank ones go, names lose their artifacts, years and pages of another form are refused."""
+    w = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    n, word = F.size(w), lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
     raw = table(spark, d, "documents").select(
-        "doc_id", F.when(i % 2 == 0, " A_b  c").otherwise("  ").alias("author"), F.when(i % 3 == 0, F.concat(F.lit(" 19"), 10 + i % 90)).when(i % 3 == 1, "19x4").alias("year"),
-        F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, "p. 3").alias("page_number"))
-    return Q.clean_metadata(raw).select("doc_id", "author", "year", "page_number", "rejected")
+        "doc_id", F.concat(F.lit(" "), word(0), F.lit("_"), word(1), F.lit("  ")).alias("author"), F.concat((1000 + n).cast("string"), F.when(n % 3 == 0, "a").otherwise(" ")).alias("year"),
+        F.concat(F.when(n % 4 == 0, "").when(n % 4 == 1, "S. ").otherwise(" "), F.when(n % 4 > 0, n.cast("string")).otherwise("")).alias("page_number"))
+    cleaned = Q.clean_metadata(raw)
+    return cleaned.select("doc_id", F.nullif("author", F.lit("")).alias("author"), "year", "page_number", "rejected")
 
 
 @query(U + "select account_id, coalesce(sum(prompt_tokens), 0)::bigint as prompt_tokens, count(*) filter (completion_tokens is null) as without_completion from usage group by 1")

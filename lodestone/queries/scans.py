@@ -78,10 +78,14 @@ def tool_read_blocks(spark, d):
         "doc_id", F.lit(None).cast("int").alias("address_no"), F.lit(None).cast("string").alias("content"), F.array_join("errors", "|").alias("error")))
 
 
-@query("""select doc_id, segment_id, paragraph, quote from documents, (values ('seg-7', 3, 'A quote [x] here.'), ('Second head', 1, 'Plain block.')) t(segment_id, paragraph, quote)""")
+@query(r"""with l as (select doc_id, pos - 1 as pos, trim(regexp_replace(x, '\s+', ' ', 'g')) as quote from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents))
+  select doc_id, case when pos % 2 = 0 then 'seg-' || doc_id else 'Part ' || (doc_id % 9) end as segment_id, case when pos % 2 = 0 then (pos + 1)::int else 1 end as paragraph, quote from l where quote <> ''""")
 def markdown_quotes(spark, d):
-    text = "# First\n\n<!-- segment_id: seg-7 paragraph: 3 -->\nA quote\n[x] here.\n\n## Second   head\nPlain  block.\n"
-    q = markdown.quotes(table(spark, d, "documents").select("doc_id", F.lit(text).alias("text")), "doc_id")
+    """Quote collections: a document's lines as blocks under one heading, every other one with a comment that names its segment and paragraph."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    block = F.transform(lines, lambda x, i: F.when(F.trim(x) == "", F.lit("")).when(i % 2 == 0, F.concat(F.lit("<!-- segment_id: seg-"), "doc_id", F.lit(" paragraph: "), (i + 1).cast("string"), F.lit(" -->\n"), x)).otherwise(x))
+    text = F.concat(F.lit("# Part   "), F.col("doc_id") % 9, F.lit("\n\n"), F.array_join(block, "\n\n"))
+    q = markdown.quotes(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id")
     return q.select("doc_id", "segment_id", "paragraph", "quote")
 
 

@@ -161,3 +161,16 @@ def template_fill(spark, d):
 def usage_comment_strip(spark, d):
     a = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn_index") % 2 == 0, "\n<!-- usage: 3 tokens -->\n").otherwise(""))
     return turns(spark, d).select(F.col("talk_id").alias("conv_id"), F.col("turn_index").alias("turn"), X.strip_usage_comment(a).alias("answer"))
+
+
+_ASKED = ["Schreib das bitte auch", "Leg mir einen Arbeitstext an", "ich habe den Satz soeben geändert", "Neue Fassung lautet", "WERDE es gleich ÄNDERN", "Trag ihn", "noch ein Wort"]
+
+
+@query(rf"""with t as (select conv_id, turn, {_ASKED}[turn % 7 + 1] || ' ' || coalesce(text, '') as text, conv_id % 2 = 0 as linked from conversations)
+  select conv_id, turn, regexp_matches(text, '(?i){"|".join(X.WRITING)}') as announces,
+    regexp_matches(text, '(?i){"|".join(X.WRITE_BY_NAME)}') or (linked and regexp_matches(text, '(?i){X.WRITE_IMPLIED}')) as asks from t""")
+def write_intent(spark, d):
+    """Answers that announce a change of the working text, and messages that ask for one."""
+    head = F.element_at(F.array(*[F.lit(a) for a in _ASKED]), (F.col("turn") % 7 + 1).cast("int"))
+    t = F.concat(head, F.lit(" "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.announces_write(t).alias("announces"), X.requests_write(t, F.col("conv_id") % 2 == 0).alias("asks"))
