@@ -1,4 +1,5 @@
-"""First-of-key, best-of-key, cap-per-key and chain operators: windows over one key, never over the whole table."""
+"""First-of-key, best-of-key, cap-per-key and chain operators: windows over one key, never over the whole table. A key
+that may hold a large part of all rows is counted through in parts (`running`)."""
 
 from __future__ import annotations
 
@@ -71,3 +72,25 @@ def next_index(new_turns: DataFrame, stored: DataFrame) -> DataFrame:
 def ordered_distinct(df: DataFrame, value: str, position: str, by: str) -> DataFrame:
     """First spelling of each value, letters compared without case."""
     return first_per(df.withColumn("__k", F.lower(value)), [by, "__k"], F.asc(position)).drop("__k")
+
+
+def running(df: DataFrame, by: str, order: str, values: list[str], parts: int | None = None) -> DataFrame:
+    """df with `n` (place of the row within `by`, from 1, in the order of `order`) and `upto_<value>` (sums up to the row).
+
+    Rows are dealt by ranges of (by, order) and counted through within each range; what the ranges before have of the same
+    key comes from one row for each key and range. So no key is gathered in one task, however many rows it has. `order` is
+    unique within `by`.
+    """
+    from ..sources.scratch import written
+
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(parts, by, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(by, "__part").agg(F.count("*").alias("__n"), *[F.sum(v).alias(f"__{v}") for v in values])
+    offsets = sums.select(by, "__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in ("n", *values)])
+    counted = dealt.withColumns({"n": F.count(F.lit(1)).over(inside), **{f"upto_{v}": F.sum(v).over(inside) for v in values}})
+    key = F.col(f"o.{by}").eqNullSafe(F.col(f"c.{by}")) & (F.col("o.__part") == F.col("c.__part"))
+    joined = counted.alias("c").join(offsets.alias("o"), key)
+    return joined.select(*[f"c.{c}" for c in df.columns], (F.col("n") + F.col("o.__n")).alias("n"), *[(F.coalesce(f"upto_{v}", F.lit(0)) + F.col(f"o.__{v}")).alias(f"upto_{v}") for v in values])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import filters, merge
+from ..operators import filters, merge, ranking
 from ..operators import quality as Q
 from ..registry import query
 from ..sources.testdata import CHUNKS_SQL, USAGE_SQL, chunks, table, usage, vectors
@@ -81,8 +81,8 @@ def metadata_test_summary(spark, d):
 def running_statistics(spark, d):
     """Rates and averages after each document of a source, as a pipeline keeps them while it runs."""
     rows = table(spark, d, "documents").select("doc_id", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
-    so_far = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("source", "doc_id", F.round(F.avg("quality").over(so_far), 6).alias("success_rate"), F.round(F.avg("n_chars").over(so_far), 3).alias("average_chars"))
+    r = ranking.running(rows, "source", "doc_id", ["quality", "n_chars"])
+    return r.select("source", "doc_id", F.round(F.col("upto_quality") / F.col("n"), 6).alias("success_rate"), F.round(F.col("upto_n_chars") / F.col("n"), 3).alias("average_chars"))
 
 
 @query("""with s as (select label, vec_id, row_number() over (partition by label order by vec_id) <= 20 as taken, vec_id % 13 > 0 as filled from embeddings), g as (select label, count(*) as points, count(*) filter (taken) as sample, count(*) filter (taken and filled) as with_sparse from s group by 1)
@@ -90,8 +90,9 @@ def running_statistics(spark, d):
 def sparse_coverage(spark, d):
     """A sample of each collection's points (the first 20), how many have a sparse vector, and what is amiss."""
     v = vectors(spark, d).withColumn("sparse", F.when(F.col("vec_id") % 13 > 0, F.lit("x")))
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    g = v.withColumn("taken", n <= 20).groupBy("label").agg(F.count("*").alias("points"), F.count_if("taken").alias("sample"), F.count_if(F.col("taken") & F.col("sparse").isNotNull()).alias("with_sparse"))
+    first = v.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("place <= 20")  # cut to 20 in every task
+    sample = first.groupBy("label").agg(F.count("*").alias("sample"), F.count("sparse").alias("with_sparse"))
+    g = v.groupBy("label").agg(F.count("*").alias("points")).join(sample, "label")
     short = F.col("with_sparse") < F.col("sample")
     issues = F.array_compact(F.array(F.when(F.col("points") == 0, "collection_is_empty"), F.when(short, F.concat(F.lit("sparse_incomplete:"), "with_sparse", F.lit("/"), "sample"))))
     return g.select("label", "points", "sample", "with_sparse", F.array_join(issues, "|").alias("issues"), (~short & (F.col("points") > 0)).alias("ok"))
@@ -107,8 +108,7 @@ def sparse_missing(spark, d):
 @query(C + "select rag_partition, chunk_id, row_number() over (partition by rag_partition order by chunk_id) as n from chunks")
 def partition_stream(spark, d):
     """Each partition's chunks in the order of their ids."""
-    at = Window.partitionBy("rag_partition").orderBy("chunk_id")
-    return chunks(spark, d).select("rag_partition", "chunk_id", F.row_number().over(at).cast("long").alias("n"))
+    return ranking.running(chunks(spark, d).select("rag_partition", "chunk_id"), "rag_partition", "chunk_id", []).select("rag_partition", "chunk_id", "n")
 
 
 @query(C + """, t as (select doc_id as query_id, regexp_replace(coalesce(text, ''), '([.!?])', '\\\\1 [' || (length(text) % 9) || ']', 'g') || ' [' || (doc_id % 5) || ']' as answer from documents),

@@ -164,3 +164,22 @@ def test_runs_leave_figures(spark, tmp_path):
     assert out.count() == rows["r"]["rows"] == 10 and rows["r"]["figures"] == {"odd": 5.0} and rows["r"]["seconds"] > 0 and rows["r"]["error"] is None
     assert rows["f"]["rows"] is None and rows["f"]["error"]
     assert telemetry.recorded(spark.range(4), str(tmp_path / "c"), "/proc/nowhere/sink", "retrieval", "x").count() == 4  # figures that cannot be kept hurt nothing
+
+
+# --- counting through ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_over_parts(spark, parts):
+    from lodestone.operators import ranking
+
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").orderBy(F.rand(1))
+    want, state = {}, {}
+    for k, i, v in rows:
+        n, s = state.get(k, (0, 0))
+        state[k] = n + 1, s + (v or 0)
+        want[i] = state[k]
+    assert {r["i"]: (r["n"], r["upto_v"]) for r in ranking.running(df, "k", "i", ["v"], parts).collect()} == want
+    assert ranking.running(df.limit(0), "k", "i", ["v"], parts).count() == 0
