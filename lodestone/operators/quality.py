@@ -21,6 +21,12 @@ EXTENSIONS = [".txt", ".md", ".pdf", ".docx", ".html", ".xml"]
 CONFIDENCE = {"author": 0.3, "title": 0.3, "book_title": 0.2, "worldview": 0.4, "category": 0.3, "year": 0.2, "page_number": 0.1, "filename": 0.1, "file_hash": 0.1}
 LENGTHS = {"author": 200, "title": 500, "book_title": 500, "language": 10, "filename": 255}
 MIN_TEXT, MAX_TEXT, TOOL_LIMIT = 10, 1_000_000, 50_000
+FIRST_YEAR, YEARS_AHEAD, SIZE_SPARE = 1000, 10, 100
+ISBN = (r"^(?:ISBN(?:-1[03])?:? )?(?=[0-9X]{10}$|(?=(?:[0-9]+[- ]){3})[- 0-9X]{13}$|97[89][0-9]{10}$|(?=(?:[0-9]+[- ]){4})[- 0-9]{17}$)"
+        r"(?:97[89][- ]?)?[0-9]{1,5}[- ]?[0-9]+[- ]?[0-9]+[- ]?[0-9X]$")
+#: Preset -> least grade, whether errors of validation fail a document.
+PRESETS = {"default": ("C", True), "production": ("C", False), "development": ("B", True)}
+GRADES = "FDCBA"
 
 
 def violations(*rules: tuple[Column, str]) -> Column:
@@ -59,6 +65,69 @@ def document_warnings() -> Column:
         *[(blank_to_null(F.col(c).cast("string")).isNull(), f"{c} is recommended") for c in RECOMMENDED])
 
 
+def format_findings(this_year: int) -> tuple[Column, Column]:
+    """(errors, warnings) of year, isbn, page_number, language, embedding_dimension and filename."""
+    given = lambda c: F.col(c) != ""
+    year = F.when(F.col("year").rlike(r"^\d{4}$"), F.col("year").cast("int"))
+    extension = F.lower(F.regexp_extract("filename", r"[^/.](\.[^./]+)$", 1))
+    errors = violations(
+        (given("year") & year.isNull(), "year is not four digits"), (given("isbn") & ~F.col("isbn").rlike(ISBN), "isbn has no valid form"),
+        (given("page_number") & ~F.col("page_number").rlike(r"^\d+$"), "page_number is no number"), ((F.col("embedding_dimension") != 0) & ~F.col("embedding_dimension").isin(DIMENSIONS), "embedding_dimension is unknown"))
+    warnings = violations(
+        (year < FIRST_YEAR, "year seems too old"), (year > this_year + YEARS_AHEAD, "year is in the future"), (given("language") & ~F.col("language").isin(LANGUAGES), "language is unknown"),
+        ((extension != "") & ~extension.isin(EXTENSIONS), "file extension is unusual"))
+    return errors, warnings
+
+
+def consistency_findings() -> tuple[Column, Column]:
+    """(errors, warnings) of fields that belong together: chunks, category and worldview, confidence, sizes, times."""
+    beyond = F.col("chunk_index") >= F.col("total_chunks")
+    errors = violations(
+        (beyond, "chunk_index is not below total_chunks"), (F.col("total_chunks").isNotNull() & ~beyond & (F.col("chunk_index") < 0), "chunk_index is negative"),
+        (~F.col("confidence_score").between(0.0, 1.0), "confidence_score is out of range"), (F.col("updated_at") < F.col("created_at"), "updated_at is before created_at"),
+        (F.col("processed_at") < F.col("created_at"), "processed_at is before created_at"))
+    warnings = violations(
+        ((F.col("category") != "") & (F.col("worldview") != "") & (F.col("category") != F.col("worldview")), "category and worldview differ"),
+        ((F.col("text") != "") & (F.col("chunk_size") != 0) & (F.abs(F.length("text") - F.col("chunk_size")) > SIZE_SPARE), "chunk_size is not the text's length"))
+    return errors, warnings
+
+
+def business_findings() -> tuple[Column, Column]:
+    """(errors, warnings) of titles, authors, chunks of several and pages."""
+    several, missing = F.col("total_chunks") > 1, lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    errors = violations((several & F.col("chunk_index").isNull(), "chunk_index is missing"), (several & missing("chunk_id"), "chunk_id is missing"))
+    warnings = violations(
+        ((F.col("title") != "") & (F.col("title") == F.col("book_title")), "title and book_title are the same"), ((F.col("author") != "") & F.array_contains("co_authors", F.col("author")), "author is a co-author, too"),
+        (F.col("category").isin(WORLDVIEWS) & missing("author"), "author is missing for a worldview"), (F.col("page_number") == "0", "page_number is 0"))
+    return errors, warnings
+
+
+def completeness_findings() -> tuple[Column, Column]:
+    """(warnings, suggestions): one warning for all recommended fields that are empty, one where most searchable ones are."""
+    empty = lambda names: F.array_compact(F.array(*[F.when(filled(F.col(n)) == 0, F.lit(n)) for n in names]))
+    recommended, many = empty(RECOMMENDED), F.size(empty(SEARCHABLE)) > len(SEARCHABLE) // 2
+    none = lambda *names: F.size(empty(names)) == len(names)
+    warnings = violations((F.size(recommended) > 0, "recommended fields are missing"), (many, "many searchable fields are missing"))
+    suggestions = violations((many, "add searchable fields"), (none("year"), "add the year"), (none("tags"), "add tags"), (none("category", "worldview"), "add category or worldview"))
+    return warnings, F.concat(F.transform(recommended, lambda n: F.concat(F.lit("add "), n)), suggestions)
+
+
+def findings(docs: DataFrame, this_year: int) -> DataFrame:
+    """docs with errors, warnings and suggestions of all rules: required fields, lengths, formats, consistency, business, completeness."""
+    required = violations(*[(blank_to_null(F.col(c).cast("string")).isNull(), f"{c} is missing") for c in REQUIRED])
+    long = violations(*[(F.length(c) > n, f"{c} is too long") for c, n in LENGTHS.items()], (F.length("text") > MAX_TEXT, "text is too long"))
+    nearly = violations(*[((F.length(c) > 0.8 * n) & (F.length(c) <= n), f"{c} is nearly too long") for c, n in LENGTHS.items()], ((F.col("text") != "") & (F.length("text") < MIN_TEXT), "text is short"))
+    pairs = [format_findings(this_year), consistency_findings(), business_findings()]
+    missing, suggestions = completeness_findings()
+    return docs.withColumns({"errors": F.concat(required, long, *[p[0] for p in pairs]), "warnings": F.concat(nearly, *[p[1] for p in pairs], missing), "suggestions": suggestions})
+
+
+def succeeds(preset: str, grade_: Column, errors: Column) -> tuple[Column, Column]:
+    """(success, below the preset's grade) of a document with this grade and number of errors."""
+    least, fails = PRESETS[preset]
+    return (errors == 0) if fails else F.lit(True), F.instr(F.lit(GRADES), grade_) < GRADES.index(least) + 1
+
+
 def filled(c: Column) -> Column:
     return F.when(F.coalesce(F.length(c.cast("string")) > 0, F.lit(False)), 1.0).otherwise(0.0)
 

@@ -93,6 +93,24 @@ def talk_title(title: Column, message: Column) -> Column:
     return F.when(given.isNotNull(), F.left(given, F.lit(500))).otherwise(F.left(F.trim(message), F.lit(120)))
 
 
+def create_turns(talks: DataFrame, turns: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(talks, turns) after new exchanges. new: pos, talk_id, user_name, title, user_message, assistant_message.
+
+    Exchanges of one talk are taken by pos. A talk that is not there is made, personal, with the title of its first exchange;
+    one that is gets a new time. Turns are numbered on from the highest index, from 0 in a new talk.
+    """
+    from .ranking import first_per, next_index
+
+    message = F.coalesce("user_message", F.lit(""))
+    first = first_per(new, ["talk_id"], F.asc("pos")).select("talk_id", F.col("user_name").alias("__user"), talk_title(F.col("title"), message).alias("__title"))
+    both = talks.join(first.withColumn("__new", F.lit(True)), "talk_id", "full")
+    made = {"user_name": F.coalesce("user_name", "__user"), "title": F.coalesce("title", "__title"), "status": F.coalesce("status", F.lit("personal")),
+            "updated_at": F.when(F.col("__new"), now).otherwise(F.col("updated_at"))}
+    after = both.select(*[made[c].alias(c) if c in made else F.col(c) for c in talks.columns])
+    rows = next_index(new, turns).select("talk_id", "turn_index", "user_message", "assistant_message")
+    return after, turns.select("talk_id", "turn_index", "user_message", "assistant_message").unionByName(rows)
+
+
 def expand_talks(hits: DataFrame, references: DataFrame, by: str = "query_id") -> DataFrame:
     """Talk hits become the chunks they refer to (themselves if there are none), distinct in order of first appearance."""
     refs = references.groupBy("talk_id").agg(F.sort_array(F.collect_list(F.struct("reference_index", "chunk_id"))).alias("refs"))

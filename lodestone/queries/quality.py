@@ -73,3 +73,55 @@ def argument_validation(spark, d):
         "doc_id", F.when(m != 3, F.when(m == 1, "a.exe").otherwise("a.TXT")).alias("path"), F.when(m == 2, 100).otherwise(768).alias("dims"),
         F.when(m == 1, "append").when(m == 2, "delete").when(m == 3, "insert").otherwise("burn").alias("operation"), F.when(m != 1, "c").alias("content"), F.when(m == 3, "p1").alias("paragraph_id"))
     return rows.select("doc_id", F.array_join(Q.file_violations(), "|").alias("file"), F.array_join(Q.tool_violations(), "|").alias("tool"))
+
+
+_RULES = r"""f as (select doc_id, case when doc_id % 11 <> 0 then 'd' || doc_id end as document_id, case doc_id % 5 when 0 then 'Idealismus' when 1 then 'notes' when 2 then '' end as category, case when doc_id % 4 = 0 then 'Realismus' when doc_id % 4 = 1 then 'Idealismus' end as worldview,
+    coalesce(text, '') as text, case when doc_id % 3 > 0 then 'Author ' || doc_id % 9 end as author, ['Author ' || doc_id % 7, 'Author 3'] as co_authors, 'T' || doc_id % 6 as title, 'T' || doc_id % 4 as book_title,
+    case doc_id % 6 when 0 then '1904' when 1 then '19x4' when 2 then '0900' when 3 then '2999' when 4 then '' end as year, case doc_id % 7 when 0 then '3-7274-0040-1' when 1 then '12' when 2 then '9783727400407' end as isbn,
+    case doc_id % 8 when 0 then '0' when 1 then 'S. 3' when 2 then '17' end as page_number, case when doc_id % 10 = 0 then 'xx' else lang end as language, case doc_id % 9 when 0 then 768 when 1 then 100 when 2 then 0 end as embedding_dimension,
+    case doc_id % 5 when 0 then 'a.TXT' when 1 then 'b.exe' when 2 then 'c' when 3 then repeat('n', 230) || '.md' end as filename, case when doc_id % 3 = 0 then (doc_id % 6)::int - 1 end as chunk_index, case when doc_id % 2 = 0 then (doc_id % 5)::int end as total_chunks,
+    case when doc_id % 13 > 0 then 'c' || doc_id end as chunk_id, length(coalesce(text, '')) + (doc_id % 3) * 80 as chunk_size, doc_id % 23 / 20.0::double as confidence_score, doc_id % 17 as created_at, doc_id % 19 as updated_at, case when doc_id % 2 = 0 then doc_id % 23 end as processed_at,
+    case when doc_id % 7 = 0 then 'tag' end as tags from documents),
+  r as (select *, case when regexp_matches(year, '^\d{4}$') then year::int end as y, lower(regexp_extract(filename, '[^/.](\.[^./]+)$', 1)) as ext, list_filter(['author', 'title', 'book_title', 'year', 'filename'], lambda n: case n when 'author' then coalesce(author, '') when 'title' then title when 'book_title' then book_title when 'year' then coalesce(year, '') else coalesce(filename, '') end = '') as rec,
+    (coalesce(author, '') = '')::int + (coalesce(category, '') = '')::int + (worldview is null)::int + (coalesce(year, '') = '')::int + (tags is null)::int + (coalesce(language, '') = '')::int > 4 as many from f)"""
+
+
+def _found(*rules: tuple[str, str]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"case when {test} then '{message}' end" for test, message in rules) + "], lambda x: x is not null), '|')"
+
+
+@query(f"""with {_RULES} select doc_id, {_found(
+    ("document_id is null", "document_id is missing"), ("trim(coalesce(category, '')) = ''", "category is missing"), ("regexp_matches(text, '^\s*$')", "text is missing"), ("length(filename) > 255", "filename is too long"), ("length(text) > 1000000", "text is too long"),
+    ("year <> '' and y is null", "year is not four digits"), ("isbn = '12'", "isbn has no valid form"), ("page_number <> '' and not regexp_matches(page_number, '^\d+$')", "page_number is no number"), ("embedding_dimension = 100", "embedding_dimension is unknown"),
+    ("chunk_index >= total_chunks", "chunk_index is not below total_chunks"), ("total_chunks is not null and chunk_index < total_chunks and chunk_index < 0", "chunk_index is negative"), ("confidence_score > 1", "confidence_score is out of range"),
+    ("updated_at < created_at", "updated_at is before created_at"), ("processed_at < created_at", "processed_at is before created_at"), ("total_chunks > 1 and chunk_index is null", "chunk_index is missing"), ("total_chunks > 1 and chunk_id is null", "chunk_id is missing"))} as errors, {_found(
+    ("length(filename) > 204 and length(filename) <= 255", "filename is nearly too long"), ("text <> '' and length(text) < 10", "text is short"), ("y < 1000", "year seems too old"), ("y > 2036", "year is in the future"), ("language = 'xx'", "language is unknown"),
+    ("ext = '.exe'", "file extension is unusual"), ("category <> '' and worldview <> '' and category <> worldview", "category and worldview differ"), ("text <> '' and chunk_size <> 0 and abs(length(text) - chunk_size) > 100", "chunk_size is not the text''s length"),
+    ("title = book_title", "title and book_title are the same"), ("list_contains(co_authors, author)", "author is a co-author, too"), ("category = 'Idealismus' and author is null", "author is missing for a worldview"), ("page_number = '0'", "page_number is 0"),
+    ("len(rec) > 0", "recommended fields are missing"), ("many", "many searchable fields are missing"))} as warnings,
+  array_to_string(list_concat(list_transform(rec, lambda n: 'add ' || n), list_filter([case when many then 'add searchable fields' end, case when coalesce(year, '') = '' then 'add the year' end, case when tags is null then 'add tags' end, case when coalesce(category, '') = '' and worldview is null then 'add category or worldview' end], lambda x: x is not null)), '|') as suggestions from r""")
+def metadata_rules(spark, d):
+    """Documents with fields of all kinds, right and wrong ones, against every rule."""
+    i = F.col("doc_id")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values], *[F.lit(None).cast("string")] * (n - len(values))), (i % n + 1).cast("int"))
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.when(i % 11 != 0, F.concat(F.lit("d"), i)).alias("document_id"), pick(5, "Idealismus", "notes", "").alias("category"), pick(4, "Realismus", "Idealismus").alias("worldview"), F.coalesce("text", F.lit("")).alias("text"),
+        F.when(i % 3 > 0, F.concat(F.lit("Author "), i % 9)).alias("author"), F.array(F.concat(F.lit("Author "), i % 7), F.lit("Author 3")).alias("co_authors"), F.concat(F.lit("T"), i % 6).alias("title"), F.concat(F.lit("T"), i % 4).alias("book_title"),
+        pick(6, "1904", "19x4", "0900", "2999", "").alias("year"), pick(7, "3-7274-0040-1", "12", "9783727400407").alias("isbn"), pick(8, "0", "S. 3", "17").alias("page_number"), F.when(i % 10 == 0, "xx").otherwise(F.col("lang")).alias("language"),
+        pick(9, "768", "100", "0").cast("int").alias("embedding_dimension"), pick(5, "a.TXT", "b.exe", "c", "n" * 230 + ".md").alias("filename"), F.when(i % 3 == 0, (i % 6).cast("int") - 1).alias("chunk_index"), F.when(i % 2 == 0, (i % 5).cast("int")).alias("total_chunks"),
+        F.when(i % 13 > 0, F.concat(F.lit("c"), i)).alias("chunk_id"), (F.length(F.coalesce("text", F.lit(""))) + i % 3 * 80).alias("chunk_size"), (i % 23 / 20.0).alias("confidence_score"), (i % 17).alias("created_at"), (i % 19).alias("updated_at"),
+        F.when(i % 2 == 0, i % 23).alias("processed_at"), F.when(i % 7 == 0, "tag").alias("tags"))
+    found = Q.findings(docs, 2026)
+    return found.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("errors", "warnings", "suggestions")])
+
+
+@query(f"""with {_DOCS}, g as (select doc_id, e, case when e > 0 then 'F' when c >= 0.9 and w = 0 then 'A' when c >= 0.8 and w <= 2 then 'B' when c >= 0.7 and w <= 5 then 'C' when c >= 0.5 then 'D' else 'F' end as grade from (select *, round_even(c0, 3) as c from q))
+  select doc_id, preset, case preset when 'production' then true else e = 0 end as success, strpos('FDCBA', grade) < case preset when 'development' then 4 else 3 end as below from g, (values ('default'), ('production'), ('development')) p(preset)""")
+def quality_presets(spark, d):
+    """What the presets make of the same documents."""
+    rows, out = Q.pipeline(_documents(spark, d)).select("doc_id", "grade", F.size("errors").alias("n")), None
+    for preset in Q.PRESETS:
+        success, below = Q.succeeds(preset, F.col("grade"), F.col("n"))
+        part = rows.select("doc_id", F.lit(preset).alias("preset"), success.alias("success"), below.alias("below"))
+        out = part if out is None else out.unionByName(part)
+    return out

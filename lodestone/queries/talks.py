@@ -190,3 +190,21 @@ def context_tokens(spark, d):
     parts = [F.when(i % n == 0, F.concat(F.lit(name), i)) for n, name in ((3, "document "), (2, "paragraph "))]
     rows = t.join(c, "talk_id", "left").withColumn("cited", F.coalesce("cited", F.lit(0)))
     return rows.select("talk_id", "turns", "cited", (F.col("turns") + F.col("cited") + sum((tokens_estimate(p) for p in parts), F.lit(800))).alias("tokens"))
+
+
+@query("""with talks as (select conv_id as talk_id, 'user' || conv_id % 7 as user_name, 'Talk ' || conv_id as title, 'draft' as status, timestamp '2024-01-01' as updated_at from (select distinct conv_id from conversations) where conv_id % 3 > 0),
+  old as (select conv_id as talk_id, turn as turn_index from conversations where conv_id % 3 > 0 and role = 'user'), new as (select conv_id as talk_id, turn as pos, 'user' || conv_id % 5 as user_name, case when conv_id % 2 = 0 then 'Title ' || turn end as title, coalesce(text, '') as message from conversations where role = 'user' and conv_id % 4 > 0),
+  n as (select new.*, row_number() over (partition by talk_id order by pos) as k from new), t as (select talk_id, max(turn_index) as top from old group by 1),
+  x as (select coalesce(talks.talk_id, n.talk_id) as talk_id, coalesce(talks.user_name, n.user_name) as user_name, coalesce(talks.title, n.title, left(trim(n.message), 120)) as title, coalesce(status, 'personal') as status, case when n.talk_id is not null then timestamp '2025-01-01' else updated_at end as updated_at from talks full join (from n where k = 1) n on n.talk_id = talks.talk_id),
+  all_turns as (select talk_id, turn_index from old union all select n.talk_id, coalesce(top + k, k - 1) from n left join t on t.talk_id = n.talk_id)
+  select x.*, u.turns, u.last from x left join (select talk_id, count(*) as turns, max(turn_index)::bigint as last from all_turns group by 1) u on u.talk_id = x.talk_id""")
+def create_talk_turns(spark, d):
+    """Exchanges go on in talks that are there, and make those that are not, with their first title or message."""
+    i, rows = F.col("conv_id"), table(spark, d, "conversations")
+    stored = rows.where("conv_id % 3 > 0")
+    known = stored.select("conv_id").distinct().select(i.alias("talk_id"), F.concat(F.lit("user"), i % 7).alias("user_name"), F.concat(F.lit("Talk "), i).alias("title"), F.lit("draft").alias("status"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("updated_at"))
+    old = stored.where("role = 'user'").select(i.alias("talk_id"), F.col("turn").alias("turn_index"), F.col("text").alias("user_message"), F.lit("").alias("assistant_message"))
+    new = rows.where("role = 'user' and conv_id % 4 > 0").select(
+        i.alias("talk_id"), F.col("turn").alias("pos"), F.concat(F.lit("user"), i % 5).alias("user_name"), F.when(i % 2 == 0, F.concat(F.lit("Title "), "turn")).alias("title"), F.col("text").alias("user_message"), F.lit("answer").alias("assistant_message"))
+    after, every = T.create_turns(known, old, new, F.expr("timestamp_ntz'2025-01-01 00:00:00'"))
+    return after.join(every.groupBy("talk_id").agg(F.count("*").alias("turns"), F.max("turn_index").alias("last")), "talk_id", "left")
