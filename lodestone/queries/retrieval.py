@@ -504,3 +504,11 @@ def evaluation_records(spark, d):
     telemetry.evaluation(questions, answers, hits, path)
     read = spark.read.schema("query_id long, question string, answer string, references array<string>").json(path)
     return read.select("query_id", "question", "answer", F.array_join("references", " ").alias("refs"))
+
+
+@query("""select vec_id // 8 as matrix_id, round(avg(embedding[1]::double), 6) as first, round(avg(embedding[64]::double), 6) as last, count(*) as rows from embeddings group by 1""")
+def mean_pooled_matrices(spark, d):
+    """Eight vectors to a matrix, pooled to the mean of its rows."""
+    m = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 8").alias("matrix_id")).agg(F.collect_list("embedding").alias("m"))
+    pooled = V.mean_pool(F.col("m"))
+    return m.select("matrix_id", F.round(F.get(pooled, F.lit(0)), 6).alias("first"), F.round(F.get(pooled, F.lit(63)), 6).alias("last"), F.size("m").cast("long").alias("rows"))

@@ -175,3 +175,46 @@ def reference_evaluation(spark, d):
         return lambda prompt: "```json\n" + json.dumps([{"chunk_id": prompt.split(":")[0], "description": "fits", "relevance": 0.8}]) + "\n```" if prompt else "no"
 
     return M.evaluate_references(sparse_retrieve(chunks(spark, d), text_queries(spark, d), 10), chat)
+
+
+@query(C + "select chunk_id, content_hash, chunk_type, source_index as paragraph from chunks where chunk_type in ('quote', 'quote_explanation') and source_index >= 1")
+def quote_file_records(spark, d):
+    """Chunks written as JSON lines, a file for each kind; those that name a quote's paragraph are read again."""
+    path = folder(spark, "quotes")
+    meta = F.struct("chunk_id", "content_hash", "chunk_type", F.col("source_index").alias("paragraph"))
+    chunks(spark, d).select("chunk_type", F.to_json(F.struct(meta.alias("metadata"))).alias("value")).write.partitionBy("chunk_type").text(path)
+    return files.quote_records(spark, [path]).select("chunk_id", "content_hash", "chunk_type", "paragraph")
+
+
+@query(r"""select doc_id, word, count(*) as count from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) as word from documents) group by all""")
+def quantified_words(spark, d):
+    """Word statistics as literal dictionaries, made of the texts and read as such."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
+    counted = table(spark, d, "documents").select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    item = F.concat(F.lit("'"), F.col("w"), F.lit("': "), F.col("n").cast("string"))
+    literal = counted.groupBy("doc_id").agg(F.concat(F.lit("{'word_stats': {"), F.array_join(F.collect_list(item), ", "), F.lit("}}")).alias("text"))
+    return literal.select("doc_id", F.explode(files.quantify("text")).alias("s")).select("doc_id", "s.word", "s.count")
+
+
+@query("""select 'nation' as name, n_nationkey as key, case when n_nationkey % 4 = 0 then upper(n_name) || '!' else n_name end as value, '' as error from nation where n_nationkey % 3 > 0 or n_nationkey % 4 = 0
+  union all select 'region', r_regionkey, r_name, '' from region union all select 'lost', null, null, 'failed'""")
+def table_sync(spark, d):
+    """Tables copied with a check of their counts, then upserted by key; one that cannot be is named, and the others go on."""
+    n, r = table(spark, d, "nation").select("n_nationkey", "n_name"), table(spark, d, "region").select("r_regionkey", "r_name")
+    first, second = folder(spark, "copied"), folder(spark, "target")
+    n.where("n_nationkey % 3 > 0").write.parquet(first)
+    files.copy_checked(spark, first, second)
+    news = n.where("n_nationkey % 4 = 0").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!")))
+    done, failed = files.sync_tables(spark, {"nation": (news, ["n_nationkey"]), "region": (r, ["r_regionkey"]), "lost": (n, ["no_such_key"])}, {"nation": spark.read.parquet(second), "lost": n})
+    named = lambda name, key, value: done[name].select(F.lit(name).alias("name"), F.col(key).cast("long").alias("key"), F.col(value).alias("value"), F.lit("").alias("error"))
+    out = named("nation", "n_nationkey", "n_name").unionByName(named("region", "r_regionkey", "r_name"))
+    lost = spark.createDataFrame([(name, None, None, "failed") for name in failed], out.schema)
+    return out.unionByName(lost)
+
+
+@query(C + "select chunk_id, length(coalesce(text, ''))::bigint as chars from chunks where doc_id % 2 = 0")
+def collection_scroll(spark, d):
+    """A whole collection, and one that is not there, which is empty."""
+    path, kind = folder(spark, "collection"), "chunk_id string, chars long"
+    chunks(spark, d).where("doc_id % 2 = 0").select("chunk_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")).write.parquet(path)
+    return files.read_collection(spark, path, kind).unionByName(files.read_collection(spark, path + "-absent", kind))

@@ -123,3 +123,15 @@ def sync_tables(spark: SparkSession, sources: dict[str, tuple[DataFrame, list[st
         except Exception as error:  # the sync goes on with the other tables
             failed[name] = str(error).splitlines()[0]
     return done, failed
+
+
+def read_collection(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All points of a collection; one that does not exist yet is empty."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
