@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,11 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes. Hashing a word anew costs less than to look it up in a table."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def lower_ascii(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)

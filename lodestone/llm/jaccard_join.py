@@ -38,14 +38,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, connected_components, discard, materialize, scratch, small_batches, sweep, unused
+from .common import LOWER, UPPER, connected_components, discard, materialize, scratch, small_batches, sweep, unused, word_hashes
 
 #: Counters of the sketch that orders shingles by frequency; what one task emits and what is broadcast.
 COUNTERS, COUNTER_BLOCK = 1 << 18, 1 << 10
 #: Texts that meet in a group; rows of ids that may be broadcast to leave out unneeded texts before a shuffle.
 GROUP, BROADCAST_IDS = 64, 500_000
-#: Words, and the bytes of one, that a task keeps the hash of.
-KEPT_WORDS, KEPT_BYTES = 50_000, 32
 #: Longs of a set's parity sketch; loose postings of a token from which on they are joined by size and sketch.
 SKETCH_LONGS, HOT_TOKEN = 8, 8
 #: Least similarity, as a fraction, to a hub by whose difference a set may be represented.
@@ -55,18 +53,6 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 A, B, C = 0, 1, 2
 
 
-class Hashes(dict):
-    """Word -> hash; made anew in each task and emptied at its bound, which costs time, not results."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit permutation, so that each salt gives another order of the same tokens."""
     x = x ^ _ODD[salt]
@@ -75,13 +61,13 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolled(text: str | None, k: int, hashes: Hashes) -> np.ndarray:
+def rolled(text: str | None, k: int) -> np.ndarray:
     """64-bit hashes of the k-word shingles in order, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
+    h = word_hashes(words)
     if n < k:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=1)], dtype=np.uint64)
     out = h[: n - k + 1].copy()
@@ -91,9 +77,9 @@ def rolled(text: str | None, k: int, hashes: Hashes) -> np.ndarray:
     return out * _ODD[1]
 
 
-def shingle_set(text: str | None, k: int, hashes: Hashes) -> np.ndarray:
+def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles."""
-    return np.unique(rolled(text, k, hashes))
+    return np.unique(rolled(text, k))
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -134,10 +120,10 @@ def count_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Occurrences of all documents' shingles by bucket: each task adds up its own, blocks of counters are then summed."""
 
     def run(batches):
-        total, hashes = np.zeros(COUNTERS, dtype=np.int64), Hashes()
+        total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for t in batch.column("text"):
-                np.add.at(total, _bucket(rolled(t.as_py(), k, hashes)), 1)
+                np.add.at(total, _bucket(rolled(t.as_py(), k)), 1)
         parts = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, COUNTER_BLOCK)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
 
@@ -163,11 +149,11 @@ def describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         T.StructField("print", T.StringType()), T.StructField("a", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        hashes, none = Hashes(), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
         for batch in batches:
             n, prints, a, parity = [], [], [], []
             for text in batch.column("text"):
-                s = shingle_set(text.as_py(), k, hashes)
+                s = shingle_set(text.as_py(), k)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 a.append(common_prefix(s, prefix_length(len(s), num, den), counts.value).view(np.int64) if len(s) else none)
@@ -278,9 +264,8 @@ def in_other_orders(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int
     """The pairs that share a prefix token under order B and under order C; these prefixes are made for the pairs' sets alone."""
 
     def run(batches):
-        hashes = Hashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k, hashes) for t in batch.column("text")]
+            sets = [shingle_set(t.as_py(), k) for t in batch.column("text")]
             cols = [pa.array([hashed_prefix(s, o, prefix_length(len(s), num, den)) for s in sets], pa.list_(pa.int32())) for o in (B, C)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), *cols], names=["rep", "b", "c"])
 
@@ -343,14 +328,14 @@ def differences(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, nu
     near_p, near_q = NEAR[0] + NEAR[1], NEAR[1] - NEAR[0]
 
     def run(table):
-        hashes, hub = Hashes(), table.column("hub")[0].as_py()
+        hub = table.column("hub")[0].as_py()
         sets = {r.as_py(): t for r, t in zip(table.column("rep"), table.column("text"))}  # repeated rows are one
         rows = []
         if hub in sets:
-            base = shingle_set(sets.pop(hub).as_py(), k, hashes)
+            base = shingle_set(sets.pop(hub).as_py(), k)
             h, prefixes = len(base), [hashed_prefix(base, o, prefix_length(len(base), num, den)) for o in (B, C)]
             for rep, text in sets.items():
-                x = shingle_set(text.as_py(), k, hashes)
+                x = shingle_set(text.as_py(), k)
                 n = len(x)
                 if near and not all(np.intersect1d(f, hashed_prefix(x, o, prefix_length(n, num, den))).size for o, f in zip((B, C), prefixes)):
                     continue
@@ -378,6 +363,7 @@ def by_differences(core: DataFrame, around: DataFrame, place: DataFrame, num: in
     hubs = core.unionByName(around).select("hub").distinct().join(place.select(F.col("rep").alias("hub"), "comp").hint("merge"), "hub", "left")
     span = every.select("hub", "comp").unionByName(hubs.select("hub", F.coalesce("comp", "hub").alias("comp")))
     span = span.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("hub")
+    span = materialize(span, "open-hubs")  # so that the rows of a large hub can be split
     inside = materialize(every.join(span.hint("merge"), "hub").withColumn("size", F.size("s")), "inside")
     tokens = inside.select("hub", "rep", "comp", F.explode("s").alias("token"))
     # Order A, rarest first. Tokens that connect nothing come before all others, so they need no row.
@@ -412,8 +398,8 @@ def verify(docs: DataFrame, pairs: DataFrame, owners: DataFrame, k: int, num: in
         F.when(turned, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("other"))
 
     def run(table):
-        hashes, hub = Hashes(), table.column("hub")[0].as_py()
-        sets = {r.as_py(): shingle_set(t.as_py(), k, hashes) for r, t in zip(table.column("rep"), table.column("text"))}
+        hub = table.column("hub")[0].as_py()
+        sets = {r.as_py(): shingle_set(t.as_py(), k) for r, t in zip(table.column("rep"), table.column("text"))}
         base, rows = sets.pop(hub, None), []
         for rep, x in sets.items():
             if base is not None and np.setxor1d(x, base, assume_unique=True).size * (num + den) <= (den - num) * (len(x) + len(base)):

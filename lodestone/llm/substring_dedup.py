@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratch, small_batches, unused
-from .jaccard_join import Hashes, mix
+from .common import materialize, scratch, small_batches, unused, word_hashes
+from .jaccard_join import mix
 
 WINDOW = 50
 #: Rows of the sketch; cells of a row at most; cells for each gram while that allows it; cells of a block.
@@ -89,11 +89,11 @@ class Prints:
 
     ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-    def __init__(self, text: bytes, window: int, hashes: Hashes):
+    def __init__(self, text: bytes, window: int):
         words = text.split()
         self.n, self.window = len(words), window
         if self.n >= window:
-            self.words = np.fromiter(map(hashes.__getitem__, words), np.uint64, self.n)
+            self.words = word_hashes(words)
             self.steps, gram = ladder(self.words, window, self.ODD[0]), gram_words(window)
             self.grams = least(mix(self.steps[gram], 0), window - gram + 1)
 
@@ -113,7 +113,7 @@ def sketch(texts: DataFrame, window: int, bits: int) -> list[np.ndarray]:
     schema = "row int, block int, cells binary"
 
     def count(batches):
-        hashes, gathered, held = Hashes(), [], 0
+        gathered, held = [], 0
 
         def flush():
             grams, times = np.unique(np.concatenate(gathered), return_counts=True)
@@ -129,7 +129,7 @@ def sketch(texts: DataFrame, window: int, bits: int) -> list[np.ndarray]:
 
         for batch in batches:
             for text in batch.column("text"):
-                p = Prints(text.as_py(), window, hashes)
+                p = Prints(text.as_py(), window)
                 if p.n >= window:
                     gathered.append(np.unique(p.grams))
                     held += len(gathered[-1])
@@ -191,7 +191,6 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, t) for c, t in kinds.items()]])
 
     def emit(batches):
-        hashes = Hashes()
         for batch in batches:
             rows, found, held = [], [], 0
 
@@ -202,7 +201,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     [batch.column("doc_id").take(at), batch.column("tag").take(at), pa.array(cols[0].astype(np.int32)), *[pa.array(c.view(np.int64)) for c in cols[1:]]], names=schema.names)
 
             for i, text in enumerate(batch.column("text")):
-                p = Prints(text.as_py(), window, hashes)
+                p = Prints(text.as_py(), window)
                 if p.n >= window and len(at := estimated_repeated(p.grams, bits, shared.value)):
                     rows.append(i), found.append((at, *p.digests(at)))
                     held += len(at)
