@@ -91,8 +91,8 @@ def _found(*rules: tuple[str, str]) -> str:
 
 
 @query(f"""with {_RULES} select doc_id, {_found(
-    ("document_id is null", "document_id is missing"), ("trim(coalesce(category, '')) = ''", "category is missing"), ("regexp_matches(text, '^\s*$')", "text is missing"), ("length(filename) > 255", "filename is too long"), ("length(text) > 1000000", "text is too long"),
-    ("year <> '' and y is null", "year is not four digits"), ("isbn = '12'", "isbn has no valid form"), ("page_number <> '' and not regexp_matches(page_number, '^\d+$')", "page_number is no number"), ("embedding_dimension = 100", "embedding_dimension is unknown"),
+    ("document_id is null", "document_id is missing"), ("trim(coalesce(category, '')) = ''", "category is missing"), ("regexp_matches(text, '^\\s*$')", "text is missing"), ("length(filename) > 255", "filename is too long"), ("length(text) > 1000000", "text is too long"),
+    ("year <> '' and y is null", "year is not four digits"), ("isbn = '12'", "isbn has no valid form"), ("page_number <> '' and not regexp_matches(page_number, '^\\d+$')", "page_number is no number"), ("embedding_dimension = 100", "embedding_dimension is unknown"),
     ("chunk_index >= total_chunks", "chunk_index is not below total_chunks"), ("total_chunks is not null and chunk_index < total_chunks and chunk_index < 0", "chunk_index is negative"), ("confidence_score > 1", "confidence_score is out of range"),
     ("updated_at < created_at", "updated_at is before created_at"), ("processed_at < created_at", "processed_at is before created_at"), ("total_chunks > 1 and chunk_index is null", "chunk_index is missing"), ("total_chunks > 1 and chunk_id is null", "chunk_id is missing"))} as errors, {_found(
     ("length(filename) > 204 and length(filename) <= 255", "filename is nearly too long"), ("text <> '' and length(text) < 10", "text is short"), ("y < 1000", "year seems too old"), ("y > 2036", "year is in the future"), ("language = 'xx'", "language is unknown"),
