@@ -280,7 +280,8 @@ def filter_drop_diagnostics(spark, d):
     return chunks(spark, d).select(stage.alias("stage")).groupBy("stage").agg(F.count("*").alias("n"))
 
 
-@query(name="uuid5_point_ids")
+@query(C + """, h as (select chunk_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id)) as h from chunks)
+  select chunk_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) as point_id from h""")
 def uuid5_point_ids(spark, d):
     return chunks(spark, d).select("chunk_id", point_id(F.col("chunk_id")).alias("point_id"))
 

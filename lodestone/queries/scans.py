@@ -10,6 +10,7 @@ from ..registry import query
 from ..sources import files, markdown
 from ..sources.scratch import folder
 from ..sources.testdata import CHUNKS_SQL, chunks, table
+from .retrieval import sparse_retrieve, sparse_sql, sql, text_queries
 
 C = f"with {CHUNKS_SQL} "
 
@@ -164,17 +165,25 @@ def hashed_embeddings(spark, d):
     return M.embed(table(spark, d, "benchmark")).select("item_id", "embedding")
 
 
-@query()
+@query(sql(sparse_sql("s", 10), end="""select query_id, chunk_id, case rank when 1 then 0.8 else 0.4 end::double as relevance, case rank when 1 then 'fits well' else 'fits' end as description from s where rank <= 2 and query_id % 40 = 0
+  union all select query_id, chunk_id, round_even(greatest(0.05, least(1.0, score / max(score) over (partition by query_id))), 4) as relevance, 'ranked high' as description from s where query_id % 40 <> 0 qualify row_number() over (partition by query_id order by score desc, rank) <= 3"""))
 def reference_evaluation(spark, d):
-    """A stub judges each query's hits: it calls the first one relevant."""
-    from .retrieval import sparse_retrieve, text_queries
-
+    """A stub judges each query's hits: the first two fit, one of them twice, another too little, and one it has made up; to half of
+    the queries it gives no answer, and their best three by score stand."""
     def chat():
         import json
 
-        return lambda prompt: "```json\n" + json.dumps([{"chunk_id": prompt.split(":")[0], "description": "fits", "relevance": 0.8}]) + "\n```" if prompt else "no"
+        def answer(prompt):
+            lines = prompt.split("\n")
+            ids = [x.split(": ")[0] for x in lines if x.startswith("doc-") and ": " in x]
+            found = [(ids[0], "fits  well", 0.8), (ids[0], "fits less", 0.5), *[(i, "fits", 0.4) for i in ids[1:2]], *[(i, "hardly", 0.2) for i in ids[2:3]], ("doc-made-up", "fits", 0.9)]
+            return "```json\n" + json.dumps([{"chunk_id": c, "description": t, "relevance": r} for c, t, r in found]) + "\n```"
+
+        return answer
 
-    return M.evaluate_references(sparse_retrieve(chunks(spark, d), text_queries(spark, d), 10), chat)
+    hits = sparse_retrieve(chunks(spark, d), text_queries(spark, d), 10)
+    judged = M.evaluate_references(hits.where("query_id % 40 = 0"), chat)
+    return judged.unionByName(M.evaluate_references(hits.where("query_id % 40 <> 0"), lambda: lambda prompt: "no idea"))
 
 
 @query(C + "select chunk_id, content_hash, chunk_type, source_index as paragraph from chunks where chunk_type in ('quote', 'quote_explanation') and source_index >= 1")
