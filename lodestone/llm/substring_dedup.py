@@ -7,7 +7,9 @@ many times fewer such grams than windows. So the count of the gram is never belo
 
 1. Every task counts the grams of its documents, a document counting once, and hands on the touched cells in blocks of
    BLOCK; blocks are added up over all tasks. What is broadcast is one bit a cell: two or more documents. The sketch
-   follows the size of the texts up to MAX_CELLS; beyond, more windows are taken for repeated, and none is lost.
+   follows the size of the texts up to MAX_CELLS. A sketch that would have to be larger stays on the cluster as rows of
+   cells (2^WIDE of them): each document's touched cells are written, counted by one aggregate and joined back, and the
+   cells that several documents share go to the texts that hold them.
 2. Windows whose gram's cells are all set are emitted with a 128-bit hash of their words and grouped: the first
    document of each, in the order of doc_id. Windows that have an earlier document are joined back to their places.
 
@@ -39,6 +41,8 @@ from .jaccard_join import mix
 WINDOW = 50
 #: Rows of the sketch; cells of a row at most; cells for each gram while that allows it; cells of a block.
 DEPTH, MAX_CELLS, SPARE, BLOCK = 2, 1 << 28, 8, 1 << 16
+#: Cells, as a power of two, of a sketch that is not broadcast.
+WIDE = 44
 #: Grams that a task gathers before it hands them on; windows to a batch handed back by Python, about.
 GATHERED, WINDOW_ROWS = 1 << 20, 50_000
 #: Copies of whole texts that may be broadcast to be left out; beyond, they are by shuffle.
@@ -167,7 +171,22 @@ def estimated_repeated(grams: np.ndarray, bits: int, packed: list[np.ndarray]) -
 def _bits(chars: int, window: int) -> int:
     """Cells of a row as a power of two: SPARE for each gram that so many characters may have."""
     grams = chars / 6 * 2 / (window - gram_words(window) + 2)
-    return int(np.ceil(np.log2(np.clip(SPARE * grams, BLOCK, MAX_CELLS))))
+    return int(np.ceil(np.log2(max(SPARE * grams, BLOCK))))
+
+
+def shared_cells(texts: DataFrame, window: int) -> DataFrame:
+    """doc_id, tag, shared: the cells of a document's grams that other documents touch as well; the sketch as a table."""
+    schema = T.StructType([texts.schema["doc_id"], T.StructField("tag", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))])
+
+    def touched(batches):
+        for batch in batches:
+            prints = (Prints(t.as_py(), window) for t in batch.column("text"))
+            cells = pa.array([np.unique(_cells(p.grams, WIDE)[0]) if p.n >= window else [] for p in prints], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), cells], names=schema.names)
+
+    held = materialize(texts.mapInArrow(touched, schema), "cells").select("doc_id", "tag", F.explode("cells").alias("cell"))
+    several = materialize(held.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "shared-cells")
+    return materialize(held.join(several.hint("merge"), "cell").groupBy("doc_id", "tag").agg(F.collect_set("cell").alias("shared")), "shared")
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -185,8 +204,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     left_out = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies.hint("merge")
     texts = keyed.join(left_out, ["doc_id", "tag", "tag2"], "left_anti").select("doc_id", "tag", F.col("text").cast("binary").alias("text"))
 
-    bits = _bits(keys.agg(F.sum("chars")).first()[0] or 0, window)
-    shared = spark.sparkContext.broadcast(sketch(texts.select("text"), window, bits))
+    bits, shared = _bits(keys.agg(F.sum("chars")).first()[0] or 0, window), None
+    if 1 << bits <= MAX_CELLS:
+        shared = spark.sparkContext.broadcast(sketch(texts.select("text"), window, bits))
+    else:
+        found = shared_cells(texts, window).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "shared")
+        texts = texts.join(found.hint("merge"), texts["doc_id"].eqNullSafe(found["__id"]) & (texts["tag"] == found["__tag"])).select("doc_id", "tag", "text", "shared")
     kinds = {"tag": T.LongType(), "at": T.IntegerType(), "high": T.LongType(), "low": T.LongType()}
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, t) for c, t in kinds.items()]])
 
@@ -202,7 +225,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
             for i, text in enumerate(batch.column("text")):
                 p = Prints(text.as_py(), window)
-                if p.n >= window and len(at := estimated_repeated(p.grams, bits, shared.value)):
+                if p.n < window:
+                    continue
+                at = estimated_repeated(p.grams, bits, shared.value) if shared else np.flatnonzero(np.isin(_cells(p.grams, WIDE)[0], np.asarray(batch.column("shared")[i].values)))
+                if len(at):
                     rows.append(i), found.append((at, *p.digests(at)))
                     held += len(at)
                 if held >= WINDOW_ROWS:
@@ -212,7 +238,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield flush()
 
     windows = materialize(texts.mapInArrow(emit, schema), "windows")
-    shared.unpersist()
+    if shared:
+        shared.unpersist()
     doc = F.struct("doc_id")
     several = windows.groupBy("high", "low").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
     several = materialize(several.where(~F.col("first").eqNullSafe(F.col("last"))).select("high", "low", "first"), "window-firsts")
