@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -54,15 +56,25 @@ def unescape(texts: pa.Array) -> pa.Array:
     return pa.array([html.unescape(t) if t is not None else None for t in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf(T.StringType())
+def unescape_closed(texts: pa.Array) -> pa.Array:
+    """Character references that end in a semicolon; one that is cut off, like `&amp` at the end of a title, stays as it is."""
+    one = lambda m: html.entities.html5.get(m[0][1:], m[0]) if m[0][1] != "#" else html.unescape(m[0])
+    return pa.array([re.sub(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", one, t) if t is not None else None for t in texts.to_pylist()], pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def nfc(texts: pa.Array) -> pa.Array:
     """Unicode normal form C; Spark has no function for it."""
     return pa.array([unicodedata.normalize("NFC", t) if t is not None else None for t in texts.to_pylist()], pa.string())
 
 
-def html_to_text(c: Column) -> Column:
-    """Tags become blanks, character references their characters, white space one blank; text without either is kept."""
-    text = unescape(F.regexp_replace(c, "<[^>]+>", " "))
+def html_to_text(c: Column, closed: bool = False) -> Column:
+    """Tags become blanks, character references their characters, white space one blank; text without either is kept.
+
+    HTML 5 also reads some references without a semicolon; with `closed`, these stay.
+    """
+    text = (unescape_closed if closed else unescape)(F.regexp_replace(c, "<[^>]+>", " "))
     return F.when(c.contains("<") | c.contains("&"), collapse(text)).otherwise(collapse(c))
 
 
@@ -202,8 +214,6 @@ def fenced_json(c: Column) -> Column:
 
 def fill(template: str, **slots: Column) -> Column:
     """{name} replaced by the slot's column; unknown names by nothing."""
-    import re
-
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[(F.coalesce(slots[p].cast("string"), F.lit("")) if p in slots else F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 

@@ -35,6 +35,12 @@ def test_text(spark, f, given, want):
     assert one(spark, given, f) == want
 
 
+def test_references_that_are_cut_off(spark):
+    given = "<b>x &amp</b> &amp; &copy2; &#38 &#38; &quo &am &nosuch; &amp;lt;"
+    assert one(spark, given, lambda c: X.html_to_text(c, closed=True)) == "x &amp & &copy2; &#38 & &quo &am &nosuch; &lt;"
+    assert one(spark, given, X.html_to_text) == "x & & ©2; & & &quo &am &nosuch; &lt;"
+
+
 def test_flags(spark):
     assert one(spark, "„Ich stimme zu", X.agrees) and not one(spark, "Nein, ich stimme zu", X.agrees)
     assert one(spark, "Ja, ich lege an\nx", X.announces_create) and one(spark, " ", lambda c: X.is_incomplete(c, 1))
