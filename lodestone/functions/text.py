@@ -30,6 +30,9 @@ WRITE_BY_NAME = [
     r"(einen?\s+)?arbeitstext.{0,5}(für|mit|und)"]
 WRITE_IMPLIED = r"(schreib|trag|füg|ergänz|änder|aktualisier|notier|eintrag|hinzufüg|aufschreib).*\b(das|dies|auch|dazu|noch|bitte|ebenfalls|ein|hinzu|auf)\b"
 
+#: The bounds of words of ASCII letters, digits and underscores. Java's own \b knows other letters, with or without (?U).
+ASCII_BOUND = "(?-iu:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -139,12 +142,16 @@ def announces_create(c: Column) -> Column:
 
 def announces_write(c: Column) -> Column:
     """An answer says that the working text is being changed."""
-    return c.rlike("(?iu)" + "|".join(WRITING))
+    return c.rlike("(?iud)" + "|".join(WRITING))
+
 
+def requests_write(c: Column, has_document: Column, ascii_words: bool = False) -> Column:
+    """A message asks for work on the working text: by name, or, where a document is linked, without it.
 
-def requests_write(c: Column, has_document: Column) -> Column:
-    """A message asks for work on the working text: by name, or, where a document is linked, without it."""
-    return c.rlike("(?iu)" + "|".join(WRITE_BY_NAME)) | (has_document & c.rlike("(?iuU)" + WRITE_IMPLIED))
+    Words end where letters of any script do; with `ascii_words`, also at letters that are not ASCII: `öein` has the word `ein`.
+    """
+    implied = "(?iud)" + WRITE_IMPLIED.replace(r"\b", ASCII_BOUND) if ascii_words else "(?iuUd)" + WRITE_IMPLIED
+    return c.rlike("(?iud)" + "|".join(WRITE_BY_NAME)) | (has_document & c.rlike(implied))
 
 
 def citation_numbers(c: Column) -> Column:

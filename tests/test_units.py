@@ -41,6 +41,14 @@ def test_references_that_are_cut_off(spark):
     assert one(spark, given, X.html_to_text) == "x & & ©2; & & &quo &am &nosuch; &lt;"
 
 
+def test_words_of_requests(spark):
+    asks = lambda t, **o: one(spark, t, lambda c: X.requests_write(c, F.lit(True), **o))
+    assert asks("Trag ihn, ein Wort") and asks("Trag ihn, ein Wort", ascii_words=True)
+    assert not asks("Trag ihn beöein") and asks("Trag ihn beöein", ascii_words=True)
+    assert not asks("Trag ihn schein", ascii_words=True) and not asks("Trag ihn\nein", ascii_words=True)
+    assert asks("Trag ihn\u2028ein") and asks("Trag ihn\rein", ascii_words=True)  # a line ends at a newline only
+
+
 def test_flags(spark):
     assert one(spark, "„Ich stimme zu", X.agrees) and not one(spark, "Nein, ich stimme zu", X.agrees)
     assert one(spark, "Ja, ich lege an\nx", X.announces_create) and one(spark, " ", lambda c: X.is_incomplete(c, 1))
