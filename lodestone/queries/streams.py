@@ -85,7 +85,8 @@ def stream_embed_loop(spark, d):
     batch.repartition(4, "chunk_id").write.parquet(path)
     chunk_table = ingest.VersionedChunks(spark, folder(spark, "chunk-versions"), stored(spark, d).drop("doc_id"))
     ingest.ingest(ingest.chunk_stream(spark, path, batch.schema), "embed-loop", ingest.step(chunk_table, now()))
-    return chunk_table.current().select("rag_partition", "chunk_id", "content_hash", "embedded_at", "deprecated_at", F.col("embedding").isNotNull().alias("has_vector"))
+    last = chunk_table.current(columns=["content_hash", "embedded_at", "deprecated_at", "embedding"])
+    return last.select("rag_partition", "chunk_id", "content_hash", "embedded_at", "deprecated_at", F.col("embedding").isNotNull().alias("has_vector"))
 
 
 @query("""select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \n\t]+'))::bigint as words, length(coalesce(text, ''))::bigint as chars, doc_id % 2 = 0 as from_cache from documents""")

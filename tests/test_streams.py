@@ -118,6 +118,17 @@ def test_ingest_loop_bears_repetition(spark, tmp_path):
     assert sorted(map(str, packed.current().collect())) == sorted(map(str, table.current().collect()))
 
 
+def test_rounds_of_embedding_do_not_read_the_table_anew(spark, tmp_path, monkeypatch):
+    base = spark.createDataFrame([("m", f"c{i:02}", f"text {i}", f"h{i}", at(i), None, None) for i in range(30)], f"{CHUNKS}, embedded_at timestamp, deprecated_at timestamp")
+    table, reads, sizes = ingest.VersionedChunks(spark, str(tmp_path / "v"), base), [], []
+    rows, embed = ingest.VersionedChunks.rows, ingest.embed
+    monkeypatch.setattr(ingest.VersionedChunks, "rows", lambda self, before=None: reads.append(before) or rows(self, before))
+    monkeypatch.setattr(ingest, "embed", lambda df, **o: sizes.append(sorted(r["chunk_id"] for r in df.collect())) or embed(df, **o))
+    assert ingest.embed_waiting(table, 1, F.lit(at(100)), 4) == 8 and len(reads) == 2
+    assert sizes == [[f"c{i:02}" for i in range(lo, min(lo + 4, 30))] for lo in range(0, 30, 4)]
+    assert table.current().where("embedding is not null and embedded_at is not null").count() == 30
+
+
 def test_cache_calls_only_for_what_is_new(spark, tmp_path):
     calls, place = spark.sparkContext.accumulator(0), str(tmp_path / "cache")
     schema = T.StructType([T.StructField("n", T.LongType())])
