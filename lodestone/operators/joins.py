@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, lemma_variants
-from .ranking import first_per
+from .ranking import cap_per, first_per
 
 
 def _parents(chunks: DataFrame) -> DataFrame:
@@ -61,12 +61,26 @@ def held_candidates(texts: DataFrame, needles: DataFrame, by: tuple[str, ...] =
 
 def term_hits(prompts: DataFrame, terms: DataFrame) -> DataFrame:
     """Terms (chunk_id, segment_id, term) that a prompt holds anywhere, also within a word, letters compared without case."""
+    from ..sources.scratch import written
+
     low = F.lower("prompt")
-    found = held_candidates(prompts.select(low.alias("text")), terms.select(F.lower("term").alias("needle")))
+    # Written, so that the planner knows how few they are: then they are sent to the texts' runs, not the runs to them.
+    needles = written(terms.select(F.lower("term").alias("needle")).distinct(), "needles")
+    found = held_candidates(prompts.select(low.alias("text")), needles)
     hits = prompts.select("query_id", "prompt", F.xxhash64(low).alias("hash")).join(found, "hash").where(low.contains(F.col("needle")))
     return hits.join(terms.withColumn("needle", F.lower("term")), "needle").drop("needle", "hash")
 
 
+def capped_terms(terms: DataFrame, limit: int) -> DataFrame:
+    """The terms (chunk_id, segment_id, term) that `one_per_segment` may keep if it takes `limit` hits a query.
+
+    Before a term's hits at most `limit` - 1 segments are taken, so `limit` of its segments are enough: those with the
+    smallest chunk_id of that term, and there the smallest one. So a prompt's hits do not grow with the number of chunks.
+    """
+    one = terms.groupBy("term", "segment_id").agg(F.min("chunk_id").alias("chunk_id"))
+    return cap_per(one, ["term"], limit, F.asc("chunk_id")).select("chunk_id", "segment_id", "term")
+
+
 def lemma_matches(prompts: DataFrame, lemmas: DataFrame, limit: int = 10, least: int = 3) -> DataFrame:
     """query_id, pos, chunk_id: words of a prompt that are lemmas, as they stand or without `-en`; the first `limit`.
 

@@ -242,7 +242,7 @@ def consecutive_chain(spark, d):
 def term_containment(spark, d):
     terms = chunks(spark, d).where("chunk_type = 'begriff'").select("chunk_id", "segment_id", F.lower(F.regexp_extract("text", r"([\p{L}]{6,})", 1)).alias("term")).where("term != ''")
     prompts = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("prompt"))
-    return ranking.one_per_segment(joins.term_hits(prompts, terms), 5, "query_id").select("query_id", "segment_id", "chunk_id", "term")
+    return ranking.one_per_segment(joins.term_hits(prompts, joins.capped_terms(terms, 5)), 5, "query_id").select("query_id", "segment_id", "chunk_id", "term")
 
 
 @query(C + r""", t as (select lower(regexp_extract(text, '([\p{L}]+)', 1)) as lemma, chunk_id from chunks where chunk_type = 'begriff'),
