@@ -199,7 +199,9 @@ def quote_file_records(spark, d):
 def quantified_words(spark, d):
     """Word statistics as literal dictionaries, made of the texts and read as such."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
-    counted = table(spark, d, "documents").select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    # Texts are dealt out by document once; counts and dictionaries are made where they lie then.
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    counted = docs.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     item = F.concat(F.lit("'"), F.col("w"), F.lit("': "), F.col("n").cast("string"))
     literal = counted.groupBy("doc_id").agg(F.concat(F.lit("{'word_stats': {"), F.array_join(F.collect_list(item), ", "), F.lit("}}")).alias("text"))
     return literal.select("doc_id", F.explode(files.quantify("text")).alias("s")).select("doc_id", "s.word", "s.count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,8 +69,8 @@ def word_counts(spark: SparkSession, path: str) -> DataFrame:
                        F.translate("percentage", "%", "").alias("percentage"))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("count", T.LongType())])))
-def quantify(texts):
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("count", T.LongType())])))
+def quantify(texts: pa.Array) -> pa.Array:
     """Literal dictionaries `{'word_stats': {word: count}}` or lists of such entries; what is neither has no entries."""
     import ast
 
@@ -79,9 +80,16 @@ def quantify(texts):
         except (ValueError, SyntaxError, AttributeError):
             return []
         items = stats.items() if isinstance(stats, dict) else [(s.get("word"), s.get("count")) for s in stats if isinstance(s, dict)]
-        return [{"word": str(w), "count": int(c)} for w, c in items if isinstance(c, int)]
-
-    return texts.map(one)
+        return [(str(w), int(c)) for w, c in items if isinstance(c, int)]
+
+    words, counts, ends = [], [], [0]
+    for text in texts.to_pylist():
+        for w, c in one(text):
+            words.append(w)
+            counts.append(c)
+        ends.append(len(words))
+    entries = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "count"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
