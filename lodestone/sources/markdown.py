@@ -10,20 +10,21 @@ from ..functions.text import collapse, quote_key, strip
 _BLOCK = "array<struct<chapter:int,heading:string,sub:string,number:int,text:string>>"
 
 
-def _fold(text: Column, step) -> Column:
-    """Lines folded into blocks. step(state, line) -> state; the state holds chapter, heading, sub, number, buffer, blocks."""
+def _fold(text: Column, mark, step) -> Column:
+    """Lines folded into blocks. mark(struct of line and row, the line without white space around it) adds kind; step(state, struct) -> state; the state holds chapter, heading, sub, number, buffer, blocks."""
     start = F.struct(F.lit(0).alias("chapter"), F.lit("").alias("heading"), F.lit("").alias("sub"), F.lit(0).alias("number"), F.lit("").alias("buffer"),
                      F.array().cast(_BLOCK).alias("blocks"))
     lines = F.concat(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1), F.array(F.lit("")))  # an empty line ends the last block
-    return F.aggregate(lines, start, step, lambda s: s["blocks"])
+    rows = F.transform(lines, lambda line: F.struct(line.alias("line"), strip(line).alias("row")))
+    blocks = F.aggregate(F.transform(rows, mark), start, step, lambda s: s["blocks"])
+    return F.transform(blocks, lambda b: b.withField("text", strip(b["text"])))
 
 
 def _flushed(s: Column) -> tuple[Column, Column]:
-    """(blocks, number) after the buffer is closed."""
-    body = strip(s["buffer"])
-    n = s["number"] + F.when(body != "", 1).otherwise(0)
-    block = F.struct(s["chapter"].alias("chapter"), s["heading"].alias("heading"), s["sub"].alias("sub"), n.alias("number"), body.alias("text"))
-    return F.when(body != "", F.array_append(s["blocks"], block)).otherwise(s["blocks"]), n
+    """(blocks, number) after the buffer is closed. It holds lines that are not blank, so it is empty or a block."""
+    n = s["number"] + F.when(s["buffer"] != "", 1).otherwise(0)
+    block = F.struct(s["chapter"].alias("chapter"), s["heading"].alias("heading"), s["sub"].alias("sub"), n.alias("number"), s["buffer"].alias("text"))
+    return F.when(s["buffer"] != "", F.array_append(s["blocks"], block)).otherwise(s["blocks"]), n
 
 
 def document_blocks(text: Column) -> Column:
@@ -33,10 +34,14 @@ def document_blocks(text: Column) -> Column:
     `#` are titles and hold no text.
     """
 
-    def step(s: Column, line: Column) -> Column:
-        row = strip(line)
-        chapter, sub, title = row.rlike(r"^##\s+\S"), row.rlike(r"^###\s+\S"), row.rlike(r"^#\s+\S")
-        ends = chapter | sub | title | (row == "")
+    # An expression that is named twice is computed twice: what needs patterns is told once a line, as a letter.
+    def mark(x: Column) -> Column:
+        heading = F.regexp_extract(x["row"], r"^(#{1,3})\s+\S", 1)
+        return x.withField("kind", F.when(x["row"] == "", "").when(x["row"].startswith("#") & (heading != ""), heading).otherwise("text"))
+
+    def step(s: Column, x: Column) -> Column:
+        line, row, kind = x["line"], x["row"], x["kind"]
+        chapter, sub, ends = kind == "##", kind == "###", kind != "text"
         blocks, n = _flushed(s)
         return F.struct(
             F.when(chapter, s["chapter"] + 1).otherwise(s["chapter"]).alias("chapter"), F.when(chapter, row).otherwise(s["heading"]).alias("heading"),
@@ -45,7 +50,7 @@ def document_blocks(text: Column) -> Column:
             F.when(ends, F.lit("")).otherwise(F.concat_ws("\n", F.nullif(s["buffer"], F.lit("")), line)).alias("buffer"),
             F.when(ends, blocks).otherwise(s["blocks"]).alias("blocks"))
 
-    return _fold(text, step)
+    return _fold(text, mark, step)
 
 
 def document_title(text: Column) -> Column:
