@@ -17,6 +17,8 @@ BLOCK_FLOATS = 8_000_000
 DIGITS = 9
 #: Vectors and queries of one product; times the wanted hits that a task gathers before it ranks them.
 ROWS, COLUMNS, HELD = 2_000, 2_048, 4
+#: Hits that a task may gather in one pass; queries whose wanted hits are more take further passes.
+HELD_ROWS = 2_000_000
 
 
 def _unit_rows(values: pa.ListArray, width: int) -> np.ndarray:
@@ -77,13 +79,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, fetch: int) -> DataFrame:
     """query_id, rank, chunk_id, score. vectors: chunk_id, embedding; queries: query_id, embedding.
 
     Every task scores its vectors against a broadcast block of queries and passes on its best `fetch`
-    rows a query; these are ranked per query. Ties go to the smaller chunk_id. While the queries need more than one
+    rows a query; these are ranked per query. Ties go to the smaller chunk_id. While the queries, or their hits, need more than one
     block, blocks are gathered, searched and written one after another, so the driver holds one at a time.
     """
     spark = vectors.sparkSession
     id_field = T.StructField("query_id", queries.schema["query_id"].dataType)
-    floats = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
-    blocks = max(1, -(-floats // BLOCK_FLOATS))
+    asked, floats = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    blocks = max(1, -(-floats // BLOCK_FLOATS), -(-asked * fetch * HELD // HELD_ROWS))
     out = None
     for b in range(blocks):
         some = queries.select("query_id", "embedding") if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding")
