@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..schemas import CONTEXT_CHARS, INTENT_TYPES, SKIP_INTENTS
 from ..sources.scratch import folder
 from . import fusion
 from .dense import dense_retrieve, with_payload
-from .sparse import sparse_retrieve
+from .sparse import Split, query_terms, sparse_retrieve, split
 
 PAYLOAD = ("text", "chunk_type", "source_id", "source_title", "author", "parent_id")
 
@@ -26,17 +26,22 @@ class Corpus:
     vectors: DataFrame
     query_vectors: DataFrame
     query_texts: DataFrame
+    held: Split | None = None
+
+    def split(self) -> Corpus:
+        """With all texts split once for all queries: for plans of several sparse searches."""
+        return replace(self, held=split(self.chunks, query_terms(self.query_texts)))
 
     def only(self, ids: DataFrame) -> Corpus:
         """For the queries whose ids are given."""
         some = lambda q: q.join(ids.select("query_id"), "query_id", "left_semi")
-        return Corpus(self.chunks, self.vectors, some(self.query_vectors), some(self.query_texts))
+        return replace(self, query_vectors=some(self.query_vectors), query_texts=some(self.query_texts))
 
     def dense(self, k: int, where: Column | None = None) -> DataFrame:
         return dense_retrieve(self.chunks, self.vectors, self.query_vectors, k, where)
 
     def sparse(self, k: int, where: Column | None = None) -> DataFrame:
-        return sparse_retrieve(self.chunks, self.query_texts, k, where)
+        return sparse_retrieve(self.chunks, self.query_texts, k, where, self.held)
 
     def hybrid(self, k_dense: int, k_sparse: int, k: int, where: Column | None = None) -> DataFrame:
         """Dense and sparse hits fused; dense ones alone where no sparse ones are wanted."""
@@ -91,6 +96,7 @@ def by_intent(corpus: Corpus, requests: DataFrame, author: str) -> DataFrame:
     whose hits, within their source, are insufficient get a second one, wider and of all types. Requests without a hit in
     the end have one row without a chunk.
     """
+    corpus = corpus.split()
     asked = requests.where(~F.col("intent").isin(SKIP_INTENTS)).withColumn("intent", F.when(F.col("intent").isin(list(INTENT_TYPES)), F.col("intent")).otherwise("sonstiges"))
 
     def within(hits: DataFrame) -> DataFrame:

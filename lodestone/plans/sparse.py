@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,29 +28,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("w"))
 
 
-def occurrences(chunks: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, len, term, tf) of the wanted terms, and one row with n and avg_len over all chunks.
+class Split(NamedTuple):
+    """Chunks without their texts, with `len` and `held`: the words of a text that are terms of queries, repeats included, or all words (`every`)."""
+
+    rows: DataFrame
+    every: bool
+
 
-    Texts are split once: what is left of them, their lengths and the wanted terms, is written and read again.
-    """
+def split(chunks: DataFrame, wanted: DataFrame) -> Split:
+    """chunks split for the wanted terms: written once, for any number of searches."""
     spark = chunks.sparkSession
     terms = wanted.select("term").distinct()
     some = [r["term"] for r in terms.limit(TESTED_TERMS + 1).collect()]
-    docs = spread(chunks.select("chunk_id", "text")).select("chunk_id", words(F.col("text")).alias("ws")).select("chunk_id", F.size("ws").cast("double").alias("len"), "ws")
-    few = len(some) <= TESTED_TERMS
-    kept = F.filter("ws", lambda w: w.isin(some)) if few else F.col("ws")
+    kept = F.filter("held", lambda w: w.isin(some)) if len(some) <= TESTED_TERMS else F.col("held")
+    docs = spread(chunks).withColumn("held", words(F.col("text"))).drop("text").withColumn("len", F.size("held").cast("double"))
     path = folder(spark, "occurrences")
-    docs.select("chunk_id", "len", kept.alias("held")).write.parquet(path)
-    held = spark.read.parquet(path)
-    each = held.select("chunk_id", "len", F.explode("held").alias("term"))
-    each = each if few else each.join(terms, "term", "left_semi")
-    return each.groupBy("chunk_id", "len", "term").agg(F.count("*").cast("double").alias("tf")), held.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    docs.withColumn("held", kept).write.parquet(path)
+    return Split(spark.read.parquet(path), len(some) > TESTED_TERMS)
+
+
+def occurrences(held: Split, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, len, term, tf) of the wanted terms, and maybe others, in texts that are split, and one row with n and avg_len over all of them."""
+    each = held.rows.select("chunk_id", "len", F.explode("held").alias("term"))
+    each = each.join(wanted.select("term").distinct(), "term", "left_semi") if held.every else each  # a few others cost less than this
+    return each.groupBy("chunk_id", "len", "term").agg(F.count("*").cast("double").alias("tf")), held.rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, idf: bool = True) -> DataFrame:
-    """query_id, chunk_id, score (six decimals) of all chunks that share a term with the query."""
+def bm25(chunks: DataFrame | Split, queries: DataFrame, idf: bool = True) -> DataFrame:
+    """query_id, chunk_id, score (six decimals) of all chunks that share a term with the query. chunks: with texts, or `split` before."""
     wanted = query_terms(queries)
-    posts, stats = occurrences(chunks, wanted)
+    held = chunks if isinstance(chunks, Split) else split(chunks.select("chunk_id", "text"), wanted)
+    posts, stats = occurrences(held, wanted)
     df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
     weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if idf else F.lit(1.0)
     weighted = wanted.join(df.select("term", weight.alias("idf"), "avg_len"), "term")
@@ -56,15 +66,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, idf: bool = True) -> DataFrame:
     return posts.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("idf") * tf), 6).alias("score"))
 
 
-def sparse_top(chunks: DataFrame, queries: DataFrame, fetch: int, idf: bool = True) -> DataFrame:
+def sparse_top(chunks: DataFrame | Split, queries: DataFrame, fetch: int, idf: bool = True) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return bm25(chunks, queries, idf).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= fetch).select("query_id", "rank", "chunk_id", "score")
 
 
-def sparse_retrieve(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+def sparse_retrieve(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None, held: Split | None = None) -> DataFrame:
+    """The best k chunks of each query. held: the chunks `split` before, so that several searches read the texts once."""
     from ..operators.filters import cap_hits
     from ..schemas import overfetch
     from .dense import with_payload
 
-    scope = chunks if where is None else chunks.where(where)
-    return cap_hits(with_payload(sparse_top(scope, queries, overfetch(k)), scope, "text", "chunk_type", "source_id", "source_title", "author", "parent_id"), k)
+    inside = lambda rows: rows if where is None else rows.where(where)
+    scope = inside(chunks)
+    return cap_hits(with_payload(sparse_top(scope if held is None else Split(inside(held.rows), held.every), queries, overfetch(k)), scope, "text", "chunk_type", "source_id", "source_title", "author", "parent_id"), k)
